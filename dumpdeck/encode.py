@@ -42,7 +42,7 @@ def copy_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", *parts).alias("value"))
 
 
-def _framed(lines: DataFrame, first: list[str], last: list[str]) -> DataFrame:
+def framed(lines: DataFrame, first: list[str], last: list[str]) -> DataFrame:
     """Put lines around the rows of each partition that has any."""
 
     def lines_batch(values) -> pa.RecordBatch:
@@ -74,8 +74,8 @@ def write_pgdump(tables: dict[str, DataFrame], folder: str, ddl: list[str] | Non
     spark.createDataFrame([("\n".join(text + (ddl or [])),)], "value string").coalesce(1).write.text(f"{folder}/schema")
     for name, df in tables.items():
         header = ", ".join(f'"{c}"' for c in df.columns)
-        framed = _framed(copy_lines(df), [f"COPY public.{name} ({header}) FROM stdin;"], ["\\.", ""])
-        framed.write.text(f"{folder}/{name}")
+        lines = framed(copy_lines(df), [f"COPY public.{name} ({header}) FROM stdin;"], ["\\.", ""])
+        lines.write.text(f"{folder}/{name}")
     return f"{folder}/*/*.txt"
 
 
@@ -114,8 +114,8 @@ def write_mysqldump(tables: dict[str, DataFrame], folder: str) -> str:
         text += ["", f"DROP TABLE IF EXISTS `{name}`;", mysql_create(name, df)]
     spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1).write.text(f"{folder}/schema")
     for name, df in tables.items():
-        framed = _framed(insert_statements(df, name), [f"LOCK TABLES `{name}` WRITE;"], ["UNLOCK TABLES;"])
-        framed.write.text(f"{folder}/{name}")
+        lines = framed(insert_statements(df, name), [f"LOCK TABLES `{name}` WRITE;"], ["UNLOCK TABLES;"])
+        lines.write.text(f"{folder}/{name}")
     return f"{folder}/*/*.txt"
 
 
@@ -162,13 +162,13 @@ def write_mysqlshell(schema: str, name: str, df: DataFrame, folder: str) -> str:
     return folder
 
 
-def write_sqlite(name: str, df: DataFrame, folder: str, key: str | None = None) -> str:
+def write_sqlite(
+    name: str, df: DataFrame, folder: str, key: str | None = None, declared: dict[str, str] | None = None
+) -> str:
     """One database file per partition, each with the same table."""
     local = ensure_folder(folder)
-    columns = ", ".join(
-        f'"{f.name}" {SQLITE_NAMES.get(type(f.dataType), "TEXT")}' + (" PRIMARY KEY" if f.name == key else "")
-        for f in df.schema.fields
-    )
+    types = {f.name: SQLITE_NAMES.get(type(f.dataType), "TEXT") for f in df.schema.fields} | (declared or {})
+    columns = ", ".join(f'"{n}" {t}' + (" PRIMARY KEY" if n == key else "") for n, t in types.items())
     marks = ", ".join("?" * len(df.columns))
 
     def write(part, batches):

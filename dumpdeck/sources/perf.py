@@ -15,9 +15,8 @@ CATEGORIES = [
 def perf_items(spark: SparkSession, n: int) -> DataFrame:
     """``(id, created_at, category, score, payload)`` for ids 1..n."""
     names = F.array(*map(F.lit, CATEGORIES))
-    start = F.lit("2020-01-01 00:00:00").cast("timestamp")
-    # Seconds as an interval hold a decimal; add epoch seconds instead, in whole numbers.
-    created = F.timestamp_seconds(F.unix_seconds(start) + F.col("id"))
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    created = start + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))
     return spark.range(1, n + 1).select(
         "id",
         created.alias("created_at"),
