@@ -119,7 +119,7 @@ def write_mysqldump(tables: dict[str, DataFrame], folder: str) -> str:
     return f"{folder}/*/*.txt"
 
 
-def _write_parts(df: DataFrame, schema: str, write: Callable[[int, object], object]) -> int:
+def _write_parts(df: DataFrame, write: Callable[[int, object], object]) -> int:
     """Run ``write(partition, batches)`` in every task; returns the number of rows written."""
 
     def run(batches):
@@ -158,7 +158,7 @@ def write_mysqlshell(schema: str, name: str, df: DataFrame, folder: str) -> str:
         os.replace(partial, target)
         return n
 
-    _write_parts(lines, "value string", write)
+    _write_parts(lines, write)
     return folder
 
 
@@ -170,6 +170,10 @@ def write_sqlite(
     types = {f.name: SQLITE_NAMES.get(type(f.dataType), "TEXT") for f in df.schema.fields} | (declared or {})
     columns = ", ".join(f'"{n}" {t}' + (" PRIMARY KEY" if n == key else "") for n, t in types.items())
     marks = ", ".join("?" * len(df.columns))
+    times = (T.TimestampType, T.TimestampNTZType)
+    stored = df.select(
+        *[_text(f, "1", "0").alias(f.name) if isinstance(f.dataType, times) else F.col(f.name) for f in df.schema.fields]
+    )
 
     def write(part, batches):
         target = f"{local}/{name}-{part}.sqlite"
@@ -186,7 +190,7 @@ def write_sqlite(
         os.replace(partial, target)
         return n
 
-    _write_parts(df, "", write)
+    _write_parts(stored, write)
     return f"{folder}/*.sqlite"
 
 
@@ -205,5 +209,5 @@ def write_zips(df: DataFrame, folder: str, member: str) -> str:
         os.replace(partial, target)
         return n
 
-    _write_parts(df, "", write)
+    _write_parts(df, write)
     return posix_path(folder)

@@ -150,7 +150,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("\t", "c_custkey", "c_name", "c_mktsegment").alias("value")
     )
     packed = encode.write_zips(lines.repartition(4), shared_folder(spark, "zips"), "customer/data.tsv")
-    members = unpack(spark, packed, shared_folder(spark, "unpacked"))
+    members = unpack(spark, packed, shared_folder(spark, "unpacked"), tasks=8)
     # A bounded list: one path per archive.
     roots = [r.root for r in content_root(members).collect()]
     parts = F.split("value", "\t")

@@ -11,6 +11,7 @@ import os
 import tarfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,24 +51,28 @@ def _safe(name: str) -> str | None:
     return None if clean.startswith(("/", "..")) or clean in (".", "") else clean
 
 
-def _members(uri: str) -> Iterator[tuple[str, object]]:
+def _zip_members(uri: str) -> list[str]:
+    with open_uri(uri) as stream, zipfile.ZipFile(stream) as z:
+        return [i.filename for i in z.infolist() if not i.is_dir()]
+
+
+def _contents(uri: str, member: str | None) -> Iterator[tuple[str, object]]:
+    """One member of a zip, or all files of a tar, as streams."""
     with open_uri(uri) as stream:
-        if uri.lower().endswith(".zip"):
+        if member is not None:
             with zipfile.ZipFile(stream) as z:
-                for info in z.infolist():
-                    if not info.is_dir():
-                        yield info.filename, z.open(info)
-        else:
-            with tarfile.open(fileobj=stream, mode="r|gz") as t:
-                for info in t:
-                    # Links and devices carry no data.
-                    if info.isfile():
-                        yield info.name, t.extractfile(info)
-
-
-def _unpack(uri: str, folder: str) -> Iterator[tuple[str, str, str, int]]:
+                yield member, z.open(member)
+            return
+        with tarfile.open(fileobj=stream, mode="r|gz") as t:
+            for info in t:
+                # Links and devices carry no data.
+                if info.isfile():
+                    yield info.name, t.extractfile(info)
+
+
+def _unpack(uri: str, only: str | None, folder: str) -> Iterator[tuple[str, str, str, int]]:
     system, root = fs.FileSystem.from_uri(_uri(folder))
-    for name, source in _members(uri):
+    for name, source in _contents(uri, only):
         member = _safe(name)
         if member is None:
             raise ValueError(f"{uri}: member path leaves the folder: {name}")
@@ -83,24 +88,32 @@ def _unpack(uri: str, folder: str) -> Iterator[tuple[str, str, str, int]]:
         yield uri, member, f"{folder}/{member}", size
 
 
-def unpack(spark: SparkSession, path: str, dest: str) -> DataFrame:
-    """Unpack every archive under ``path`` into ``dest/<archive name>/``.
+def unpack(spark: SparkSession, path: str, dest: str, tasks: int = 1000) -> DataFrame:
+    """Unpack every archive under ``path`` into a folder of its own below ``dest``.
 
-    Returns ``(archive, member, path, n_bytes)``, read back from a table written next to the
-    members, so the work is done once.
+    Zip members are spread over the tasks one by one; a tar can only be read from its start, so
+    it is one task. Returns ``(archive, member, path, n_bytes)``, read back from a table written
+    next to the members, so the work is done once.
     """
-    archives = list_files(spark, path).filter(F.col("path").rlike(ARCHIVES))
-    n = archives.count()
+    archives = list_files(spark, path).filter(F.col("path").rlike(ARCHIVES)).select("path")
 
-    def run(batches):
+    def members(batches):
         for pdf in batches:
             for uri in pdf["path"]:
-                folder = f"{dest.rstrip('/')}/{os.path.basename(uri)}"
-                yield pd.DataFrame(list(_unpack(uri, folder)), columns=["archive", "member", "path", "n_bytes"])
+                names = _zip_members(uri) if uri.lower().endswith(".zip") else [None]
+                yield pd.DataFrame({"path": uri, "member": pd.Series(names, dtype=object)})
+
+    def run(batches):
+        for pdf in batches:
+            for uri, member in zip(pdf["path"], pdf["member"]):
+                # Archives of different folders may share a name.
+                folder = f"{dest.rstrip('/')}/{os.path.basename(uri)}-{zlib.crc32(uri.encode()):08x}"
+                done = list(_unpack(uri, member, folder))
+                yield pd.DataFrame(done, columns=["archive", "member", "path", "n_bytes"])
 
     listing = f"{dest.rstrip('/')}/_members"
-    spread = archives.select("path").repartition(max(1, min(n, 10_000)), "path")
-    spread.mapInPandas(run, LAYOUT).write.mode("overwrite").parquet(listing)
+    found = archives.mapInPandas(members, "path string, member string")
+    found.repartition(tasks).mapInPandas(run, LAYOUT).write.mode("overwrite").parquet(listing)
     return spark.read.parquet(listing)
 
 

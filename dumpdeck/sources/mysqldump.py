@@ -47,29 +47,28 @@ def row_groups(statements: DataFrame) -> DataFrame:
     A statement cut inside a string does not end with ``)``: its last group is unusable and
     it gives one more row with ``broken`` set.
     """
-    body = F.regexp_extract("statement", INSERT, 3)
-    groups = F.regexp_extract_all("body", F.lit(ROW_GROUP), 0)
-    whole = F.col("body").endswith(")")
-    tail = F.array(F.substring_index("body", "(", -1))
-    return (
+    inserts = (
         statements.filter(F.col("statement").rlike(r"(?i)\AINSERT\s"))
         .select(
             "dump",
             F.regexp_extract("statement", INSERT, 1).alias("table_name"),
             F.regexp_extract("statement", INSERT, 2).alias("listed"),
-            body.alias("body"),
+            F.regexp_extract("statement", INSERT, 3).alias("body"),
         )
         .filter(F.col("table_name") != "")
-        .select(
-            "dump",
-            "table_name",
-            "listed",
-            F.posexplode(F.when(whole, groups).otherwise(F.concat(groups, tail))).alias("i", "raw"),
-            F.size(groups).alias("n"),
-            whole.alias("whole"),
-        )
-        .select("dump", "table_name", "listed", "raw", (~F.col("whole") & (F.col("i") == F.col("n"))).alias("broken"))
     )
+    whole = F.col("body").endswith(")")
+    groups = inserts.select(
+        "dump",
+        "table_name",
+        "listed",
+        F.regexp_extract_all("body", F.lit(ROW_GROUP), F.lit(0)).alias("groups"),
+        F.when(~whole, F.substring_index("body", "(", -1)).alias("cut"),
+    )
+    good = F.transform("groups", lambda g: F.struct(g.alias("raw"), F.lit(False).alias("broken")))
+    bad = F.array(F.struct(F.col("cut").alias("raw"), F.lit(True).alias("broken")))
+    items = F.when(F.col("cut").isNull(), good).otherwise(F.concat(good, bad))
+    return groups.select("dump", "table_name", "listed", F.inline(items))
 
 
 def literal_text(token: Column) -> Column:
@@ -89,11 +88,12 @@ class MysqlDump:
     def __init__(self, spark: SparkSession, path: str | list[str], crlf: bool = False):
         self.spark = spark
         self.statements = read_statements(spark, path, crlf)
-        creates = self.statements.filter(F.col("statement").rlike(r"(?i)\ACREATE\s"))
-        self.columns, self.constraints = ddl.mysql_schema(creates)
+        # Finding the DDL reads the whole dump: once, however many tables are asked for.
+        self._creates = self.statements.filter(F.col("statement").rlike(r"(?i)\ACREATE\s")).persist()
+        self.columns, self.constraints = ddl.mysql_schema(self._creates)
 
     def close(self) -> None:
-        pass
+        self._creates.unpersist()
 
     def tables(self) -> list[str]:
         found = self.columns.select("table_name").distinct().collect()
@@ -114,7 +114,14 @@ class MysqlDump:
             "overwrite"
         ).partitionBy("into_table").parquet(folder)
 
-    def rows(self, table: str, staged: str | None = None, **options) -> DataFrame:
+    def rows(
+        self, table: str, staged: str | None = None, spread: int | None = None, **options
+    ) -> DataFrame:
+        """Typed rows with bookkeeping columns (see ``functions.rows``).
+
+        ``spread`` deals the statements out to that many partitions first, for compressed files
+        that one task has to read.
+        """
         fields = ddl.table_fields(self.columns, table)
         if not fields:
             raise ValueError(f"table {table} is not declared in the dump")
@@ -123,6 +130,8 @@ class MysqlDump:
         else:
             opening = rf"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?{table}`?[\s(]"
             source = self.statements.filter(F.col("statement").rlike(opening))
+        if spread:
+            source = source.repartition(spread)
         groups = row_groups(source)
         inner = F.substr("raw", F.lit(2), F.length("raw") - 2)
         tokens = F.regexp_extract_all(inner, F.lit(TOKEN), 0)

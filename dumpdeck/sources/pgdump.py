@@ -22,8 +22,10 @@ from dumpdeck.sources import ddl
 
 COPY = rf"(?i)^\s*COPY\s+{ddl.QUALIFIED}\s*\((.+)\)\s+FROM\s+stdin\s*;"
 END = "\\."
-# Lines that may carry DDL: statement starts, indented bodies, closing parentheses.
-MAYBE_DDL = r"(?i)^(\s+\S|\)|CREATE\s|ALTER\s)"
+# Lines that may carry DDL: statement starts, indented bodies, closing parentheses. Data lines
+# whose first field is empty start with a tab and mostly hold another one, so they are left out.
+MAYBE_DDL = r"(?i)^( +\S|\s+[^\s][^\t]*$|\)|CREATE\s|ALTER\s)"
+FIRST_CHARS = [" ", "\t", "\f", "\v", "C", "c", "A", "a", ")", "\\"]
 
 BLOCKS_PER_JOIN = 100_000
 
@@ -53,8 +55,11 @@ def _resolve(lines: DataFrame) -> DataFrame:
     After a header everything is data until the end marker, also lines that look like headers.
     """
     kind = F.when(F.col("value") == END, "T").when(F.col("value").rlike(COPY), "H")
-    found = lines.withColumn("kind", kind).filter(
-        F.col("kind").isNotNull() | F.col("value").rlike(MAYBE_DDL)
+    # The first character settles most data lines without running a pattern over them.
+    found = (
+        lines.filter(F.substring("value", 1, 1).isin(FIRST_CHARS))
+        .withColumn("kind", kind)
+        .filter(F.col("kind").isNotNull() | F.col("value").rlike(MAYBE_DDL))
     )
     here = Window.partitionBy("dump", "block").orderBy("pos")
     before = here.rowsBetween(Window.unboundedPreceding, -1)
@@ -167,8 +172,14 @@ class PgDump:
             F.concat_ws(",", "header").alias("columns"),
         ).write.mode("overwrite").partitionBy("table_name", "columns").parquet(folder)
 
-    def rows(self, table: str, staged: str | None = None, **options) -> DataFrame:
-        """Typed rows with bookkeeping columns (see ``functions.rows``)."""
+    def rows(
+        self, table: str, staged: str | None = None, spread: int | None = None, **options
+    ) -> DataFrame:
+        """Typed rows with bookkeeping columns (see ``functions.rows``).
+
+        ``spread`` deals the raw lines out to that many partitions first, for compressed files
+        that one task has to read.
+        """
         declared = {f.name.lower(): f for f in ddl.table_fields(self.columns, table)}
         blocks = [b for b in self.blocks() if b.table_name == table]
         if not declared:
@@ -183,6 +194,8 @@ class PgDump:
                 )
             else:
                 raw = self._within([b for b in blocks if tuple(b.header) == header])
+            if spread:
+                raw = raw.select("dump", "value").repartition(spread)
             records = raw.select("dump", F.col("value").alias("raw"), split_fields(F.col("value")).alias("tokens"))
             parts.append(typed_rows(records, fields, "pg", copy_text, **options))
         if not parts:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import sqlite3
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -77,13 +78,15 @@ class SqliteReader(DataSourceReader):
         self.schema = schema
 
     def partitions(self) -> list[Slice]:
-        out = []
-        for file in files(self.path):
-            with connect(file) as db:
-                out += self._slices(db, file)
-        return out or [Slice("", 0, -1, True)]
+        with ThreadPoolExecutor(max_workers=32) as pool:
+            found = list(pool.map(self._slices, files(self.path)))
+        return [s for part in found for s in part] or [Slice("", 0, -1, True)]
 
-    def _slices(self, db: sqlite3.Connection, file: str) -> list[Slice]:
+    def _slices(self, file: str) -> list[Slice]:
+        with connect(file) as db:
+            return self._ranges(db, file)
+
+    def _ranges(self, db: sqlite3.Connection, file: str) -> list[Slice]:
         table = quoted(self.table)
         try:
             first, last = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
