@@ -18,9 +18,12 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return c
 
 
-def _between_double_backslashes(c: Column, piece) -> Column:
-    """Apply ``piece`` to the text around each escaped backslash, left to right."""
-    return F.array_join(F.transform(F.split(c, r"\\\\"), piece), BACKSLASH)
+def _between_double_backslashes(c: Column, *steps) -> Column:
+    """Apply the steps to the text around each escaped backslash, left to right."""
+    pieces = F.split(c, r"\\\\")
+    for step in steps:
+        pieces = F.transform(pieces, step)
+    return F.array_join(pieces, BACKSLASH)
 
 
 # Escape letter -> character, per format.
@@ -61,11 +64,18 @@ def tsv_escape(c: Column) -> Column:
 def mysql_unescape(c: Column) -> Column:
     """Text between the quotes of a MySQL literal: ``\\n \\r \\t \\0``, ``''`` and ``\\x`` -> x."""
 
-    def piece(x: Column) -> Column:
-        x = F.regexp_replace(x, r"\\'|''", "'")
-        return F.regexp_replace(_replace_all(x, MYSQL_ESCAPES), r"(?s)\\(.)", "$1")
+    def quotes(x: Column) -> Column:
+        doubled = F.contains(x, F.lit("\\'")) | F.contains(x, F.lit("''"))
+        return F.when(doubled, F.regexp_replace(x, r"\\'|''", "'")).otherwise(x)
 
-    plain = _between_double_backslashes(c, piece)
+    def letters(x: Column) -> Column:
+        return _replace_all(x, MYSQL_ESCAPES)
+
+    def others(x: Column) -> Column:
+        left = F.contains(x, F.lit(BACKSLASH))
+        return F.when(left, F.regexp_replace(x, r"(?s)\\(.)", "$1")).otherwise(x)
+
+    plain = _between_double_backslashes(c, quotes, letters, others)
     touched = F.contains(c, F.lit(BACKSLASH)) | F.contains(c, F.lit("''"))
     return F.when(touched, plain).otherwise(c)
 

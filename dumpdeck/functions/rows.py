@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dumpdeck.functions.types import Field, spark_type, typed
 
 DUMP, RAW, REASON, DROPPED = "_dump", "_raw", "_reason", "_dropped"
 
 
+def _bare(target: T.DataType) -> bool:
+    return isinstance(target, (T.NumericType, T.BooleanType))
+
+
 def typed_rows(
     records: DataFrame,
     fields: list[Field],
     dialect: str,
-    to_text: Callable[[Column], Column],
+    to_text: Callable[[Column, bool], Column],
     *,
     pad: bool = False,
     rich: bool = False,
@@ -25,17 +30,18 @@ def typed_rows(
 ) -> DataFrame:
     """``records(dump, raw, tokens[, broken])`` -> one column per field plus bookkeeping columns.
 
+    ``to_text(token, escaped)`` gives the text of a token or null; ``escaped`` is false for
+    numbers and booleans, whose texts hold no escapes.
+
     A record with the wrong number of tokens is dropped (``pad`` reads missing ones as null
     instead). A value that does not fit its type becomes null and the row is reported.
     """
     names = [f.name for f in fields]
     broken = F.col("broken") if "broken" in records.columns else F.lit(False)
     short = F.lit(False) if pad else F.size("tokens") != len(fields)
-    texts = [to_text(F.get("tokens", F.lit(i))) for i in range(len(fields))]
-    values = [
-        typed(text, f, dialect, spark_type(f, rich, unsigned), decode_blobs)
-        for text, f in zip(texts, fields)
-    ]
+    targets = [spark_type(f, rich, unsigned) for f in fields]
+    texts = [to_text(F.get("tokens", F.lit(i)), not _bare(t)) for i, t in enumerate(targets)]
+    values = [typed(text, f, dialect, t, decode_blobs) for text, f, t in zip(texts, fields, targets)]
     misfits = [
         F.when(text.isNotNull() & value.isNull(), F.lit(name))
         for text, value, name in zip(texts, values, names)

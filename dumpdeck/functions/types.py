@@ -127,7 +127,7 @@ def typed(text: Column, field: Field, dialect: str, target: T.DataType, decode_b
         return F.when(text.isNotNull(), text.isin(TRUE_TEXTS[dialect]))
     if isinstance(target, T.DoubleType):
         # Java also takes a trailing type letter ("1.5d"), which is not a number in a dump.
-        letter = F.right(text, F.lit(1)).isin("d", "D", "f", "F")
+        letter = text.endswith("d") | text.endswith("f") | text.endswith("D") | text.endswith("F")
         return F.when(~letter, text.try_cast(target))
     if isinstance(target, T.BinaryType):
         if not decode_blobs:

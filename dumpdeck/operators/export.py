@@ -19,7 +19,8 @@ def number_text(c: Column) -> Column:
     scientific = F.concat(mantissa, F.lit("E"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
     plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
     return (
-        F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
+        F.when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2))
+        .when(~F.contains(text, F.lit("E")), text)
         .when((F.abs(c) < 1e15) & (F.abs(c) >= 1e-4), plain)
         .otherwise(scientific)
     )

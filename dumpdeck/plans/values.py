@@ -180,14 +180,8 @@ def typed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey"), F.col("c_custkey") % 2, F.col("c_name"), F.col("c_acctbal").cast("string"),
     )
     statements = table(spark, sf_dir, "customer").select(F.lit("c").alias("dump"), statement.alias("statement"))
-    from dumpdeck.sources.mysqldump import TOKEN
-
-    inner = F.substr("raw", F.lit(2), F.length("raw") - 2)
-    records = row_groups(statements).select(
-        "dump", "raw", "broken", F.regexp_extract_all(inner, F.lit(TOKEN), F.lit(0)).alias("tokens")
-    )
     fields = [Field("id", "INT64"), Field("flag", "BOOL"), Field("name"), Field("balance", "FLOAT64")]
-    return accepted(typed_rows(records, fields, "mysql", literal_text))
+    return accepted(typed_rows(row_groups(statements), fields, "mysql", literal_text))
 
 
 @query(

@@ -78,12 +78,25 @@ def _flag_keys(columns: DataFrame, constraints: DataFrame) -> DataFrame:
 
 def pg_schema(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Columns and constraints from ``lines(dump, block, pos, value)`` outside COPY data."""
-    order = Window.partitionBy("dump").orderBy("block", "pos")
+    constraints = pg_constraints(lines)
+    return _flag_keys(pg_columns(lines), constraints), constraints
+
+
+def _starts() -> Column:
     value = F.col("value")
-    starts = value.rlike(r"(?i)^\s*(CREATE|ALTER)\s") | value.rlike(r"^\s*\)")
-    tagged = lines.withColumn("head", F.last(F.when(starts, value), True).over(order))
+    return value.rlike(r"(?i)^\s*(CREATE|ALTER)\s") | value.rlike(r"^\s*\)")
+
+
+def _with_head(lines: DataFrame) -> DataFrame:
+    """Each line with the statement start it follows."""
+    order = Window.partitionBy("dump").orderBy("block", "pos")
+    return lines.withColumn("head", F.last(F.when(_starts(), F.col("value")), True).over(order))
+
 
-    body = tagged.filter(
+def pg_columns(lines: DataFrame) -> DataFrame:
+    """Columns without key flags."""
+    starts, value = _starts(), F.col("value")
+    body = _with_head(lines).filter(
         F.col("head").rlike(PG_CREATE)
         & ~starts
         & ~value.rlike(PG_TABLE_RULE)
@@ -92,7 +105,7 @@ def pg_schema(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rest = F.regexp_extract("value", PG_COLUMN, 2)
     src_type = F.regexp_extract(rest, PG_TYPE, 1)
-    columns = body.select(
+    return body.select(
         "dump",
         bare_name(F.regexp_extract("head", PG_CREATE, 1)).alias("table_name"),
         "block",
@@ -107,9 +120,11 @@ def pg_schema(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.row_number().over(Window.partitionBy("dump", "table_name").orderBy("block", "line")) - 1,
     )
 
+
+def pg_constraints(lines: DataFrame) -> DataFrame:
     # A constraint may stand on the line after its ALTER TABLE.
-    statement = F.when(starts, value).otherwise(F.concat_ws(" ", "head", "value"))
-    stated = tagged.withColumn("s", statement)
+    statement = F.when(_starts(), F.col("value")).otherwise(F.concat_ws(" ", "head", "value"))
+    stated = _with_head(lines).withColumn("s", statement)
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract("s", pattern, group)
@@ -143,13 +158,18 @@ def pg_schema(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         none.alias("ref_table"),
         no_columns.alias("ref_columns"),
     )
-    constraints = keys.unionByName(fks).unionByName(indexes)
-    return _flag_keys(columns, constraints), constraints
+    return keys.unionByName(fks).unionByName(indexes)
 
 
 def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Columns and constraints from ``statements(dump, statement)``, one CREATE TABLE each."""
-    items = (
+    constraints = mysql_constraints(statements)
+    return _flag_keys(mysql_columns(statements), constraints), constraints
+
+
+def _items(statements: DataFrame) -> DataFrame:
+    """The lines of each CREATE TABLE body."""
+    return (
         statements.filter(F.col("statement").rlike(MYSQL_CREATE))
         .select(
             "dump",
@@ -161,11 +181,15 @@ def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("item", F.regexp_replace(F.trim("item"), r",\s*$", ""))
         .filter(F.col("item") != "")
     )
-    item = F.col("item")
+
+
+def mysql_columns(statements: DataFrame) -> DataFrame:
+    """Columns without key flags."""
     rest = F.regexp_extract("item", MYSQL_COLUMN, 2)
     src_type = F.trim(F.regexp_extract(rest, MYSQL_TYPE, 1))
-    columns = (
-        items.filter(item.rlike(MYSQL_COLUMN))
+    return (
+        _items(statements)
+        .filter(F.col("item").rlike(MYSQL_COLUMN))
         .select(
             "dump",
             "table_name",
@@ -181,6 +205,9 @@ def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
 
+
+def mysql_constraints(statements: DataFrame) -> DataFrame:
+    items, item = _items(statements), F.col("item")
     kind = F.upper(F.regexp_extract("item", MYSQL_KEY, 1))
     name = F.regexp_extract("item", MYSQL_KEY, 2)
     # `name`(20) indexes a prefix of the column.
@@ -203,20 +230,18 @@ def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_extract("item", MYSQL_FK, 3).alias("ref_table"),
         name_list(F.regexp_extract("item", MYSQL_FK, 4)).alias("ref_columns"),
     )
-    constraints = keys.unionByName(fks)
-    return _flag_keys(columns, constraints), constraints
+    return keys.unionByName(fks)
 
 
-def table_fields(columns: DataFrame, table: str) -> list[Field]:
-    """Declared fields of one table (bounded by its column count), in order.
+def all_fields(columns: DataFrame) -> dict[str, list[Field]]:
+    """Declared fields of every table, in order: one row per table reaches the driver.
 
     Dumps of several servers may declare the same table; the first dump by name wins.
     """
-    mine = columns.filter(F.col("table_name") == table)
-    rows = mine.select("dump", "pos", "column_name", "type", "src_type").distinct()
-    first = rows.agg(F.min("dump").alias("dump"))
-    found = rows.join(F.broadcast(first), "dump", "left_semi").orderBy("pos").collect()
-    return [Field(r.column_name, r.type, r.src_type) for r in found]
+    entry = F.struct("pos", "column_name", "type", "src_type")
+    per_dump = columns.groupBy("table_name", "dump").agg(F.array_sort(F.collect_set(entry)).alias("fields"))
+    rows = per_dump.groupBy("table_name").agg(F.min_by("fields", "dump").alias("fields")).collect()
+    return {r.table_name: [Field(c.column_name, c.type, c.src_type) for c in r.fields] for r in rows}
 
 
 def empty_lines(spark: SparkSession) -> DataFrame:

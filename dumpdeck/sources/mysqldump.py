@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from dumpdeck.functions.escapes import mysql_unescape, name_list
 from dumpdeck.functions.rows import accepted, typed_rows
+from dumpdeck.functions.types import Field
 from dumpdeck.sources import ddl
 
 LEADING = r"\A(?:\s+|--[^\n]*(?:\n|\z)|/\*(?!!)(?s:.*?)\*/)+"
 INSERT = r"(?is)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)\z"
+TARGET = r"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?"
 ROW_GROUP = r"(?s)\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
 TOKEN = r"(?s)(?:_binary\s+)?'(?:[^'\\]++|\\.|'')*+'|[^,'()\s][^,']*+"
 # Openings of statements and lines that carry no table data.
@@ -23,61 +25,89 @@ SKIPPED = ["LOCK TABLES", "UNLOCK TABLES", "DROP TABLE", "SET ", "USE ", "CREATE
 
 def skippable(text: Column) -> Column:
     """True for statements that neither declare nor fill a table."""
-    return text.rlike(r"(?i)^\s*(" + "|".join("\\Q" + s + "\\E" for s in SKIPPED) + ")")
+    return F.substring(text, 1, 256).rlike(r"(?i)^\s*(" + "|".join("\\Q" + s + "\\E" for s in SKIPPED) + ")")
+
+
+def _opens(statement: Column, pattern: str) -> Column:
+    """Test how a statement begins, without running the pattern over all of it."""
+    return F.substring(statement, 1, 512).rlike(pattern)
 
 
 def read_statements(spark: SparkSession, path: str | list[str], crlf: bool = False) -> DataFrame:
     """``(dump, statement)`` without leading comments and skippable statements."""
     end = ";\r\n" if crlf else ";\n"
-    text = F.regexp_replace("value", LEADING, "")
+    value = F.col("value")
+    # Nearly all of the text is INSERTs that follow another statement directly.
+    text = F.when(value.startswith("INSERT"), value).otherwise(F.regexp_replace(value, LEADING, ""))
     return (
         spark.read.option("lineSep", end)
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("dump"),
-            F.regexp_replace(text, r";?\s*\z", "").alias("statement"),
+            F.rtrim(text, F.lit("; \t\r\n")).alias("statement"),
         )
         .filter((F.col("statement") != "") & ~skippable(F.col("statement")))
     )
 
 
-def row_groups(statements: DataFrame) -> DataFrame:
-    """``(dump, table_name, listed, raw, broken)``: one row per ``(...)`` of the INSERTs.
+def row_groups(statements: DataFrame, fields: list[Field] | None = None) -> DataFrame:
+    """``(dump, table_name, raw, tokens, broken)``: one row per ``(...)`` of the INSERTs.
 
-    A statement cut inside a string does not end with ``)``: its last group is unusable and
-    it gives one more row with ``broken`` set.
+    Tokens stand in the order of ``fields`` where the INSERT lists its columns. A statement cut
+    inside a string does not end with ``)``: its last group is unusable and gives one more row
+    with ``broken`` set.
     """
-    inserts = (
-        statements.filter(F.col("statement").rlike(r"(?i)\AINSERT\s"))
+    body = F.col("body")
+    listed = F.transform(name_list(F.regexp_extract("statement", INSERT, 2)), F.lower)
+    wanted = F.array(*[F.lit(f.name.lower()) for f in fields or []]).cast("array<string>")
+    parsed = (
+        statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
         .select(
             "dump",
-            F.regexp_extract("statement", INSERT, 1).alias("table_name"),
-            F.regexp_extract("statement", INSERT, 2).alias("listed"),
+            F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1).alias("table_name"),
+            listed.alias("listed"),
             F.regexp_extract("statement", INSERT, 3).alias("body"),
         )
         .filter(F.col("table_name") != "")
+        .select(
+            "dump",
+            "table_name",
+            F.size("listed").alias("n_listed"),
+            # Place of each field in the list of the INSERT, from 0; missing ones give null.
+            F.transform(wanted, lambda c: F.nullif(F.array_position("listed", c), F.lit(0)) - 1).alias("places"),
+            F.regexp_extract_all("body", F.lit(ROW_GROUP), F.lit(0)).alias("groups"),
+            F.when(~body.endswith(")"), F.substring_index("body", "(", -1)).alias("cut"),
+        )
     )
-    whole = F.col("body").endswith(")")
-    groups = inserts.select(
-        "dump",
-        "table_name",
-        "listed",
-        F.regexp_extract_all("body", F.lit(ROW_GROUP), F.lit(0)).alias("groups"),
-        F.when(~whole, F.substring_index("body", "(", -1)).alias("cut"),
+
+    def row(group: Column) -> Column:
+        inner = F.substr(group, F.lit(2), F.length(group) - 2)
+        return F.struct(group.alias("raw"), F.regexp_extract_all(inner, F.lit(TOKEN), F.lit(0)).alias("found"))
+
+    def placed(r: Column) -> Column:
+        found = r["found"]
+        by_place = F.transform("places", lambda p: F.get(found, p.cast("int")))
+        listed_right = F.when(F.size(found) == F.col("n_listed"), by_place).otherwise(F.array().cast("array<string>"))
+        tokens = F.when(F.col("n_listed") == 0, found).otherwise(listed_right)
+        return F.struct(r["raw"].alias("raw"), tokens.alias("tokens"), F.lit(False).alias("broken"))
+
+    # Tokens are cut inside the generated rows, so later filters on them do not cut them again.
+    good = F.transform(F.transform("groups", row), placed)
+    unusable = F.struct(
+        F.col("cut").alias("raw"), F.array().cast("array<string>").alias("tokens"), F.lit(True).alias("broken")
     )
-    good = F.transform("groups", lambda g: F.struct(g.alias("raw"), F.lit(False).alias("broken")))
-    bad = F.array(F.struct(F.col("cut").alias("raw"), F.lit(True).alias("broken")))
-    items = F.when(F.col("cut").isNull(), good).otherwise(F.concat(good, bad))
-    return groups.select("dump", "table_name", "listed", F.inline(items))
+    items = F.when(F.col("cut").isNull(), good).otherwise(F.concat(good, F.array(unusable)))
+    return parsed.select("dump", "table_name", F.inline(items))
 
 
-def literal_text(token: Column) -> Column:
+def literal_text(token: Column, escaped: bool = True) -> Column:
     """Value of one INSERT token as text: NULL, quoted string or bare literal."""
-    quoted = F.substring(F.regexp_replace(token, r"^_binary\s+", ""), 2, 2**31 - 1)
-    quoted = F.substr(quoted, F.lit(1), F.length(quoted) - 1)
-    return F.when(token.endswith("'"), mysql_unescape(quoted)).when(
-        F.upper(F.trim(token)) != "NULL", F.trim(token)
-    )
+    bare = F.trim(token)
+    if not escaped:
+        return F.when(F.upper(bare) != "NULL", F.btrim(bare, F.lit("'")))
+    start = F.when(token.startswith("_binary"), F.instr(token, "'")).otherwise(1)
+    inside = F.substr(token, start + 1, F.length(token) - start - 1)
+    return F.when(token.endswith("'"), mysql_unescape(inside)).when(F.upper(bare) != "NULL", bare)
 
 
 class MysqlDump:
@@ -89,18 +119,23 @@ class MysqlDump:
         self.spark = spark
         self.statements = read_statements(spark, path, crlf)
         # Finding the DDL reads the whole dump: once, however many tables are asked for.
-        self._creates = self.statements.filter(F.col("statement").rlike(r"(?i)\ACREATE\s")).persist()
+        self._creates = self.statements.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s")).persist()
+        self._fields = None
         self.columns, self.constraints = ddl.mysql_schema(self._creates)
 
     def close(self) -> None:
         self._creates.unpersist()
 
+    def fields(self) -> dict[str, list[Field]]:
+        if self._fields is None:
+            self._fields = ddl.all_fields(ddl.mysql_columns(self._creates))
+        return self._fields
+
     def tables(self) -> list[str]:
-        found = self.columns.select("table_name").distinct().collect()
-        return sorted(r.table_name for r in found)
+        return sorted(self.fields())
 
     def counts(self) -> DataFrame:
-        declared = self.columns.select("table_name").distinct()
+        declared = ddl.mysql_columns(self._creates).select("table_name").distinct()
         counted = row_groups(self.statements).filter(~F.col("broken")).groupBy("table_name").count()
         return declared.join(counted, "table_name", "left").select(
             "table_name", F.coalesce("count", F.lit(0)).alias("n")
@@ -108,8 +143,8 @@ class MysqlDump:
 
     def stage(self, folder: str) -> None:
         """Write the INSERT statements once, split by table, for many reads."""
-        name = F.regexp_extract("statement", INSERT, 1)
-        inserts = self.statements.filter(F.col("statement").rlike(r"(?i)\AINSERT\s"))
+        name = F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1)
+        inserts = self.statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
         inserts.withColumn("into_table", name).filter("into_table <> ''").write.mode(
             "overwrite"
         ).partitionBy("into_table").parquet(folder)
@@ -122,31 +157,17 @@ class MysqlDump:
         ``spread`` deals the statements out to that many partitions first, for compressed files
         that one task has to read.
         """
-        fields = ddl.table_fields(self.columns, table)
+        fields = self.fields().get(table)
         if not fields:
             raise ValueError(f"table {table} is not declared in the dump")
         if staged:
             source = self.spark.read.parquet(staged).filter(F.col("into_table") == table)
         else:
             opening = rf"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?{table}`?[\s(]"
-            source = self.statements.filter(F.col("statement").rlike(opening))
+            source = self.statements.filter(_opens(F.col("statement"), opening))
         if spread:
             source = source.repartition(spread)
-        groups = row_groups(source)
-        inner = F.substr("raw", F.lit(2), F.length("raw") - 2)
-        tokens = F.regexp_extract_all(inner, F.lit(TOKEN), 0)
-        # Values come in declared order unless the INSERT lists its columns.
-        listed = F.transform(name_list(F.col("listed")), F.lower)
-        by_name = F.map_from_arrays(listed, F.col("found"))
-        placed = F.transform(F.array(*[F.lit(f.name.lower()) for f in fields]), lambda c: by_name[c])
-        fits = F.size(listed) == F.size("found")
-        records = groups.select("dump", "raw", "broken", "listed", tokens.alias("found")).select(
-            "dump",
-            "raw",
-            "broken",
-            F.when((F.col("listed") != "") & fits, placed).otherwise(F.col("found")).alias("tokens"),
-        )
-        return typed_rows(records, fields, "mysql", literal_text, **options)
+        return typed_rows(row_groups(source, fields), fields, "mysql", literal_text, **options)
 
 
 def read_mysqldump(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dumpdeck.functions.escapes import split_fields, tsv_unescape
 from dumpdeck.functions.rows import accepted, typed_rows
+from dumpdeck.functions.types import Field
 from dumpdeck.sources import ddl
 
 CHUNK_NAME = r"([^/@]+)@([^/@]+)@@?(\d*)[^/]*$"
@@ -66,7 +67,9 @@ class MysqlShellDump:
             # Only schema@table.sql declares a table.
             .filter(F.col("dump").rlike(r"^[^@]+@[^@]+\.sql$"))
         )
+        self._fields = None
         columns, constraints = ddl.mysql_schema(statements)
+        self._declared = self._qualified(ddl.mysql_columns(statements))
         self.columns, self.constraints = self._qualified(columns), self._qualified(constraints)
 
     @staticmethod
@@ -78,9 +81,13 @@ class MysqlShellDump:
     def close(self) -> None:
         pass
 
+    def fields(self) -> dict[str, list[Field]]:
+        if self._fields is None:
+            self._fields = ddl.all_fields(self._declared)
+        return self._fields
+
     def tables(self) -> list[str]:
-        found = self.columns.select("table_name").distinct().collect()
-        return sorted(r.table_name for r in found)
+        return sorted(self.fields())
 
     def meta(self, table: str) -> TableMeta:
         schema, name = self._split(table)
@@ -115,7 +122,7 @@ class MysqlShellDump:
 
     def counts(self) -> DataFrame:
         """``(table_name, n)`` over all chunk files in one scan, 0 where there are none."""
-        declared = self.columns.select("table_name").distinct()
+        declared = self._declared.select("table_name").distinct()
         parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "@")
         counted = (
             self.spark.read.option("pathGlobFilter", "*@*@*.tsv*")
@@ -132,7 +139,7 @@ class MysqlShellDump:
     def rows(self, table: str, staged: str | None = None, **options) -> DataFrame:
         """Typed rows; fields follow the metadata's column list, else the declared order."""
         schema, name = self._split(table)
-        declared = ddl.table_fields(self.columns, f"{schema}.{name}")
+        declared = self.fields().get(f"{schema}.{name}")
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
         meta = self.meta(table)
@@ -144,8 +151,8 @@ class MysqlShellDump:
             "dump", F.col("value").alias("raw"), split_fields(F.col("value"), meta.separator).alias("tokens")
         )
 
-        def text(token: Column) -> Column:
-            return F.when(token != "\\N", tsv_unescape(token, meta.escaped_by))
+        def text(token: Column, escaped: bool) -> Column:
+            return F.when(token != "\\N", tsv_unescape(token, meta.escaped_by) if escaped else token)
 
         return typed_rows(records, fields, "mysql", text, pad=True, **options)
 

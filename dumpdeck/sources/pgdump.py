@@ -49,31 +49,40 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _resolve(lines: DataFrame) -> DataFrame:
-    """Candidate lines with ``kind`` (H header, T end marker) and ``inside`` (within COPY data).
-
-    After a header everything is data until the end marker, also lines that look like headers.
-    """
+def _candidates(lines: DataFrame) -> DataFrame:
+    """The few lines that may be headers (kind H), end markers (T) or DDL."""
     kind = F.when(F.col("value") == END, "T").when(F.col("value").rlike(COPY), "H")
     # The first character settles most data lines without running a pattern over them.
-    found = (
+    return (
         lines.filter(F.substring("value", 1, 1).isin(FIRST_CHARS))
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull() | F.col("value").rlike(MAYBE_DDL))
     )
-    here = Window.partitionBy("dump", "block").orderBy("pos")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    # Last marker of each split, carried over to the next split of the file.
-    carried = (
-        found.filter(F.col("kind").isNotNull())
-        .groupBy("dump", "block")
-        .agg(F.max_by("kind", "pos").alias("last_kind"))
+
+
+def _resolve(found: DataFrame) -> DataFrame:
+    """Add ``inside``: the line stands within COPY data.
+
+    After a header everything is data until the end marker, also lines that look like headers.
+    """
+    split = Window.partitionBy("dump", "block")
+    before = split.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    whole = split.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = found.withColumns(
+        {
+            "previous": F.last("kind", True).over(before),
+            "split_last": F.last("kind", True).over(whole),
+            "nth": F.row_number().over(split.orderBy("pos")),
+        }
     )
-    splits = found.select("dump", "block").distinct().join(carried, ["dump", "block"], "left")
+    # What a split starts inside of: the last marker of the splits before it, one row each.
     across = Window.partitionBy("dump").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    entry = splits.select("dump", "block", F.last("last_kind", True).over(across).alias("entry_kind"))
-    previous = F.coalesce(F.last("kind", True).over(before), F.col("entry_kind"), F.lit("T"))
-    return found.join(entry, ["dump", "block"]).withColumn("inside", previous == "H").drop("entry_kind")
+    entry = marked.filter("nth = 1").select(
+        "dump", "block", F.last("split_last", True).over(across).alias("entry_kind")
+    )
+    state = F.coalesce("previous", "entry_kind", F.lit("T"))
+    resolved = marked.join(entry, ["dump", "block"]).withColumn("inside", state == "H")
+    return resolved.drop("previous", "split_last", "nth", "entry_kind")
 
 
 class PgDump:
@@ -84,16 +93,24 @@ class PgDump:
     def __init__(self, spark: SparkSession, path: str | list[str]):
         self.spark = spark
         self.lines = read_lines(spark, path)
-        self._marks = _resolve(self.lines).persist()
+        # One scan of the text serves headers, end markers and DDL.
+        self._found = _candidates(self.lines).persist()
+        self._marks = _resolve(self._found).persist()
         self._blocks = None
-        self.columns, self.constraints = ddl.pg_schema(
-            self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
-                "dump", "block", "pos", "value"
-            )
+        self._fields = None
+        self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
+            "dump", "block", "pos", "value"
         )
+        self.columns, self.constraints = ddl.pg_schema(self._ddl)
 
     def close(self) -> None:
         self._marks.unpersist()
+        self._found.unpersist()
+
+    def fields(self) -> dict[str, list[Field]]:
+        if self._fields is None:
+            self._fields = ddl.all_fields(ddl.pg_columns(self._ddl))
+        return self._fields
 
     def blocks(self) -> list:
         """One row per COPY block: table, header columns and key range of its data lines."""
@@ -148,12 +165,11 @@ class PgDump:
 
     def tables(self) -> list[str]:
         """Declared tables; COPY blocks without a CREATE TABLE are skipped."""
-        found = self.columns.select("table_name").distinct().collect()
-        return sorted(r.table_name for r in found)
+        return sorted(self.fields())
 
     def counts(self) -> DataFrame:
         """``(table_name, n)``: data lines per declared table, 0 where there are none."""
-        declared = self.columns.select("table_name").distinct()
+        declared = ddl.pg_columns(self._ddl).select("table_name").distinct()
         blocks = self.blocks()
         if not blocks:
             return declared.withColumn("n", F.lit(0).cast("long"))
@@ -180,7 +196,7 @@ class PgDump:
         ``spread`` deals the raw lines out to that many partitions first, for compressed files
         that one task has to read.
         """
-        declared = {f.name.lower(): f for f in ddl.table_fields(self.columns, table)}
+        declared = {f.name.lower(): f for f in self.fields().get(table, [])}
         blocks = [b for b in self.blocks() if b.table_name == table]
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
@@ -214,8 +230,8 @@ def _kind(field: Field | None) -> tuple[str, str]:
     return (field.type, field.src_type) if field else ("TEXT", "")
 
 
-def copy_text(token: Column, full: bool = False) -> Column:
-    return F.when(token != "\\N", copy_unescape(token, full))
+def copy_text(token: Column, escaped: bool = True) -> Column:
+    return F.when(token != "\\N", copy_unescape(token) if escaped else token)
 
 
 def read_pgdump(spark: SparkSession, path: str | list[str], table: str, **options) -> DataFrame:
