@@ -56,7 +56,7 @@ def _head(uri: str) -> bytes:
 
 def classify(head: Column) -> Column:
     """Format of one file from its head: SQLite magic, else the first line with a marker."""
-    text = F.decode(head, "UTF-8")
+    text = F.make_valid_utf8(head.cast("string"))
     lines = F.transform(F.slice(F.split(text, r"\r?\n"), 1, HEAD_LINES), F.ltrim)
 
     def line_format(line: Column) -> Column:
@@ -73,7 +73,7 @@ def classify(head: Column) -> Column:
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, format, crlf)`` for every file under a folder."""
     found = heads(list_files(spark, path))
-    crlf = F.coalesce(F.contains(F.decode("head", "UTF-8"), F.lit("\r\n")), F.lit(False))
+    crlf = F.coalesce(F.contains(F.make_valid_utf8(F.col("head").cast("string")), F.lit("\r\n")), F.lit(False))
     return found.select("path", classify(F.col("head")).alias("format"), crlf.alias("crlf"))
 
 

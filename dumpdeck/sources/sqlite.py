@@ -297,7 +297,7 @@ def adapt(text, kind, field: Field, target: T.DataType):
     if isinstance(target, T.BinaryType):
         return F.when(kind == "b", F.unhex(text)).otherwise(F.encode(text, "UTF-8"))
     if isinstance(target, T.StringType):
-        return F.when(kind == "b", F.decode(F.unhex(text), "UTF-8")).otherwise(text)
+        return F.when(kind == "b", F.make_valid_utf8(F.unhex(text).cast("string"))).otherwise(text)
     return F.when(kind != "b", text.try_cast(target))
 
 
