@@ -62,13 +62,18 @@ def framed(lines: DataFrame, first: list[str], last: list[str]) -> DataFrame:
     return lines.mapInArrow(frame, "value string")
 
 
-def write_pgdump(tables: dict[str, DataFrame], folder: str, ddl: list[str] | None = None) -> str:
+def write_pgdump(
+    tables: dict[str, DataFrame], folder: str, ddl: list[str] | None = None, required: set[str] = frozenset()
+) -> str:
     """A folder with one schema file and, per table, part files of one COPY block each."""
     spark = next(iter(tables.values())).sparkSession
     text = ["--", "-- PostgreSQL database dump", "--", "", "SET statement_timeout = 0;", ""]
     for name, df in tables.items():
         text += [f"CREATE TABLE public.{name} ("]
-        body = [f'    "{f.name}" {PG_NAMES.get(type(f.dataType), "text")}' for f in df.schema.fields]
+        body = [
+            f'    "{f.name}" {PG_NAMES.get(type(f.dataType), "text")}' + (" NOT NULL" if f.name in required else "")
+            for f in df.schema.fields
+        ]
         text += [line + "," for line in body[:-1]] + [body[-1], ");", ""]
     # One file, as in a dump: a single small partition.
     spark.createDataFrame([("\n".join(text + (ddl or [])),)], "value string").coalesce(1).write.text(f"{folder}/schema")

@@ -28,15 +28,13 @@ def _between_double_backslashes(c: Column, *steps) -> Column:
 
 # Escape letter -> character, per format.
 COPY_ESCAPES = [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")]
-COPY_ESCAPES_FULL = [*COPY_ESCAPES, ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v")]
 TSV_ESCAPES = [("t", "\t"), ("n", "\n"), ("r", "\r"), ("0", "\0")]
 MYSQL_ESCAPES = [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0")]
 
 
-def copy_unescape(c: Column, full: bool = False) -> Column:
-    """COPY text: ``\\\\ \\n \\r \\t``; any other pair is kept. ``full`` adds ``\\b \\f \\v``."""
-    pairs = COPY_ESCAPES_FULL if full else COPY_ESCAPES
-    plain = _between_double_backslashes(c, lambda x: _replace_all(x, pairs))
+def copy_unescape(c: Column) -> Column:
+    """COPY text: ``\\\\ \\n \\r \\t``; any other pair is kept."""
+    plain = _between_double_backslashes(c, lambda x: _replace_all(x, COPY_ESCAPES))
     return F.when(F.contains(c, F.lit(BACKSLASH)), plain).otherwise(c)
 
 

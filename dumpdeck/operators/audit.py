@@ -72,6 +72,50 @@ def _parent_keys(parent: DataFrame, fk: list[str], key: list[str]) -> DataFrame:
     return parent.select(*[F.col(k).alias(f) for k, f in zip(key, fk)])
 
 
+def check_declared(tables: dict[str, DataFrame], columns: DataFrame, constraints: DataFrame) -> DataFrame:
+    """``(table_name, kind, columns, violations)`` of every declared rule on loaded tables.
+
+    One aggregation per rule, all in one plan; the rules themselves are metadata. NOT NULL is
+    checked for all columns of a table in one pass. ``tables`` is keyed by declared name.
+    """
+    known = {name.lower(): df for name, df in tables.items()}
+    found = []
+    required: dict[str, list[str]] = {}
+    for r in columns.filter("not_null").select("table_name", "column_name").distinct().collect():
+        required.setdefault(r.table_name, []).append(r.column_name)
+    for table, names in required.items():
+        if table.lower() in known:
+            nulls = null_counts(known[table.lower()], names)
+            found.append(_finding(nulls, table, "not_null", "column_name", "nulls"))
+    rules = constraints.filter("kind <> 'index'").drop("dump").distinct().collect()
+    for r in rules:
+        df = known.get(r.table_name.lower())
+        if df is None or "" in r.columns:
+            continue
+        if r.kind == "fk":
+            parent = known.get(r.ref_table.lower())
+            if parent is None:
+                continue
+            bad = orphan_keys(df, r.columns, parent, r.ref_columns or r.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
+        else:
+            check = primary_key_violations if r.kind == "pk" else unique_violations
+            bad = check(df, r.columns).agg(F.count("*").alias("v"))
+        bad = bad.withColumn("name", F.lit(",".join(r.columns)))
+        found.append(_finding(bad, r.table_name, r.kind, "name", "v"))
+    if not found:
+        return columns.sparkSession.createDataFrame([], "table_name string, kind string, columns string, violations long")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _finding(df: DataFrame, table: str, kind: str, name: str, count: str) -> DataFrame:
+    return df.select(
+        F.lit(table).alias("table_name"),
+        F.lit(kind).alias("kind"),
+        F.col(name).alias("columns"),
+        F.col(count).alias("violations"),
+    )
+
+
 def declared_fk_problems(columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """``(dump, table_name, problem, detail)``: foreign keys to a table the dump lacks, and
     columns with several targets."""

@@ -14,24 +14,22 @@ def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
 def update(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Set the changed columns of the rows whose key is in ``changes``, nulls included.
 
-    Two changes for one key are an error. The check groups on the join key, so a shuffled join
-    reuses its partitioning.
+    Two changes for one key are an error, found before anything is built. The join takes both
+    sides as they are, so AQE can broadcast a small set of changes or split a hot key.
     """
     _need(keys)
     values = [c for c in changes.columns if c not in keys]
     unknown = [c for c in changes.columns if c not in df.columns]
     if unknown:
         raise ValueError(f"columns not in the table: {unknown}")
-    one = changes.groupBy(*keys).agg(
-        F.first(F.struct(*values)).alias("_new"), F.count("*").alias("_n")
-    )
-    clash = F.raise_error(F.lit(f"several changes for one key {keys}"))
-    checked = one.withColumn("_new", F.when(F.col("_n") == 1, F.col("_new")).otherwise(clash)).drop("_n")
-    joined = df.join(checked, keys, "left")
-    changed = F.col("_new").isNotNull()
+    clash = changes.groupBy(*keys).count().filter("count > 1").select(*keys).limit(1).collect()
+    if clash:
+        raise ValueError(f"several changes for one key: {clash[0].asDict()}")
+    new = changes.select(*keys, *[F.col(v).alias(f"_new_{v}") for v in values], F.lit(True).alias("_hit"))
+    joined = df.join(new, keys, "left")
     return joined.select(
         *[
-            F.when(changed, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+            F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
             for c in df.columns
         ]
     )

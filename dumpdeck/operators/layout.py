@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def plan_layout(constraints: DataFrame) -> DataFrame:
-    """``(dump, table_name, name, column_name, kept, reason)`` of declared indexes.
+    """``(dump, table_name, kind, name, column_name, kept, reason)`` of declared indexes.
 
     Single-column indexes are kept as sort columns; composite and expression ones are not.
     """
@@ -19,6 +19,7 @@ def plan_layout(constraints: DataFrame) -> DataFrame:
     return constraints.filter(F.col("kind").isin("index", "unique")).select(
         "dump",
         "table_name",
+        "kind",
         "name",
         F.when(reason.isNull(), F.col("columns")[0]).alias("column_name"),
         reason.isNull().alias("kept"),

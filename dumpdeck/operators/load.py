@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dumpdeck.functions.rows import DROPPED, REASON, accepted, rejects
 from dumpdeck.operators.audit import name_collisions
-from dumpdeck.operators.layout import plan_layout
+from dumpdeck.operators.layout import plan_layout, write_sorted
 from dumpdeck.session import shared_folder
 from dumpdeck.sources.open import open_dump, skipped_indexes
 
@@ -32,6 +31,8 @@ class LoadResult:
     targets: dict[str, str]
     report: DataFrame
     rejects_path: str | None
+    columns: DataFrame
+    constraints: DataFrame
     unique_columns: DataFrame
     indexes: DataFrame
     skipped: DataFrame
@@ -71,23 +72,24 @@ def load(
     mode: str = "errorifexists",
     identifier_case: str = "lower",
     tables: list[str] | None = None,
-    write: Callable[[DataFrame, str], None] | None = None,
+    sort_by_index: bool = False,
     parallel: int = 4,
     **options,
 ) -> LoadResult:
     """Write every declared table of a dump to ``dest/<name>`` as parquet.
 
-    Table jobs are submitted together; each write commits or fails as a whole. ``options`` go to
-    the typed reader (``rich``, ``unsigned``, ``decode_blobs``).
+    Table jobs are submitted together; each write commits or fails as a whole. ``sort_by_index``
+    lays a table out by its first single-column index. ``options`` go to the typed reader
+    (``rich``, ``unsigned``, ``decode_blobs``).
     """
     dump = open_dump(spark, path, fmt)
     try:
-        return _load(spark, dump, dest, mode, identifier_case, tables, write, parallel, options)
+        return _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, parallel, options)
     finally:
         dump.close()
 
 
-def _load(spark, dump, dest, mode, identifier_case, tables, write, parallel, options) -> LoadResult:
+def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, parallel, options) -> LoadResult:
     check_names(dump.columns, identifier_case)
     names = tables or dump.tables()
     staged = None
@@ -97,6 +99,12 @@ def _load(spark, dump, dest, mode, identifier_case, tables, write, parallel, opt
     rejects_path = f"{dest.rstrip('/')}/_load_rejects"
     targets = {n: f"{dest.rstrip('/')}/{normalise(n, identifier_case)}" for n in names}
 
+    plan = plan_layout(dump.constraints)
+    sort_columns = {}
+    if sort_by_index:
+        first = plan.filter("kept AND kind = 'index'").groupBy("table_name").agg(F.min_by("column_name", "name").alias("c"))
+        sort_columns = {r.table_name: r.c for r in first.collect()}
+
     def one(name: str) -> tuple:
         started = time.monotonic()
         rows = dump.rows(name, staged=staged, **options)
@@ -109,8 +117,8 @@ def _load(spark, dump, dest, mode, identifier_case, tables, write, parallel, opt
         )
         good = accepted(observed)
         good = good.toDF(*[normalise(c, identifier_case) for c in good.columns])
-        if write:
-            write(good, targets[name])
+        if name in sort_columns:
+            write_sorted(good, targets[name], normalise(sort_columns[name], identifier_case), mode=mode)
         else:
             good.write.mode(mode).parquet(targets[name])
         n = seen.get
@@ -132,12 +140,13 @@ def _load(spark, dump, dest, mode, identifier_case, tables, write, parallel, opt
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         report = list(pool.map(one, names))
-    plan = plan_layout(dump.constraints)
     return LoadResult(
         spark=spark,
         targets=targets,
         report=spark.createDataFrame(report, REPORT),
         rejects_path=rejects_path if any(r[4] or r[5] for r in report) else None,
+        columns=dump.columns,
+        constraints=dump.constraints,
         unique_columns=dump.columns.filter("is_unique").select("table_name", "column_name").distinct(),
         indexes=plan.filter("kept").select("table_name", "name", "column_name").distinct(),
         skipped=skipped_indexes(dump.constraints),

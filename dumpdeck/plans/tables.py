@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dumpdeck import encode
 from dumpdeck.functions.sqltext import total_time
-from dumpdeck.operators import audit, changes, export, history, layout, page
+from dumpdeck.operators import audit, changes, export, history, layout, load, page
 from dumpdeck.plans.registry import query, table, views
 from dumpdeck.session import shared_folder
 
@@ -283,7 +284,47 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ix").alias("name"),
         columns.alias("columns"),
     )
-    return layout.plan_layout(rules)
+    return layout.plan_layout(rules).drop("kind")
+
+
+@query(
+    "k4_declared_audit",
+    """
+SELECT 'orders' AS table_name, 'pk' AS kind, 'o_orderkey' AS columns, 0::BIGINT AS violations FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'orders', 'fk', 'o_custkey', (SELECT count(*) FROM orders WHERE o_custkey % 10 = 3) FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'orders', 'unique', 'o_totalprice',
+       (SELECT count(*) FROM (SELECT o_totalprice FROM orders GROUP BY o_totalprice HAVING count(*) > 1)) FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'orders', 'not_null', 'o_orderkey', 0 FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'customer', 'pk', 'c_custkey', 0 FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'customer', 'not_null', 'c_custkey', 0 FROM region WHERE r_regionkey = 0
+UNION ALL
+SELECT 'customer', 'not_null', 'c_mktsegment', (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 10 <> 3)
+FROM region WHERE r_regionkey = 0
+""",
+)
+def declared_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load two tables with declared rules, some of which their rows break, and check them all."""
+    customers = _special(spark, sf_dir).filter("c_custkey % 10 <> 3").drop("even")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rules = [
+        "ALTER TABLE ONLY public.customer",
+        "    ADD CONSTRAINT c_pk PRIMARY KEY (c_custkey);",
+        "ALTER TABLE ONLY public.orders ADD CONSTRAINT o_pk PRIMARY KEY (o_orderkey);",
+        "ALTER TABLE ONLY public.orders",
+        "    ADD CONSTRAINT o_fk FOREIGN KEY (o_custkey) REFERENCES public.customer(c_custkey);",
+        "CREATE UNIQUE INDEX o_price ON public.orders USING btree (o_totalprice);",
+        "CREATE INDEX o_cust ON public.orders USING btree (o_custkey);",
+    ]
+    dump = {"customer": customers, "orders": orders}
+    path = encode.write_pgdump(dump, shared_folder(spark, "pg"), rules, required={"c_mktsegment"})
+    result = load.load(spark, path, shared_folder(spark, "loaded"), fmt="pg_dump", sort_by_index=True)
+    tables = {name: result.table(name) for name in result.targets}
+    return audit.check_declared(tables, result.columns, result.constraints)
 
 
 @query("k5_layout", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 100 AND 120")

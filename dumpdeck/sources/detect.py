@@ -57,7 +57,7 @@ def _head(uri: str) -> bytes:
 def classify(head: Column) -> Column:
     """Format of one file from its head: SQLite magic, else the first line with a marker."""
     text = F.make_valid_utf8(head.cast("string"))
-    lines = F.transform(F.slice(F.split(text, r"\r?\n"), 1, HEAD_LINES), F.ltrim)
+    lines = F.transform(F.slice(F.split(text, r"\r?\n"), 1, HEAD_LINES), lambda x: F.ltrim(x))
 
     def line_format(line: Column) -> Column:
         out = F.lit(None).cast("string")

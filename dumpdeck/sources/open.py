@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpdeck.sources.detect import detect_files, detect_folders
+from dumpdeck.sources.archive import list_files
+from dumpdeck.sources.detect import detect_files
 from dumpdeck.sources.mysqldump import MysqlDump
 from dumpdeck.sources.mysqlshell import MysqlShellDump
 from dumpdeck.sources.pgdump import PgDump
@@ -21,25 +22,26 @@ READERS = {
 
 def open_dump(spark: SparkSession, path: str, fmt: str | None = None):
     """Reader for ``path``: a file, a folder of one format, or a shell dump folder."""
-    fmt = fmt or sole_format(spark, path)
+    crlf = False
+    if fmt in (None, "mysqldump"):
+        found, crlf = probe(spark, path)
+        fmt = fmt or found
     if fmt not in READERS:
         raise ValueError(f"{path}: not a known dump format")
-    if fmt == "mysqldump":
-        crlf = detect_files(spark, path).filter("format = 'mysqldump' AND crlf").limit(1).count() > 0
-        return MysqlDump(spark, path, crlf=crlf)
-    return READERS[fmt](spark, path)
-
-
-def sole_format(spark: SparkSession, path: str) -> str:
-    shell = detect_folders(spark, path).filter("format = 'mysqlshell'").limit(1).count()
-    if shell:
-        return "mysqlshell"
-    # Parts of a split dump may lack the opening comments.
-    known = detect_files(spark, path).filter("format <> 'unknown'").select("format").distinct().limit(2)
-    found = [r.format for r in known.collect()]
-    if len(found) > 1:
-        raise ValueError(f"{path}: holds dumps of different formats: {found}")
-    return found[0] if found else "unknown"
+    return MysqlDump(spark, path, crlf=crlf) if fmt == "mysqldump" else READERS[fmt](spark, path)
+
+
+def probe(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Format of the dump at ``path`` and whether its lines end in CR LF."""
+    shell = r"(^|/)(@|%40)\.json$|\.tsv\.zst$"
+    if list_files(spark, path).filter(F.col("path").rlike(shell)).limit(1).count():
+        return "mysqlshell", False
+    # At most one row per known format. Parts of a split dump may lack the opening comments.
+    seen = detect_files(spark, path).groupBy("format").agg(F.bool_or("crlf").alias("crlf")).collect()
+    known = [r for r in seen if r.format != "unknown"]
+    if len(known) > 1:
+        raise ValueError(f"{path}: holds dumps of different formats: {sorted(r.format for r in known)}")
+    return (known[0].format, known[0].crlf) if known else ("unknown", False)
 
 
 def inventory(dump) -> DataFrame:

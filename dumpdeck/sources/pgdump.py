@@ -4,7 +4,7 @@ A line belongs to a table when it lies between the COPY header and the ``\\.`` l
 file, so lines carry an order key ``(dump, block, pos)``: file, start of the text split, and
 running number inside it. A first pass finds headers and end markers and resolves them with
 windows over one split at a time, plus one row per split across the file. What reaches the
-driver is one row per COPY block. Reading a table is then a filter on key ranges.
+driver are table and column names. Reading a table is then a filter on key ranges.
 """
 
 from __future__ import annotations
@@ -27,12 +27,8 @@ END = "\\."
 MAYBE_DDL = r"(?i)^( +\S|\s+[^\s][^\t]*$|\)|CREATE\s|ALTER\s)"
 FIRST_CHARS = [" ", "\t", "\f", "\v", "C", "c", "A", "a", ")", "\\"]
 
-BLOCKS_PER_JOIN = 100_000
-
-BLOCKS = (
-    "dump string, table_name string, header array<string>, "
-    "start_block long, start_pos long, end_block long, end_pos long"
-)
+# Rows of block metadata that one broadcast may hold (some hundred bytes each).
+BLOCKS_PER_BROADCAST = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -96,72 +92,69 @@ class PgDump:
         # One scan of the text serves headers, end markers and DDL.
         self._found = _candidates(self.lines).persist()
         self._marks = _resolve(self._found).persist()
-        self._blocks = None
-        self._fields = None
         self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
             "dump", "block", "pos", "value"
         )
         self.columns, self.constraints = ddl.pg_schema(self._ddl)
+        self.blocks = self._find_blocks().persist()
+        self._fields = None
+        self._headers = None
 
     def close(self) -> None:
-        self._marks.unpersist()
-        self._found.unpersist()
+        for cached in (self.blocks, self._marks, self._found):
+            cached.unpersist()
+
+    def _find_blocks(self) -> DataFrame:
+        """One row per COPY block: table, header columns and key range of its data lines."""
+        real = self._marks.filter(
+            ((F.col("kind") == "H") & ~F.col("inside")) | ((F.col("kind") == "T") & F.col("inside"))
+        )
+        order = Window.partitionBy("dump").orderBy("block", "pos")
+        return (
+            real.select(
+                F.col("dump").alias("in_dump"),
+                "kind",
+                bare_name(F.regexp_extract("value", COPY, 1)).alias("table_name"),
+                name_list(F.regexp_extract("value", COPY, 2)).alias("header"),
+                F.col("block").alias("start_block"),
+                F.col("pos").alias("start_pos"),
+                F.lead("block").over(order).alias("end_block"),
+                F.lead("pos").over(order).alias("end_pos"),
+            )
+            .filter("kind = 'H'")
+            .drop("kind")
+        )
 
     def fields(self) -> dict[str, list[Field]]:
         if self._fields is None:
             self._fields = ddl.all_fields(ddl.pg_columns(self._ddl))
         return self._fields
 
-    def blocks(self) -> list:
-        """One row per COPY block: table, header columns and key range of its data lines."""
-        if self._blocks is None:
-            real = self._marks.filter(
-                ((F.col("kind") == "H") & ~F.col("inside")) | ((F.col("kind") == "T") & F.col("inside"))
-            )
-            order = Window.partitionBy("dump").orderBy("block", "pos")
-            self._blocks = (
-                real.select(
-                    "dump",
-                    "kind",
-                    bare_name(F.regexp_extract("value", COPY, 1)).alias("table_name"),
-                    name_list(F.regexp_extract("value", COPY, 2)).alias("header"),
-                    F.col("block").alias("start_block"),
-                    F.col("pos").alias("start_pos"),
-                    F.lead("block").over(order).alias("end_block"),
-                    F.lead("pos").over(order).alias("end_pos"),
-                )
-                .filter("kind = 'H'")
-                .drop("kind")
-                .collect()
-            )
-        return self._blocks
-
-    def _within(self, blocks: list) -> DataFrame:
-        """Data lines of the given blocks, with table name and header."""
-        if len(blocks) == 1:
-            b = blocks[0]
-            same_file = F.col("dump") == b.dump
-            after = _key_gt(F.col("block"), F.col("pos"), F.lit(b.start_block), F.lit(b.start_pos))
-            picked = self.lines.filter(same_file & after)
-            if b.end_block is not None:
-                until = _key_gt(F.lit(b.end_block), F.lit(b.end_pos), F.col("block"), F.col("pos"))
-                picked = picked.filter(until)
-            return picked.withColumns(
-                {"table_name": F.lit(b.table_name), "header": F.array(*map(F.lit, b.header))}
-            )
-        # Block rows are broadcast in slices of fixed size, so no join ever shuffles the lines
-        # by file, where one file may hold most of them.
-        slices = [blocks[i : i + BLOCKS_PER_JOIN] for i in range(0, len(blocks), BLOCKS_PER_JOIN)]
-        return reduce(DataFrame.unionAll, [self._joined(part) for part in slices])
+    def headers(self, table: str) -> list[list[str]]:
+        """Distinct column orders of a table's COPY blocks."""
+        if self._headers is None:
+            self._headers = self.blocks.select("table_name", "header").distinct().collect()
+        return sorted(r.header for r in self._headers if r.table_name == table)
+
+    def _within(self, blocks: DataFrame) -> DataFrame:
+        """Data lines of the given blocks, with table name and header.
+
+        Lines are never shuffled by file, where one file may hold most of them: block rows are
+        broadcast, in as many parts as their number asks for.
+        """
+        parts = -(-max(blocks.count(), 1) // BLOCKS_PER_BROADCAST)
+        if parts == 1:
+            return self._joined(blocks)
+        part = F.pmod(F.xxhash64("in_dump", "start_block", "start_pos"), F.lit(parts))
+        return reduce(DataFrame.unionAll, [self._joined(blocks.filter(part == i)) for i in range(parts)])
 
-    def _joined(self, blocks: list) -> DataFrame:
-        ranges = self.spark.createDataFrame(blocks, BLOCKS).withColumnRenamed("dump", "in_dump")
+    def _joined(self, blocks: DataFrame) -> DataFrame:
         after = _key_gt(F.col("block"), F.col("pos"), F.col("start_block"), F.col("start_pos"))
         until = F.col("end_block").isNull() | _key_gt(
             F.col("end_block"), F.col("end_pos"), F.col("block"), F.col("pos")
         )
         same_file = F.col("dump") == F.col("in_dump")
-        return self.lines.join(F.broadcast(ranges), same_file & after & until)
+        return self.lines.join(F.broadcast(blocks), same_file & after & until)
 
     def tables(self) -> list[str]:
         """Declared tables; COPY blocks without a CREATE TABLE are skipped."""
@@ -170,18 +163,14 @@ class PgDump:
     def counts(self) -> DataFrame:
         """``(table_name, n)``: data lines per declared table, 0 where there are none."""
         declared = ddl.pg_columns(self._ddl).select("table_name").distinct()
-        blocks = self.blocks()
-        if not blocks:
-            return declared.withColumn("n", F.lit(0).cast("long"))
-        counted = self._within(blocks).groupBy("table_name").count()
+        counted = self._within(self.blocks).groupBy("table_name").count()
         return declared.join(counted, "table_name", "left").select(
             "table_name", F.coalesce("count", F.lit(0)).alias("n")
         )
 
     def stage(self, folder: str) -> None:
         """Write the raw lines of all tables once, split by table and header, for many reads."""
-        blocks = self.blocks()
-        self._within(blocks).select(
+        self._within(self.blocks).select(
             "dump",
             "value",
             "table_name",
@@ -197,19 +186,19 @@ class PgDump:
         that one task has to read.
         """
         declared = {f.name.lower(): f for f in self.fields().get(table, [])}
-        blocks = [b for b in self.blocks() if b.table_name == table]
+        blocks = self.blocks.filter(F.col("table_name") == table)
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
         parts = []
         # One plan per distinct column order; dumps of one schema share it.
-        for header in sorted({tuple(b.header) for b in blocks}):
+        for header in self.headers(table):
             fields = [Field(h, *_kind(declared.get(h.lower()))) for h in header]
             if staged:
                 raw = self.spark.read.parquet(staged).filter(
                     (F.col("table_name") == table) & (F.col("columns") == ",".join(header))
                 )
             else:
-                raw = self._within([b for b in blocks if tuple(b.header) == header])
+                raw = self._within(blocks.filter(F.col("header") == F.array(*map(F.lit, header))))
             if spread:
                 raw = raw.select("dump", "value").repartition(spread)
             records = raw.select("dump", F.col("value").alias("raw"), split_fields(F.col("value")).alias("tokens"))

@@ -16,7 +16,7 @@ from dumpdeck.operators.audit import declared_fk_problems, name_collisions
 from dumpdeck.sources.archive import content_root, unpack
 from dumpdeck.sources.detect import detect_files, detect_folders
 from dumpdeck.sources.mysqlshell import MysqlShellDump, read_mysqlshell
-from dumpdeck.sources.open import open_dump, skipped_indexes, sole_format
+from dumpdeck.sources.open import open_dump, probe, skipped_indexes
 from dumpdeck.sources.sqlite import SqliteDump, read_sqlite
 
 USERS = "CREATE TABLE `users` (\n  `id` int(11) NOT NULL,\n  `name` varchar(255) NOT NULL,\n  `email` varchar(255),\n  PRIMARY KEY (`id`)\n);\n"
@@ -233,6 +233,7 @@ def test_detect_folders(spark, tmp_path, write):
     write("in/other/readme.txt", "x")
     got = {r.folder.rsplit("/", 1)[1]: r.format for r in detect_folders(spark, str(tmp_path / "in")).collect()}
     assert got == {"shell": "mysqlshell", "lone": "mysqldump", "chunks": "mysqlshell", "other": "unknown"}
-    assert sole_format(spark, str(tmp_path / "in" / "lone")) == "mysqldump"
+    assert probe(spark, str(tmp_path / "in" / "lone")) == ("mysqldump", False)
+    assert probe(spark, str(tmp_path / "in" / "shell"))[0] == "mysqlshell"
     with pytest.raises(ValueError):
         open_dump(spark, str(tmp_path / "in" / "other"))

@@ -186,8 +186,8 @@ def test_changes(spark, items):
         changes.delete(items, new, [])
     with pytest.raises(ValueError):
         changes.update(items, new.withColumnRenamed("value", "nope"), ["id"])
-    with pytest.raises(Exception, match="several changes"):
-        changes.update(items, new.union(new), ["id"]).collect()
+    with pytest.raises(ValueError, match="several changes"):
+        changes.update(items, new.union(new), ["id"])
 
 
 def test_audits(spark):

@@ -183,4 +183,4 @@ def test_compressed_and_crlf(spark, tmp_path, write):
 
 def test_no_tables(spark, write):
     d = PgDump(spark, write("none.sql", "-- PostgreSQL database dump\n\nSET x = 1;\n"))
-    assert d.tables() == [] and d.counts().collect() == [] and d.blocks() == []
+    assert d.tables() == [] and d.counts().collect() == [] and d.blocks.count() == 0
