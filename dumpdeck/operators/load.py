@@ -140,16 +140,23 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         report = list(pool.map(one, names))
+    # The declared schema is kept with the tables; the dump is not read for it again.
+    kept = {}
+    for part in ("columns", "constraints"):
+        where = f"{dest.rstrip('/')}/_load_schema/{part}"
+        getattr(dump, part).write.mode("overwrite").parquet(where)
+        kept[part] = spark.read.parquet(where)
+    plan = plan_layout(kept["constraints"])
     return LoadResult(
         spark=spark,
         targets=targets,
         report=spark.createDataFrame(report, REPORT),
         rejects_path=rejects_path if any(r[4] or r[5] for r in report) else None,
-        columns=dump.columns,
-        constraints=dump.constraints,
-        unique_columns=dump.columns.filter("is_unique").select("table_name", "column_name").distinct(),
+        columns=kept["columns"],
+        constraints=kept["constraints"],
+        unique_columns=kept["columns"].filter("is_unique").select("table_name", "column_name").distinct(),
         indexes=plan.filter("kept").select("table_name", "name", "column_name").distinct(),
-        skipped=skipped_indexes(dump.constraints),
+        skipped=skipped_indexes(kept["constraints"]),
         warnings=[f"{r[0]}: {r[4]} rows dropped, {r[5]} rows with unreadable values" for r in report if r[4] or r[5]],
     )
 

@@ -6,6 +6,8 @@ inside strings, so ``;`` + newline separates statements and splits stay independ
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,19 +122,24 @@ class MysqlDump:
         self.statements = read_statements(spark, path, crlf)
         # Finding the DDL reads the whole dump: once, however many tables are asked for.
         self._creates = self.statements.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s")).persist()
-        self._fields = None
-        self.columns, self.constraints = ddl.mysql_schema(self._creates)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return ddl.mysql_schema(self._creates)[0]
+
+    @cached_property
+    def constraints(self) -> DataFrame:
+        return ddl.mysql_constraints(self._creates)
 
     def close(self) -> None:
         self._creates.unpersist()
 
+    @cached_property
     def fields(self) -> dict[str, list[Field]]:
-        if self._fields is None:
-            self._fields = ddl.all_fields(ddl.mysql_columns(self._creates))
-        return self._fields
+        return ddl.all_fields(ddl.mysql_columns(self._creates))
 
     def tables(self) -> list[str]:
-        return sorted(self.fields())
+        return sorted(self.fields)
 
     def counts(self) -> DataFrame:
         declared = ddl.mysql_columns(self._creates).select("table_name").distinct()
@@ -157,7 +164,7 @@ class MysqlDump:
         ``spread`` deals the statements out to that many partitions first, for compressed files
         that one task has to read.
         """
-        fields = self.fields().get(table)
+        fields = self.fields.get(table)
         if not fields:
             raise ValueError(f"table {table} is not declared in the dump")
         if staged:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +68,16 @@ class MysqlShellDump:
             # Only schema@table.sql declares a table.
             .filter(F.col("dump").rlike(r"^[^@]+@[^@]+\.sql$"))
         )
-        self._fields = None
-        columns, constraints = ddl.mysql_schema(statements)
+        self._statements = statements
         self._declared = self._qualified(ddl.mysql_columns(statements))
-        self.columns, self.constraints = self._qualified(columns), self._qualified(constraints)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self._qualified(ddl.mysql_schema(self._statements)[0])
+
+    @cached_property
+    def constraints(self) -> DataFrame:
+        return self._qualified(ddl.mysql_constraints(self._statements))
 
     @staticmethod
     def _qualified(df: DataFrame) -> DataFrame:
@@ -81,13 +88,12 @@ class MysqlShellDump:
     def close(self) -> None:
         pass
 
+    @cached_property
     def fields(self) -> dict[str, list[Field]]:
-        if self._fields is None:
-            self._fields = ddl.all_fields(self._declared)
-        return self._fields
+        return ddl.all_fields(self._declared)
 
     def tables(self) -> list[str]:
-        return sorted(self.fields())
+        return sorted(self.fields)
 
     def meta(self, table: str) -> TableMeta:
         schema, name = self._split(table)
@@ -139,7 +145,7 @@ class MysqlShellDump:
     def rows(self, table: str, staged: str | None = None, **options) -> DataFrame:
         """Typed rows; fields follow the metadata's column list, else the declared order."""
         schema, name = self._split(table)
-        declared = self.fields().get(f"{schema}.{name}")
+        declared = self.fields.get(f"{schema}.{name}")
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
         meta = self.meta(table)

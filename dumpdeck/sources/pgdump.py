@@ -9,7 +9,7 @@ driver are table and column names. Reading a table is then a filter on key range
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,10 +95,15 @@ class PgDump:
         self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
             "dump", "block", "pos", "value"
         )
-        self.columns, self.constraints = ddl.pg_schema(self._ddl)
         self.blocks = self._find_blocks().persist()
-        self._fields = None
-        self._headers = None
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return ddl.pg_schema(self._ddl)[0]
+
+    @cached_property
+    def constraints(self) -> DataFrame:
+        return ddl.pg_constraints(self._ddl)
 
     def close(self) -> None:
         for cached in (self.blocks, self._marks, self._found):
@@ -125,16 +130,17 @@ class PgDump:
             .drop("kind")
         )
 
+    @cached_property
     def fields(self) -> dict[str, list[Field]]:
-        if self._fields is None:
-            self._fields = ddl.all_fields(ddl.pg_columns(self._ddl))
-        return self._fields
+        return ddl.all_fields(ddl.pg_columns(self._ddl))
 
-    def headers(self, table: str) -> list[list[str]]:
-        """Distinct column orders of a table's COPY blocks."""
-        if self._headers is None:
-            self._headers = self.blocks.select("table_name", "header").distinct().collect()
-        return sorted(r.header for r in self._headers if r.table_name == table)
+    @cached_property
+    def headers(self) -> dict[str, list[list[str]]]:
+        """Distinct column orders of each table's COPY blocks."""
+        out: dict[str, list[list[str]]] = {}
+        for r in self.blocks.select("table_name", "header").distinct().orderBy("table_name", "header").collect():
+            out.setdefault(r.table_name, []).append(r.header)
+        return out
 
     def _within(self, blocks: DataFrame) -> DataFrame:
         """Data lines of the given blocks, with table name and header.
@@ -158,7 +164,7 @@ class PgDump:
 
     def tables(self) -> list[str]:
         """Declared tables; COPY blocks without a CREATE TABLE are skipped."""
-        return sorted(self.fields())
+        return sorted(self.fields)
 
     def counts(self) -> DataFrame:
         """``(table_name, n)``: data lines per declared table, 0 where there are none."""
@@ -185,13 +191,13 @@ class PgDump:
         ``spread`` deals the raw lines out to that many partitions first, for compressed files
         that one task has to read.
         """
-        declared = {f.name.lower(): f for f in self.fields().get(table, [])}
+        declared = {f.name.lower(): f for f in self.fields.get(table, [])}
         blocks = self.blocks.filter(F.col("table_name") == table)
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
         parts = []
         # One plan per distinct column order; dumps of one schema share it.
-        for header in self.headers(table):
+        for header in self.headers.get(table, []):
             fields = [Field(h, *_kind(declared.get(h.lower()))) for h in header]
             if staged:
                 raw = self.spark.read.parquet(staged).filter(
