@@ -66,11 +66,10 @@ def table_aliases(log: DataFrame, id_col: str = "id", sql_col: str = "sql") -> D
 
 def format_sql(sql: Column) -> Column:
     """One clause per line, keywords in upper case; runs of white space become one blank."""
-    c = F.regexp_replace(sql, r"(?U)\A\s+|\s+\z", "")
-    c = F.regexp_replace(c, r"(?U)\s+", " ")
+    c = F.trim(F.regexp_replace(sql, r"(?U)\s+", " "))
     for words, before in LAYOUT:
         c = F.regexp_replace(c, r"(?iU)\b" + words.replace(" ", r"\s+") + r"\b", before + words)
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \n"))
 
 
 def _timing(plan: Column, label: str) -> Column:

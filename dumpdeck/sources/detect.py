@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import zlib
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +38,19 @@ def heads(files: DataFrame) -> DataFrame:
     return files.select("path", "n_bytes").mapInPandas(read, "path string, n_bytes long, head binary")
 
 
+# File endings and the codec of the text inside.
+CODECS = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
+
+
 def _head(uri: str) -> bytes:
+    codec = next((c for ending, c in CODECS.items() if uri.lower().endswith(ending)), None)
     with open_uri(uri) as stream:
+        if codec is None:
+            return stream.read(HEAD)
         try:
-            if uri.lower().endswith(".gz"):
-                return gzip.GzipFile(fileobj=stream).read(HEAD)
-            if uri.lower().endswith(".bz2"):
-                return bz2.BZ2File(stream).read(HEAD)
-        except (OSError, EOFError, zlib.error):
+            return pa.CompressedInputStream(stream, codec).read(HEAD)
+        except OSError:
             return b""
-        return stream.read(HEAD)
 
 
 def classify(head: Column) -> Column:

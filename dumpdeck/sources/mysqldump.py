@@ -35,6 +35,11 @@ def _opens(statement: Column, pattern: str) -> Column:
     return F.substring(statement, 1, 512).rlike(pattern)
 
 
+def _target() -> Column:
+    """Table an INSERT statement fills."""
+    return F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1)
+
+
 def read_statements(spark: SparkSession, path: str | list[str], crlf: bool = False) -> DataFrame:
     """``(dump, statement)`` without leading comments and skippable statements."""
     end = ";\r\n" if crlf else ";\n"
@@ -66,7 +71,7 @@ def row_groups(statements: DataFrame, fields: list[Field] | None = None) -> Data
         statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
         .select(
             "dump",
-            F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1).alias("table_name"),
+            _target().alias("table_name"),
             listed.alias("listed"),
             F.regexp_extract("statement", INSERT, 3).alias("body"),
         )
@@ -143,16 +148,17 @@ class MysqlDump:
 
     def counts(self) -> DataFrame:
         declared = ddl.mysql_columns(self._creates).select("table_name").distinct()
-        counted = row_groups(self.statements).filter(~F.col("broken")).groupBy("table_name").count()
+        inserts = self.statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
+        groups = F.regexp_count(F.regexp_extract("statement", INSERT, 3), F.lit(ROW_GROUP))
+        counted = inserts.groupBy(_target().alias("table_name")).agg(F.sum(groups).alias("n"))
         return declared.join(counted, "table_name", "left").select(
-            "table_name", F.coalesce("count", F.lit(0)).alias("n")
+            "table_name", F.coalesce("n", F.lit(0)).alias("n")
         )
 
     def stage(self, folder: str) -> None:
         """Write the INSERT statements once, split by table, for many reads."""
-        name = F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1)
         inserts = self.statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
-        inserts.withColumn("into_table", name).filter("into_table <> ''").write.mode(
+        inserts.withColumn("into_table", _target()).filter("into_table <> ''").write.mode(
             "overwrite"
         ).partitionBy("into_table").parquet(folder)
 

@@ -112,7 +112,8 @@ class MysqlShellDump:
         """``(dump, chunk, value)``, blank lines skipped; chunk files without number come last."""
         schema, name = self._split(table)
         extension = self.meta(table).extension
-        glob = f"{schema}@{name}@*.{extension}"
+        # Chunked tables number their files; others have one.
+        glob = f"{schema}@{name}{{@*,}}.{extension}"
         number = F.regexp_extract("_metadata.file_name", r"@@?(\d+)\.", 1)
         return (
             self.spark.read.option("pathGlobFilter", glob)
@@ -130,12 +131,13 @@ class MysqlShellDump:
         """``(table_name, n)`` over all chunk files in one scan, 0 where there are none."""
         declared = self._declared.select("table_name").distinct()
         parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "@")
+        name = F.regexp_replace(F.get(parts, F.lit(1)), r"\.tsv(\.\w+)?$", "")
         counted = (
-            self.spark.read.option("pathGlobFilter", "*@*@*.tsv*")
+            self.spark.read.option("pathGlobFilter", "*@*.tsv{.zst,.gz,}")
             .schema("value string")
             .text(self.folder)
             .filter(F.trim("value") != "")
-            .groupBy(F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("table_name"))
+            .groupBy(F.concat_ws(".", F.get(parts, F.lit(0)), name).alias("table_name"))
             .count()
         )
         return declared.join(counted, "table_name", "left").select(

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import glob
 import sqlite3
+import urllib.parse
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from dumpdeck.functions.rows import DROPPED, DUMP, RAW, REASON
 from dumpdeck.functions.types import Field, spark_type, sqlite_logical
 from dumpdeck.session import posix_path
+from dumpdeck.sources import ddl
 
 BATCH = 10_000
 MAX_SLICES = 10_000
@@ -33,7 +36,7 @@ def quoted(name: str) -> str:
 
 
 def connect(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    return sqlite3.connect(f"file:{urllib.parse.quote(path)}?mode=ro", uri=True)
 
 
 def files(path: str) -> list[str]:
@@ -232,9 +235,12 @@ class SqliteDump:
     def close(self) -> None:
         pass
 
+    @cached_property
+    def fields(self) -> dict[str, list[Field]]:
+        return ddl.all_fields(self.columns)
+
     def tables(self) -> list[str]:
-        found = list_tables(self.spark, self.path).select("table_name").distinct().collect()
-        return sorted(r.table_name for r in found)
+        return sorted(self.fields)
 
     def counts(self) -> DataFrame:
         """``(table_name, n)`` by counting in the files, one task per file."""
@@ -252,14 +258,9 @@ class SqliteDump:
 
     def rows(self, table: str, staged: str | None = None, rich: bool = False, **_) -> DataFrame:
         """Typed rows with bookkeeping columns (see ``functions.rows``)."""
-        found = (
-            self.columns.filter(F.col("table_name") == table)
-            .select("pos", "column_name", "type", "src_type")
-            .distinct()
-            .orderBy("pos")
-            .collect()
-        )
-        fields = [Field(r.column_name, r.type, r.src_type) for r in found]
+        fields = self.fields.get(table)
+        if not fields:
+            raise ValueError(f"no table {table} in {self.path}")
         raw = (
             self.spark.read.format("sqlite_file")
             .option("path", self.path)

@@ -48,11 +48,16 @@ def test_shell_dump(spark, tmp_path):
             "testdb@users@@10.tsv.zst": "4\tline1\\nline2\t\n",
             "testdb@users@@x.tsv.zst": "5\tz\tz\n",
             "testdb@usersplus.sql": "CREATE TABLE `usersplus` (\n  `a` int\n);\n",
+            "testdb@whole.sql": "CREATE TABLE `whole` (\n  `a` int\n);\n",
+            "testdb@whole.tsv.zst": "7\n8\n",
         },
     )
     d = MysqlShellDump(spark, folder)
-    assert d.tables() == ["testdb.users", "testdb.usersplus"]
-    assert {(r.table_name, r.n) for r in d.counts().collect()} == {("testdb.users", 5), ("testdb.usersplus", 0)}
+    assert d.tables() == ["testdb.users", "testdb.usersplus", "testdb.whole"]
+    assert {(r.table_name, r.n) for r in d.counts().collect()} == {
+        ("testdb.users", 5), ("testdb.usersplus", 0), ("testdb.whole", 2),
+    }
+    assert sorted(r.a for r in read_mysqlshell(spark, folder, "whole").collect()) == [7, 8]
     chunks = d.chunk_lines("users").select("chunk").distinct().orderBy("chunk").collect()
     assert [r.chunk for r in chunks] == [0, 1, 10, 2**63 - 1]
     rows = read_mysqlshell(spark, folder, "users").orderBy("id").collect()
@@ -220,6 +225,8 @@ def test_detect(spark, tmp_path, write):
         write(f"in/{name}", text)
     sqlite_file(tmp_path / "in" / "x.db", "CREATE TABLE t (a)")
     (tmp_path / "in" / "z.sql.gz").write_bytes(gzip.compress(b"-- MySQL dump\n"))
+    (tmp_path / "in" / "z.sql.zst").write_bytes(zstandard.compress(b"-- MySQL dump\n"))
+    (tmp_path / "in" / "no3.gz").write_bytes(b"-- MySQL dump\n")
     got = {r.path.rsplit("/", 1)[1]: r for r in detect_files(spark, str(tmp_path / "in")).collect()}
     names = {"pg": "pg_dump", "my": "mysqldump", "no": "unknown", "x.": "sqlite", "z.": "mysqldump"}
     assert {k: r.format for k, r in got.items()} == {k: names[k[:2]] for k in got}
