@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dumpdeck.functions.rows import DROPPED, REASON, accepted, rejects
-from dumpdeck.operators.audit import name_collisions
+from dumpdeck.operators.audit import declared_fk_problems, name_collisions
 from dumpdeck.operators.layout import plan_layout, write_sorted
 from dumpdeck.session import shared_folder
 from dumpdeck.sources.open import open_dump, skipped_indexes
@@ -36,6 +36,7 @@ class LoadResult:
     unique_columns: DataFrame
     indexes: DataFrame
     skipped: DataFrame
+    fk_problems: DataFrame
     warnings: list[str] = field(default_factory=list)
 
     def table(self, name: str) -> DataFrame:
@@ -157,6 +158,7 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
         unique_columns=kept["columns"].filter("is_unique").select("table_name", "column_name").distinct(),
         indexes=plan.filter("kept").select("table_name", "name", "column_name").distinct(),
         skipped=skipped_indexes(kept["constraints"]),
+        fk_problems=declared_fk_problems(kept["columns"], kept["constraints"]),
         warnings=[f"{r[0]}: {r[4]} rows dropped, {r[5]} rows with unreadable values" for r in report if r[4] or r[5]],
     )
 

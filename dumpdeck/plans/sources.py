@@ -162,28 +162,27 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a7_detect",
     """
-SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'pg_dump' WHEN 1 THEN 'mysqldump'
-                       WHEN 2 THEN 'mysqldump' ELSE 'unknown' END AS format
-FROM supplier
+SELECT DISTINCT c_custkey % 4 AS kind, CASE c_custkey % 4 WHEN 0 THEN 'pg_dump' WHEN 1 THEN 'mysqldump'
+                                       WHEN 2 THEN 'mysqldump' ELSE 'unknown' END AS format
+FROM customer
 """,
 )
 def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the lines of files of four kinds, some per task and kind."""
     heads = F.array(
         F.lit("--\n-- PostgreSQL database dump\n--"),
         F.lit("-- MariaDB dump 10.19"),
         F.lit("/*!40101 SET NAMES utf8 */;"),
         F.lit("SELECT 1;"),
     )
-    files = table(spark, sf_dir, "supplier").select(
-        "s_suppkey",
-        F.concat_ws("\n", F.get(heads, (F.col("s_suppkey") % 4).cast("int")), "s_name").alias("value"),
+    kind = F.col("c_custkey") % 4
+    lines = table(spark, sf_dir, "customer").select(
+        kind.alias("kind"), F.concat_ws("\n", F.get(heads, kind.cast("int")), "c_name").alias("value")
     )
     folder = shared_folder(spark, "landing")
-    files.repartition(4, "s_suppkey").write.partitionBy("s_suppkey").text(folder)
-    found = detect_files(spark, folder).filter(~F.col("path").endswith("_SUCCESS"))
-    return found.select(
-        F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "format"
-    )
+    lines.repartition(4).write.partitionBy("kind").text(folder)
+    found = F.regexp_extract("path", r"/kind=(\d+)/", 1).cast("long")
+    return detect_files(spark, folder).select(found.alias("kind"), "format").distinct()
 
 
 @query(

@@ -35,7 +35,10 @@ SHARED = {
     "l4_full_join": """
         SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 4000) s
         FULL JOIN customer ON s_suppkey = c_custkey""",
-    "l4_cross_join": "SELECT n_name, r_name FROM nation CROSS JOIN region",
+    # The one safe use of a cross join: next to a single row.
+    "l4_cross_join": """
+        SELECT o_orderkey, o_totalprice / top_price AS share
+        FROM orders CROSS JOIN (SELECT max(o_totalprice) AS top_price FROM orders) t""",
     "l5_aggregate": """
         SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
@@ -56,8 +59,9 @@ SHARED = {
     "l9_recursive": """
         WITH RECURSIVE steps(regionkey, depth) AS (
           SELECT r_regionkey, 1 FROM region
-          UNION ALL SELECT regionkey, depth + 1 FROM steps WHERE depth < 5)
-        SELECT n_nationkey, depth FROM nation JOIN steps ON n_regionkey = regionkey""",
+          UNION ALL SELECT regionkey, depth + 1 FROM steps WHERE depth < 3)
+        SELECT c_custkey, depth FROM customer JOIN nation ON n_nationkey = c_nationkey
+        JOIN steps ON n_regionkey = regionkey""",
     "l10_case": """
         SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class,
                coalesce(nullif(p_type, 'ECONOMY'), 'basic') AS kind

@@ -21,7 +21,7 @@ QUALIFIED = rf"((?:{NAME}\.)?{NAME})"
 PG_CREATE = rf"(?i)^\s*CREATE\s+(?:UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{QUALIFIED}\s*\("
 PG_COLUMN = r'^\s*("[^"]+"|[^\s"(]+)\s+(\S.*?),?\s*$'
 PG_TYPE = (
-    r"(?i)^((?:[^\s(]|\([^)]*\))+"
+    r"(?i)^((?:[^\s(]++|\([^)]*+\))++"
     r"(?:\s+(?:VARYING|PRECISION|WITHOUT\s+TIME\s+ZONE|WITH\s+TIME\s+ZONE)(?:\([^)]*\))?(?:\[\])*)?)"
 )
 PG_TABLE_RULE = r"(?i)^\s*(?:CONSTRAINT\s|PRIMARY\s+KEY|UNIQUE\s*\(|CHECK\s*\(|FOREIGN\s+KEY|EXCLUDE\s)"
@@ -36,10 +36,10 @@ PG_INDEX = (
 MYSQL_CREATE = r"(?is)\A\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:`?\w+`?\.)?`?(\w+)`?\s*\((.*)\z"
 MYSQL_COLUMN = r"^`([^`]+)`\s+(.+)$"
 MYSQL_TYPE = (
-    r"(?i)^((?:[^\s(]+)(?:\s+PRECISION)?(?:\s*\((?:[^)']|'(?:[^']|'')*')*\))?"
+    r"(?i)^((?:[^\s(]+)(?:\s+PRECISION)?(?:\s*\((?:[^)']++|'(?:[^']++|'')*+')*+\))?"
     r"(?:\s+(?:UNSIGNED|SIGNED|ZEROFILL))*)"
 )
-MYSQL_KEY = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX)\s*(?:KEY\s*)?(?:`([^`]+)`\s*)?\(((?:[^()]|\(\d+\))+)\)"
+MYSQL_KEY = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX)\s*(?:KEY\s*)?(?:`([^`]+)`\s*)?\(((?:[^()]++|\(\d+\))++)\)"
 MYSQL_FK = (
     r"(?i)^CONSTRAINT\s+`([^`]+)`\s+FOREIGN\s+KEY\s*\(([^)]+)\)\s+REFERENCES\s+`([^`]+)`\s*\(([^)]+)\)"
 )

@@ -16,7 +16,7 @@ from dumpdeck.functions.rows import accepted, typed_rows
 from dumpdeck.functions.types import Field
 from dumpdeck.sources import ddl
 
-LEADING = r"\A(?:\s+|--[^\n]*(?:\n|\z)|/\*(?!!)(?s:.*?)\*/)+"
+LEADING = r"\A(?:\s++|--[^\n]*+(?:\n|\z)|/\*(?!!)(?s:.*?)\*/)++"
 INSERT = r"(?is)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)\z"
 TARGET = r"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?"
 ROW_GROUP = r"(?s)\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
@@ -176,7 +176,7 @@ class MysqlDump:
         if staged:
             source = self.spark.read.parquet(staged).filter(F.col("into_table") == table)
         else:
-            opening = rf"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?{table}`?[\s(]"
+            opening = rf"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?\Q{table}\E`?[\s(]"
             source = self.statements.filter(_opens(F.col("statement"), opening))
         if spread:
             source = source.repartition(spread)
@@ -187,5 +187,8 @@ def read_mysqldump(
     spark: SparkSession, path: str | list[str], table: str, crlf: bool = False, **options
 ) -> DataFrame:
     """Rows of one table from its INSERT statements."""
-    return accepted(MysqlDump(spark, path, crlf).rows(table, **options))
+    dump = MysqlDump(spark, path, crlf)
+    rows = accepted(dump.rows(table, **options))
+    dump.close()
+    return rows
 

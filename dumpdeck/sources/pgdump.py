@@ -29,6 +29,7 @@ FIRST_CHARS = [" ", "\t", "\f", "\v", "C", "c", "A", "a", ")", "\\"]
 
 # Rows of block metadata that one broadcast may hold (some hundred bytes each).
 BLOCKS_PER_BROADCAST = 1_000_000
+LOCAL_BLOCKS = 10_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -148,7 +149,11 @@ class PgDump:
         Lines are never shuffled by file, where one file may hold most of them: block rows are
         broadcast, in as many parts as their number asks for.
         """
-        parts = -(-max(blocks.count(), 1) // BLOCKS_PER_BROADCAST)
+        n = blocks.count()
+        if n <= LOCAL_BLOCKS:
+            # Few enough to carry in the plan, which then stands without the cached passes.
+            blocks = self.spark.createDataFrame(blocks.collect(), blocks.schema)
+        parts = -(-max(n, 1) // BLOCKS_PER_BROADCAST)
         if parts == 1:
             return self._joined(blocks)
         part = F.pmod(F.xxhash64("in_dump", "start_block", "start_pos"), F.lit(parts))
@@ -231,4 +236,8 @@ def copy_text(token: Column, escaped: bool = True) -> Column:
 
 def read_pgdump(spark: SparkSession, path: str | list[str], table: str, **options) -> DataFrame:
     """Rows of one table from its COPY blocks."""
-    return accepted(PgDump(spark, path).rows(table, **options))
+    dump = PgDump(spark, path)
+    rows = accepted(dump.rows(table, **options))
+    if dump.blocks.filter(F.col("table_name") == table).count() <= LOCAL_BLOCKS:
+        dump.close()
+    return rows

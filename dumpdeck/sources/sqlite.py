@@ -27,7 +27,7 @@ from dumpdeck.functions.types import Field, spark_type, sqlite_logical
 from dumpdeck.session import posix_path
 from dumpdeck.sources import ddl
 
-BATCH = 10_000
+BATCH = 2_000
 MAX_SLICES = 10_000
 
 

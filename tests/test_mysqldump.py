@@ -1,8 +1,10 @@
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from dumpdeck import encode
 from dumpdeck.functions.rows import accepted, rejects
 from dumpdeck.sources.mysqldump import MysqlDump, read_mysqldump
 from dumpdeck.sources.open import open_dump, skipped_indexes
@@ -133,3 +135,24 @@ def test_long_statement(spark, write):
 def test_long_string(spark, write):
     text = "CREATE TABLE `t` (\n  `a` text\n);\nINSERT INTO `t` VALUES ('" + "\\n''" * 20_000 + "');\n"
     assert read_mysqldump(spark, write("t.sql", text), "t").first().a == "\n'" * 20_000
+
+
+def test_long_comments_and_enums(spark, write):
+    text = (
+        "-- note\n\n/* more */\n" * 20_000
+        + "CREATE TABLE `t` (\n  `a` enum("
+        + ",".join(f"'v{i})'" for i in range(20_000))
+        + ") NOT NULL,\n  `b` int\n);\n"
+        + "-- note\n" * 20_000
+        + "INSERT INTO `t` VALUES ('v1)',2);\n"
+    )
+    assert [tuple(r) for r in read_mysqldump(spark, write("t.sql", text), "t").collect()] == [("v1)", 2)]
+
+
+def test_round_trip_of_random_text(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("\\'\"\n\r\t\0;(),`-/* aé") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t if i % 11 else None) for i, t in enumerate(texts)], "id long, t string")
+    path = encode.write_mysqldump({"r": df}, str(tmp_path / "d"))
+    got = {r.id: r.t for r in read_mysqldump(spark, path, "r").collect()}
+    assert got == {i: t if i % 11 else None for i, t in enumerate(texts)}

@@ -239,6 +239,7 @@ def test_load(spark, write, tmp_path):
     assert result.totals().filter("table_name IS NULL").first().rows_loaded == 4
     assert [r.column_name for r in result.unique_columns.collect()] == ["email"]
     assert {r.name for r in result.indexes.collect()} == {"users_email", "orders_user"}
+    assert result.fk_problems.count() == 0
     assert result.warnings == ["orders: 1 rows dropped, 1 rows with unreadable values"]
     with pytest.raises(Exception, match="exists"):
         load.load(spark, path, dest)

@@ -1,8 +1,11 @@
 import gzip
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from dumpdeck import encode
 from dumpdeck.functions.rows import accepted, rejects
 from dumpdeck.sources.open import inventory, open_dump, skipped_indexes
 from dumpdeck.sources.pgdump import PgDump, read_pgdump
@@ -184,3 +187,14 @@ def test_compressed_and_crlf(spark, tmp_path, write):
 def test_no_tables(spark, write):
     d = PgDump(spark, write("none.sql", "-- PostgreSQL database dump\n\nSET x = 1;\n"))
     assert d.tables() == [] and d.counts().collect() == [] and d.blocks.count() == 0
+
+
+def test_round_trip_of_random_text(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("\\N\"\n\r\t;().' aé") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t if i % 11 else None) for i, t in enumerate(texts)], "id long, t string")
+    path = encode.write_pgdump({"r": df, "s": df.select("t")}, str(tmp_path / "d"))
+    got = {r.id: r.t for r in read_pgdump(spark, path, "r").collect()}
+    assert got == {i: t if i % 11 else None for i, t in enumerate(texts)}
+    single = Counter(r.t for r in read_pgdump(spark, path, "s").collect())
+    assert single == Counter(got.values())
