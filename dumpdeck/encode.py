@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 from dumpdeck.functions.escapes import copy_escape, mysql_escape, tsv_escape
 from dumpdeck.session import ensure_folder, posix_path
 
-PG_NAMES = {T.LongType: "bigint", T.IntegerType: "integer", T.DoubleType: "double precision", T.BooleanType: "boolean"}
-MYSQL_NAMES = {T.LongType: "bigint(20)", T.IntegerType: "int(11)", T.DoubleType: "double", T.BooleanType: "tinyint(1)"}
-SQLITE_NAMES = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.DoubleType: "REAL", T.BooleanType: "BOOLEAN"}
+SPARK_TYPES = (T.LongType, T.IntegerType, T.DoubleType, T.BooleanType)
+PG_NAMES = dict(zip(SPARK_TYPES, ("bigint", "integer", "double precision", "boolean")))
+MYSQL_NAMES = dict(zip(SPARK_TYPES, ("bigint(20)", "int(11)", "double", "tinyint(1)")))
+SQLITE_NAMES = dict(zip(SPARK_TYPES, ("INTEGER", "INTEGER", "REAL", "BOOLEAN")))
 
 
 def _text(field: T.StructField, true: str, false: str) -> Column:
@@ -76,7 +77,8 @@ def write_pgdump(
         ]
         text += [line + "," for line in body[:-1]] + [body[-1], ");", ""]
     # One file, as in a dump: a single small partition.
-    spark.createDataFrame([("\n".join(text + (ddl or [])),)], "value string").coalesce(1).write.text(f"{folder}/schema")
+    whole = "\n".join(text + (ddl or []))
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{folder}/schema")
     for name, df in tables.items():
         header = ", ".join(f'"{c}"' for c in df.columns)
         lines = framed(copy_lines(df), [f"COPY public.{name} ({header}) FROM stdin;"], ["\\.", ""])
@@ -177,7 +179,10 @@ def write_sqlite(
     marks = ", ".join("?" * len(df.columns))
     times = (T.TimestampType, T.TimestampNTZType)
     stored = df.select(
-        *[_text(f, "1", "0").alias(f.name) if isinstance(f.dataType, times) else F.col(f.name) for f in df.schema.fields]
+        *[
+            _text(f, "1", "0").alias(f.name) if isinstance(f.dataType, times) else F.col(f.name)
+            for f in df.schema.fields
+        ]
     )
 
     def write(part, batches):

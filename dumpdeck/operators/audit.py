@@ -96,14 +96,16 @@ def check_declared(tables: dict[str, DataFrame], columns: DataFrame, constraints
             parent = known.get(r.ref_table.lower())
             if parent is None:
                 continue
-            bad = orphan_keys(df, r.columns, parent, r.ref_columns or r.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
+            orphaned = orphan_keys(df, r.columns, parent, r.ref_columns or r.columns)
+            bad = orphaned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
         else:
             check = primary_key_violations if r.kind == "pk" else unique_violations
             bad = check(df, r.columns).agg(F.count("*").alias("v"))
         bad = bad.withColumn("name", F.lit(",".join(r.columns)))
         found.append(_finding(bad, r.table_name, r.kind, "name", "v"))
     if not found:
-        return columns.sparkSession.createDataFrame([], "table_name string, kind string, columns string, violations long")
+        layout = "table_name string, kind string, columns string, violations long"
+        return columns.sparkSession.createDataFrame([], layout)
     return reduce(DataFrame.unionByName, found)
 
 

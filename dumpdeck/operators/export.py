@@ -70,7 +70,9 @@ def write_csv(
     ).csv(path)
 
 
-def write_json(df: DataFrame, path: str, timestamps: str = TIMESTAMPS, mode: str = "errorifexists", **options) -> None:
+def write_json(
+    df: DataFrame, path: str, timestamps: str = TIMESTAMPS, mode: str = "errorifexists", **options
+) -> None:
     """JSON Lines with nulls kept."""
     df.write.mode(mode).options(
         ignoreNullFields=False, timestampFormat=timestamps, timestampNTZFormat=timestamps, **options

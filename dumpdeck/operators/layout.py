@@ -27,7 +27,9 @@ def plan_layout(constraints: DataFrame) -> DataFrame:
     )
 
 
-def write_sorted(df: DataFrame, path: str, column: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+def write_sorted(
+    df: DataFrame, path: str, column: str, partitions: int | None = None, mode: str = "errorifexists"
+) -> None:
     """Parquet files that cover narrow ranges of ``column``, so scans skip by min / max.
 
     A value may fill a third of the table: ranges are cut on (column, row hash), which spreads

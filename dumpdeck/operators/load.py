@@ -103,8 +103,9 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
     plan = plan_layout(dump.constraints)
     sort_columns = {}
     if sort_by_index:
-        first = plan.filter("kept AND kind = 'index'").groupBy("table_name").agg(F.min_by("column_name", "name").alias("c"))
-        sort_columns = {r.table_name: r.c for r in first.collect()}
+        kept = plan.filter("kept AND kind = 'index'")
+        first = kept.groupBy("table_name").agg(F.min_by("column_name", "name").alias("column_name"))
+        sort_columns = {r.table_name: r.column_name for r in first.collect()}
 
     def one(name: str) -> tuple:
         started = time.monotonic()

@@ -61,7 +61,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     "i3_format",
     """
 SELECT o_orderkey AS id, 'SELECT a, b' || ' ' || chr(10) || 'FROM t' || o_custkey || ' ' || chr(10) || 'INNER ' || chr(10)
-  || 'JOIN u ON x = y ' || chr(10) || 'WHERE a > ' || o_orderkey || ' ' || chr(10) || '  AND b < 3 ' || chr(10)
+  || 'JOIN u on x = y ' || chr(10) || 'WHERE a > ' || o_orderkey || ' ' || chr(10) || '  AND b < 3 ' || chr(10)
   || 'ORDER BY a ' || chr(10) || 'LIMIT 5  OFFSET 2' AS formatted
 FROM orders
 """,
@@ -71,8 +71,7 @@ def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "' select a,  b\n from t", "o_custkey", "'\tinner   join u on x = y where a > ", "o_orderkey",
         "' and b < 3 order  by a limit 5 offset 2 ",
     )
-    # Words that are no formatter rule stay as typed.
-    return log.select("id", F.replace(sqltext.format_sql(F.col("sql")), F.lit(" on "), F.lit(" ON ")).alias("formatted"))
+    return log.select("id", sqltext.format_sql(F.col("sql")).alias("formatted"))
 
 
 @query(

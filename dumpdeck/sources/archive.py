@@ -42,7 +42,8 @@ def open_uri(uri: str):
 
 def _uri(path: str) -> str:
     # Spark prints local files as file:/x, pyarrow wants file:///x.
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    short = path.startswith("file:/") and not path.startswith("file://")
+    return path.replace("file:/", "file:///", 1) if short else path
 
 
 def _safe(name: str) -> str | None:

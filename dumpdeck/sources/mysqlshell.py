@@ -17,7 +17,7 @@ from dumpdeck.functions.rows import accepted, typed_rows
 from dumpdeck.functions.types import Field
 from dumpdeck.sources import ddl
 
-CHUNK_NAME = r"([^/@]+)@([^/@]+)@@?(\d*)[^/]*$"
+LEADING = r"\A(?:\s++|--[^\n]*+(?:\n|\z)|/\*(?s:.*?)\*/;?)++"
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class MysqlShellDump:
                 F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -1).alias("dump"),
                 F.explode(F.split("value", r";\s*(?:\n|\z)")).alias("statement"),
             )
-            .withColumn("statement", F.regexp_replace("statement", r"\A(?:\s++|--[^\n]*+(?:\n|\z)|/\*(?s:.*?)\*/;?)++", ""))
+            .withColumn("statement", F.regexp_replace("statement", LEADING, ""))
             # Only schema@table.sql declares a table.
             .filter(F.col("dump").rlike(r"^[^@]+@[^@]+\.sql$"))
         )
