@@ -26,9 +26,14 @@ def number_text(c: Column) -> Column:
     )
 
 
-def export_text(f: T.StructField, timestamps: str = TIMESTAMPS) -> Column:
-    """Value of one column as it is written: lower-case booleans, formatted times, base64."""
+def export_text(f: T.StructField, timestamps: str | None = TIMESTAMPS) -> Column:
+    """Value of one column as it is written: lower-case booleans, formatted times, base64.
+
+    Without a pattern times are written as Spark prints them.
+    """
     c = F.col("`" + f.name.replace("`", "``") + "`")
+    if timestamps is None and isinstance(f.dataType, T.DatetimeType):
+        return c.cast("string")
     if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, timestamps)
     if isinstance(f.dataType, T.DateType):
@@ -42,7 +47,7 @@ def export_text(f: T.StructField, timestamps: str = TIMESTAMPS) -> Column:
     return c.cast("string")
 
 
-def _as_text(df: DataFrame, timestamps: str = TIMESTAMPS) -> DataFrame:
+def _as_text(df: DataFrame, timestamps: str | None = TIMESTAMPS) -> DataFrame:
     return df.select(*[export_text(f, timestamps).alias(f.name) for f in df.schema.fields])
 
 
@@ -50,7 +55,7 @@ def write_csv(
     df: DataFrame,
     path: str,
     header: bool = True,
-    timestamps: str = TIMESTAMPS,
+    timestamps: str | None = TIMESTAMPS,
     quote_all: bool = False,
     mode: str = "errorifexists",
     **options,

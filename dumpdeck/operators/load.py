@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dumpdeck.functions.rows import DROPPED, REASON, accepted, rejects
+from dumpdeck.functions.types import spark_type
 from dumpdeck.operators.audit import declared_fk_problems, name_collisions
 from dumpdeck.operators.layout import plan_layout, write_sorted
 from dumpdeck.session import shared_folder
@@ -160,7 +162,15 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
         indexes=plan.filter("kept").select("table_name", "name", "column_name").distinct(),
         skipped=skipped_indexes(kept["constraints"]),
         fk_problems=declared_fk_problems(kept["columns"], kept["constraints"]),
-        warnings=[f"{r[0]}: {r[4]} rows dropped, {r[5]} rows with unreadable values" for r in report if r[4] or r[5]],
+        warnings=[
+            f"{r[0]}: {r[4]} rows dropped, {r[5]} rows with unreadable values" for r in report if r[4] or r[5]
+        ]
+        + [
+            f"{n}.{f.name}: {f.type} has no Spark type, kept as text"
+            for n in names
+            for f in dump.fields.get(n, [])
+            if f.type.startswith("DECIMAL") and isinstance(spark_type(f), T.StringType)
+        ],
     )
 
 

@@ -102,6 +102,14 @@ def fetch_page(df: DataFrame, keys: list[str], size: int = PAGE, after: list | N
     return Page(rows, [rows[-1][k] for k in keys] if more else None)
 
 
+def fetch_offset_page(
+    df: DataFrame, keys: list[str], offset: int = 0, size: int = PAGE
+) -> tuple[list[Row], int | None]:
+    """One page in the client, with the offset to go on from, or None at the end."""
+    rows = offset_page(df, keys, offset, size + 1).collect()
+    return rows[:size], offset + size if len(rows) > size else None
+
+
 def iterate_pages(df: DataFrame, keys: list[str], size: int = PAGE) -> Iterator[list[Row]]:
     """All pages in order, one in memory at a time. To store them use ``number_pages``."""
     after = None

@@ -125,8 +125,10 @@ class MysqlDump:
     def __init__(self, spark: SparkSession, path: str | list[str], crlf: bool = False):
         self.spark = spark
         self.statements = read_statements(spark, path, crlf)
-        # Finding the DDL reads the whole dump: once, however many tables are asked for.
-        self._creates = self.statements.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s")).persist()
+        # Finding the DDL reads the whole dump: once, however many tables are asked for. The few
+        # statements found leave the many partitions of the scan.
+        creates = self.statements.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s"))
+        self._creates = creates.repartition("dump").persist()
 
     @cached_property
     def columns(self) -> DataFrame:

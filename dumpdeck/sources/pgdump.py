@@ -90,8 +90,9 @@ class PgDump:
     def __init__(self, spark: SparkSession, path: str | list[str]):
         self.spark = spark
         self.lines = read_lines(spark, path)
-        # One scan of the text serves headers, end markers and DDL.
-        self._found = _candidates(self.lines).persist()
+        # One scan of the text serves headers, end markers and DDL. Dealt out by split, the few
+        # lines found leave the many partitions of the scan and stand as the windows need them.
+        self._found = _candidates(self.lines).repartition("dump", "block").persist()
         self._marks = _resolve(self._found).persist()
         self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
             "dump", "block", "pos", "value"

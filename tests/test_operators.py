@@ -58,6 +58,10 @@ def test_offset_and_keyset(spark, items):
     got = page.fetch_page(items, ["id"], 5)
     assert len(got.rows) == 5 and got.next_after is None
     assert page.fetch_page(items, ["id"], 2).next_after == [2]
+    rows, after = page.fetch_offset_page(items, ["id"], 0, 3)
+    assert [r.id for r in rows] == [1, 2, 3] and after == 3
+    rows, after = page.fetch_offset_page(items, ["id"], 3, 2)
+    assert [r.id for r in rows] == [4, 5] and after is None
 
 
 @pytest.fixture
@@ -256,3 +260,7 @@ def test_load_names(spark, write, tmp_path):
     assert kept.table("T").columns == ["A"] and kept.table("t").count() == 1
     with pytest.raises(ValueError):
         load.normalise("x", "upper")
+    wide = write("wide.sql", "CREATE TABLE w (\n    a numeric(60,2)\n);\nCOPY w (a) FROM stdin;\n1.5\n\\.\n")
+    result = load.load(spark, wide, str(tmp_path / "c"), fmt="pg_dump")
+    assert result.warnings == ["w.a: DECIMAL(60,2) has no Spark type, kept as text"]
+    assert result.table("w").first().a == "1.5"
