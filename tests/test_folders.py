@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from dumpdeck.functions.rows import REASON, accepted
+from dumpdeck.operators.load import load, load_rejects
 from dumpdeck.operators.audit import declared_fk_problems, name_collisions
 from dumpdeck.sources.archive import content_root, unpack
 from dumpdeck.sources.detect import detect_files, detect_folders
@@ -169,6 +170,28 @@ def test_sqlite_collisions_and_fk_problems(spark, tmp_path):
         name_collisions(columns, "upper")
 
 
+def test_load_of_folders(spark, tmp_path):
+    shell = shell_folder(
+        tmp_path / "shell",
+        ["db"],
+        {"db@users.json": {"options": {}}, "db@users.sql": USERS, "db@users@@0.tsv.zst": "1\ta\tb\nx\tc\t\\N\n"},
+    )
+    result = load(spark, shell, str(tmp_path / "a"))
+    assert result.report.first()[2:6] == (2, 2, 0, 1)
+    assert {tuple(r) for r in result.table("db.users").collect()} == {(1, "a", "b"), (None, "c", None)}
+    assert [r.raw for r in load_rejects(spark, result).collect()] == ["x\tc\t\\N"]
+    db = sqlite_file(
+        tmp_path / "x.db",
+        "CREATE TABLE T (Id INTEGER PRIMARY KEY, Ok BOOL)",
+        "INSERT INTO T VALUES (1, 1), (2, 9)",
+        "CREATE TABLE empty (a TEXT)",
+    )
+    result = load(spark, db, str(tmp_path / "b"), rich=True)
+    assert {tuple(r) for r in result.table("T").collect()} == {(1, True), (2, None)}
+    assert result.table("T").columns == ["id", "ok"] and result.table("empty").count() == 0
+    assert [(r.table_name, r.reason) for r in load_rejects(spark, result).collect()] == [("T", "does not fit: Ok")]
+
+
 def make_tar(path, members):
     with tarfile.open(path, "w:gz") as t:
         for name, text in members.items():
