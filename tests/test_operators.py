@@ -121,6 +121,9 @@ def test_tsv_and_json(spark, tmp_path):
     export.write_tsv(df, str(tmp_path / "tsv"))
     (file,) = (tmp_path / "tsv").glob("part-*")
     assert file.read_text() == 'id\tname\tx\tat\n1\tAlice\t\t2024-01-15 00:00:00\n2\tB"ob\tQUI=\t\n'
+    export.write_tsv(spark.range(10).repartition(3), str(tmp_path / "parts"))
+    texts = [f.read_text().splitlines() for f in (tmp_path / "parts").glob("part-*")]
+    assert len(texts) == 3 and all(t[0] == "id" for t in texts) and sum(len(t) for t in texts) == 13
     expect = [
         {"id": 1, "name": "Alice", "x": None, "at": "2024-01-15 00:00:00"},
         {"id": 2, "name": 'B"ob', "x": "QUI=", "at": None},
