@@ -39,8 +39,8 @@ def _text(field: T.StructField, true: str, false: str) -> Column:
 
 
 def copy_lines(df: DataFrame) -> DataFrame:
-    parts = [F.coalesce(copy_escape(_text(f, "t", "f")), F.lit("\\N")) for f in df.schema.fields]
-    return df.select(F.concat_ws("\t", *parts).alias("value"))
+    parts = [copy_escape(_text(f, "t", "f")) for f in df.schema.fields]
+    return df.select(F.array_join(F.array(*parts), "\t", "\\N").alias("value"))
 
 
 def framed(lines: DataFrame, first: list[str], last: list[str]) -> DataFrame:
@@ -93,11 +93,10 @@ def insert_statements(df: DataFrame, name: str, rows: int = 500) -> DataFrame:
         text = _text(f, "1", "0")
         if not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
             text = F.concat(F.lit("'"), mysql_escape(text), F.lit("'"))
-        return F.coalesce(text, F.lit("NULL"))
+        return text
 
-    groups = df.select(
-        F.concat(F.lit("("), F.concat_ws(",", *map(literal, df.schema.fields)), F.lit(")")).alias("value")
-    )
+    row = F.array_join(F.array(*map(literal, df.schema.fields)), ",", "NULL")
+    groups = df.select(F.concat(F.lit("("), row, F.lit(")")).alias("value"))
 
     def join(batches):
         for batch in batches:
@@ -151,8 +150,8 @@ def write_mysqlshell(schema: str, name: str, df: DataFrame, folder: str) -> str:
     for file, text in small.items():
         with open(os.path.join(local, file), "w") as out:
             out.write(text)
-    parts = [F.coalesce(tsv_escape(_text(f, "1", "0")), F.lit("\\N")) for f in df.schema.fields]
-    lines = df.select(F.concat_ws("\t", *parts).alias("value"))
+    parts = [tsv_escape(_text(f, "1", "0")) for f in df.schema.fields]
+    lines = df.select(F.array_join(F.array(*parts), "\t", "\\N").alias("value"))
 
     def write(part, batches):
         target = f"{local}/{schema}@{name}@@{part}.tsv.zst"

@@ -127,18 +127,16 @@ def _lines(values: list[str]) -> pa.RecordBatch:
 
 def tsv_lines(df: DataFrame) -> DataFrame:
     """``value``: tab-joined values without quoting, null is empty."""
-    parts = [F.coalesce(export_text(f), F.lit("")) for f in df.schema.fields]
-    return df.select(F.concat_ws("\t", *parts).alias("value"))
+    return df.select(F.array_join(F.array(*map(export_text, df.schema.fields)), "\t", "").alias("value"))
 
 
 def quoted_lines(df: DataFrame) -> DataFrame:
     """``value``: comma-joined values, every one quoted."""
 
     def quote(f: T.StructField) -> Column:
-        text = F.replace(F.coalesce(export_text(f), F.lit("")), F.lit('"'), F.lit('""'))
-        return F.concat(F.lit('"'), text, F.lit('"'))
+        return F.concat(F.lit('"'), F.replace(export_text(f), F.lit('"'), F.lit('""')), F.lit('"'))
 
-    return df.select(F.concat_ws(",", *map(quote, df.schema.fields)).alias("value"))
+    return df.select(F.array_join(F.array(*map(quote, df.schema.fields)), ",", '""').alias("value"))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
