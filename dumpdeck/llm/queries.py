@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dumpdeck.llm import exact_dedup, mixing, quality, urls
+from dumpdeck.llm import bpe, chat, exact_dedup, html, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     found = quality.judge(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *counts, "base_failed", "kept")
+
+
+@_query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def vocabulary(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
+    return bpe.Vocabulary(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+@_query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(spark))
+
+
+@_query("op7_chat_formatting", chat.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")), vocabulary(spark))
