@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from dumpdeck.llm.common import cut, word_count
 
 WEIGHTS = (5, 2, 1)
-SHARE, REPEATS, BLOCK, CHUNK, SEED = 1.5, 2, 256, 20_000, 20_260
+SHARE, REPEATS, BLOCK, CHUNK, SEED = 1.5, 2, 256, 4_096, 20_260
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def schedule(intervals: DataFrame, bits: int, chunk: int = CHUNK) -> DataFrame:
     counts = counts.select("src", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("src", "part").orderBy("slot")
     ranked = slots.withColumn("nth", F.row_number().over(inside) - 1)
-    return ranked.join(counts, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.hint("merge").join(counts, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("nth")).alias("rank"))
 
 
 def streams(sizes: DataFrame, per: DataFrame, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **how) -> tuple[D
     intervals = cut(intervals)
     placed = cut(streams(sizes, per, seed=seed))
     pieces = blocks(placed, intervals, how.get("repeats", REPEATS))
-    taken = schedule(intervals, bits).join(pieces, ["src", "rank"])
+    taken = schedule(intervals, bits).hint("merge").join(pieces, ["src", "rank"])
     return taken, placed
 
 
