@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpdeck.llm import bpe, chat, exact_dedup, html, mixing, quality, urls
+from dumpdeck.llm import bpe, chat, exact_dedup, html, minhash, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_chat_formatting", chat.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")), vocabulary(spark))
+
+
+@_query("op10_minhash", minhash.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
