@@ -9,7 +9,8 @@ ends in a token. Subset construction happens on demand, byte by byte; each subse
 paths have not agreed on yet, and what all of them agree on is emitted: after bounded lookahead, since no
 path can be longer than the longest token.
 
-The cache of subsets and the memo of pre-tokens are bounded and only save time.
+Subsets are numbered and their moves kept for the first ``DEEP`` bytes of a pre-token, where most of
+them agree; further bytes move a subset without keeping it. The caches are bounded and only save time.
 
 Edge cases: a null text is an empty text and has no tokens; texts are encoded whole, whatever their
 length; ids outside the vocabulary are an error; repeated rows are encoded alike; extra columns stay.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATES, MEMO, NEVER = 400_000, 300_000, 1 << 60
+STATES, PAIRS, MEMO, DEEP, NEVER = 60_000, 400_000, 150_000, 4, 1 << 60
 ROWS = 256
 
 
@@ -37,19 +38,21 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        trie: list[dict[int, int]] = [{}]
+        ends = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                at = self.children[node]
-                node = at.get(byte) or at.setdefault(byte, len(self.children))
-                if node == len(self.children):
-                    self.children.append({})
-                    self.ends.append(-1)
-            self.ends[node] = rank
+                at = trie[node]
+                node = at.get(byte) or at.setdefault(byte, len(trie))
+                if node == len(trie):
+                    trie.append({})
+                    ends.append(-1)
+            ends[node] = rank
+        # By node and byte: the next node (0 if no token goes on from there) and the token that ends there (or -1).
+        self.down = [{byte: (n if trie[n] else 0, ends[n]) for byte, n in at.items()} for at in trie]
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -93,31 +96,42 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """No merge crosses the border of a + b: none has its turn while both of its parts are there."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = True
-            for left, born_left, until_left in self._edge(a, True):
-                for right, born_right, until_right in self._edge(b, False):
-                    rank = self.ranks.get(left + right)
-                    if rank is None or max(born_left, born_right) >= min(until_left, until_right):
-                        continue
-                    # Of equal ranks the leftmost goes first: inside a before the border, the border before inside b.
-                    if rank < until_left and rank <= until_right:
-                        known = False
-            self.pairs[a, b] = known
+        known = True
+        for left, born_left, until_left in self._edge(a, True):
+            for right, born_right, until_right in self._edge(b, False):
+                rank = self.ranks.get(left + right)
+                if rank is None or max(born_left, born_right) >= min(until_left, until_right):
+                    continue
+                # Of equal ranks the leftmost goes first: inside a before the border, the border before inside b.
+                if rank < until_left and rank <= until_right:
+                    known = False
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        paths = []
-        for last, node, rest in self.subsets[state]:
-            child = self.children[node].get(byte)
-            if child is None:
+    def _step(self, paths: list, byte: int) -> list:
+        """All paths one byte on."""
+        down, pairs, out = self.down, self.pairs, []
+        for last, node, rest in paths:
+            hit = down[node].get(byte)
+            if hit is None:
                 continue
-            if self.children[child]:
-                paths.append((last, child, rest))
-            token = self.ends[child]
-            if token >= 0 and (last < 0 or self.may_follow(last, token)):
-                paths.append((token, 0, (*rest, token)))
+            child, token = hit
+            if child:
+                out.append((last, child, rest))
+            if token >= 0:
+                if last >= 0:
+                    fits = pairs.get(last << 32 | token)
+                    if fits is None:
+                        fits = self.may_follow(last, token)
+                    if not fits:
+                        continue
+                out.append((token, 0, (*rest, token)))
+        return out
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        paths = self._step(self.subsets[state], byte)
         first = min(paths, key=lambda p: len(p[2]))[2]
         same = len(first)
         for _, _, rest in paths:
@@ -130,14 +144,29 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if len(self.subsets) > self.limit:
             self.restart()
-        if len(self.pairs) > 4 * self.limit:
-            self.pairs.clear()
         state, out, moves = 0, [], self.moves
-        for byte in piece:
+        for byte in piece[:DEEP]:
             state, emitted = moves[state].get(byte) or self._move(state, byte)
             if emitted:
                 out += emitted
-        out += self.tails[state]
+        if len(piece) <= DEEP:
+            out += self.tails[state]
+            return out
+        paths = list(self.subsets[state])
+        for byte in piece[DEEP:]:
+            paths = self._step(paths, byte)
+            if len(paths) == 1:  # all agree: nothing is open
+                last, node, rest = paths[0]
+                out += rest
+                paths = [(last, node, ())]
+            elif len(paths[0][2]) > 64:  # a long pre-token: emit what all paths share
+                rests = [p[2] for p in paths]
+                same = next((i for i, t in enumerate(zip(*rests)) if len(set(t)) > 1), min(map(len, rests)))
+                out += rests[0][:same]
+                paths = [(last, node, rest[same:]) for last, node, rest in paths]
+        for _, node, rest in paths:
+            if node == 0:
+                out += rest
         return out
 
 
@@ -179,17 +208,20 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern).findall
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.limit = memo
         self.bytes = [self.transducer.tokens[i] for i in range(len(ranks))]
 
     def encode(self, text: str) -> list[int]:
         memo, out = self.memo, []
         if len(memo) > self.limit:
-            memo.clear()
+            self.older, self.memo = memo, {}
+            memo = self.memo
+        known = memo.get
         for piece in self.cut(text):
-            ids = memo.get(piece)
+            ids = known(piece)
             if ids is None:
-                ids = self.transducer.encode(piece.encode())
+                ids = self.older.get(piece) or self.transducer.encode(piece.encode())
                 if len(piece) < 64:
                     memo[piece] = ids
             out += ids

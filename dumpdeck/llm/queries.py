@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpdeck.llm import bpe, chat, exact_dedup, html, minhash, mixing, quality, urls
+from dumpdeck.llm import bpe, chat, exact_dedup, html, katz, minhash, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_minhash", minhash.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@_query("op5_katz")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
