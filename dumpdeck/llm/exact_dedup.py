@@ -116,6 +116,8 @@ def drop_copies(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     key = F.xxhash64("doc_id", "_dd_points", "_dd_hash").alias("_dd_key")
     kept = extra.withColumn("_dd_key", key).join(lost.select(key), "_dd_key", "left_anti")
     repeated = cut(counted.filter("_dd_copies > 1").select(key))
+    if repeated.isEmpty():  # no row is there twice with its id: spare the second shuffle
+        return kept.select(*docs.columns)
     once = kept.join(repeated, "_dd_key", "left_anti")
     many = kept.join(repeated, "_dd_key", "left_semi").dropDuplicates(["_dd_key"])
     return once.unionByName(many).select(*docs.columns)

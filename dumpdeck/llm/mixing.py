@@ -197,8 +197,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     same = cut(same.withColumnsRenamed(renamed).select(twins))
     times = times.select(twins, "_m_times", "_m_nth")
     keyed = keyed.withColumn("_m_key", twins)
-    once = keyed.join(same, "_m_key", "left_anti").withColumn("_m_nth", F.lit(1))
-    order = Window.partitionBy("_m_key").orderBy("_m_row")
-    many = keyed.join(same, "_m_key", "left_semi").withColumn("_m_nth", F.row_number().over(order))
-    found = once.unionByName(many).join(times, ["_m_key", "_m_nth"])
+    if same.isEmpty():
+        numbered = keyed.withColumn("_m_nth", F.lit(1))
+    else:
+        once = keyed.join(same, "_m_key", "left_anti").withColumn("_m_nth", F.lit(1))
+        order = Window.partitionBy("_m_key").orderBy("_m_row")
+        many = keyed.join(same, "_m_key", "left_semi").withColumn("_m_nth", F.row_number().over(order))
+        numbered = once.unionByName(many)
+    found = numbered.join(times, ["_m_key", "_m_nth"])
     return found.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), "_m_times"))).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpdeck.llm import bpe, chat, exact_dedup, html, katz, minhash, mixing, quality, urls
+from dumpdeck.llm import bpe, chat, exact_dedup, html, katz, minhash, mixing, quality, repeats, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_katz")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"))
