@@ -4,10 +4,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from dumpdeck.plans.registry import ORACLES, QUERIES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
