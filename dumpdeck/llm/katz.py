@@ -54,7 +54,7 @@ SCORE = "g long, i int, doc_id long, held_out boolean, n_tokens long, n_known lo
 
 def pack(a: np.ndarray) -> bytes:
     """An array of fixed-width numbers, byte planes apart and compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
