@@ -6,7 +6,7 @@
 3. Classes that agree in all rows of a band share a bucket. In each bucket all others are compared with
    its least id first (a star, not pairs), and verified links are merged into components.
 4. Buckets that then still hold several components are compared in tiles of ``tile`` classes, across
-   components only, by signatures inside the task; only pairs that may be links leave it.
+   components only, by sizes and signatures inside the task; only pairs that may be links leave it, once.
 5. Every link is confirmed on full shingle sets (``confirm``). Components come from alternating stars.
 
 A pair of similarity 0.8 misses all of 28 bands of 4 rows with probability (1 - 0.8**4)**28 = 4e-7; nothing is
@@ -110,10 +110,6 @@ def _least_alike(percent: int, n: int) -> int:
     return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
 
 
-def _equal(a: bytes, b: np.ndarray) -> np.ndarray:
-    return (np.frombuffer(a, np.uint32)[None, :] == b).sum(axis=1)
-
-
 def alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in ``least`` places or more."""
     sig = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
@@ -132,13 +128,6 @@ def alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(sig, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(run, PAIR)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict]]:
-    """Rows of sorted batches one by one, with their key."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield tuple(row[k] for k in keys), row
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, members: int = MEMBERS) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
@@ -176,53 +165,55 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "member", "id").mapInArrow(run, PAIR)
 
 
-def across(buckets: DataFrame, least: int, tile: int = TILE) -> DataFrame:
-    """Pairs of different components within a bucket whose signatures may be those of a link.
+def across(buckets: DataFrame, least: int, percent: int = PERCENT, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """Pairs of different components within a bucket whose sizes and signatures may be those of a link.
 
-    ``buckets``: bucket, rep, component, signature. A bucket of n classes is cut into tiles, and each
-    pair of tiles is compared in one place.
+    ``buckets``: bucket, band, rep, component, size, signature. A bucket of n classes is cut into tiles, and
+    each pair of tiles is compared in one place. A pair is reported by the first band in which it agrees.
     """
-    size = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    rows = buckets.join(size, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select(
-        "bucket", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "rep", "component", "signature"
-    )
+    tiles = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = buckets.join(tiles, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "bucket", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"),
+        "band", "tile", "rep", "component", "size", "signature",
+    )
+
+    def compared(now: tuple, held: list[dict]) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
+        comp, tiles, reps, size = (np.array([r[c] for r in held]) for c in ("component", "tile", "rep", "size"))
+        band, out = held[0]["band"], []
+        for n in range(len(held) - 1):
+            rest = slice(n + 1, None)
+            fits = (comp[rest] != comp[n]) & ((tiles[rest] != tiles[n]) | (now[1] == now[2]))
+            fits &= 100 * np.minimum(size[rest], size[n]) >= percent * np.maximum(size[rest], size[n])
+            near = np.flatnonzero(fits) + n + 1
+            if not len(near):
+                continue
+            same = sig[near] == sig[n]
+            agree = same.reshape(len(near), -1, rows).all(axis=2)
+            near = near[(same.sum(axis=1) >= least) & (agree.argmax(axis=1) == band)]
+            out += [(max(reps[n], r), min(reps[n], r)) for r in reps[near]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         held: list[dict] = []
 
-        def compared() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            sig = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
-            comp = np.array([r["component"] for r in held])
-            tiles = np.array([r["tile"] for r in held])
-            reps = np.array([r["rep"] for r in held])
-            out = []
-            for n in range(len(held) - 1):
-                rest = slice(n + 1, None)
-                fits = (comp[rest] != comp[n]) & ((tiles[rest] != tiles[n]) | (now[1] == now[2]))
-                fits &= (sig[rest] == sig[n]).sum(axis=1) >= least
-                out += [(max(reps[n], r), min(reps[n], r)) for r in reps[rest][fits]]
-            return out
-
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
-            )
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (pairs := compared(now, held)):
+                columns = [pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-        for key, row in _groups(batches, ("bucket", "i", "j")):
-            if key != now:
-                if found := compared():
-                    yield batch_of(found)
-                now, held = key, []
-            held.append(row)
-        if found := compared():
-            yield batch_of(found)
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["bucket"], row["i"], row["j"]
+                if key != now:
+                    yield from found()
+                    now, held = key, []
+                held.append(row)
+        yield from found()
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, PAIR)
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, PAIR)
 
 
 def near_groups(
@@ -239,7 +230,7 @@ def near_groups(
     )
     least = _least_alike(percent, bands * rows)
     members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    members = members.select(F.xxhash64("band", "key").alias("bucket"), "rep")
+    members = members.select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     buckets = cut(members.hint("merge").join(shared, "bucket"))
 
@@ -247,20 +238,29 @@ def near_groups(
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     near = cut(alike(pairs, classes, least))
-    links = cut(confirm(near, texts, words, percent))
+    links = confirm(near, texts, words, percent).unionByName(_shared_ids(live, classes))
+    known = cut(components(cut(links)))
 
     # What the stars may have missed: buckets of three or more that are still in several components.
-    known = cut(components(links))
     many = buckets.filter("n > 2").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    many = many.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    many = many.withColumn("component", F.coalesce("component", "rep"))
     split = many.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     open_ = many.join(split.select("bucket"), "bucket", "left_semi")
-    open_ = open_.join(classes.select("rep", "signature"), "rep")
-    more = across(open_, least).distinct().join(near, ["a", "b"], "left_anti")
-    more = cut(confirm(more, texts, words, percent))
-
-    all_ = components(links.unionByName(more).unionByName(_shared_ids(live, classes)))
-    found = classes.select(*key, "rep").join(all_.withColumnRenamed("node", "rep"), "rep", "left")
+    open_ = open_.join(classes.select("rep", F.col("n_shingles").alias("size"), "signature"), "rep")
+    more = across(open_, least, percent, rows).join(near, ["a", "b"], "left_anti")
+    more = cut(confirm(more.distinct(), texts, words, percent))
+    if not more.isEmpty():  # links between components: merge these
+        ends = []
+        for c in "ab":
+            end = known.withColumnsRenamed({"node": c, "component": f"c{c}"})
+            more = more.join(end, c, "left")
+            ends.append(F.coalesce(f"c{c}", c).alias(c))
+        above = components(cut(more.select(*ends))).withColumnsRenamed({"node": "component", "component": "top"})
+        joined = known.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        lone = above.join(known.select("component"), "component", "left_anti")
+        known = joined.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component")))
+
+    found = classes.select(*key, "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select(*(F.col(c).alias(f"_n_{c}") for c in key), F.coalesce("component", "rep").alias("component"))
     same = [F.col(c) == F.col(f"_n_{c}") for c in key]
     result = sketches.select("doc_id", *key).join(found, same, "left")

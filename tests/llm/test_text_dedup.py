@@ -100,11 +100,18 @@ def test_near_groups_without_a_centre(spark):
 def test_tiles_find_pairs_across(spark):
     pick = np.random.Generator(np.random.PCG64(1))
     sig = pick.integers(0, 3, (40, 8), dtype=np.uint32)
-    rows = [(1, i, i // 4, bytes(sig[i].tobytes())) for i in range(40)]
-    df = spark.createDataFrame(rows, "bucket long, rep long, component long, signature binary")
-    got = sorted((r.a, r.b) for r in minhash.across(df, 4, tile=7).collect())
-    want = sorted((a, b) for a in range(40) for b in range(a) if a // 4 != b // 4 and (sig[a] == sig[b]).sum() >= 4)
-    assert got == want
+    rows, want = [], []
+    for a in range(40):
+        for band in range(4):
+            bucket = band * 100 + int(sig[a, 2 * band]) * 10 + int(sig[a, 2 * band + 1])
+            rows.append((bucket, band, a, a // 4, 80 + a, bytes(sig[a].tobytes())))
+        for b in range(a):
+            agree = any((sig[a] == sig[b])[2 * n : 2 * n + 2].all() for n in range(4))
+            if agree and a // 4 != b // 4 and (sig[a] == sig[b]).sum() >= 4 and 80 * (80 + a) <= 100 * (80 + b):
+                want.append((a, b))
+    df = spark.createDataFrame(rows, "bucket long, band int, rep long, component long, size long, signature binary")
+    got = sorted((r.a, r.b) for r in minhash.across(df, 4, rows=2, tile=3).collect())
+    assert got == sorted(want)
 
 
 def test_components(spark):
