@@ -13,6 +13,11 @@ from dumpdeck.functions.types import Field, spark_type, typed
 DUMP, RAW, REASON, DROPPED = "_dump", "_raw", "_reason", "_dropped"
 
 
+def part_key(*names: Column) -> Column:
+    """Folder name for staged rows of a table: short whatever the names are, and always text."""
+    return F.concat(F.lit("k"), F.substring(F.sha2(F.to_json(F.array(*names)), 256), 1, 40))
+
+
 def _bare(target: T.DataType) -> bool:
     return isinstance(target, (T.NumericType, T.BooleanType))
 

@@ -33,8 +33,12 @@ PG_INDEX = (
     r"\s+(?:USING\s+\w+\s*)?\((.+)\)"
 )
 
-MYSQL_CREATE = r"(?is)\A\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:`?\w+`?\.)?`?(\w+)`?\s*\((.*)\z"
-MYSQL_COLUMN = r"^`([^`]+)`\s+(.+)$"
+# A name in backticks, where two stand for one, or a bare word.
+MYSQL_NAME = r"(?:`(?:[^`]|``)+`|[^\s`(),.;]+)"
+MYSQL_CREATE = (
+    rf"(?is)\A\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{MYSQL_NAME}\s*\.\s*)?({MYSQL_NAME})\s*\((.*)\z"
+)
+MYSQL_COLUMN = r"^(`(?:[^`]|``)+`)\s+(.+)$"
 MYSQL_TYPE = (
     r"(?i)^((?:[^\s(]+)(?:\s+PRECISION)?(?:\s*\((?:[^)']++|'(?:[^']++|'')*+')*+\))?"
     r"(?:\s+(?:UNSIGNED|SIGNED|ZEROFILL))*)"
@@ -45,6 +49,18 @@ MYSQL_FK = (
 )
 
 
+def mysql_name(name: Column) -> Column:
+    """A name without its backticks."""
+    return F.replace(F.regexp_replace(name, r"(?s)\A`(.*)`\z", "$1"), F.lit("``"), F.lit("`"))
+
+
+def index_columns(listed: Column) -> Column:
+    """Columns of an index without order, null placement, collation, operator class or prefix length."""
+    plain = r"""^\s*("[^"]+"|`[^`]+`|\w+)(?:\s*\(\d+\))?(?:\s+[\w."]+)*\s*$"""
+    parts = F.transform(F.split(listed, ","), lambda x: F.when(x.rlike(plain), F.regexp_extract(x, plain, 1)).otherwise(x))
+    return F.filter(F.transform(parts, bare_name), lambda x: x != "")
+
+
 def _flag_keys(columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """Mark primary key columns (also NOT NULL) and columns that are unique on their own."""
     keys = (
@@ -154,7 +170,7 @@ def pg_constraints(lines: DataFrame) -> DataFrame:
         bare_name(part(PG_INDEX, 3)).alias("table_name"),
         F.when(part(PG_INDEX, 1) != "", "unique").otherwise("index").alias("kind"),
         bare_name(part(PG_INDEX, 2)).alias("name"),
-        name_list(part(PG_INDEX, 4)).alias("columns"),
+        index_columns(part(PG_INDEX, 4)).alias("columns"),
         none.alias("ref_table"),
         no_columns.alias("ref_columns"),
     )
@@ -173,7 +189,7 @@ def _items(statements: DataFrame) -> DataFrame:
         statements.filter(F.col("statement").rlike(MYSQL_CREATE))
         .select(
             "dump",
-            F.regexp_extract("statement", MYSQL_CREATE, 1).alias("table_name"),
+            mysql_name(F.regexp_extract("statement", MYSQL_CREATE, 1)).alias("table_name"),
             F.posexplode(F.split(F.regexp_extract("statement", MYSQL_CREATE, 2), r"\r?\n")).alias(
                 "line", "item"
             ),
@@ -194,7 +210,7 @@ def mysql_columns(statements: DataFrame) -> DataFrame:
             "dump",
             "table_name",
             "line",
-            F.regexp_extract("item", MYSQL_COLUMN, 1).alias("column_name"),
+            mysql_name(F.regexp_extract("item", MYSQL_COLUMN, 1)).alias("column_name"),
             src_type.alias("src_type"),
             mysql_logical(src_type).alias("type"),
             F.contains(F.upper(rest), F.lit("NOT NULL")).alias("not_null"),
@@ -210,14 +226,13 @@ def mysql_constraints(statements: DataFrame) -> DataFrame:
     items, item = _items(statements), F.col("item")
     kind = F.upper(F.regexp_extract("item", MYSQL_KEY, 1))
     name = F.regexp_extract("item", MYSQL_KEY, 2)
-    # `name`(20) indexes a prefix of the column.
-    key_columns = F.regexp_replace(F.regexp_extract("item", MYSQL_KEY, 3), r"\(\d+\)", "")
+    key_columns = F.regexp_extract("item", MYSQL_KEY, 3)
     keys = items.filter(item.rlike(MYSQL_KEY)).select(
         "dump",
         "table_name",
         F.when(kind == "PRIMARY", "pk").when(kind == "UNIQUE", "unique").otherwise("index").alias("kind"),
         F.when(name != "", name).otherwise(F.lit("PRIMARY")).alias("name"),
-        name_list(key_columns).alias("columns"),
+        index_columns(key_columns).alias("columns"),
         F.lit(None).cast("string").alias("ref_table"),
         F.lit(None).cast("array<string>").alias("ref_columns"),
     )

@@ -72,7 +72,9 @@ def classify(head: Column) -> Column:
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, format, crlf)`` for every file under a folder."""
     found = heads(list_files(spark, path))
-    crlf = F.coalesce(F.contains(F.make_valid_utf8(F.col("head").cast("string")), F.lit("\r\n")), F.lit(False))
+    # Strings may hold line ends of the other kind; the first one of the file is not in a string.
+    first = F.substring_index(F.make_valid_utf8(F.col("head").cast("string")), "\n", 1)
+    crlf = F.coalesce(first.endswith("\r"), F.lit(False))
     return found.select("path", classify(F.col("head")).alias("format"), crlf.alias("crlf"))
 
 

@@ -1,26 +1,35 @@
 """``mysqldump`` files: one statement per record, INSERT row groups as tables.
 
 The dump tool writes every statement on its own and caps its length, and escapes newlines
-inside strings, so ``;`` + newline separates statements and splits stay independent.
+inside strings, so ``;`` + line end separates statements and splits stay independent. Two things need the
+order of records: bodies of triggers and routines, between DELIMITER lines, are not data; and other
+writers leave line ends in strings, which cuts a statement. The few records these concern are put in
+order by ``(dump, split, nth)``; complete INSERTs, nearly all of a dump, are never shuffled.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dumpdeck.functions.escapes import mysql_unescape, name_list
-from dumpdeck.functions.rows import accepted, typed_rows
+from dumpdeck.functions.rows import accepted, part_key, typed_rows
 from dumpdeck.functions.types import Field
+from dumpdeck.session import pin_splits
 from dumpdeck.sources import ddl
+from dumpdeck.sources.detect import detect_files
 
 LEADING = r"\A(?:\s++|--[^\n]*+(?:\n|\z)|/\*(?!!)(?s:.*?)\*/)++"
-INSERT = r"(?is)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)\z"
-TARGET = r"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?(\w+)`?"
+INTO = rf"\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:{ddl.MYSQL_NAME}\s*\.\s*)?({ddl.MYSQL_NAME})"
+INSERT = rf"(?is){INTO}\s*(?:\(((?:[^()`]++|`[^`]*+`)*+)\)\s*)?VALUES\s*(.*)\z"
+TARGET = rf"(?i){INTO}"
 ROW_GROUP = r"(?s)\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
 TOKEN = r"(?s)(?:_binary\s+)?'(?:[^'\\]++|\\.|'')*+'|[^,'()\s][^,']*+"
+# The last DELIMITER line of a record. The record's end has taken ``;`` and line end from it, so the
+# line that goes back to ``;`` has nothing left after the word.
+DELIMITER = r"(?is)(?:\A|.*[\r\n])\s*DELIMITER(?:[ \t]+([^\r\n]*?))?[ \t]*(?:[\r\n].*)?\z"
 # Openings of statements and lines that carry no table data.
 SKIPPED = ["LOCK TABLES", "UNLOCK TABLES", "DROP TABLE", "SET ", "USE ", "CREATE DATABASE", "--", "/*!"]
 
@@ -31,44 +40,121 @@ def skippable(text: Column) -> Column:
 
 
 def _opens(statement: Column, pattern: str) -> Column:
-    """Test how a statement begins, without running the pattern over all of it."""
+    """Test how a statement begins, without running the pattern over all of it.
+
+    Openings fit in 512 characters: names have 64 at most.
+    """
     return F.substring(statement, 1, 512).rlike(pattern)
 
 
 def _target() -> Column:
     """Table an INSERT statement fills."""
-    return F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1)
+    return ddl.mysql_name(F.regexp_extract(F.substring("statement", 1, 512), TARGET, 1))
+
+
+def _open_string(text: Column) -> Column:
+    """1 where the text ends inside a string, else 0: an odd number of quotes that aren't escaped."""
+    plain = F.replace(text, F.lit("\\\\"), F.lit(""))
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))
+    escaped = (F.length(plain) - F.length(F.replace(plain, F.lit("\\'"), F.lit("")))) / 2
+    return F.pmod(quotes - escaped.cast("int"), F.lit(2))
+
+
+def read_records(spark: SparkSession, path: str | list[str], crlf: bool | None = None) -> DataFrame:
+    """``(dump, split, nth, value)``: text between statement ends, in the line ends of each file.
+
+    The first line end of a file tells which it has; where all files agree they are read as given,
+    else by name.
+    """
+    pin_splits(spark)
+
+    def read(where, end: str) -> DataFrame:
+        return spark.read.option("lineSep", end).text(where).select(
+            F.col("_metadata.file_path").alias("dump"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("nth"),
+            "value",
+        )
+
+    ends = {True: ";\r\n", False: ";\n"}
+    if crlf is not None:
+        return read(path, ends[crlf])
+    found: dict[bool, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        for r in detect_files(spark, one).select("path", "crlf").toLocalIterator():
+            found.setdefault(r.crlf, []).append(r.path)
+    if len(found) < 2:
+        return read(path, ends[next(iter(found), False)])
+    return read(found[False], ends[False]).unionByName(read(found[True], ends[True]))
 
 
-def read_statements(spark: SparkSession, path: str | list[str], crlf: bool = False) -> DataFrame:
-    """``(dump, statement)`` without leading comments and skippable statements."""
-    end = ";\r\n" if crlf else ";\n"
+def read_statements(spark: SparkSession, path: str | list[str], crlf: bool | None = None) -> DataFrame:
+    """``(dump, split, nth, statement, raw)`` without leading comments; raw is the record as it is."""
     value = F.col("value")
     # Nearly all of the text is INSERTs that follow another statement directly.
     text = F.when(value.startswith("INSERT"), value).otherwise(F.regexp_replace(value, LEADING, ""))
+    return read_records(spark, path, crlf).select(
+        "dump", "split", "nth", F.rtrim(text, F.lit("; \t\r\n")).alias("statement"), value.alias("raw")
+    )
+
+
+def _is_insert() -> Column:
+    return _opens(F.col("statement"), r"(?i)\AINSERT\s")
+
+
+def routine_ranges(others: DataFrame) -> DataFrame:
+    """``(in_dump, from_split, from_nth, to_split, to_nth)`` between DELIMITER lines: bodies of routines."""
+    kind = F.when(F.trim(F.regexp_extract("raw", DELIMITER, 1)) == "", "C").otherwise("O")
+    marks = others.filter(F.col("raw").rlike(DELIMITER)).withColumn("kind", kind)
+    order = Window.partitionBy("dump").orderBy("split", "nth")
     return (
-        spark.read.option("lineSep", end)
-        .text(path)
+        marks.withColumns(
+            {"to_split": F.lead("split").over(order), "to_nth": F.lead("nth").over(order)}
+        )
+        .filter("kind = 'O'")
         .select(
-            F.col("_metadata.file_path").alias("dump"),
-            F.rtrim(text, F.lit("; \t\r\n")).alias("statement"),
+            F.col("dump").alias("in_dump"), F.col("split").alias("from_split"), F.col("nth").alias("from_nth"), "to_split", "to_nth"
         )
-        .filter((F.col("statement") != "") & ~skippable(F.col("statement")))
+    )
+
+
+def _outside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Records that aren't within a routine body; ``ranges`` has one row per routine of the dumps."""
+    at, low, high = (F.struct(a, b) for a, b in (("split", "nth"), ("from_split", "from_nth"), ("to_split", "to_nth")))
+    inside = (F.col("dump") == F.col("in_dump")) & (at > low) & (F.col("to_nth").isNull() | (at <= high))
+    return rows.join(ranges, inside, "left_anti")
+
+
+def rejoined(others: DataFrame) -> DataFrame:
+    """``(dump, statement)`` of INSERTs cut inside a string, with the records that follow up to its end."""
+    order = Window.partitionBy("dump").orderBy("split", "nth")
+    head = _is_insert() & (_open_string(F.col("statement")) == 1)
+    marked = others.withColumn("head", head).withColumn("group", F.sum(F.col("head").cast("int")).over(order))
+    text = F.when(F.col("head"), F.concat("statement", F.substr("raw", F.length(F.rtrim("raw")) + 1))).otherwise(F.col("raw"))
+    own = Window.partitionBy("dump", "group").orderBy("split", "nth")
+    before = F.sum(_open_string(F.col("raw"))).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    parts = marked.filter("group > 0").withColumn("text", text).withColumn("open", F.coalesce(F.pmod(before, F.lit(2)), F.lit(1)))
+    # Later records belong to the statement only up to the first that closes its string.
+    ended = F.max((F.col("open") == 0).cast("int")).over(own)
+    parts = parts.withColumn("ended", ended).filter("ended = 0")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "nth", "text"))), lambda r: r["text"]), ";\n")
+    return parts.groupBy("dump", "group").agg(joined.alias("statement")).select(
+        "dump", F.rtrim("statement", F.lit("; \t\r\n")).alias("statement")
     )
 
 
 def row_groups(statements: DataFrame, fields: list[Field] | None = None) -> DataFrame:
     """``(dump, table_name, raw, tokens, broken)``: one row per ``(...)`` of the INSERTs.
 
-    Tokens stand in the order of ``fields`` where the INSERT lists its columns. A statement cut
-    inside a string does not end with ``)``: its last group is unusable and gives one more row
-    with ``broken`` set.
+    Tokens stand in the order of ``fields`` where the INSERT lists its columns. What follows the last
+    whole group of a statement that ends inside a string is unusable and gives one more row with
+    ``broken`` set.
     """
     body = F.col("body")
-    listed = F.transform(name_list(F.regexp_extract("statement", INSERT, 2)), F.lower)
+    listed = F.transform(name_list(F.regexp_extract("statement", INSERT, 2)), lambda c: F.lower(F.trim(c)))
     wanted = F.array(*[F.lit(f.name.lower()) for f in fields or []]).cast("array<string>")
     parsed = (
-        statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
+        statements.filter(_is_insert())
         .select(
             "dump",
             _target().alias("table_name"),
@@ -83,7 +169,7 @@ def row_groups(statements: DataFrame, fields: list[Field] | None = None) -> Data
             # Place of each field in the list of the INSERT, from 0; missing ones give null.
             F.transform(wanted, lambda c: F.nullif(F.array_position("listed", c), F.lit(0)) - 1).alias("places"),
             F.regexp_extract_all("body", F.lit(ROW_GROUP), F.lit(0)).alias("groups"),
-            F.when(~body.endswith(")"), F.substring_index("body", "(", -1)).alias("cut"),
+            F.when(_open_string(body) == 1, F.substring_index("body", "(", -1)).alias("cut"),
         )
     )
 
@@ -122,13 +208,23 @@ class MysqlDump:
 
     dialect = "mysql"
 
-    def __init__(self, spark: SparkSession, path: str | list[str], crlf: bool = False):
+    def __init__(self, spark: SparkSession, path: str | list[str], crlf: bool | None = None):
         self.spark = spark
-        self.statements = read_statements(spark, path, crlf)
-        # Finding the DDL reads the whole dump: once, however many tables are asked for. The few
-        # statements found leave the many partitions of the scan.
-        creates = self.statements.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s"))
-        self._creates = creates.repartition("dump").persist()
+        records = read_statements(spark, path, crlf)
+        whole = _is_insert() & (_open_string(F.col("statement")) == 0)
+        # Everything but complete INSERTs, found in one scan however many tables are asked for. These
+        # few records leave the many partitions of the scan.
+        self._others = records.filter(~whole).repartition("dump").persist()
+        ranges = routine_ranges(self._others).persist()
+        self._ranges = ranges
+        inserts = records.filter(whole)
+        others = self._others
+        if not ranges.isEmpty():
+            inserts, others = _outside(inserts, ranges), _outside(others, ranges)
+        self.statements = inserts.select("dump", "statement").unionByName(rejoined(others))
+        self._creates = others.filter(_opens(F.col("statement"), r"(?i)\ACREATE\s") & ~skippable(F.col("statement"))).select(
+            "dump", "statement"
+        )
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -139,7 +235,8 @@ class MysqlDump:
         return ddl.mysql_constraints(self._creates)
 
     def close(self) -> None:
-        self._creates.unpersist()
+        self._others.unpersist()
+        self._ranges.unpersist()
 
     @cached_property
     def fields(self) -> dict[str, list[Field]]:
@@ -150,7 +247,7 @@ class MysqlDump:
 
     def counts(self) -> DataFrame:
         declared = ddl.mysql_columns(self._creates).select("table_name").distinct()
-        inserts = self.statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
+        inserts = self.statements
         groups = F.regexp_count(F.regexp_extract("statement", INSERT, 3), F.lit(ROW_GROUP))
         counted = inserts.groupBy(_target().alias("table_name")).agg(F.sum(groups).alias("n"))
         return declared.join(counted, "table_name", "left").select(
@@ -159,10 +256,8 @@ class MysqlDump:
 
     def stage(self, folder: str) -> None:
         """Write the INSERT statements once, split by table, for many reads."""
-        inserts = self.statements.filter(_opens(F.col("statement"), r"(?i)\AINSERT\s"))
-        inserts.withColumn("into_table", _target()).filter("into_table <> ''").write.mode(
-            "overwrite"
-        ).partitionBy("into_table").parquet(folder)
+        named = self.statements.withColumn("into_table", _target()).filter("into_table <> ''")
+        named.withColumn("part", part_key(F.col("into_table"))).write.mode("overwrite").partitionBy("part").parquet(folder)
 
     def rows(
         self, table: str, staged: str | None = None, spread: int | None = None, **options
@@ -176,17 +271,16 @@ class MysqlDump:
         if not fields:
             raise ValueError(f"table {table} is not declared in the dump")
         if staged:
-            source = self.spark.read.parquet(staged).filter(F.col("into_table") == table)
+            source = self.spark.read.parquet(staged).filter((F.col("part") == part_key(F.lit(table))) & (F.col("into_table") == table))
         else:
-            opening = rf"(?i)\AINSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\.)?`?\Q{table}\E`?[\s(]"
-            source = self.statements.filter(_opens(F.col("statement"), opening))
+            source = self.statements.filter(_target() == table)
         if spread:
             source = source.repartition(spread)
         return typed_rows(row_groups(source, fields), fields, "mysql", literal_text, **options)
 
 
 def read_mysqldump(
-    spark: SparkSession, path: str | list[str], table: str, crlf: bool = False, **options
+    spark: SparkSession, path: str | list[str], table: str, crlf: bool | None = None, **options
 ) -> DataFrame:
     """Rows of one table from its INSERT statements."""
     dump = MysqlDump(spark, path, crlf)

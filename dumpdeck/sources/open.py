@@ -22,26 +22,23 @@ READERS = {
 
 def open_dump(spark: SparkSession, path: str, fmt: str | None = None):
     """Reader for ``path``: a file, a folder of one format, or a shell dump folder."""
-    crlf = False
-    if fmt in (None, "mysqldump"):
-        found, crlf = probe(spark, path)
-        fmt = fmt or found
+    fmt = fmt or probe(spark, path)
     if fmt not in READERS:
         raise ValueError(f"{path}: not a known dump format")
-    return MysqlDump(spark, path, crlf=crlf) if fmt == "mysqldump" else READERS[fmt](spark, path)
+    return READERS[fmt](spark, path)
 
 
-def probe(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Format of the dump at ``path`` and whether its lines end in CR LF."""
+def probe(spark: SparkSession, path: str) -> str:
+    """Format of the dump at ``path``."""
     shell = r"(^|/)(@|%40)\.json$|\.tsv\.zst$"
     if list_files(spark, path).filter(F.col("path").rlike(shell)).limit(1).count():
-        return "mysqlshell", False
+        return "mysqlshell"
     # At most one row per known format. Parts of a split dump may lack the opening comments.
-    seen = detect_files(spark, path).groupBy("format").agg(F.bool_or("crlf").alias("crlf")).collect()
-    known = [r for r in seen if r.format != "unknown"]
+    seen = [r.format for r in detect_files(spark, path).select("format").distinct().collect()]
+    known = sorted(f for f in seen if f != "unknown")
     if len(known) > 1:
-        raise ValueError(f"{path}: holds dumps of different formats: {sorted(r.format for r in known)}")
-    return (known[0].format, known[0].crlf) if known else ("unknown", False)
+        raise ValueError(f"{path}: holds dumps of different formats: {known}")
+    return known[0] if known else "unknown"
 
 
 def inventory(dump) -> DataFrame:

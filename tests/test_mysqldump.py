@@ -9,67 +9,118 @@ from dumpdeck.functions.rows import accepted, rejects
 from dumpdeck.sources.mysqldump import MysqlDump, read_mysqldump
 from dumpdeck.sources.open import open_dump, skipped_indexes
 
-FULL = r"""-- MySQL dump 10.13  Distrib 8.0.36
---
--- Host: localhost
--- Server version	8.0.36
-
-/*!40101 SET NAMES utf8mb4 */;
-SET foreign_key_checks = 0;
-CREATE DATABASE x;
-USE x;
-DROP TABLE IF EXISTS `countries`;
-/*!40101 SET @saved_cs_client = @@character_set_client */;
-CREATE TABLE `countries` (
-  `id` int(11) NOT NULL AUTO_INCREMENT,
-  `code` char(2) NOT NULL,
-  `name` varchar(100) DEFAULT 'a;b',
-  `population` bigint(20) unsigned,
-  `area` decimal(10,2) DEFAULT NULL,
-  `active` tinyint(1) DEFAULT '1',
-  PRIMARY KEY (`id`),
-  UNIQUE KEY `uc` (`code`),
-  KEY `kn` (`name`(20)),
-  KEY `two` (`name`,`area`),
-  CONSTRAINT `fk` FOREIGN KEY (`id`) REFERENCES `regions` (`rid`)
-) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;
-LOCK TABLES `countries` WRITE;
-INSERT INTO `countries` VALUES (1,'FR','Fran\'ce',67000000,643801.00,1),(2,'DE','a),(b;\nc',NULL,357022.5,0);
-INSERT INTO `countries` VALUES (3,'XX','it''s \\ ok','12',NULL,1);
+FULL = r"""-- MariaDB dump 10.19  Distrib 10.11.6-MariaDB
+-- Server version	10.11.6-MariaDB
+
+/*!40014 SET @OLD_UNIQUE_CHECKS=@@UNIQUE_CHECKS */;
+CREATE DATABASE quakes;
+USE quakes;
+DROP TABLE IF EXISTS `reading`;
+CREATE TABLE `reading` (
+  `taken` datetime(3) NOT NULL,
+  `probe` varchar(12) NOT NULL,
+  `depth` double DEFAULT NULL,
+  `note` mediumtext,
+  `flags` set('x','y,z') DEFAULT 'x',
+  PRIMARY KEY (`probe`,`taken`),
+  KEY `deep` (`depth` DESC),
+  KEY `both` (`note`(8),`flags`)
+) ENGINE=Aria;
+LOCK TABLES `reading` WRITE;
+INSERT INTO `reading` VALUES ('2023-02-06 01:17:34.250','tk-4',-17.9,'M7,8; felt (far)','x'),('2023-02-06 10:24:49.000','tk-5',NULL,'it\'s\n"late"',NULL);
 UNLOCK TABLES;
-CREATE TABLE `order_items` (
-  `order_id` int NOT NULL,
-  `product_id` int NOT NULL,
-  `qty` int,
-  PRIMARY KEY (`order_id`,`product_id`)
+DROP TABLE IF EXISTS `probe`;
+CREATE TABLE `probe` (
+  `serial` smallint unsigned NOT NULL AUTO_INCREMENT,
+  `tag` varchar(12) NOT NULL,
+  `live` bit(1) DEFAULT b'1',
+  `cost` decimal(6,3),
+  UNIQUE KEY `by_tag` (`tag`),
+  KEY `cheap` (`cost`),
+  PRIMARY KEY (`serial`),
+  CONSTRAINT `seen` FOREIGN KEY (`tag`) REFERENCES `reading` (`probe`) ON DELETE CASCADE
 );
-INSERT INTO `order_items` (`qty`,`product_id`,`order_id`) VALUES (5,2,1),
-(6,3,1);
-INSERT INTO order_items VALUES (7,8,9);
+INSERT INTO `probe` (`cost`,`tag`,`serial`) VALUES (12.500,'tk-4',31),
+(0.125,'tk-5',32);
+INSERT INTO probe (serial, tag) VALUES (33,'o''k');
 """
 
 
 def test_full_dump(spark, write):
     d = MysqlDump(spark, write("full.sql", FULL))
-    assert d.tables() == ["countries", "order_items"]
+    assert d.tables() == ["probe", "reading"]
     cols = {(r.table_name, r.column_name): r for r in d.columns.collect()}
-    types = [cols["countries", c].type for c in ("id", "code", "name", "population", "area", "active")]
-    assert types == ["INT64", "TEXT", "TEXT", "INT64", "DECIMAL(10,2)", "BOOL"]
-    assert cols["countries", "id"].auto_increment and cols["countries", "id"].is_pk
-    assert cols["countries", "code"].is_unique and not cols["countries", "name"].is_unique
-    assert [cols["order_items", c].is_pk for c in ("order_id", "product_id", "qty")] == [True, True, False]
+    assert cols["probe", "cost"].type == "DECIMAL(6,3)" and cols["reading", "note"].type == "TEXT"
+    assert cols["probe", "serial"].auto_increment and cols["probe", "serial"].is_pk
+    assert cols["probe", "tag"].is_unique and not cols["reading", "note"].is_unique
+    assert [cols["reading", c].is_pk for c in ("taken", "probe", "depth")] == [True, True, False]
     rules = {(r.kind, r.name, tuple(r.columns), r.ref_table) for r in d.constraints.collect()}
-    assert ("fk", "fk", ("id",), "regions") in rules and ("index", "kn", ("name",), None) in rules
-    assert [r.name for r in skipped_indexes(d.constraints).collect()] == ["two"]
-    assert {(r.table_name, r.n) for r in d.counts().collect()} == {("countries", 3), ("order_items", 3)}
-    rows = accepted(d.rows("countries")).orderBy("id").collect()
-    assert [tuple(r) for r in rows] == [
-        (1, "FR", "Fran'ce", 67000000, Decimal("643801.00"), True),
-        (2, "DE", "a),(b;\nc", None, Decimal("357022.50"), False),
-        (3, "XX", "it's \\ ok", 12, None, True),
+    assert ("fk", "seen", ("tag",), "reading") in rules and ("index", "deep", ("depth",), None) in rules
+    assert ("index", "both", ("note", "flags"), None) in rules
+    assert [r.name for r in skipped_indexes(d.constraints).collect()] == ["both"]
+    assert {(r.table_name, r.n) for r in d.counts().collect()} == {("reading", 2), ("probe", 3)}
+    rows = accepted(d.rows("reading").select("probe", "depth", "note", "flags", "_dump", "_raw", "_reason", "_dropped"))
+    assert sorted(map(tuple, rows.collect())) == [
+        ("tk-4", -17.9, "M7,8; felt (far)", "x"), ("tk-5", None, "it's\n\"late\"", None),
     ]
-    items = {tuple(r) for r in accepted(d.rows("order_items")).collect()}
-    assert items == {(1, 2, 5), (1, 3, 6), (7, 8, 9)}
+    probes = sorted((r.serial, r.tag, r.cost) for r in accepted(d.rows("probe")).collect())
+    assert probes == [(31, "tk-4", Decimal("12.500")), (32, "tk-5", Decimal("0.125")), (33, "o'k", None)]
+
+
+def load_all(d):
+    return {t: sorted((tuple(r) for r in accepted(d.rows(t)).collect()), key=str) for t in d.tables()}
+
+
+T1 = "CREATE TABLE `t` (\n  `a` int,\n  `b` text\n);\n"
+
+
+def test_mixed_line_ends(spark, write, tmp_path):
+    write("mix/1.sql", "-- MySQL dump\n" + T1 + "INSERT INTO `t` VALUES (1,'x'),(2,'y');\nINSERT INTO `t` VALUES (3,'z');\n")
+    two = "-- MySQL dump\n" + T1 + "INSERT INTO `t` VALUES (4,'x');\nINSERT INTO `t` VALUES (5,'cr\\r\\n');\n"
+    write("mix/2.sql", two.replace("\n", "\r\n"))
+    for d in (open_dump(spark, str(tmp_path / "mix")), MysqlDump(spark, str(tmp_path / "mix"))):
+        assert [r[0] for r in load_all(d)["t"]] == [1, 2, 3, 4, 5]
+        assert {(r.table_name, r.n) for r in d.counts().collect()} == {("t", 5)}
+
+
+@pytest.mark.parametrize("mark", [";;", "//", "$$"])
+def test_routine_bodies_are_not_data(spark, write, mark):
+    body = (
+        f"DELIMITER {mark}\n/*!50003 CREATE*/ /*!50017 DEFINER=`root`@`%`*/ /*!50003 TRIGGER `tr` AFTER INSERT ON `t`\n"
+        f"FOR EACH ROW BEGIN\n  INSERT INTO `log` VALUES (1,'phantom');\nINSERT INTO `log` VALUES (2,'phantom');\nEND */{mark}\n"
+        "DELIMITER ;\n"
+    )
+    text = (
+        "CREATE TABLE `log` (\n  `a` int,\n  `b` text\n);\n" + T1 + "INSERT INTO `log` VALUES (8,'before');\n"
+        + body + "INSERT INTO `log` VALUES (9,'real');\n" + body + "INSERT INTO `t` VALUES (7,'DELIMITER x');\n"
+    )
+    for end in ("\n", "\r\n"):
+        d = MysqlDump(spark, write(f"tr{len(end)}.sql", text.replace("\n", end)))
+        assert load_all(d) == {"log": [(8, "before"), (9, "real")], "t": [(7, "DELIMITER x")]}
+        assert {(r.table_name, r.n) for r in d.counts().collect()} == {("log", 2), ("t", 1)}
+
+
+def test_cut_statements_are_rejoined(spark, write):
+    text = (
+        T1 + "INSERT INTO `t` VALUES (1,'a;\nb'),(2,'c'),(3,'d;\n;\n\n e\\\\');\nINSERT INTO `t` VALUES (4,'f');\n"
+        "INSERT INTO `t` VALUES (5,'-- g;\n-- h;\nSET i');\nINSERT INTO `t` VALUES (6,'never ends;\n"
+    )
+    rows = MysqlDump(spark, write("cut.sql", text)).rows("t")
+    assert sorted(map(tuple, accepted(rows).collect())) == [
+        (1, "a;\nb"), (2, "c"), (3, "d;\n;\n\n e\\"), (4, "f"), (5, "-- g;\n-- h;\nSET i"),
+    ]
+    assert [r.reason for r in rejects(rows, "t").collect()] == ["unterminated statement"]
+
+
+def test_names_of_any_characters(spark, write):
+    names = ["größe", "order-items", "a b", "T", "t", "01", "1", "tick``s", "x.y", "(p)"]
+    text = "".join(
+        f"CREATE TABLE `{n}` (\n  `k-{i}` int,\n  `wért` text\n);\nINSERT INTO `{n}` (`wért`,`k-{i}`) VALUES ('v',{i});\n"
+        for i, n in enumerate(names)
+    )
+    d = MysqlDump(spark, write("names.sql", text))
+    assert load_all(d) == {n.replace("``", "`"): [(i, "v")] for i, n in enumerate(names)}
+    assert {r.table_name: r.n for r in d.counts().collect()} == {n.replace("``", "`"): 1 for n in names}
 
 
 VALUES = [
@@ -95,7 +146,7 @@ def test_rejects(spark, write):
         "CREATE TABLE `t` (\n  `a` int,\n  `b` text\n);\n"
         "INSERT INTO `t` VALUES (1,'x'),(2),('q','y'),(3,'z',4);\n"
         "INSERT INTO `t` (`a`) VALUES (8),(9,9);\n"
-        "INSERT INTO `t` VALUES (5,'ok'),(6,'cut here;\nand on');\n"
+        "INSERT INTO `t` VALUES (5,'ok'),(6,'no end;\n"
     )
     rows = MysqlDump(spark, write("t.sql", text)).rows("t")
     assert {tuple(r) for r in accepted(rows).collect()} == {(1, "x"), (None, "y"), (8, None), (5, "ok")}
@@ -117,12 +168,12 @@ def test_unsigned(spark, write):
 
 
 def test_crlf_and_staging(spark, write, tmp_path):
-    path = write("crlf.sql", FULL.replace("\n", "\r\n").replace("\\r\\n", "\\n"))
+    path = write("crlf.sql", FULL.replace("\n", "\r\n"))
     d = open_dump(spark, path)
     staged = str(tmp_path / "staged")
     d.stage(staged)
-    for rows in (d.rows("order_items"), d.rows("order_items", staged=staged), d.rows("order_items", spread=3)):
-        assert {tuple(r) for r in accepted(rows).collect()} == {(1, 2, 5), (1, 3, 6), (7, 8, 9)}
+    for rows in (d.rows("probe"), d.rows("probe", staged=staged), d.rows("probe", spread=3)):
+        assert sorted(r.serial for r in accepted(rows).collect()) == [31, 32, 33]
 
 
 def test_long_statement(spark, write):
