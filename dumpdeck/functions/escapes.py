@@ -91,9 +91,11 @@ def split_fields(c: Column, separator: str = "\t") -> Column:
 
 
 def bare_name(c: Column) -> Column:
-    """Identifier without ``public.``, double quotes or backticks."""
+    """Identifier without ``public.``, double quotes or backticks; a schema in front stays, unquoted too."""
     c = F.regexp_replace(F.trim(c), r'(?i)^(?:"public"|public)\.', "")
-    return F.regexp_replace(c, r'^"(.*)"$|^`(.*)`$', "$1$2")
+    qualified = r'^(?:"([^"]+)"|(\w+))\.(?:"([^"]+)"|(\w+))$'
+    plain = F.regexp_replace(c, r'^"([^"]*)"$|^`(.*)`$', "$1$2")
+    return F.when(c.rlike(qualified), F.regexp_replace(c, qualified, "$1$2.$3$4")).otherwise(plain)
 
 
 def name_list(c: Column) -> Column:

@@ -10,7 +10,8 @@ STATEMENT = (
     r"""(?s)(?:[^;'"\-/]++|'(?:[^']++|'')*+(?:'|\z)|"[^"]*+(?:"|\z)|--[^\n]*+|/\*.*?(?:\*/|\z)|[-/])++"""
 )
 OPAQUE = r"""(?s)'(?:[^']|'')*+(?:'|\z)|"[^"]*+(?:"|\z)|--[^\n]*+|/\*.*?(?:\*/|\z)"""
-TABLE_AND_ALIAS = r'\s+"?(\w+)"?(?:\s+AS\s+|\s+)(\w+)'
+# A table's name, quoted or not, then a word: its alias, unless the word is one of KEYWORDS.
+NAMED_TABLE = r"""\s+("|)(\w+)\1\s+(?:AS\s+)?(\w+)"""
 
 # Words that are never taken for an alias.
 KEYWORDS = [
@@ -40,10 +41,10 @@ def split_statements(log: DataFrame, id_col: str = "id", sql_col: str = "sql") -
 
 
 def _pairs(sql: Column, word: str) -> Column:
-    pattern = F.lit(r"(?iU)\b" + word + TABLE_AND_ALIAS)
+    pattern = F.lit(r"(?iU)\b" + word + NAMED_TABLE)
     return F.arrays_zip(
-        F.regexp_extract_all(sql, pattern, F.lit(2)).alias("alias"),
-        F.regexp_extract_all(sql, pattern, F.lit(1)).alias("table_name"),
+        F.regexp_extract_all(sql, pattern, F.lit(3)).alias("alias"),
+        F.regexp_extract_all(sql, pattern, F.lit(2)).alias("table_name"),
     )
 
 
@@ -73,8 +74,10 @@ def format_sql(sql: Column) -> Column:
 
 
 def _timing(plan: Column, label: str) -> Column:
-    pattern = rf"(?iU)\b{label}\s+Time\b\s*[:=]?\s*(\d+(?:\.\d+)?)\s*ms"
-    return F.nullif(F.regexp_extract(plan, pattern, 1), F.lit("")).try_cast("double")
+    # The label, at most one separator among blanks, a number, its unit.
+    heading = rf"(?iU)(?<!\w){label}\s+Time(?!\w)"
+    number = r"[\s]*+[:=]?[\s]*+([0-9]+(?:[.][0-9]+)?)"
+    return F.nullif(F.regexp_extract(plan, heading + number + r"[\s]*+ms", 1), F.lit("")).try_cast("double")
 
 
 def planning_time(plan: Column) -> Column:

@@ -88,6 +88,7 @@ def check_declared(tables: dict[str, DataFrame], columns: DataFrame, constraints
             nulls = null_counts(known[table.lower()], names)
             found.append(_finding(nulls, table, "not_null", "column_name", "nulls"))
     rules = constraints.filter("kind <> 'index'").drop("dump").distinct().collect()
+    primary = {r.table_name.lower(): r.columns for r in rules if r.kind == "pk"}
     for r in rules:
         df = known.get(r.table_name.lower())
         if df is None or "" in r.columns:
@@ -96,7 +97,11 @@ def check_declared(tables: dict[str, DataFrame], columns: DataFrame, constraints
             parent = known.get(r.ref_table.lower())
             if parent is None:
                 continue
-            orphaned = orphan_keys(df, r.columns, parent, r.ref_columns or r.columns)
+            # A foreign key that names no columns means the parent's primary key.
+            key = r.ref_columns or primary.get(r.ref_table.lower(), [])
+            if len(key) != len(r.columns):
+                continue
+            orphaned = orphan_keys(df, r.columns, parent, key)
             bad = orphaned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
         else:
             check = primary_key_violations if r.kind == "pk" else unique_violations

@@ -14,14 +14,15 @@ from dumpdeck.functions.rows import DROPPED, REASON, accepted, rejects
 from dumpdeck.functions.types import spark_type
 from dumpdeck.operators.audit import declared_fk_problems, name_collisions
 from dumpdeck.operators.layout import plan_layout, write_sorted
-from dumpdeck.session import shared_folder
+from dumpdeck.session import delete_folder, path_exists, shared_folder
 from dumpdeck.sources.open import open_dump, skipped_indexes
 
 REPORT = (
     "table_name string, target string, rows_read long, rows_loaded long, rows_rejected long, "
     "cells_rejected long, seconds double"
 )
-# A text dump with more tables than this is read once into a staging folder, not once per table.
+# A text dump with more tables than this is read once into a staging folder, not once per table. The
+# rows are the same either way.
 DIRECT_SCANS = 4
 
 
@@ -32,7 +33,7 @@ class LoadResult:
     spark: SparkSession
     targets: dict[str, str]
     report: DataFrame
-    rejects_path: str | None
+    rejects: list[str]
     columns: DataFrame
     constraints: DataFrame
     unique_columns: DataFrame
@@ -95,59 +96,72 @@ def load(
 def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, parallel, options) -> LoadResult:
     check_names(dump.columns, identifier_case)
     names = tables or dump.tables()
+    base = dest.rstrip("/")
+    targets = {n: f"{base}/{normalise(n, identifier_case)}" for n in names}
+    reject_folders = {n: f"{base}/_load_rejects/{normalise(n, identifier_case)}" for n in names}
+    if mode in ("error", "errorifexists"):
+        # Before anything is written: a load into a used place leaves it as it is.
+        taken = [n for n, target in targets.items() if path_exists(spark, target)]
+        if taken:
+            raise ValueError(f"{dest} already holds {', '.join(sorted(taken))}")
+    if mode == "overwrite":
+        for folder in reject_folders.values():
+            delete_folder(spark, folder)
     staged = None
-    if len(names) > DIRECT_SCANS and hasattr(dump, "stage"):
-        staged = shared_folder(spark, "staged")
-        dump.stage(staged)
-    rejects_path = f"{dest.rstrip('/')}/_load_rejects"
-    targets = {n: f"{dest.rstrip('/')}/{normalise(n, identifier_case)}" for n in names}
+    try:
+        if len(names) > DIRECT_SCANS and hasattr(dump, "stage"):
+            staged = shared_folder(spark, "staged")
+            dump.stage(staged)
+        return _write(spark, dump, base, mode, identifier_case, targets, reject_folders, staged, sort_by_index, parallel, options)
+    finally:
+        if staged:
+            delete_folder(spark, staged)
+
 
+def _write(
+    spark, dump, base, mode, identifier_case, targets, reject_folders, staged, sort_by_index, parallel, options
+) -> LoadResult:
+    names = list(targets)
     plan = plan_layout(dump.constraints)
     sort_columns = {}
     if sort_by_index:
         kept = plan.filter("kept AND kind = 'index'")
         first = kept.groupBy("table_name").agg(F.min_by("column_name", "name").alias("column_name"))
         sort_columns = {r.table_name: r.column_name for r in first.collect()}
+    tallies = [
+        F.count(F.lit(1)).alias("read"),
+        F.count_if(F.col(DROPPED)).alias("dropped"),
+        F.count_if(~F.col(DROPPED) & F.col(REASON).isNotNull()).alias("cells"),
+    ]
 
     def one(name: str) -> tuple:
         started = time.monotonic()
         rows = dump.rows(name, staged=staged, **options)
-        seen = Observation()
-        observed = rows.observe(
-            seen,
-            F.count(F.lit(1)).alias("read"),
-            F.count_if(F.col(DROPPED)).alias("dropped"),
-            F.count_if(~F.col(DROPPED) & F.col(REASON).isNotNull()).alias("cells"),
-        )
-        good = accepted(observed)
-        good = good.toDF(*[normalise(c, identifier_case) for c in good.columns])
+
+        def good(df: DataFrame) -> DataFrame:
+            kept = accepted(df)
+            return kept.toDF(*[normalise(c, identifier_case) for c in kept.columns])
+
         if name in sort_columns:
-            write_sorted(good, targets[name], normalise(sort_columns[name], identifier_case), mode=mode)
+            # Cutting ranges reads the rows once more, so a tally on the way would count them twice.
+            n = rows.agg(*tallies).first()
+            write_sorted(good(rows), targets[name], normalise(sort_columns[name], identifier_case), mode=mode)
         else:
-            good.write.mode(mode).parquet(targets[name])
-        n = seen.get
+            seen = Observation()
+            good(rows.observe(seen, *tallies)).write.mode(mode).parquet(targets[name])
+            n = seen.get
         # The second pass over the text is paid only where something was rejected.
         if n["dropped"] or n["cells"]:
-            out = rejects(rows, name)
-            out.write.mode("overwrite" if mode == "overwrite" else "errorifexists").parquet(
-                f"{rejects_path}/{normalise(name, identifier_case)}"
-            )
-        return (
-            name,
-            targets[name],
-            n["read"],
-            n["read"] - n["dropped"],
-            n["dropped"],
-            n["cells"],
-            time.monotonic() - started,
-        )
+            rejects(rows, name).write.mode(mode).parquet(reject_folders[name])
+        taken = time.monotonic() - started
+        return name, targets[name], n["read"], n["read"] - n["dropped"], n["dropped"], n["cells"], taken
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         report = list(pool.map(one, names))
     # The declared schema is kept with the tables; the dump is not read for it again.
     kept = {}
     for part in ("columns", "constraints"):
-        where = f"{dest.rstrip('/')}/_load_schema/{part}"
+        where = f"{base}/_load_schema/{part}"
         getattr(dump, part).write.mode("overwrite").parquet(where)
         kept[part] = spark.read.parquet(where)
     plan = plan_layout(kept["constraints"])
@@ -155,7 +169,7 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
         spark=spark,
         targets=targets,
         report=spark.createDataFrame(report, REPORT),
-        rejects_path=rejects_path if any(r[4] or r[5] for r in report) else None,
+        rejects=[reject_folders[r[0]] for r in report if r[4] or r[5]],
         columns=kept["columns"],
         constraints=kept["constraints"],
         unique_columns=kept["columns"].filter("is_unique").select("table_name", "column_name").distinct(),
@@ -175,8 +189,8 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
 
 
 def load_rejects(spark: SparkSession, result: LoadResult) -> DataFrame:
-    """``(dump, table_name, raw, reason, dropped)`` over all tables of a load."""
+    """``(dump, table_name, raw, reason, dropped)`` over all tables of this load."""
     layout = "dump string, table_name string, raw string, reason string, dropped boolean"
-    if result.rejects_path is None:
+    if not result.rejects:
         return spark.createDataFrame([], layout)
-    return spark.read.schema(layout).option("recursiveFileLookup", True).parquet(result.rejects_path)
+    return spark.read.schema(layout).parquet(*result.rejects)

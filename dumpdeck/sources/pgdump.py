@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dumpdeck.functions.escapes import bare_name, copy_unescape, name_list, split_fields
-from dumpdeck.functions.rows import accepted, typed_rows
+from dumpdeck.functions.rows import accepted, part_key, typed_rows
 from dumpdeck.functions.types import Field
 from dumpdeck.session import pin_splits
 from dumpdeck.sources import ddl
@@ -183,11 +183,8 @@ class PgDump:
     def stage(self, folder: str) -> None:
         """Write the raw lines of all tables once, split by table and header, for many reads."""
         self._within(self.blocks).select(
-            "dump",
-            "value",
-            "table_name",
-            F.concat_ws(",", "header").alias("columns"),
-        ).write.mode("overwrite").partitionBy("table_name", "columns").parquet(folder)
+            "dump", "value", "table_name", "header", part_key(F.col("table_name"), F.to_json("header")).alias("part")
+        ).write.mode("overwrite").partitionBy("part").parquet(folder)
 
     def rows(
         self, table: str, staged: str | None = None, spread: int | None = None, **options
@@ -206,8 +203,11 @@ class PgDump:
         for header in self.headers.get(table, []):
             fields = [Field(h, *_kind(declared.get(h.lower()))) for h in header]
             if staged:
+                names = F.array(*map(F.lit, header))
                 raw = self.spark.read.parquet(staged).filter(
-                    (F.col("table_name") == table) & (F.col("columns") == ",".join(header))
+                    (F.col("part") == part_key(F.lit(table), F.to_json(names)))
+                    & (F.col("table_name") == table)
+                    & (F.col("header") == names)
                 )
             else:
                 raw = self._within(blocks.filter(F.col("header") == F.array(*map(F.lit, header))))

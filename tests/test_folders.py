@@ -263,7 +263,41 @@ def test_detect_folders(spark, tmp_path, write):
     write("in/other/readme.txt", "x")
     got = {r.folder.rsplit("/", 1)[1]: r.format for r in detect_folders(spark, str(tmp_path / "in")).collect()}
     assert got == {"shell": "mysqlshell", "lone": "mysqldump", "chunks": "mysqlshell", "other": "unknown"}
-    assert probe(spark, str(tmp_path / "in" / "lone")) == ("mysqldump", False)
-    assert probe(spark, str(tmp_path / "in" / "shell"))[0] == "mysqlshell"
+    assert probe(spark, str(tmp_path / "in" / "lone")) == "mysqldump"
+    assert probe(spark, str(tmp_path / "in" / "shell")) == "mysqlshell"
     with pytest.raises(ValueError):
         open_dump(spark, str(tmp_path / "in" / "other"))
+
+
+def _tables(names, rows=2):
+    return "-- MySQL dump\n" + "".join(
+        f"CREATE TABLE `{n}` (\n  `k` int,\n  `v` text,\n  KEY `by_k` (`k` DESC)\n);\n"
+        + "INSERT INTO `{}` VALUES {};\n".format(n, ",".join(f"({i},'{n}{i}')" for i in range(rows)))
+        for n in names
+    )
+
+
+def test_load_is_the_same_for_any_number_of_tables(spark, write, tmp_path):
+    names = ["T", "t", "01", "1", "größe"]
+    path = write("names.sql", _tables(names))
+    for part in (names[:1], names[:4], names):
+        dest = str(tmp_path / f"lake{len(part)}")
+        result = load(spark, path, dest, identifier_case="preserve", tables=part)
+        for n in part:
+            assert sorted(map(tuple, result.table(n).collect())) == [(i, f"{n}{i}") for i in range(2)]
+
+
+def test_sorted_report_counts_once(spark, write, tmp_path):
+    text = _tables(["a"], 500).replace("(3,'a3')", "(3,'a3',9)")
+    result = load(spark, write("a.sql", text), str(tmp_path / "lake"), sort_by_index=True)
+    assert [r[2:6] for r in map(tuple, result.report.collect())] == [(500, 499, 1, 0)]
+    again = load(spark, write("b.sql", _tables(["a"], 5)), str(tmp_path / "lake"), mode="overwrite")
+    assert load_rejects(spark, again).count() == 0
+
+
+def test_used_place_is_left_alone(spark, write, tmp_path):
+    dest = str(tmp_path / "lake")
+    load(spark, write("b.sql", _tables(["b"])), dest)
+    with pytest.raises(ValueError):
+        load(spark, write("ab.sql", _tables(["a", "b"])), dest)
+    assert not (tmp_path / "lake" / "a").exists()
