@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATES, PAIRS, MEMO, DEEP, NEVER = 60_000, 400_000, 150_000, 4, 1 << 60
+STATES, PAIRS, MEMO, DEEP, NEVER = 60_000, 400_000, 300_000, 4, 1 << 60
 ROWS = 256
 
 
@@ -211,25 +213,38 @@ class Codec:
         self.older: dict[str, list[int]] = {}
         self.limit = memo
         self.bytes = [self.transducer.tokens[i] for i in range(len(ranks))]
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.spelling = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
+        memo = self.memo
         if len(memo) > self.limit:
             self.older, self.memo = memo, {}
             memo = self.memo
-        known = memo.get
-        for piece in self.cut(text):
-            ids = known(piece)
-            if ids is None:
-                ids = self.older.get(piece) or self.transducer.encode(piece.encode())
-                if len(piece) < 64:
-                    memo[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
-        stream, table = Utf8Stream(), self.bytes
-        out = [stream.feed(b"".join([table[i] for i in ids[k : k + chunk]])) for k in range(0, len(ids), chunk)]
+        pieces = self.cut(text)
+        found = list(map(memo.get, pieces))
+        if None in found:
+            for n, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[n]
+                    ids = memo.get(piece) or self.older.get(piece) or self.transducer.encode(piece.encode())
+                    if len(piece) < 64:
+                        memo[piece] = ids
+                    found[n] = ids
+        return list(chain.from_iterable(found))
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, gathered from all tokens' bytes."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + sizes, sizes)
+        return self.spelling[at].tobytes()
+
+    def decode(self, ids: np.ndarray | list[int], chunk: int = 65_536) -> str:
+        """Text of tokens, ``chunk`` tokens at a time."""
+        stream, ids = Utf8Stream(), np.asarray(ids, np.int64)
+        out = [stream.feed(self.spelled(ids[k : k + chunk])) for k in range(0, len(ids), chunk)]
         return "".join(out) + stream.finish()
 
 
@@ -287,8 +302,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
         for batch in _spread(batches):
-            rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            found = pa.array([codec.decode(row or []) for row in rows], pa.string())
+            lists = batch.column(batch.schema.get_field_index(ids))
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            found = pa.array([codec.decode(flat[a:b]) for a, b in zip(edges, edges[1:])], pa.string())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*columns, found], [*others, text])
 
