@@ -102,6 +102,56 @@ def mysqldump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mysqldump(spark, path, "documents")
 
 
+@query("a3_mixed_line_ends", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def mixed_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the customers in files with LF, half with CR LF."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    paths = [
+        encode.write_mysqldump({"customer": c.filter(F.col("c_custkey") % 2 == i)}, shared_folder(spark, "mysql"))
+        for i in (0, 1)
+    ]
+    folder = shared_folder(spark, "crlf")
+    spark.read.text(paths[1]).write.option("lineSep", "\r\n").text(folder)
+    return read_mysqldump(spark, [paths[0], f"{folder}/*.txt"], "customer")
+
+
+@query("a3_cut_statement", "SELECT p_partkey, p_name || ';' || chr(10) || p_type AS p_name FROM part")
+def cut_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends stand in strings as they are, after a semicolon."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(";\n", "p_name", "p_type").alias("p_name"))
+    path = encode.write_mysqldump({"part": p}, shared_folder(spark, "mysql"))
+    folder = shared_folder(spark, "cut")
+    spark.read.text(path).select(F.replace("value", F.lit("\\n"), F.lit("\n"))).write.text(folder)
+    return read_mysqldump(spark, f"{folder}/*.txt", "part")
+
+
+@query("a3_trigger_body", "SELECT s_suppkey, s_name FROM supplier")
+def trigger_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trigger after each INSERT, which would insert the same rows again."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    path = encode.write_mysqldump({"supplier": s}, shared_folder(spark, "mysql"))
+    value = F.col("value")
+    body = F.concat(
+        F.lit("DELIMITER ;;\n/*!50003 CREATE*/ /*!50003 TRIGGER `again` AFTER INSERT ON `x` FOR EACH ROW BEGIN\n"),
+        value, F.lit("\n"), value, F.lit("\nEND */;;\nDELIMITER ;"),
+    )
+    folder = shared_folder(spark, "trigger")
+    lines = F.when(value.startswith("INSERT"), F.concat(value, F.lit("\n"), body)).otherwise(value)
+    spark.read.text(path).select(lines).write.text(folder)
+    return read_mysqldump(spark, f"{folder}/*.txt", "supplier")
+
+
+NAMES = {"größe-1": "customer", "01": "part", "1": "nation", "T": "region", "t": "supplier"}
+
+
+@query(
+    "a3_a10_names", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {t}" for n, t in NAMES.items())
+)
+def hard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {n: table(spark, sf_dir, t) for n, t in NAMES.items()}
+    return MysqlDump(spark, encode.write_mysqldump(tables, shared_folder(spark, "mysql"))).counts()
+
+
 @query("a3_mysqldump_nulls", AWKWARD)
 def mysqldump_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = encode.write_mysqldump({"customer": _awkward_customers(spark, sf_dir)}, shared_folder(spark, "mysql"))
@@ -332,7 +382,7 @@ def load_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, path, shared_folder(spark, "loaded")).table("orders")
 
 
-def _damaged_lines(spark: SparkSession, sf_dir: str) -> str:
+def _damaged_lines(spark: SparkSession, sf_dir: str, after: str = "") -> str:
     """A COPY dump where every 10th customer lacks a field and every 9th has a broken number."""
     c = table(spark, sf_dir, "customer")
     mark = F.when(F.col("c_custkey") % 9 == 4, "#").otherwise("")
@@ -343,7 +393,7 @@ def _damaged_lines(spark: SparkSession, sf_dir: str) -> str:
     )
     folder = shared_folder(spark, "pg")
     create = "CREATE TABLE public.customer (\n    id bigint,\n    name text,\n    segment text\n);"
-    spark.createDataFrame([(create,)], "value string").write.text(f"{folder}/schema")
+    spark.createDataFrame([(create + after,)], "value string").write.text(f"{folder}/schema")
     encode.framed(lines, ["COPY public.customer (id, name, segment) FROM stdin;"], ["\\."]).write.text(f"{folder}/rows")
     return f"{folder}/*/*.txt"
 
@@ -363,6 +413,20 @@ def reject_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_rejects(spark, result).groupBy("reason", "dropped").agg(F.count("*").alias("n"))
 
 
+@query(
+    "b6_k5_report_sorted",
+    """
+SELECT count(*) AS rows_read, count(*) FILTER (c_custkey % 10 <> 0) AS rows_loaded,
+       count(*) FILTER (c_custkey % 10 = 0) AS rows_rejected FROM customer
+""",
+)
+def sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laid out by an index in descending order, with rejects."""
+    path = _damaged_lines(spark, sf_dir, "\nCREATE INDEX by_id ON public.customer USING btree (id DESC NULLS LAST);")
+    result = load(spark, path, shared_folder(spark, "loaded"), fmt="pg_dump", sort_by_index=True)
+    return result.report.select("rows_read", "rows_loaded", "rows_rejected")
+
+
 @query(
     "d5_arity_filter",
     """

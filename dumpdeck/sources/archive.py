@@ -8,11 +8,13 @@ folder; nothing is held whole in memory.
 from __future__ import annotations
 
 import os
+import re
 import tarfile
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -34,18 +36,21 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Filesystem and path of a name as Spark prints it, which isn't escaped."""
+    local = re.fullmatch(r"file:/+(.*)", uri, re.DOTALL)
+    if local or "://" not in uri:
+        return fs.LocalFileSystem(), f"/{local[1]}" if local else uri
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/@:')}")
+
+
 def open_uri(uri: str):
     """Seekable stream of a file on any filesystem pyarrow knows."""
-    system, path = fs.FileSystem.from_uri(_uri(uri))
+    system, path = file_system(uri)
     return system.open_input_file(path)
 
 
-def _uri(path: str) -> str:
-    # Spark prints local files as file:/x, pyarrow wants file:///x.
-    short = path.startswith("file:/") and not path.startswith("file://")
-    return path.replace("file:/", "file:///", 1) if short else path
-
-
 def _safe(name: str) -> str | None:
     """Relative member path, or None for one that would leave the folder."""
     clean = os.path.normpath(name.replace("\\", "/"))
@@ -72,7 +77,7 @@ def _contents(uri: str, member: str | None) -> Iterator[tuple[str, object]]:
 
 
 def _unpack(uri: str, only: str | None, folder: str) -> Iterator[tuple[str, str, str, int]]:
-    system, root = fs.FileSystem.from_uri(_uri(folder))
+    system, root = file_system(folder)
     for name, source in _contents(uri, only):
         member = _safe(name)
         if member is None:

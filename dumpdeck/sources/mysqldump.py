@@ -79,13 +79,16 @@ def read_records(spark: SparkSession, path: str | list[str], crlf: bool | None =
     ends = {True: ";\r\n", False: ";\n"}
     if crlf is not None:
         return read(path, ends[crlf])
-    found: dict[bool, list[str]] = {}
-    for one in [path] if isinstance(path, str) else path:
-        for r in detect_files(spark, one).select("path", "crlf").toLocalIterator():
-            found.setdefault(r.crlf, []).append(r.path)
-    if len(found) < 2:
-        return read(path, ends[next(iter(found), False)])
-    return read(found[False], ends[False]).unionByName(read(found[True], ends[True]))
+    files = [detect_files(spark, one) for one in ([path] if isinstance(path, str) else path)]
+    kinds = {r.crlf for f in files for r in f.select("crlf").distinct().collect()}
+    if len(kinds) < 2:
+        return read(path, ends[next(iter(kinds), False)])
+    # Only a mixed folder is read by file name; Spark holds the list of files on the driver anyway.
+    parts = []
+    for kind in (False, True):
+        names = [r.path for f in files for r in f.filter(F.col("crlf") == kind).select("path").collect()]
+        parts.append(read(names, ends[kind]))
+    return parts[0].unionByName(parts[1])
 
 
 def read_statements(spark: SparkSession, path: str | list[str], crlf: bool | None = None) -> DataFrame:
