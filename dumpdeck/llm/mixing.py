@@ -124,8 +124,6 @@ def streams(sizes: DataFrame, per: DataFrame, chunk: int = CHUNK, seed: int = SE
 
 def blocks(placed: DataFrame, intervals: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """src, rank, start, pass, from_word, to_word: the pieces of documents that make up each block."""
-    last = F.floor((F.col("take") - 1) / F.col("step")).cast("long")
-
     def edge(rank: Column) -> Column:
         return F.floor(rank * F.col("step")).cast("long")
 
