@@ -103,7 +103,7 @@ def _load(spark, dump, dest, mode, identifier_case, tables, sort_by_index, paral
         # Before anything is written: a load into a used place leaves it as it is.
         taken = [n for n, target in targets.items() if path_exists(spark, target)]
         if taken:
-            raise ValueError(f"{dest} already holds {', '.join(sorted(taken))}")
+            raise ValueError(f"{dest}: already exists: {', '.join(sorted(taken))}")
     if mode == "overwrite":
         for folder in reject_folders.values():
             delete_folder(spark, folder)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dumpdeck.operators import audit, changes, export, history, layout, load, page
 from dumpdeck.sources.perf import perf_items
-from tests.test_pgdump import FULL
 
 
 @pytest.fixture
@@ -231,26 +230,52 @@ def test_perf_items(spark):
     assert perf_items(spark, 5).orderBy("id").collect()[4].category == "foxtrot"
 
 
+TIDES = """-- PostgreSQL database dump
+CREATE TABLE public.gauge (
+    code text NOT NULL,
+    height numeric(6,2)
+);
+CREATE TABLE public."Level" (
+    seen timestamp without time zone,
+    gauge text,
+    cm integer
+);
+CREATE TABLE public.nothing (
+    z integer
+);
+COPY public."Level" (seen, gauge, cm) FROM stdin;
+2020-05-01 00:00:00\tA\t112
+2020-05-01 00:10:00\tA
+2020-05-01 00:20:00\tB\thigh
+\\.
+COPY public.gauge (code, height) FROM stdin;
+A\t3.25
+B\t\\N
+\\.
+CREATE UNIQUE INDEX gauge_code ON public.gauge USING btree (code);
+CREATE INDEX level_cm ON public."Level" USING btree (cm DESC);
+"""
+
+
 def test_load(spark, write, tmp_path):
-    text = FULL.replace("10\t1\t99.50\n", "10\t1\t99.50\n11\t1\n12\tx\t1\n")
-    path, dest = write("dump.sql", text), str(tmp_path / "out")
+    path, dest = write("dump.sql", TIDES), str(tmp_path / "out")
     result = load.load(spark, path, dest)
     report = {r.table_name: r for r in result.report.collect()}
-    assert set(report) == {"Empty", "orders", "users"}
-    assert report["orders"][2:6] == (3, 2, 1, 1) and report["users"][2:6] == (2, 2, 0, 0)
-    assert result.table("Empty").count() == 0 and result.targets["Empty"].endswith("/empty")
-    assert sorted(r.id for r in result.table("orders").collect()) == [10, 12]
+    assert set(report) == {"Level", "gauge", "nothing"}
+    assert report["Level"][2:6] == (3, 2, 1, 1) and report["gauge"][2:6] == (2, 2, 0, 0)
+    assert result.table("nothing").count() == 0 and result.targets["Level"].endswith("/level")
+    assert sorted(r.gauge for r in result.table("Level").collect()) == ["A", "B"]
     assert {(r.table_name, r.reason, r.dropped) for r in load.load_rejects(spark, result).collect()} == {
-        ("orders", "expected 3 fields, got 2", True), ("orders", "does not fit: user_id", False),
+        ("Level", "expected 3 fields, got 2", True), ("Level", "does not fit: cm", False),
     }
     assert result.totals().filter("table_name IS NULL").first().rows_loaded == 4
-    assert [r.column_name for r in result.unique_columns.collect()] == ["email"]
-    assert {r.name for r in result.indexes.collect()} == {"users_email", "orders_user"}
+    assert [r.column_name for r in result.unique_columns.collect()] == ["code"]
+    assert {r.name for r in result.indexes.collect()} == {"gauge_code", "level_cm"}
     assert result.fk_problems.count() == 0
-    assert result.warnings == ["orders: 1 rows dropped, 1 rows with unreadable values"]
-    with pytest.raises(Exception, match="exists"):
+    assert result.warnings == ["Level: 1 rows dropped, 1 rows with unreadable values"]
+    with pytest.raises(ValueError, match="exists"):
         load.load(spark, path, dest)
-    again = load.load(spark, path, dest, mode="overwrite", tables=["users"])
+    again = load.load(spark, path, dest, mode="overwrite", tables=["gauge"])
     assert again.report.count() == 1
 
 
@@ -267,3 +292,16 @@ def test_load_names(spark, write, tmp_path):
     result = load.load(spark, wide, str(tmp_path / "c"), fmt="pg_dump")
     assert result.warnings == ["w.a: DECIMAL(60,2) has no Spark type, kept as text"]
     assert result.table("w").first().a == "1.5"
+
+
+def test_foreign_key_without_target_columns(spark):
+    """It means the parent's primary key, whatever its name."""
+    tables = {
+        "p": spark.createDataFrame([(1,), (2,)], "code long"),
+        "c": spark.createDataFrame([(10, 1), (11, 3), (12, None)], "id long, p_code long"),
+    }
+    columns = spark.createDataFrame([], "dump string, table_name string, column_name string, not_null boolean")
+    layout = "dump string, table_name string, kind string, name string, columns array<string>, ref_table string, ref_columns array<string>"
+    rules = [("d", "p", "pk", "k", ["code"], None, None), ("d", "c", "fk", "f", ["p_code"], "p", [])]
+    found = audit.check_declared(tables, columns, spark.createDataFrame(rules, layout)).collect()
+    assert sorted(tuple(r) for r in found) == [("c", "fk", "p_code", 1), ("p", "pk", "code", 0)]
