@@ -252,10 +252,11 @@ def near_groups(
     if not more.isEmpty():  # links between components: merge these
         ends = []
         for c in "ab":
-            end = known.withColumnsRenamed({"node": c, "component": f"c{c}"})
+            end = known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
             more = more.join(end, c, "left")
             ends.append(F.coalesce(f"c{c}", c).alias(c))
-        above = components(cut(more.select(*ends))).withColumnsRenamed({"node": "component", "component": "top"})
+        above = components(cut(more.select(*ends)))
+        above = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
         joined = known.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         lone = above.join(known.select("component"), "component", "left_anti")
         known = joined.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component")))

@@ -187,3 +187,20 @@ def test_hot_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = minhash.near_groups(df, words=4).filter(F.col("kept")).count()
     assert got == 1 + len({c for d, (_, c) in near([r for r in rows if r[0] % 3], 4).items()})
+
+
+def test_links_that_no_leader_has(spark):
+    """In a bucket led by a stranger, two texts that are like each other only are still linked."""
+    pick = random.Random(21)
+    rows = []
+    for f in range(30):
+        body = prose(pick, 120).split()
+        stranger = body[:80] + prose(pick, 60).split()
+        other = list(body)
+        other[-1] = "other"
+        rows += [(10 * f, " ".join(stranger)), (10 * f + 1, " ".join(body)), (10 * f + 2, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(df, words=4, bands=1, rows=1).collect()}
+    assert all(got[10 * f] == 10 * f and got[10 * f + 1] == 10 * f + 1 for f in range(30))
+    linked = sum(got[10 * f + 2] == 10 * f + 1 for f in range(30))
+    assert linked >= 25 and all(got[10 * f + 2] in (10 * f + 1, 10 * f + 2) for f in range(30))
