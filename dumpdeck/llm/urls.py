@@ -2,12 +2,13 @@
 
 Rules are (host, path prefix, verdict); a rule fits its host and all subdomains if the URL's path starts
 with the rule's path, and the longest wins. URLs that no rule fits are judged by boosted trees over
-length, depth, digit ratio, entropy, parameter counts and suffix statistics (smoothed shares of bad URLs
-per host suffix in the training rows), trained on labelled URLs.
+length, depth, digit ratio, entropy, parameter counts and suffix statistics (smoothed shares of bad rows
+per host suffix over all labelled rows), trained on labelled URLs.
 
-Training uses at most ``sample`` labelled rows, those with the least hash of their URL; scoring covers
-every row and stays in the JVM. Suffix statistics come from the training rows, one row per suffix, and
-are joined, not broadcast by hand.
+Only the trees are fitted to a sample: at most ``sample`` distinct (URL, label) pairs of least hash by
+count, half of each kind where there are enough, weighted by count. A training row's suffix statistics
+leave out the tenth of the labelled URLs that its own is in. Scoring covers every row and stays in the JVM.
+Suffix statistics have one row per suffix and are joined, not broadcast by hand.
 
 Edge cases: null URLs and URLs without ``://`` have an empty host and path; no rule fits them and the
 trees judge them by their features. Without labelled rows of both kinds every such URL is allowed. Repeated
@@ -28,6 +29,8 @@ from dumpdeck.llm.common import cut
 #: Fixed values of the query: block or allow a host suffix, below a path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SAMPLE, TREES, DEPTH, BLOCK_AT = 20_000, 10, 3, 0.5
+SMOOTH, FOLDS = 20.0, 10
+SUFFIXES = {"_u_top": "_u_suffix", "_u_site": "_u_domain"}
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
     "_u_length", "_u_host_length", "_u_path_length", "_u_labels", "_u_depth", "_u_digits", "_u_host_digits",
@@ -89,14 +92,20 @@ def lexical(urls: DataFrame) -> DataFrame:
     return df.withColumns({"_u_top": _suffix(F.col("host"), 1), "_u_site": _suffix(F.col("host"), 3)})
 
 
-def suffix_statistics(labelled: DataFrame, smooth: float = 20.0) -> tuple[DataFrame, DataFrame, float]:
+def suffix_counts(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Labelled rows and bad ones among them per host suffix and fold; ``labelled`` has ``_u_n`` rows in each."""
+    sums = F.sum("_u_n").alias("_u_all"), F.sum(F.col("bad") * F.col("_u_n")).alias("_u_bad")
+    return {s: cut(labelled.groupBy(s, "_u_fold").agg(*sums)) for s in SUFFIXES}
+
+
+def _share(bad: Column, n: Column, prior: float) -> Column:
+    return (bad + SMOOTH * prior) / (n + SMOOTH)
+
+
+def suffix_statistics(counts: dict[str, DataFrame], prior: float) -> tuple[DataFrame, DataFrame, float]:
     """Smoothed share of bad rows per last label and per last three labels of the host, and over all."""
-    bad, n = labelled.agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double"), F.count("*")).first()
-    prior = bad / n if n else 0.0
-    share = (F.sum("bad") + smooth * prior) / (F.count("*") + smooth)
-    tops = labelled.groupBy("_u_top").agg(share.alias("_u_suffix"))
-    sites = labelled.groupBy("_u_site").agg(share.alias("_u_domain"))
-    return tops, sites, prior
+    share = _share(F.sum("_u_bad"), F.sum("_u_all"), prior)
+    return *(cut(counts[s].groupBy(s).agg(share.alias(name))) for s, name in SUFFIXES.items()), prior
 
 
 def with_statistics(urls: DataFrame, statistics) -> DataFrame:
@@ -105,23 +114,54 @@ def with_statistics(urls: DataFrame, statistics) -> DataFrame:
     return df.fillna(prior, ["_u_suffix", "_u_domain"])
 
 
+def with_outer_statistics(rows: DataFrame, counts: dict[str, DataFrame], prior: float) -> DataFrame:
+    """Training rows with the shares over all labelled rows but those of their own fold, so never their own label."""
+    for s, name in SUFFIXES.items():
+        whole = counts[s].groupBy(s).agg(F.sum("_u_all").alias("_u_all_of"), F.sum("_u_bad").alias("_u_bad_of"))
+        rows = rows.join(counts[s], [s, "_u_fold"]).join(whole, s)
+        share = _share(F.col("_u_bad_of") - F.col("_u_bad"), F.col("_u_all_of") - F.col("_u_all"), prior)
+        rows = rows.withColumn(name, share).drop("_u_all", "_u_bad", "_u_all_of", "_u_bad_of")
+    return rows
+
+
+def draw(labelled: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows with ``_u_weight``: those of least hash by count, so frequent rows come first.
+
+    A row left out is made up for by the weight of those drawn: each weighs its count, at least the count
+    above which a row would be drawn for sure (priority sampling).
+    """
+    hashed = (F.pmod(F.xxhash64("url"), F.lit(2**52)) + 1) / F.lit(float(2**52))
+    ranked = labelled.withColumn("_u_rank", hashed / F.col("_u_n"))
+    drawn = cut(ranked.orderBy("_u_rank", "url").limit(size + 1))
+    n, last = drawn.agg(F.count("*"), F.max("_u_rank")).first()
+    count = F.col("_u_n").cast("double")
+    if n <= size:
+        return drawn.withColumn("_u_weight", count)
+    return drawn.filter(F.col("_u_rank") < last).withColumn("_u_weight", F.greatest(count, F.lit(1 / last)))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH):
     """The fitted model and its statistics from rows (url, bad 0/1), or None without rows of both kinds."""
-    rows = labelled.select("url", "bad").filter("bad IS NOT NULL").orderBy(F.xxhash64("url"), "url", "bad").limit(sample)
-    rows = cut(lexical(rows))
-    kinds = {r[0] for r in rows.select("bad").distinct().collect()}
+    rows = labelled.filter("bad IS NOT NULL").groupBy("url", "bad").agg(F.count("*").alias("_u_n"))
+    host = parts()[0]
+    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))
+    rows = cut(rows.withColumns({"_u_top": _suffix(host, 1), "_u_site": _suffix(host, 3), "_u_fold": fold}))
+    kinds = {r.bad: r for r in rows.groupBy("bad").agg(F.count("*").alias("urls"), F.sum("_u_n").alias("n")).collect()}
     if len(kinds) < 2:
         return None
-    tops, sites, prior = suffix_statistics(rows)
-    statistics = cut(tops), cut(sites), prior
-    rows = with_statistics(rows, statistics).select(*FEATURES, F.col("bad").cast("double").alias("label"))
+    prior = kinds[1].n / (kinds[0].n + kinds[1].n)
+    # Half of the sample for each kind, more where the other kind has less.
+    size = {k: max(sample - sample // 2, sample - kinds[1 - k].urls) for k in kinds}
+    drawn = draw(rows.filter("bad = 0"), size[0]).unionByName(draw(rows.filter("bad = 1"), size[1]))
+    counts = suffix_counts(rows)
+    drawn = with_outer_statistics(cut(lexical(drawn)), counts, prior).select(*FEATURES, "_u_weight", F.col("bad").cast("double").alias("label"))
     trees_ = GBTClassifier(
-        featuresCol="_u_vector", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7,
-        predictionCol="_u_prediction",
+        featuresCol="_u_vector", labelCol="label", weightCol="_u_weight", maxIter=trees, maxDepth=depth, maxBins=32,
+        seed=7, predictionCol="_u_prediction",
     )
     trees_ = trees_.setRawPredictionCol("_u_raw").setProbabilityCol("_u_probability")
     stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="_u_vector"), trees_]
-    return Pipeline(stages=stages).fit(rows), statistics
+    return Pipeline(stages=stages).fit(drawn), suffix_statistics(counts, prior)
 
 
 def filter_urls(urls: DataFrame, labelled: DataFrame, rules=RULES, block_at: float = BLOCK_AT, **how) -> DataFrame:

@@ -206,6 +206,32 @@ def test_trees_learn_from_labels(spark):
     assert len(judged) == 300 and right >= 290
 
 
+def test_suffix_shares_over_all_labels(spark):
+    # Hosts differ in their labels only: 20 hosts of 40 URLs, one URL has a third of all rows, the trees see a tenth.
+    rows = [(f"http://h{h:02d}.one.site/{h}{i:02d}", int(h < 8), 1) for h in range(20) for i in range(40)]
+    rows.append(("http://many.site/000", 0, 400))
+    labelled = spark.createDataFrame(rows, "url string, bad int, n int")
+    labelled = labelled.select("url", "bad", F.explode(F.sequence(F.lit(1), "n"))).drop("col").repartition(4)
+    model, (tops, sites, prior) = urls.train(labelled, sample=80)
+    assert prior == 320 / 1200 and tops.collect() == [("site", (320 + 20 * prior) / 1220)]
+    shares = {r._u_site: r._u_domain for r in sites.collect()}
+    assert len(shares) == 21 and shares["many.site"] == 20 * prior / 420
+    assert all(shares[f"h{h:02d}.one.site"] == (40 * (h < 8) + 20 * prior) / 60 for h in range(20))
+    new = spark.createDataFrame([(h, f"http://h{h:02d}.one.site/{h}99") for h in range(20)], "page_id long, url string")
+    judged = urls.filter_urls(new, labelled, sample=80).collect()
+    assert {r.page_id for r in judged if r.verdict == "block"} == set(range(8))
+
+
+def test_tree_sample(spark):
+    rows = [(f"http://a.site/{i}", 0, "a.site", 1) for i in range(300)] + [("http://many.site/", 0, "many.site", 500)]
+    rows = spark.createDataFrame(rows, "url string, bad int, _u_site string, _u_n long")
+    drawn = urls.draw(rows, 50).collect()
+    weights = {r.url: r._u_weight for r in drawn}
+    assert len(drawn) == len(weights) == 50 and weights["http://many.site/"] == 500
+    assert abs(sum(weights.values()) - 800) < 150
+    assert {r._u_weight for r in urls.draw(rows, 301).collect()} == {1, 500}
+
+
 PAGES = [
     ("<body><nav><a>x</a></nav><article><h1>A &amp; B</h1><p>One  <b>bold</b>\n text.<br>Two<p>Of.</article><footer>f</footer>", "A & B\nOne bold text. Two\nOf."),
     ('<div class="cookie-notice">We use cookies</div><div id="main"><h1>T</h1><p>Hello there, this is an article.</p></div><div class="sidebar"><p>me</p></div>', "T\nHello there, this is an article."),
