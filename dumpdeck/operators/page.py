@@ -74,18 +74,37 @@ def preview(df: DataFrame, n: int = PREVIEW) -> DataFrame:
     return df.limit(n)
 
 
-def _after(keys: list[str], last: list, strict: bool = True) -> Column:
+def _keys(df: DataFrame, keys: list[str], last: list) -> tuple[Column, Column]:
+    """Keys of the rows and a key, as structs, in which nulls come first like in a sort."""
+    types = [f.dataType for f in df.select(*keys).schema]
+    there = [(F.lit(v) if v is not None else F.lit(None).cast(t)).alias(k) for k, v, t in zip(keys, last, types)]
+    return F.struct(*keys), F.struct(*there)
+
+
+def _after(df: DataFrame, keys: list[str], last: list, strict: bool = True) -> Column:
     """Rows after a key. The condition on the first key alone reaches the file statistics."""
-    here = F.struct(*keys)
-    there = F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last)])
+    first, value = F.col(keys[0]), F.lit(last[0])
+    if len(keys) == 1:
+        if last[0] is None:
+            return first.isNotNull() if strict else F.lit(True)
+        return first > value if strict else first >= value
+    here, there = _keys(df, keys, last)
+    after = here > there if strict else here >= there
+    return after if last[0] is None else (first >= value) & after
+
+
+def _before(df: DataFrame, keys: list[str], last: list) -> Column:
+    """Rows before a key; those whose first key is null come first of all."""
+    first, value = F.col(keys[0]), F.lit(last[0])
     if len(keys) == 1:
-        return F.col(keys[0]) > F.lit(last[0]) if strict else F.col(keys[0]) >= F.lit(last[0])
-    return (F.col(keys[0]) >= F.lit(last[0])) & (here > there if strict else here >= there)
+        return F.lit(False) if last[0] is None else first.isNull() | (first < value)
+    here, there = _keys(df, keys, last)
+    return (first.isNull() if last[0] is None else first.isNull() | (first <= value)) & (here < there)
 
 
 def keyset_page(df: DataFrame, keys: list[str], size: int = PAGE, after: list | None = None) -> DataFrame:
-    """The ``size`` rows after a key, in key order. Keys must be unique together and not null."""
-    rows = df if after is None else df.filter(_after(keys, after))
+    """The ``size`` rows after a key, in key order. Keys must be unique together; nulls come first."""
+    rows = df if after is None else df.filter(_after(df, keys, after))
     return rows.orderBy(*keys).limit(size)
 
 
@@ -144,14 +163,16 @@ def _narrow(df: DataFrame, keys: list[str], offset: int, size: int) -> tuple[Dat
     only = df.select(*keys)
     total = only.count()
     fraction = min(1.0, SAMPLE / max(total, 1))
-    sample = sorted(tuple(r) for r in only.sample(fraction, seed=1).limit(4 * SAMPLE).collect())
+    # Sorted by Spark, whose order the pages follow: Python cannot compare nulls.
+    sample = only.sample(fraction, seed=1).limit(4 * SAMPLE).orderBy(*keys).collect()
     step = max(len(sample) // CUTS, 1)
-    cuts = sorted(set(sample[step::step]))
+    cuts = [tuple(r) for r in sample[step::step]]
+    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
     if not cuts:
         return None
     # Rows at or after each cut, in one pass: one counter per cut.
     counts = only.agg(
-        *[F.count_if(_after(keys, list(c), strict=False)).alias(f"n{i}") for i, c in enumerate(cuts)]
+        *[F.count_if(_after(df, keys, list(c), strict=False)).alias(f"n{i}") for i, c in enumerate(cuts)]
     ).first()
     starts = [total - n for n in counts]
     low = max((i for i, s in enumerate(starts) if s <= offset), default=None)
@@ -160,9 +181,9 @@ def _narrow(df: DataFrame, keys: list[str], offset: int, size: int) -> tuple[Dat
         return None
     conditions = []
     if low is not None:
-        conditions.append(_after(keys, list(cuts[low]), strict=False))
+        conditions.append(_after(df, keys, list(cuts[low]), strict=False))
     if high is not None:
-        conditions += [~_after(keys, list(cuts[high]), strict=False), F.col(keys[0]) <= F.lit(cuts[high][0])]
+        conditions.append(_before(df, keys, list(cuts[high])))
     begin = starts[low] if low is not None else 0
     end = starts[high] if high is not None else total
     if end - begin == total:

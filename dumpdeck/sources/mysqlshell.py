@@ -6,6 +6,8 @@ The dump tool cuts tables into chunks of bounded size; each chunk is one task.
 from __future__ import annotations
 
 import json
+import re
+import urllib.parse
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,14 +33,28 @@ class TableMeta:
     primary_index: str | None = None
 
 
-def _texts(spark: SparkSession, folder: str, glob: str) -> dict[str, str]:
-    """Small metadata files by decoded name."""
+def _file_name() -> Column:
+    """Name of a file as it is in its folder; schema and table names in it are still percent-encoded."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    found = (
-        spark.read.option("pathGlobFilter", glob)
-        .text(folder, wholetext=True)
-        .select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"), "value")
-    )
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _plain(name: Column) -> Column:
+    """A schema or table name out of a file name."""
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+
+def _owner(extension: Column) -> tuple[Column, Column]:
+    """Schema and table of a data file: ``schema@table.extension`` or ``schema@table@@number.extension``."""
+    parts = F.split(_file_name(), "@")
+    table = F.get(parts, F.lit(1))
+    bare = F.when(F.size(parts) > 2, table).otherwise(F.regexp_replace(table, extension, F.lit("")))
+    return _plain(F.get(parts, F.lit(0))), _plain(bare)
+
+
+def _texts(spark: SparkSession, folder: str, glob: str) -> dict[str, str]:
+    """Small metadata files by file name."""
+    found = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(_file_name().alias("name"), "value")
     return {r.name: r.value for r in found.collect()}
 
 
@@ -53,7 +69,7 @@ class MysqlShellDump:
             raise FileNotFoundError(f"{folder}: MySQL Shell dump metadata file @.json not found")
         self.schemas = json.loads(metas["@.json"]).get("schemas", [])
         self._metas = {
-            tuple(name[: -len(".json")].split("@", 1)): _parse_meta(text)
+            tuple(map(urllib.parse.unquote, name[: -len(".json")].split("@", 1))): _parse_meta(text)
             for name, text in metas.items()
             if not name.startswith("@") and name.count("@") == 1
         }
@@ -61,7 +77,7 @@ class MysqlShellDump:
             spark.read.option("pathGlobFilter", "*.sql")
             .text(self.folder, wholetext=True)
             .select(
-                F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -1).alias("dump"),
+                _file_name().alias("dump"),
                 F.explode(F.split("value", r";\s*(?:\n|\z)")).alias("statement"),
             )
             .withColumn("statement", F.regexp_replace("statement", LEADING, ""))
@@ -82,7 +98,7 @@ class MysqlShellDump:
     @staticmethod
     def _qualified(df: DataFrame) -> DataFrame:
         """Table names as ``schema.table``: two schemas may hold the same table name."""
-        schema = F.substring_index("dump", "@", 1)
+        schema = _plain(F.substring_index("dump", "@", 1))
         return df.withColumn("table_name", F.concat_ws(".", schema, "table_name"))
 
     def close(self) -> None:
@@ -113,12 +129,13 @@ class MysqlShellDump:
         schema, name = self._split(table)
         extension = self.meta(table).extension
         # Chunked tables number their files; others have one.
-        glob = f"{schema}@{name}{{@*,}}.{extension}"
+        owner, stored = _owner(F.lit(rf"\.{re.escape(extension)}$"))
         number = F.regexp_extract("_metadata.file_name", r"@@?(\d+)\.", 1)
         return (
-            self.spark.read.option("pathGlobFilter", glob)
+            self.spark.read.option("pathGlobFilter", f"*@*.{extension}")
             .schema("value string")
             .text(self.folder)
+            .filter((owner == schema) & (stored == name))
             .select(
                 F.col("_metadata.file_path").alias("dump"),
                 F.coalesce(number.try_cast("long"), F.lit(2**63 - 1)).alias("chunk"),
@@ -130,14 +147,13 @@ class MysqlShellDump:
     def counts(self) -> DataFrame:
         """``(table_name, n)`` over all chunk files in one scan, 0 where there are none."""
         declared = self._declared.select("table_name").distinct()
-        parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), "@")
-        name = F.regexp_replace(F.get(parts, F.lit(1)), r"\.tsv(\.\w+)?$", "")
+        owner, stored = _owner(F.lit(r"\.tsv(\.\w+)?$"))
         counted = (
             self.spark.read.option("pathGlobFilter", "*@*.tsv{.zst,.gz,}")
             .schema("value string")
             .text(self.folder)
             .filter(F.trim("value") != "")
-            .groupBy(F.concat_ws(".", F.get(parts, F.lit(0)), name).alias("table_name"))
+            .groupBy(F.concat_ws(".", owner, stored).alias("table_name"))
             .count()
         )
         return declared.join(counted, "table_name", "left").select(
@@ -145,15 +161,17 @@ class MysqlShellDump:
         )
 
     def rows(self, table: str, staged: str | None = None, **options) -> DataFrame:
-        """Typed rows; fields follow the metadata's column list, else the declared order."""
+        """Typed rows; fields follow the metadata's column list, or the declared order where it has none."""
         schema, name = self._split(table)
         declared = self.fields.get(f"{schema}.{name}")
         if not declared:
             raise ValueError(f"table {table} is not declared in the dump")
         meta = self.meta(table)
-        by_name = {f.name: f for f in declared}
-        listed = [by_name[c] for c in meta.columns if c in by_name]
-        fields = listed if len(listed) == len(meta.columns) and listed else declared
+        # Column names of MySQL have no case.
+        by_name = {f.name.casefold(): f for f in declared}
+        if unknown := [c for c in meta.columns if c.casefold() not in by_name]:
+            raise ValueError(f"table {table}: the metadata lists columns {unknown} that are not declared")
+        fields = [by_name[c.casefold()] for c in meta.columns] or declared
         lines = self.chunk_lines(table)
         records = lines.select(
             "dump", F.col("value").alias("raw"), split_fields(F.col("value"), meta.separator).alias("tokens")

@@ -39,6 +39,12 @@ def connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{urllib.parse.quote(path)}?mode=ro", uri=True)
 
 
+def free_row_id(db: sqlite3.Connection, table: str) -> str | None:
+    """A name of the row id that no column of the table has, or None if all are taken."""
+    taken = {r[1].lower() for r in db.execute(f"PRAGMA table_xinfo({quoted(table)})")}
+    return next((n for n in ("rowid", "_rowid_", "oid") if n not in taken), None)
+
+
 def files(path: str) -> list[str]:
     found = sorted(glob.glob(posix_path(path)))
     if not found:
@@ -51,7 +57,8 @@ class Slice(InputPartition):
     file: str
     first: int
     last: int
-    by_rowid: bool
+    row_id: str
+    cut: bool = True
 
 
 class SqliteFile(DataSource):
@@ -83,7 +90,7 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         with ThreadPoolExecutor(max_workers=32) as pool:
             found = list(pool.map(self._slices, files(self.path)))
-        return [s for part in found for s in part] or [Slice("", 0, -1, True)]
+        return [s for part in found for s in part] or [Slice("", 0, -1, "")]
 
     def _slices(self, file: str) -> list[Slice]:
         with connect(file) as db:
@@ -91,17 +98,22 @@ class SqliteReader(DataSourceReader):
 
     def _ranges(self, db: sqlite3.Connection, file: str) -> list[Slice]:
         table = quoted(self.table)
+        row_id = free_row_id(db, self.table)
         try:
-            first, last = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+            if row_id is None:
+                # The row id is out of reach: one slice.
+                n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+                return [Slice(file, 0, n - 1, "", False)]
+            first, last = db.execute(f"SELECT min({row_id}), max({row_id}) FROM {table}").fetchone()
             if first is None:
                 return []
             # Row ids may be sparse: bound the number of slices, not only their width.
             step = max(self.rows, -(-(last - first + 1) // MAX_SLICES))
-            return [Slice(file, a, min(a + step - 1, last), True) for a in range(first, last + 1, step)]
+            return [Slice(file, a, min(a + step - 1, last), row_id) for a in range(first, last + 1, step)]
         except sqlite3.OperationalError:
             # WITHOUT ROWID: slices by position in key order.
             n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
-            return [Slice(file, a, a + self.rows - 1, False) for a in range(0, n, self.rows)]
+            return [Slice(file, a, a + self.rows - 1, "") for a in range(0, n, self.rows)]
 
     def read(self, part: Slice) -> Iterator:
         if part.last < part.first:
@@ -116,8 +128,10 @@ class SqliteReader(DataSourceReader):
         )
         sql = f"SELECT {picks}, {kinds} FROM {quoted(self.table)}"
         with connect(part.file) as db:
-            if part.by_rowid:
-                cursor = db.execute(f"{sql} WHERE rowid BETWEEN ? AND ?", (part.first, part.last))
+            if part.row_id:
+                cursor = db.execute(f"{sql} WHERE {part.row_id} BETWEEN ? AND ?", (part.first, part.last))
+            elif not part.cut:
+                cursor = db.execute(sql)
             else:
                 keys = sorted(
                     (r[5], r[1]) for r in db.execute(f"PRAGMA table_info({quoted(self.table)})") if r[5]

@@ -88,6 +88,44 @@ def test_shell_options_and_schemas(spark, tmp_path):
         d.rows("users")
 
 
+def test_shell_encoded_names(spark, tmp_path):
+    table = "CREATE TABLE `{}` (\n  `id` int,\n  `name` text\n);\n"
+    folder = shell_folder(
+        tmp_path / "d",
+        ["s", "t u"],
+        {
+            "s@a%20b.json": {"options": {"columns": ["name", "id"]}},
+            "s@a%20b.sql": table.format("a b"),
+            "s@a%20b@@0.tsv.zst": "x\t1\n",
+            "s@a%20b@@1.tsv.zst": "y\t2\n",
+            "s@a.sql": table.format("a"),
+            "s@a.tsv.zst": "3\tz\n",
+            "t%20u@%40v%2Bw+.sql": table.format("@v+w+"),
+            "t%20u@%40v%2Bw+@@0.tsv.zst": "4\tp%20q\n",
+        },
+    )
+    d = MysqlShellDump(spark, folder)
+    assert d.tables() == ["s.a", "s.a b", "t u.@v+w+"]
+    assert {(r.table_name, r.n) for r in d.counts().collect()} == {("s.a", 1), ("s.a b", 2), ("t u.@v+w+", 1)}
+    assert sorted(map(tuple, accepted(d.rows("s.a b")).select("id", "name").collect())) == [(1, "x"), (2, "y")]
+    assert [tuple(r) for r in accepted(d.rows("s.a")).collect()] == [(3, "z")]
+    assert [tuple(r) for r in accepted(d.rows("t u.@v+w+")).collect()] == [(4, "p%20q")]
+
+
+def test_shell_column_lists(spark, tmp_path):
+    files = {}
+    for name, columns in {"case": ["NAME", "Id"], "unknown": ["name", "nr"]}.items():
+        files |= {
+            f"s@{name}.json": {"options": {"columns": columns}},
+            f"s@{name}.sql": f"CREATE TABLE `{name}` (\n  `id` varchar(9),\n  `name` varchar(9)\n);\n",
+            f"s@{name}@@0.tsv.zst": "x\t1\n",
+        }
+    d = MysqlShellDump(spark, shell_folder(tmp_path / "d", ["s"], files))
+    assert [(r.id, r.name) for r in accepted(d.rows("case")).collect()] == [("1", "x")]
+    with pytest.raises(ValueError, match="nr"):
+        d.rows("unknown")
+
+
 def test_shell_without_metadata(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a@b.json").write_text("{}")
@@ -149,6 +187,23 @@ def test_sqlite_without_rowid_and_many_files(spark, tmp_path):
     assert rows.agg(F.count("*"), F.count_distinct("f", "k"), F.sum("k")).first()[:] == (75, 75, 900)
 
 
+def test_sqlite_columns_named_like_row_ids(spark, tmp_path):
+    path = sqlite_file(
+        tmp_path / "r.db",
+        "CREATE TABLE one (RowId INTEGER, v TEXT)",
+        "INSERT INTO one VALUES (5, 'a'), (NULL, 'b'), (6, 'c')",
+        "CREATE TABLE two (rowid TEXT, _rowid_ TEXT, v TEXT)",
+        "INSERT INTO two VALUES ('x', NULL, 'a'), (NULL, 'y', 'b'), (NULL, NULL, 'c')",
+        "CREATE TABLE three (rowid TEXT, _rowid_ TEXT, oid TEXT)",
+        "INSERT INTO three VALUES (NULL, NULL, 'a'), (NULL, NULL, 'b'), ('1', '1', 'c')",
+        "CREATE TABLE keyed (rowid INTEGER, k INTEGER PRIMARY KEY) WITHOUT ROWID",
+        "INSERT INTO keyed VALUES (NULL, 1), (NULL, 2), (7, 3)",
+    )
+    read = lambda t, c: sorted(str(r[c]) for r in read_sqlite(spark, path, t, rows_per_partition=2).collect())
+    assert read("one", "v") == read("two", "v") == read("three", "oid") == ["a", "b", "c"]
+    assert read("keyed", "k") == ["1", "2", "3"] and read("one", "RowId") == ["5", "6", "None"]
+
+
 def test_sqlite_collisions_and_fk_problems(spark, tmp_path):
     path = sqlite_file(
         tmp_path / "c.db",

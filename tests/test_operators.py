@@ -86,6 +86,19 @@ def test_deep_offset(hundred, offset):
     assert [(r.g, r.id) for r in got] == expect[offset : offset + 7]
 
 
+def test_pages_with_null_keys(spark):
+    rows = [(None if i % 3 else i // 30, None if i % 7 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, id int").withColumn("n", F.expr("uuid()")).cache()
+    for keys in (["g", "id", "n"], ["id", "n"], ["id"]):
+        order = [tuple(r)[: len(keys)] for r in df.select(*keys).orderBy(*keys).collect()]
+        for offset in (0, 25, 37, 150, 290):
+            got = page.offset_page(df, keys, offset, 7, shallow=20).select(*keys).collect()
+            assert [tuple(r) for r in got] == order[offset : offset + 7]
+    keys, order = ["g", "id", "n"], [tuple(r) for r in df.orderBy("g", "id", "n").collect()]
+    assert [tuple(r) for p in page.iterate_pages(df, keys, 90) for r in p] == order
+    df.unpersist()
+
+
 def test_csv(spark, tmp_path):
     rows = [
         ("Hello, World", True, 1.0, dt.datetime(2024, 1, 15, 10, 30), b"AB"),
