@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpdeck.llm import bpe, chat, exact_dedup, html, katz, minhash, mixing, quality, repeats, urls
+from dumpdeck.llm import (
+    bpe, chat, exact_dedup, filter_audit, html, katz, minhash, mixing, packing, quality, repeats, urls, vector_codes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = packing.Tokens(
+        spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return packing.digests(_table(spark, sf_dir, "documents"), tokens)
+
+
+@_query("op13_vector_codes", vector_codes.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(_table(spark, sf_dir, "embeddings"))
