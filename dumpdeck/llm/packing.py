@@ -289,7 +289,8 @@ def rounds(budget: np.ndarray, rooms: np.ndarray, share: np.ndarray, deficit: np
 
 def _rounds(total: int, size: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        stored_ids = table["ids"].to_pylist()
+        table = table.drop_columns("ids").combine_chunks()
         names = table["queue"].combine_chunks().dictionary_encode()
         rank = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), object)))
         queue = rank[names.indices.to_numpy(zero_copy_only=False)]
@@ -318,7 +319,7 @@ def _rounds(total: int, size: int):
         row = np.searchsorted(stored, at, "right") - 1
         base = np.maximum(low, begin) - low
         offset = base[window[slot]] + inside[slot] + at - served[slot]
-        joined = b"".join(table["ids"].to_pylist())
+        joined = b"".join([stored_ids[i] for i in order])
         if len(joined) != 4 * bounds[-1]:
             raise ValueError("ids do not match their lengths")
         ids = pa.Array.from_buffers(
