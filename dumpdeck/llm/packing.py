@@ -7,7 +7,8 @@ the next window. Without ``targets`` a source's share is its share of all tokens
 the table and all queues end together. With ``targets``, a source whose queue ends leaves the round and the others
 share its room by weight; sources without a weight follow last.
 
-1. ``tokenised`` encodes each text once, and writes ids with their place in the queue of (source, task).
+1. ``tokenised`` encodes each text once, and writes ids with their place in the queue of (source, task); two bytes
+   each where the vocabulary allows.
 2. ``queued`` turns sums per (source, task) into places in the whole queue of a source.
 3. ``dealt`` cuts queues into chunks of about ``chunk`` tokens over all sources. Where a chunk of a source begins
    is a rounded multiple of its share; the rounding is the deficit that is carried from chunk to chunk, so
@@ -30,6 +31,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import uuid
@@ -71,6 +73,9 @@ class Tokens:
         if ranks:
             with open(ranks, "rb") as file:
                 held |= {"ranks": file.read(), "pattern": pattern}
+        vocabulary = json.loads(held["file"])["model"]["vocab"]
+        #: Bytes per id between the stages.
+        self.width = 2 if len(vocabulary) < 1 << 16 else 4
         self.sent = spark.sparkContext.broadcast(held)
 
     def encoder(self) -> Encoder:
@@ -124,7 +129,7 @@ def tokenised(docs: DataFrame, tokens: Tokens, end: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, before = TaskContext.get().partitionId(), {}
-        encode = tokens.encoder().encode
+        encode, kind = tokens.encoder().encode, f"<u{tokens.width}"
         last = np.array([end], "<u4")
         for batch in batches:
             at = 0
@@ -137,7 +142,7 @@ def tokenised(docs: DataFrame, tokens: Tokens, end: int = 0) -> DataFrame:
                     names.append(queue)
                     places.append(before.get(queue, 0))
                     sizes.append(len(found))
-                    ids.append(found.tobytes())
+                    ids.append(found.astype(kind).tobytes())
                     before[queue] = places[-1] + len(found)
                     letters += len(text) + 16
                     at += 1
@@ -195,7 +200,7 @@ def phases(totals: DataFrame, targets: dict[str | None, float] | None, chunk: in
     return held.unionByName(phases(rest, None, chunk).withColumn("first", F.lit(first).cast("long")))
 
 
-def dealt(tokens: DataFrame, starts: DataFrame, phases_: DataFrame) -> DataFrame:
+def dealt(tokens: DataFrame, starts: DataFrame, phases_: DataFrame, width: int = 4) -> DataFrame:
     """Documents cut where chunks of their queue begin: one row per (document, chunk) with its ids.
 
     The chunk c of a queue of n tokens begins at floor(n * c / chunks + phase), phase in (0, 1) by the queue's name.
@@ -233,7 +238,7 @@ def dealt(tokens: DataFrame, starts: DataFrame, phases_: DataFrame) -> DataFrame
     return rows.filter(high > low).select(
         (F.col("first") + c).alias("chunk"), "queue", low.alias("place"), "doc_id", start.alias("start"),
         length.alias("length"), F.col("n").alias("doc_tokens"), (n / k).alias("share"), carried.alias("carried"),
-        F.substring("ids", (4 * start + 1).cast("int"), (4 * length).cast("int")).alias("ids"),
+        F.substring("ids", (width * start + 1).cast("int"), (width * length).cast("int")).alias("ids"),
     )
 
 
@@ -287,7 +292,7 @@ def rounds(budget: np.ndarray, rooms: np.ndarray, share: np.ndarray, deficit: np
         yield served, take[served]
 
 
-def _rounds(total: int, size: int):
+def _rounds(total: int, size: int, width: int = 4):
     def run(table: pa.Table) -> pa.Table:
         stored_ids = table["ids"].to_pylist()
         table = table.drop_columns("ids").combine_chunks()
@@ -320,7 +325,8 @@ def _rounds(total: int, size: int):
         base = np.maximum(low, begin) - low
         offset = base[window[slot]] + inside[slot] + at - served[slot]
         joined = b"".join([stored_ids[i] for i in order])
-        if len(joined) != 4 * bounds[-1]:
+        joined = np.frombuffer(joined, f"<u{width}").astype("<u4")
+        if len(joined) != bounds[-1]:
             raise ValueError("ids do not match their lengths")
         ids = pa.Array.from_buffers(
             pa.binary(), len(at), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(joined)]
@@ -347,10 +353,12 @@ def pack(
     ids = tokenised(docs, tokens, end)
     starts, totals = queued(ids)
     total = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    slices = dealt(ids, starts, phases(totals, targets, chunk))
-    narrow = dealt(ids.withColumn("ids", F.lit(b"")), starts, phases(totals, targets, chunk))
+    shares = phases(totals, targets, chunk)
+    slices = dealt(ids, starts, shares, tokens.width)
+    # The places of chunks need no ids; this reads the narrow columns alone.
+    narrow = dealt(ids.withColumn("ids", F.lit(b"")), starts, shares)
     placed = slices.join(_positions(narrow), "chunk")
-    return placed.groupBy("chunk").applyInArrow(_rounds(total, size), PIECES)
+    return placed.groupBy("chunk").applyInArrow(_rounds(total, size, tokens.width), PIECES)
 
 
 def sequences(pieces: DataFrame, size: int = SIZE) -> DataFrame:
