@@ -141,6 +141,22 @@ def trigger_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mysqldump(spark, f"{folder}/*.txt", "supplier")
 
 
+@query("a3_long_comments", "SELECT doc_id, n_chars FROM documents")
+def long_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each document as a block comment and as line comments in front of its INSERT."""
+    text = F.coalesce("text", F.lit(""))
+    block = F.concat(F.lit("/* "), F.replace(text, F.lit("*/"), F.lit("* /")), F.lit(" */\n"))
+    lines = F.concat(F.lit("-- "), F.replace(text, F.lit("\n"), F.lit("\n-- ")), F.lit("\n"))
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in ("doc_id", "n_chars")]
+    row = F.concat(F.lit("INSERT INTO `d` VALUES ("), values[0], F.lit(","), values[1], F.lit(");"))
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "comments")
+    docs.select(F.concat(block, lines, row)).write.text(f"{folder}/rows")
+    declared = "CREATE TABLE `d` (\n  `doc_id` bigint,\n  `n_chars` bigint\n);"
+    docs.select(F.lit(declared)).limit(1).write.text(f"{folder}/declared")
+    return read_mysqldump(spark, [f"{folder}/declared/*.txt", f"{folder}/rows/*.txt"], "d", crlf=False)
+
+
 NAMES = {"größe-1": "customer", "01": "part", "1": "nation", "T": "region", "t": "supplier"}
 
 

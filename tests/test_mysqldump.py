@@ -207,3 +207,35 @@ def test_round_trip_of_random_text(spark, tmp_path):
     path = encode.write_mysqldump({"r": df}, str(tmp_path / "d"))
     got = {r.id: r.t for r in read_mysqldump(spark, path, "r").collect()}
     assert got == {i: t if i % 11 else None for i, t in enumerate(texts)}
+
+
+def test_statements_in_strings_and_comments(spark, write):
+    """Text that looks like statements, in a string, a comment, and in a string that a comment mark opens."""
+    text = (
+        T1 + "/* a;\nINSERT INTO `t` VALUES (90,'no');\nit's; */\nINSERT INTO `t` VALUES (1,'x;\n"
+        "INSERT INTO `t` VALUES (91,\\'no\\');\nINSERT INTO `t` VALUES (92,5);\n/* y');\n"
+        "-- don't;\nINSERT INTO `t` VALUES (2,'/* z');\nINSERT INTO `t` VALUES (3,'a \\\\');\n/* never */;\n"
+        "INSERT INTO `t` VALUES (4,'q');\n/* open;\nINSERT INTO `t` VALUES (93,'no');\n"
+    )
+    for size in (None, "64", "150"):
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            d = MysqlDump(spark, write("odd.sql", text))
+            first = "x;\nINSERT INTO `t` VALUES (91,'no');\nINSERT INTO `t` VALUES (92,5);\n/* y"
+            assert load_all(d)["t"] == [(1, first), (2, "/* z"), (3, "a \\"), (4, "q")]
+            d.close()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_routines_over_splits(spark, write):
+    """Small splits: bodies, comments and strings go on over several of them."""
+    body = "DELIMITER ;;\nCREATE TRIGGER x BEGIN\n" + "INSERT INTO `t` VALUES (9,'no');\n" * 40 + "END ;;\nDELIMITER ;\n"
+    text = T1 + "".join(f"INSERT INTO `t` VALUES ({i},'a');\n" * 3 + body for i in range(5)) + "INSERT INTO `t` VALUES (7,'z');\n"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        d = MysqlDump(spark, write("many.sql", text))
+        assert load_all(d)["t"] == [(i, "a") for i in range(5) for _ in range(3)] + [(7, "z")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
