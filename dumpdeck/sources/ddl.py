@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dumpdeck.functions import tokens
 from dumpdeck.functions.escapes import bare_name, name_list
 from dumpdeck.functions.types import Field, mysql_logical, pg_logical
 
@@ -25,14 +26,6 @@ PG_TYPE = (
     r"(?:\s+(?:VARYING|PRECISION|WITHOUT\s+TIME\s+ZONE|WITH\s+TIME\s+ZONE)(?:\([^)]*\))?(?:\[\])*)?)"
 )
 PG_TABLE_RULE = r"(?i)^\s*(?:CONSTRAINT\s|PRIMARY\s+KEY|UNIQUE\s*\(|CHECK\s*\(|FOREIGN\s+KEY|EXCLUDE\s)"
-PG_ALTER = rf"(?i)^\s*ALTER\s+TABLE\s+(?:ONLY\s+)?{QUALIFIED}\s+ADD\s+CONSTRAINT\s+({NAME})\s+"
-PG_KEY = PG_ALTER + r"(PRIMARY\s+KEY|UNIQUE)\s*\(([^)]+)\)"
-PG_FK = PG_ALTER + rf"FOREIGN\s+KEY\s*\(([^)]+)\)\s+REFERENCES\s+{QUALIFIED}\s*\(([^)]+)\)"
-PG_INDEX = (
-    rf"(?i)^\s*CREATE\s+(UNIQUE\s+)?INDEX\s+({NAME})\s+ON\s+(?:ONLY\s+)?{QUALIFIED}"
-    r"\s+(?:USING\s+\w+\s*)?\((.+)\)"
-)
-
 # A name in backticks, where two stand for one, or a bare word.
 MYSQL_NAME = r"(?:`(?:[^`]|``)+`|[^\s`(),.;]+)"
 MYSQL_CREATE = (
@@ -44,9 +37,6 @@ MYSQL_TYPE = (
     r"(?:\s+(?:UNSIGNED|SIGNED|ZEROFILL))*)"
 )
 MYSQL_KEY = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX)\s*(?:KEY\s*)?(?:`([^`]+)`\s*)?\(((?:[^()]++|\(\d+\))++)\)"
-MYSQL_FK = (
-    r"(?i)^CONSTRAINT\s+`([^`]+)`\s+FOREIGN\s+KEY\s*\(([^)]+)\)\s+REFERENCES\s+`([^`]+)`\s*\(([^)]+)\)"
-)
 
 
 def mysql_name(name: Column) -> Column:
@@ -140,41 +130,76 @@ def pg_columns(lines: DataFrame) -> DataFrame:
 def pg_constraints(lines: DataFrame) -> DataFrame:
     # A constraint may stand on the line after its ALTER TABLE.
     statement = F.when(_starts(), F.col("value")).otherwise(F.concat_ws(" ", "head", "value"))
-    stated = _with_head(lines).withColumn("s", statement)
+    spoken = statement.rlike(r"(?i)\sCONSTRAINT\s|\sINDEX\s")
+    stated = _with_head(lines).filter(spoken).select("dump", tokens.tokens(statement).alias("stream"))
+    rules = tokens.bound(
+        F.struct("stream", tokens.lexemes(F.col("stream")).alias("lex")),
+        lambda s: F.coalesce(_added(s["stream"], s["lex"]), _index(s["stream"], s["lex"])),
+    )
+    return stated.select("dump", rules.alias("r")).filter("r IS NOT NULL").select("dump", "r.*")
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract("s", pattern, group)
 
-    none = F.lit(None).cast("string")
-    no_columns = F.lit(None).cast("array<string>")
-    keys = stated.filter(F.col("s").rlike(PG_KEY)).select(
-        "dump",
-        bare_name(part(PG_KEY, 1)).alias("table_name"),
-        F.when(F.upper(part(PG_KEY, 3)) == "UNIQUE", "unique").otherwise("pk").alias("kind"),
-        bare_name(part(PG_KEY, 2)).alias("name"),
-        name_list(part(PG_KEY, 4)).alias("columns"),
-        none.alias("ref_table"),
-        no_columns.alias("ref_columns"),
-    )
-    fks = stated.filter(F.col("s").rlike(PG_FK)).select(
-        "dump",
-        bare_name(part(PG_FK, 1)).alias("table_name"),
-        F.lit("fk").alias("kind"),
-        bare_name(part(PG_FK, 2)).alias("name"),
-        name_list(part(PG_FK, 3)).alias("columns"),
-        bare_name(part(PG_FK, 4)).alias("ref_table"),
-        name_list(part(PG_FK, 5)).alias("ref_columns"),
-    )
-    indexes = stated.filter(F.col("s").rlike(PG_INDEX)).select(
-        "dump",
-        bare_name(part(PG_INDEX, 3)).alias("table_name"),
-        F.when(part(PG_INDEX, 1) != "", "unique").otherwise("index").alias("kind"),
-        bare_name(part(PG_INDEX, 2)).alias("name"),
-        index_columns(part(PG_INDEX, 4)).alias("columns"),
-        none.alias("ref_table"),
-        no_columns.alias("ref_columns"),
+def _rule(table: Column, kind: Column, name: Column, columns: Column, ref_table: Column, ref_columns: Column) -> Column:
+    names = ["table_name", "kind", "name", "columns", "ref_table", "ref_columns"]
+    return F.struct(*(c.alias(n) for c, n in zip((table, kind, name, columns, ref_table, ref_columns), names)))
+
+
+def _qualified(lex: Column, at: Column) -> tuple[Column, Column]:
+    """A name that may have a schema in front, and the place after it."""
+    dotted = tokens.is_at(lex, at + 1, ".")
+    first = tokens.text_at(lex, at)
+    name = F.when(dotted, F.concat_ws(".", first, tokens.text_at(lex, at + 2))).otherwise(first)
+    return name, at + F.when(dotted, 3).otherwise(1)
+
+
+def _key(lex: Column, at: Column) -> tuple[Column, Column]:
+    """Kind of the key whose words begin at a place, and the place of its column list."""
+    kind = (
+        F.when(tokens.is_at(lex, at, "PRIMARY", "KEY"), "pk")
+        .when(tokens.is_at(lex, at, "UNIQUE"), "unique")
+        .when(tokens.is_at(lex, at, "FOREIGN", "KEY"), "fk")
     )
-    return keys.unionByName(fks).unionByName(indexes)
+    return kind, at + F.when(kind == "unique", 1).otherwise(2)
+
+
+def _references(stream: Column, lex: Column) -> tuple[Column, Column]:
+    """Table and column list after REFERENCES; the list may be missing."""
+    table, opened = _qualified(lex, tokens.place(lex, "REFERENCES") + 1)
+    listed = F.when(tokens.is_at(lex, opened, "("), tokens.between(stream, lex, opened, tokens.closing(lex, opened)))
+    return table, listed
+
+
+def _added(stream: Column, lex: Column) -> Column:
+    """The key that an ALTER TABLE ... ADD CONSTRAINT statement adds."""
+    at = tokens.place(lex, "ADD", "CONSTRAINT")
+    first = F.when(tokens.is_at(lex, 2, "ONLY"), 3).otherwise(2)
+    table, _ = _qualified(lex, first)
+    kind, opened = _key(lex, at + 3)
+    ref_table, ref_columns = _references(stream, lex)
+    is_fk = kind == "fk"
+    ok = tokens.is_at(lex, 0, "ALTER", "TABLE") & kind.isNotNull() & tokens.is_at(lex, opened, "(")
+    ok = ok & (~is_fk | ref_columns.isNotNull())
+    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
+    rule = _rule(
+        bare_name(table), kind, bare_name(tokens.text_at(lex, at + 2)), name_list(listed),
+        F.when(is_fk, bare_name(ref_table)), F.when(is_fk, name_list(ref_columns)),
+    )
+    return F.when(ok, rule)
+
+
+def _index(stream: Column, lex: Column) -> Column:
+    """The index that a CREATE INDEX statement makes."""
+    unique = tokens.is_at(lex, 1, "UNIQUE")
+    at = F.when(unique, 2).otherwise(1)
+    table, after = _qualified(lex, at + F.when(tokens.is_at(lex, at + 3, "ONLY"), 4).otherwise(3))
+    opened = after + F.when(tokens.is_at(lex, after, "USING"), 2).otherwise(0)
+    ok = tokens.is_at(lex, 0, "CREATE") & tokens.is_at(lex, at, "INDEX") & tokens.is_at(lex, at + 2, "ON")
+    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
+    rule = _rule(
+        bare_name(table), F.when(unique, "unique").otherwise("index"), bare_name(tokens.text_at(lex, at + 1)),
+        index_columns(listed), F.lit(None).cast("string"), F.lit(None).cast("array<string>"),
+    )
+    return F.when(ok & tokens.is_at(lex, opened, "("), rule)
 
 
 def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,18 +261,29 @@ def mysql_constraints(statements: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("ref_table"),
         F.lit(None).cast("array<string>").alias("ref_columns"),
     )
-    fks = items.filter(item.rlike(MYSQL_FK)).select(
-        "dump",
-        "table_name",
-        F.lit("fk").alias("kind"),
-        F.regexp_extract("item", MYSQL_FK, 1).alias("name"),
-        name_list(F.regexp_extract("item", MYSQL_FK, 2)).alias("columns"),
-        F.regexp_extract("item", MYSQL_FK, 3).alias("ref_table"),
-        name_list(F.regexp_extract("item", MYSQL_FK, 4)).alias("ref_columns"),
+    lexed = items.filter(item.rlike(r"(?i)\A\s*CONSTRAINT\s")).select(
+        "dump", "table_name", tokens.tokens(item, mysql=True).alias("stream")
     )
+    rules = tokens.bound(
+        F.struct("table_name", "stream", tokens.lexemes(F.col("stream")).alias("lex")),
+        lambda s: _constraint(s["table_name"], s["stream"], s["lex"]),
+    )
+    fks = lexed.select("dump", rules.alias("r")).filter("r IS NOT NULL").select("dump", "r.*")
     return keys.unionByName(fks)
 
 
+def _constraint(table: Column, stream: Column, lex: Column) -> Column:
+    """The foreign key of one CONSTRAINT item of a CREATE TABLE."""
+    kind, opened = _key(lex, F.lit(2))
+    ref_table, ref_columns = _references(stream, lex)
+    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
+    last = F.element_at(F.split(ref_table, r"\.(?=[^`]*(?:`[^`]*`[^`]*)*$)"), -1)
+    rule = _rule(
+        table, kind, mysql_name(tokens.text_at(lex, 1)), name_list(listed), mysql_name(last), name_list(ref_columns)
+    )
+    return F.when((kind == "fk") & tokens.is_at(lex, opened, "(") & ref_columns.isNotNull(), rule)
+
+
 def all_fields(columns: DataFrame) -> dict[str, list[Field]]:
     """Declared fields of every table, in order: one row per table reaches the driver.
 

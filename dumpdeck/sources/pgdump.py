@@ -14,26 +14,50 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dumpdeck.functions import tokens
 from dumpdeck.functions.escapes import bare_name, copy_unescape, name_list, split_fields
 from dumpdeck.functions.rows import accepted, part_key, typed_rows
 from dumpdeck.functions.types import Field
-from dumpdeck.session import pin_splits
+from dumpdeck.session import pin_splits, shared_folder
 from dumpdeck.sources import ddl
 
-COPY = rf"(?i)^\s*COPY\s+{ddl.QUALIFIED}\s*\((.+)\)\s+FROM\s+stdin\s*;"
 END = "\\."
 # Lines that may carry DDL: statement starts, indented bodies, closing parentheses. Data lines
 # whose first field is empty start with a tab and mostly hold another one, so they are left out.
 MAYBE_DDL = r"(?i)^( +\S|\s+[^\s][^\t]*$|\)|CREATE\s|ALTER\s)"
 FIRST_CHARS = [" ", "\t", "\f", "\v", "C", "c", "A", "a", ")", "\\"]
 
-# Rows of block metadata that one broadcast may hold (some hundred bytes each).
-BLOCKS_PER_BROADCAST = 1_000_000
-LOCAL_BLOCKS = 10_000
+# Lines of a split are met with the COPY blocks of their part of it, of this many lines.
+PART = 256
+
+
+def copy_header(line: Column) -> Column:
+    """``(table_name, header)`` of a line that opens COPY data, else null."""
+
+    def read(s: Column) -> Column:
+        stream, lex = s["stream"], s["lex"]
+        opened = tokens.place(lex, "(")
+        closed = tokens.closing(lex, opened)
+        dotted = tokens.is_at(lex, opened - 2, ".")
+        last = tokens.text_at(lex, opened - 1)
+        name = F.when(dotted, F.concat_ws(".", tokens.text_at(lex, opened - 3), last)).otherwise(last)
+        ok = tokens.is_at(lex, 0, "COPY") & (opened == F.when(dotted, 4).otherwise(2))
+        header = name_list(tokens.between(stream, lex, opened, closed))
+        return F.when(
+            ok & tokens.is_at(lex, closed + 1, "FROM", "STDIN", ";"),
+            F.struct(bare_name(name).alias("table_name"), header.alias("header")),
+        )
+
+    def lexed(stream: Column) -> Column:
+        return tokens.bound(F.struct(stream.alias("stream"), tokens.lexemes(stream).alias("lex")), read)
+
+    return F.when(line.rlike(r"(?i)\A\s*COPY\s.*STDIN"), tokens.bound(tokens.tokens(line), lexed))
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(dump, block, pos, value)`` for every line; the key follows the order in the file.
+    """``(dump, block, pos, value, length, size)`` for every line; the key follows the order in the file.
+
+    ``length`` is that of the split and ``size`` that of the file.
 
     Both passes must use this plan unchanged: the key depends on the splits.
     """
@@ -43,15 +67,18 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         "value",
+        F.col("_metadata.file_block_length").alias("length"),
+        F.col("_metadata.file_size").alias("size"),
     )
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """The few lines that may be headers (kind H), end markers (T) or DDL."""
-    kind = F.when(F.col("value") == END, "T").when(F.col("value").rlike(COPY), "H")
+    kind = F.when(F.col("value") == END, "T").when(F.col("copy").isNotNull(), "H")
     # The first character settles most data lines without running a pattern over them.
     return (
         lines.filter(F.substring("value", 1, 1).isin(FIRST_CHARS))
+        .withColumn("copy", copy_header(F.col("value")))
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull() | F.col("value").rlike(MAYBE_DDL))
     )
@@ -97,7 +124,11 @@ class PgDump:
         self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
             "dump", "block", "pos", "value"
         )
-        self.blocks = self._find_blocks().persist()
+        # Block metadata is written: tables read from it, and none needs the cached lines any more.
+        folder = shared_folder(spark, "copy-blocks")
+        found = self._find_blocks()
+        found.write.parquet(folder)
+        self.blocks = spark.read.schema(found.schema).parquet(folder)
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -108,7 +139,7 @@ class PgDump:
         return ddl.pg_constraints(self._ddl)
 
     def close(self) -> None:
-        for cached in (self.blocks, self._marks, self._found):
+        for cached in (self._marks, self._found):
             cached.unpersist()
 
     def _find_blocks(self) -> DataFrame:
@@ -121,8 +152,10 @@ class PgDump:
             real.select(
                 F.col("dump").alias("in_dump"),
                 "kind",
-                bare_name(F.regexp_extract("value", COPY, 1)).alias("table_name"),
-                name_list(F.regexp_extract("value", COPY, 2)).alias("header"),
+                "copy.table_name",
+                "copy.header",
+                "length",
+                "size",
                 F.col("block").alias("start_block"),
                 F.col("pos").alias("start_pos"),
                 F.lead("block").over(order).alias("end_block"),
@@ -147,26 +180,41 @@ class PgDump:
     def _within(self, blocks: DataFrame) -> DataFrame:
         """Data lines of the given blocks, with table name and header.
 
-        Lines are never shuffled by file, where one file may hold most of them: block rows are
-        broadcast, in as many parts as their number asks for.
+        A block is clipped to the splits it covers: all splits of a file but the last have one length. In a split, at
+        most one block comes in from the split before and one goes on into the next; they are met by
+        ``(dump, split)``. Blocks within a split are met by parts of it, so a line is held against the few
+        blocks of its part. Both are equality joins whose build side Spark sizes and broadcasts, or sorts.
         """
-        n = blocks.count()
-        if n <= LOCAL_BLOCKS:
-            # Few enough to carry in the plan, which then stands without the cached passes.
-            blocks = self.spark.createDataFrame(blocks.collect(), blocks.schema)
-        parts = -(-max(n, 1) // BLOCKS_PER_BROADCAST)
-        if parts == 1:
-            return self._joined(blocks)
-        part = F.pmod(F.xxhash64("in_dump", "start_block", "start_pos"), F.lit(parts))
-        return reduce(DataFrame.unionAll, [self._joined(blocks.filter(part == i)) for i in range(parts)])
-
-    def _joined(self, blocks: DataFrame) -> DataFrame:
-        after = _key_gt(F.col("block"), F.col("pos"), F.col("start_block"), F.col("start_pos"))
-        until = F.col("end_block").isNull() | _key_gt(
-            F.col("end_block"), F.col("end_pos"), F.col("block"), F.col("pos")
+        last = F.when(F.col("start_block") + F.col("length") >= F.col("size"), F.col("start_block")).otherwise(
+            F.floor((F.col("size") - 1) / F.col("length")) * F.col("length")
         )
-        same_file = F.col("dump") == F.col("in_dump")
-        return self.lines.join(F.broadcast(blocks), same_file & after & until)
+        splits = F.sequence("start_block", F.coalesce("end_block", F.greatest(last, "start_block")), F.greatest("length", F.lit(1)))
+        clipped = blocks.withColumn("split", F.explode(splits)).select(
+            "in_dump", "split", "table_name", "header",
+            F.when(F.col("split") == F.col("start_block"), F.col("start_pos")).alias("low"),
+            F.when(F.col("split") == F.col("end_block"), F.col("end_pos")).alias("high"),
+        )
+        whole = "low IS NOT NULL AND high IS NOT NULL"
+        going = clipped.filter(f"NOT ({whole})").select(
+            F.col("in_dump").alias("g_dump"), F.col("split").alias("g_split"), F.col("low").alias("g_low"),
+            F.col("high").alias("g_high"), F.struct("table_name", "header").alias("going"),
+        )
+        parts = F.sequence(F.floor(F.col("low") / PART), F.floor(F.col("high") / PART))
+        inner = clipped.filter(whole).withColumn("part", F.explode(parts)).drop("split").withColumnRenamed("in_dump", "i_dump")
+        inner = inner.select("i_dump", "part", "low", "high", F.struct("table_name", "header").alias("inner"))
+        pos = F.col("pos")
+        goes = (F.col("g_low").isNull() | (pos > F.col("g_low"))) & (F.col("g_high").isNull() | (pos < F.col("g_high")))
+        met = (
+            self.lines.select("dump", "block", "pos", "value")
+            .join(going, (F.col("dump") == F.col("g_dump")) & (F.col("block") == F.col("g_split")) & goes, "left")
+            .join(
+                inner,
+                (F.col("dump") == F.col("i_dump")) & (F.floor(pos / PART) == F.col("part")) & (pos > F.col("low")) & (pos < F.col("high")),
+                "left",
+            )
+        )
+        found = met.select("dump", "value", F.coalesce("inner", "going").alias("_in")).filter("_in IS NOT NULL")
+        return found.select("dump", "value", "_in.table_name", "_in.header")
 
     def tables(self) -> list[str]:
         """Declared tables; COPY blocks without a CREATE TABLE are skipped."""
@@ -223,10 +271,6 @@ class PgDump:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _key_gt(block: Column, pos: Column, other_block: Column, other_pos: Column) -> Column:
-    return (block > other_block) | ((block == other_block) & (pos > other_pos))
-
-
 def _kind(field: Field | None) -> tuple[str, str]:
     return (field.type, field.src_type) if field else ("TEXT", "")
 
@@ -239,6 +283,5 @@ def read_pgdump(spark: SparkSession, path: str | list[str], table: str, **option
     """Rows of one table from its COPY blocks."""
     dump = PgDump(spark, path)
     rows = accepted(dump.rows(table, **options))
-    if dump.blocks.filter(F.col("table_name") == table).count() <= LOCAL_BLOCKS:
-        dump.close()
+    dump.close()
     return rows
