@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _unpivot(df: DataFrame, names: list[str], measures: list[str]) -> DataFrame:
@@ -72,54 +73,100 @@ def _parent_keys(parent: DataFrame, fk: list[str], key: list[str]) -> DataFrame:
     return parent.select(*[F.col(k).alias(f) for k, f in zip(key, fk)])
 
 
+def _comparable(name: str, own: T.DataType, other: T.DataType) -> Column:
+    """A key column in the type that both sides of a foreign key are compared in."""
+    c = F.col(f"`{name}`")
+    if isinstance(own, T.IntegralType) and isinstance(other, T.IntegralType):
+        return c.cast("long")
+    if isinstance(own, T.NumericType) and isinstance(other, T.NumericType) and own != other:
+        return c.cast("double") + 0.0
+    if isinstance(own, T.FractionalType) and not isinstance(own, T.DecimalType):
+        return c + 0.0  # one zero
+    return c if own == other else c.cast("string")
+
+
+def _entry(rule: int, kind: str, keys: list[Column], present: bool, parent: bool = False) -> Column:
+    """What one row says to one rule, or null: the key's 128-bit hash, with the places of its nulls."""
+    nulls = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
+    marks = F.concat(*[F.when(k.isNull(), "1").otherwise("0") for k in keys])
+    said = F.struct(
+        F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.xxhash64(marks, *keys).alias("h1"),
+        F.xxhash64(F.lit(rule), *reversed(keys), marks).alias("h2"), nulls.alias("nulls"), F.lit(parent).alias("parent"),
+    )
+    return F.when(~nulls, said) if present else said
+
+
 def check_declared(tables: dict[str, DataFrame], columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """``(table_name, kind, columns, violations)`` of every declared rule on loaded tables.
 
-    One aggregation per rule, all in one plan; the rules themselves are metadata. NOT NULL is
-    checked for all columns of a table in one pass. ``tables`` is keyed by declared name.
+    Each table is scanned once: a row gives one entry per rule that concerns it, as child, as parent, or for
+    its own key. Entries of all rules and tables are counted per (rule, key hash) in one shuffle, after
+    partial counts in each task, so a value that fills a third of a table is one row per task; no table is joined. The
+    rules themselves are metadata. ``tables`` is keyed by declared name.
     """
+    spark = columns.sparkSession
     known = {name.lower(): df for name, df in tables.items()}
-    found = []
-    required: dict[str, list[str]] = {}
+    rules: list[tuple[str, str, str]] = []
+    entries: dict[str, list[Column]] = {}
+
+    def add(table: str, kind: str, names: list[str]) -> int:
+        rules.append((table, kind, ",".join(names)))
+        return len(rules) - 1
+
+    def types(table: str) -> dict[str, T.DataType]:
+        return {f.name.lower(): f.dataType for f in known[table].schema}
+
     for r in columns.filter("not_null").select("table_name", "column_name").distinct().collect():
-        required.setdefault(r.table_name, []).append(r.column_name)
-    for table, names in required.items():
-        if table.lower() in known:
-            nulls = null_counts(known[table.lower()], names)
-            found.append(_finding(nulls, table, "not_null", "column_name", "nulls"))
-    rules = constraints.filter("kind <> 'index'").drop("dump").distinct().collect()
-    primary = {r.table_name.lower(): r.columns for r in rules if r.kind == "pk"}
-    for r in rules:
-        df = known.get(r.table_name.lower())
-        if df is None or "" in r.columns:
+        table = r.table_name.lower()
+        if table in known:
+            rule, c = add(r.table_name, "not_null", [r.column_name]), F.col(f"`{r.column_name}`")
+            said = _entry(rule, "not_null", [F.when(c.isNull(), F.lit(0))], False)
+            entries.setdefault(table, []).append(F.when(c.isNull(), said))
+    declared = constraints.filter("kind <> 'index'").drop("dump").distinct().collect()
+    primary = {r.table_name.lower(): r.columns for r in declared if r.kind == "pk"}
+    for r in declared:
+        table = r.table_name.lower()
+        if table not in known or "" in r.columns:
+            continue
+        own = types(table)
+        if r.kind != "fk":
+            keys = [_comparable(c, own[c.lower()], own[c.lower()]) for c in r.columns]
+            said = _entry(add(r.table_name, r.kind, r.columns), r.kind, keys, r.kind == "unique")
+            entries.setdefault(table, []).append(said)
+            continue
+        parent = r.ref_table.lower()
+        # A foreign key that names no columns means the parent's primary key.
+        key = r.ref_columns or primary.get(parent, [])
+        if parent not in known or len(key) != len(r.columns):
             continue
-        if r.kind == "fk":
-            parent = known.get(r.ref_table.lower())
-            if parent is None:
-                continue
-            # A foreign key that names no columns means the parent's primary key.
-            key = r.ref_columns or primary.get(r.ref_table.lower(), [])
-            if len(key) != len(r.columns):
-                continue
-            orphaned = orphan_keys(df, r.columns, parent, key)
-            bad = orphaned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
-        else:
-            check = primary_key_violations if r.kind == "pk" else unique_violations
-            bad = check(df, r.columns).agg(F.count("*").alias("v"))
-        bad = bad.withColumn("name", F.lit(",".join(r.columns)))
-        found.append(_finding(bad, r.table_name, r.kind, "name", "v"))
-    if not found:
-        layout = "table_name string, kind string, columns string, violations long"
-        return columns.sparkSession.createDataFrame([], layout)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _finding(df: DataFrame, table: str, kind: str, name: str, count: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"),
-        F.lit(kind).alias("kind"),
-        F.col(name).alias("columns"),
-        F.col(count).alias("violations"),
+        theirs = types(parent)
+        pairs = [(c, own[c.lower()], k, theirs[k.lower()]) for c, k in zip(r.columns, key)]
+        rule = add(r.table_name, "fk", r.columns)
+        child = [_comparable(c, a, b) for c, a, _, b in pairs]
+        entries.setdefault(table, []).append(_entry(rule, "fk", child, True))
+        held = [_comparable(k, b, a) for _, a, k, b in pairs]
+        entries.setdefault(parent, []).append(_entry(rule, "fk", held, True, parent=True))
+
+    layout = "rule int, table_name string, kind string, columns string"
+    listed = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], layout)
+    if not entries:
+        return listed.select("table_name", "kind", "columns", F.lit(0).cast("long").alias("violations"))
+    said = [
+        known[t].select(F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        for t, found in entries.items()
+    ]
+    counted = reduce(DataFrame.unionByName, said).groupBy("rule", "kind", "h1", "h2").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.bool_or("parent").alias("parent"), F.bool_or("nulls").alias("nulls")
+    )
+    bad = (
+        F.when(F.col("kind") == "not_null", F.col("n"))
+        .when(F.col("kind") == "fk", F.when(F.col("parent"), 0).otherwise(F.col("n")))
+        .when((F.col("n") > 1) | ((F.col("kind") == "pk") & F.col("nulls")), 1)
+        .otherwise(0)
+    )
+    found = counted.groupBy("rule").agg(F.sum(bad).alias("violations"))
+    return listed.join(found, "rule", "left").select(
+        "table_name", "kind", "columns", F.coalesce("violations", F.lit(0)).alias("violations")
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpdeck import encode
-from dumpdeck.functions.rows import DROPPED, DUMP, RAW, REASON
+from dumpdeck.functions.rows import DROPPED, DUMP, RAW, REASON, accepted
 from dumpdeck.operators.load import load, load_rejects
 from dumpdeck.operators.page import sql_scan
 from dumpdeck.plans.registry import query, table, views
@@ -61,13 +63,47 @@ def pgdump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pgdump(spark, path, "customer")
 
 
-@query(
-    "a2_pgdump_multitable",
-    "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
-)
+MANY = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
+
+
+def _sums_sql(names) -> str:
+    """Rows of several tables: how many, the sum of their keys, and the length of their texts."""
+    texts = {"region": "r_name", "nation": "n_name", "customer": "c_name", "supplier": "s_name", "orders": "o_orderpriority"}
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n, sum({MANY[t]})::BIGINT AS keys, sum(length({texts[t]}))::BIGINT AS letters FROM {t}"
+        for t in names
+    )
+
+
+def _sums(rows: dict[str, DataFrame]) -> DataFrame:
+    texts = {"region": "r_name", "nation": "n_name", "customer": "c_name", "supplier": "s_name", "orders": "o_orderpriority"}
+    parts = [
+        df.agg(F.count("*").alias("n"), F.sum(MANY[t]).cast("long").alias("keys"), F.sum(F.length(texts[t])).cast("long").alias("letters"))
+        .select(F.lit(t).alias("table_name"), "n", "keys", "letters")
+        for t, df in rows.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("a2_pgdump_multitable", _sums_sql(("region", "nation", "supplier", "orders")))
 def pgdump_one_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in ("region", "nation", "supplier", "orders")}
-    return read_pgdump(spark, encode.write_pgdump(tables, shared_folder(spark, "pg")), "nation")
+    path = encode.write_pgdump(tables, shared_folder(spark, "pg"))
+    dump = PgDump(spark, path)
+    return _sums({n: accepted(dump.rows(n)) for n in tables})
+
+
+@query("a2_many_blocks", "SELECT c_custkey, c_name FROM customer")
+def many_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A COPY block of its own for each customer."""
+    c = table(spark, sf_dir, "customer")
+    row = F.concat_ws("\t", "c_custkey", "c_name")
+    block = F.concat(F.lit("COPY public.customer (c_custkey, c_name) FROM stdin;\n"), row, F.lit("\n\\.\n"))
+    folder = shared_folder(spark, "blocks")
+    create = "CREATE TABLE public.customer (\n    c_custkey bigint,\n    c_name text\n);"
+    spark.createDataFrame([(create,)], "value string").write.text(f"{folder}/schema")
+    c.select(block).write.text(f"{folder}/rows")
+    return read_pgdump(spark, f"{folder}/*/*.txt", "customer")
 
 
 @query(
@@ -385,17 +421,11 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.report.select("table_name", "rows_read", "rows_loaded", "rows_rejected")
 
 
-@query(
-    "b5_load_staged",
-    """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders
-""",
-)
+@query("b5_load_staged", _sums_sql(MANY))
 def load_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("region", "nation", "customer", "supplier", "orders")
-    path = encode.write_pgdump({n: table(spark, sf_dir, n) for n in names}, shared_folder(spark, "pg"))
-    return load(spark, path, shared_folder(spark, "loaded")).table("orders")
+    path = encode.write_pgdump({n: table(spark, sf_dir, n) for n in MANY}, shared_folder(spark, "pg"))
+    result = load(spark, path, shared_folder(spark, "loaded"))
+    return _sums({n: result.table(n) for n in MANY})
 
 
 def _damaged_lines(spark: SparkSession, sf_dir: str, after: str = "") -> str:
