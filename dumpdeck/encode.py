@@ -169,12 +169,14 @@ def write_mysqlshell(schema: str, name: str, df: DataFrame, folder: str) -> str:
 
 
 def write_sqlite(
-    name: str, df: DataFrame, folder: str, key: str | None = None, declared: dict[str, str] | None = None
-) -> str:
+    name: str, df: DataFrame, folder: str, key: str | None = None, declared: dict[str, str] | None = None,
+    rules: list[str] | None = None, options: str = "",
+) -> str:
     """One database file per partition, each with the same table."""
     local = ensure_folder(folder)
     types = {f.name: SQLITE_NAMES.get(type(f.dataType), "TEXT") for f in df.schema.fields} | (declared or {})
     columns = ", ".join(f'"{n}" {t}' + (" PRIMARY KEY" if n == key else "") for n, t in types.items())
+    columns = ", ".join([columns, *(rules or [])])
     marks = ", ".join("?" * len(df.columns))
     times = (T.TimestampType, T.TimestampNTZType)
     stored = df.select(
@@ -189,7 +191,7 @@ def write_sqlite(
         partial = f"{target}.{uuid.uuid4().hex}.partial"
         n = 0
         db = sqlite3.connect(partial)
-        db.execute(f'CREATE TABLE "{name}" ({columns})')
+        db.execute(f'CREATE TABLE "{name}" ({columns}) {options}')
         for pdf in batches:
             n += len(pdf)
             rows = pdf.astype(object).where(pdf.notna(), None).values.tolist()

@@ -241,6 +241,45 @@ def sqlite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sqlite(spark, path, "part", rows_per_partition=500)
 
 
+@query("a5_without_rowid", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def sqlite_without_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables stored in the order of a key of two columns, read in slices of 500 keys."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    path = encode.write_sqlite(
+        "orders", rows.repartition(3), shared_folder(spark, "sqlite"),
+        rules=["PRIMARY KEY (o_custkey, o_orderkey)"], options="WITHOUT ROWID",
+    )
+    return read_sqlite(spark, path, "orders", rows_per_partition=500)
+
+
+@query(
+    "a5_mixed_files",
+    """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS p_name,
+       CASE WHEN p_partkey % 2 = 1 THEN p_size::BIGINT END AS p_size FROM part
+""",
+)
+def sqlite_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files whose tables have different columns."""
+    part, base = table(spark, sf_dir, "part").repartition(2), shared_folder(spark, "sqlite")
+    encode.write_sqlite("part", part.filter("p_partkey % 2 = 0").select("p_partkey", "p_name"), f"{base}/a")
+    encode.write_sqlite("part", part.filter("p_partkey % 2 = 1").select("p_size", "p_partkey"), f"{base}/b")
+    return read_sqlite(spark, base, "part").select("p_partkey", "p_name", "p_size")
+
+
+@query("a6_load_archives", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def load_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three zips, each with a dump of a third of the customers, loaded in one step."""
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws("\t", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    head = [
+        "--", "-- PostgreSQL database dump", "--", "CREATE TABLE public.customer (", "    c_custkey bigint,", "    c_name text,",
+        "    c_mktsegment text", ");", "COPY public.customer (c_custkey, c_name, c_mktsegment) FROM stdin;",
+    ]
+    dumps = encode.framed(lines.repartition(3), head, ["\\."])
+    packed = encode.write_zips(dumps, shared_folder(spark, "zips"), "shop/dump.sql")
+    return load(spark, packed, shared_folder(spark, "loaded")).table("customer")
+
+
 @query(
     "a6_archive",
     """

@@ -1,18 +1,20 @@
-"""SQLite files as a Spark data source: ``spark.read.format("sqlite_file")``.
+"""SQLite files, read by tasks in slices of their key order.
 
-Options: ``path`` (one file, or a glob of many with the same table), ``table``, and
-``rowsPerPartition``. A partition is a range of row ids of one file, read by a task over its
-own read-only connection. The files must lie on a mount that all executors share.
+``path`` is a file, a glob, a folder (searched for SQLite files) or a list of these, on a mount that all
+executors share. Tables of one name in several files are one table: it has the columns of all of them, null where a
+file lacks one. The driver lists names and opens no file. A first job plans slices in tasks, from row ids or
+from keys sampled along the B-tree, and writes them; a second one reads a slice per task over its own
+read-only connection.
 """
 
 from __future__ import annotations
 
 import glob
+import os
+import pickle
 import sqlite3
 import urllib.parse
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import pandas as pd
@@ -20,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from dumpdeck.functions.rows import DROPPED, DUMP, RAW, REASON
 from dumpdeck.functions.types import Field, spark_type, sqlite_logical
-from dumpdeck.session import posix_path
+from dumpdeck.session import posix_path, shared_folder
 from dumpdeck.sources import ddl
 
-BATCH = 2_000
-MAX_SLICES = 10_000
+#: Rows of a batch; slices up to which row ids of a file are cut evenly; tasks of one read.
+BATCH, DENSE, MOST_TASKS = 2_000, 10_000, 100_000
 
 
 def quoted(name: str) -> str:
@@ -45,125 +46,113 @@ def free_row_id(db: sqlite3.Connection, table: str) -> str | None:
     return next((n for n in ("rowid", "_rowid_", "oid") if n not in taken), None)
 
 
-def files(path: str) -> list[str]:
-    found = sorted(glob.glob(posix_path(path)))
+def files(path: str | list[str]) -> list[str]:
+    found: set[str] = set()
+    for one in [path] if isinstance(path, str) else path:
+        for name in glob.glob(posix_path(one)):
+            inside = [name] if os.path.isfile(name) else [os.path.join(d, f) for d, _, fs in os.walk(name) for f in fs]
+            found.update(inside)
     if not found:
         raise FileNotFoundError(path)
-    return found
-
-
-@dataclass
-class Slice(InputPartition):
-    file: str
-    first: int
-    last: int
-    row_id: str
-    cut: bool = True
-
-
-class SqliteFile(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_file"
-
-    def schema(self) -> T.StructType:
-        """Values as text plus their storage class: SQLite columns are not strictly typed."""
-        with connect(files(self.options["path"])[0]) as db:
-            names = [r[1] for r in db.execute(f"PRAGMA table_info({quoted(self.options['table'])})")]
-        if not names:
-            raise ValueError(f"no table {self.options['table']} in {self.options['path']}")
-        fields = [T.StructField(n, T.StringType()) for n in names]
-        kinds = T.StructField("_kinds", T.StringType())
-        return T.StructType([T.StructField("_file", T.StringType()), *fields, kinds])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteReader(self.options, schema)
-
-
-class SqliteReader(DataSourceReader):
-    def __init__(self, options, schema: T.StructType):
-        self.path = options["path"]
-        self.table = options["table"]
-        self.rows = int(options.get("rowspartition", options.get("rowsPerPartition", 1_000_000)))
-        self.schema = schema
-
-    def partitions(self) -> list[Slice]:
-        with ThreadPoolExecutor(max_workers=32) as pool:
-            found = list(pool.map(self._slices, files(self.path)))
-        return [s for part in found for s in part] or [Slice("", 0, -1, "")]
-
-    def _slices(self, file: str) -> list[Slice]:
-        with connect(file) as db:
-            return self._ranges(db, file)
-
-    def _ranges(self, db: sqlite3.Connection, file: str) -> list[Slice]:
-        table = quoted(self.table)
-        row_id = free_row_id(db, self.table)
-        try:
-            if row_id is None:
-                # The row id is out of reach: one slice.
-                n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
-                return [Slice(file, 0, n - 1, "", False)]
-            first, last = db.execute(f"SELECT min({row_id}), max({row_id}) FROM {table}").fetchone()
-            if first is None:
-                return []
-            # Row ids may be sparse: bound the number of slices, not only their width.
-            step = max(self.rows, -(-(last - first + 1) // MAX_SLICES))
-            return [Slice(file, a, min(a + step - 1, last), row_id) for a in range(first, last + 1, step)]
-        except sqlite3.OperationalError:
-            # WITHOUT ROWID: slices by position in key order.
-            n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
-            return [Slice(file, a, a + self.rows - 1, "") for a in range(0, n, self.rows)]
-
-    def read(self, part: Slice) -> Iterator:
-        if part.last < part.first:
-            return
-        names = [f.name for f in self.schema.fields if f.name not in ("_file", "_kinds")]
-        # Storage class of each value, one letter each: n(ull) i(nteger) r(eal) t(ext) b(lob).
-        kinds = "||".join(f"substr(typeof({quoted(n)}), 1, 1)" for n in names)
-        picks = ", ".join(
-            f"CASE typeof({q}) WHEN 'blob' THEN hex({q}) WHEN 'real' THEN printf('%!.17g', {q}) "
-            f"ELSE CAST({q} AS TEXT) END"
-            for q in map(quoted, names)
-        )
-        sql = f"SELECT {picks}, {kinds} FROM {quoted(self.table)}"
-        with connect(part.file) as db:
-            if part.row_id:
-                cursor = db.execute(f"{sql} WHERE {part.row_id} BETWEEN ? AND ?", (part.first, part.last))
-            elif not part.cut:
-                cursor = db.execute(sql)
-            else:
-                keys = sorted(
-                    (r[5], r[1]) for r in db.execute(f"PRAGMA table_info({quoted(self.table)})") if r[5]
-                )
-                order = ", ".join(quoted(k) for _, k in keys)
-                cursor = db.execute(
-                    f"{sql} ORDER BY {order} LIMIT ? OFFSET ?", (part.last - part.first + 1, part.first)
-                )
-            while rows := cursor.fetchmany(BATCH):
-                columns = [pa.array(c, pa.string()) for c in zip(*rows)]
-                file = pa.array([part.file] * len(rows), pa.string())
-                yield pa.RecordBatch.from_arrays([file, *columns], ["_file", *names, "_kinds"])
-
-
-def list_tables(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, table_name)`` of user tables, read by tasks, one file each."""
-    found = spark.createDataFrame([(f,) for f in files(path)], "file string")
+    return sorted(found)
+
+
+def is_sqlite(file: str) -> bool:
+    with open(file, "rb") as f:
+        return f.read(16) == b"SQLite format 3\0"
+
 
-    def tables(batches):
+def _each_file(spark: SparkSession, path: str | list[str], found: Callable, layout: str) -> DataFrame:
+    """Rows of ``found(db, file)`` for every SQLite file, one file at a time in tasks."""
+    names = [f.split()[0] for f in layout.split(", ")]
+    listed = files(path)
+
+    def run(batches):
         for pdf in batches:
             for file in pdf["file"]:
-                with connect(file) as db:
-                    sql = "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'"
-                    names = [r[0] for r in db.execute(sql)]
-                yield pd.DataFrame({"file": file, "table_name": names})
+                if is_sqlite(file):
+                    with connect(file) as db:
+                        yield pd.DataFrame([(file, *r) for r in found(db, file)], columns=names, dtype=object)
 
-    return found.repartition(max(1, min(len(files(path)), 1000))).mapInPandas(
-        tables, "file string, table_name string"
-    )
+    df = spark.createDataFrame([(f,) for f in listed], "file string")
+    return df.repartition(max(1, min(len(listed), 1000))).mapInPandas(run, layout)
+
+
+def slices(db: sqlite3.Connection, table: str, rows: int, most: int = DENSE) -> Iterator[tuple[str, bytes | None, bytes | None]]:
+    """``(keys, after, upto)`` of the slices of a table; bounds are pickled tuples of key values.
+
+    Row ids are cut evenly unless they are so sparse that most slices would be empty; then, and for tables
+    without row ids, every ``rows``-th key is looked up from the one before.
+    """
+    name, row_id = quoted(table), free_row_id(db, table)
+    try:
+        if row_id is None:
+            db.execute(f"SELECT rowid FROM {name} LIMIT 0")
+            yield "", None, None  # the row id is out of reach: one slice
+            return
+        first, last = db.execute(f"SELECT min({row_id}), max({row_id}) FROM {name}").fetchone()
+        keys = row_id
+        if first is not None and (last - first) // rows < most:
+            for at in range(first - 1, last, rows):
+                yield keys, pickle.dumps((at,)), pickle.dumps((min(at + rows, last),))
+            return
+    except sqlite3.OperationalError:  # WITHOUT ROWID
+        primary = sorted((r[5], r[1]) for r in db.execute(f"PRAGMA table_info({name})") if r[5])
+        keys = ", ".join(quoted(k) for _, k in primary)
+    after, marks = None, ", ".join("?" * len(keys.split(", ")))
+    while True:
+        where = f"WHERE ({keys}) > ({marks})" if after else ""
+        found = db.execute(f"SELECT {keys} FROM {name} {where} ORDER BY {keys} LIMIT 1 OFFSET ?", (*(after or ()), rows - 1))
+        upto = found.fetchone()
+        yield keys, after and pickle.dumps(after), upto and pickle.dumps(upto)
+        if upto is None:
+            return
+        after = upto
+
+
+def read_slices(planned: DataFrame, table: str, names: list[str]) -> DataFrame:
+    """``_file``, a text column per name, and ``_kinds``: the storage class of each value, one letter each.
+
+    Values are text because SQLite columns are not strictly typed: n(ull) i(nteger) r(eal) t(ext) b(lob).
+    """
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in ("_file", *names, "_kinds")])
+
+    def read(batches):
+        for batch in batches:
+            for s in batch.to_pylist():
+                with connect(s["file"]) as db:
+                    own = {r[1].lower() for r in db.execute(f"PRAGMA table_info({quoted(table)})")}
+                    there = [quoted(n) if n.lower() in own else "NULL" for n in names]
+                    kinds = "||".join(f"substr(typeof({q}), 1, 1)" for q in there)
+                    picks = ", ".join(
+                        f"CASE typeof({q}) WHEN 'blob' THEN hex({q}) WHEN 'real' THEN printf('%!.17g', {q}) "
+                        f"ELSE CAST({q} AS TEXT) END"
+                        for q in there
+                    )
+                    where, bounds = [], []
+                    for sign, bound in ((">", s["after"]), ("<=", s["upto"])):
+                        if bound is not None:
+                            values = pickle.loads(bound)
+                            where.append(f"({s['keys']}) {sign} ({', '.join('?' * len(values))})")
+                            bounds += values
+                    sql = f"SELECT {picks}, {kinds} FROM {quoted(table)}" + (" WHERE " + " AND ".join(where) if where else "")
+                    cursor = db.execute(sql, bounds)
+                    while rows := cursor.fetchmany(BATCH):
+                        columns = [pa.array(c, pa.string()) for c in zip(*rows)]
+                        file = pa.array([s["file"]] * len(rows), pa.string())
+                        yield pa.RecordBatch.from_arrays([file, *columns], ["_file", *names, "_kinds"])
+
+    # One slice is one task: the number of them is counted where they were written.
+    return planned.repartition(max(1, min(planned.count(), MOST_TASKS))).mapInArrow(read, layout)
+
+
+def list_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, table_name)`` of user tables, read by tasks, one file each."""
+    sql = "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'"
+    return _each_file(spark, path, lambda db, file: db.execute(sql).fetchall(), "file string, table_name string")
 
 
-def schema(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def schema(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Columns and constraints of every file, in the shape of ``sources.ddl``."""
     layout = (
         "dump string, table_name string, pos int, column_name string, src_type string, "
@@ -239,11 +228,10 @@ def _rules(db: sqlite3.Connection, file: str, table: str) -> list[tuple]:
 class SqliteDump:
     dialect = "sqlite"
 
-    def __init__(self, spark: SparkSession, path: str, rows_per_partition: int = 1_000_000):
+    def __init__(self, spark: SparkSession, path: str | list[str], rows_per_partition: int = 1_000_000):
         self.spark = spark
         self.path = path
         self.rows_per_partition = rows_per_partition
-        spark.dataSource.register(SqliteFile)
         self.columns, self.constraints = schema(spark, path)
 
     def close(self) -> None:
@@ -251,37 +239,47 @@ class SqliteDump:
 
     @cached_property
     def fields(self) -> dict[str, list[Field]]:
-        return ddl.all_fields(self.columns)
+        """Columns of all files per table: in the order of the first file that has them, as text where types differ."""
+        place = F.struct("dump", "pos", "column_name", "src_type")
+        merged = self.columns.groupBy("table_name", F.lower("column_name").alias("key")).agg(
+            F.min(place).alias("first"), F.collect_set("type").alias("types")
+        )
+        one = F.when(F.size("types") == 1, F.col("types")[0]).otherwise("TEXT")
+        entry = F.struct("first.dump", "first.pos", "first.column_name", one.alias("type"), "first.src_type")
+        rows = merged.groupBy("table_name").agg(F.array_sort(F.collect_list(entry)).alias("fields")).collect()
+        return {r.table_name: [Field(c.column_name, c.type, c.src_type) for c in r.fields] for r in rows}
+
+    def _planned(self, table: str) -> DataFrame:
+        """The slices of a table over all files, written by the tasks that planned them."""
+        rows = self.rows_per_partition
+        layout = "file string, keys string, after binary, upto binary"
+        folder = shared_folder(self.spark, "sqlite-slices")
+
+        def plan(db: sqlite3.Connection, file: str) -> list[tuple]:
+            known = db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone()
+            return list(slices(db, table, rows)) if known else []
+
+        _each_file(self.spark, self.path, plan, layout).write.parquet(folder)
+        return self.spark.read.schema(layout).parquet(folder)
 
     def tables(self) -> list[str]:
         return sorted(self.fields)
 
     def counts(self) -> DataFrame:
         """``(table_name, n)`` by counting in the files, one task per file."""
-        def count(batches):
-            for pdf in batches:
-                for file, table in zip(pdf["file"], pdf["table_name"]):
-                    with connect(file) as db:
-                        n = db.execute(f"SELECT count(*) FROM {quoted(table)}").fetchone()[0]
-                    yield pd.DataFrame({"table_name": [table], "n": [n]})
+        def count(db: sqlite3.Connection, file: str) -> list[tuple]:
+            names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'")]
+            return [(n, db.execute(f"SELECT count(*) FROM {quoted(n)}").fetchone()[0]) for n in names]
 
-        tables = list_tables(self.spark, self.path)
-        return tables.mapInPandas(count, "table_name string, n long").groupBy("table_name").agg(
-            F.sum("n").alias("n")
-        )
+        found = _each_file(self.spark, self.path, count, "file string, table_name string, n long")
+        return found.groupBy("table_name").agg(F.sum("n").alias("n"))
 
     def rows(self, table: str, staged: str | None = None, rich: bool = False, **_) -> DataFrame:
         """Typed rows with bookkeeping columns (see ``functions.rows``)."""
         fields = self.fields.get(table)
         if not fields:
             raise ValueError(f"no table {table} in {self.path}")
-        raw = (
-            self.spark.read.format("sqlite_file")
-            .option("path", self.path)
-            .option("table", table)
-            .option("rowsPerPartition", self.rows_per_partition)
-            .load()
-        )
+        raw = read_slices(self._planned(table), table, [f.name for f in fields])
         values, misfits = [], []
         for i, f in enumerate(fields):
             text = F.col(quoted_column(f.name))
@@ -316,6 +314,6 @@ def adapt(text, kind, field: Field, target: T.DataType):
     return F.when(kind != "b", text.try_cast(target))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str | list[str], table: str, **options) -> DataFrame:
     rows = SqliteDump(spark, path, options.pop("rows_per_partition", 1_000_000)).rows(table, **options)
     return rows.drop(DUMP, RAW, REASON, DROPPED)
