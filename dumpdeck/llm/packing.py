@@ -35,6 +35,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,12 +104,21 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and not OTHER.search(text) and not LONG.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.fast and not OTHER.search(text) and not _long_runs(text):
+            return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
         parts = self.slow.encode_batch_fast(list(_cut(text)), add_special_tokens=False)
         return np.concatenate([np.array(p.ids, "<u4") for p in parts])
 
 
+def _long_runs(text: str, step: int = 200) -> bool:
+    """Whether ``LONG`` is found: such a run covers one of the text's blocks, without a blank or with nothing else."""
+    for at in range(0, len(text) - step + 1, step):
+        block = text[at : at + step]
+        if " " not in block or block.isspace():
+            return bool(LONG.search(text))
+    return False
+
+
 def _cut(text: str, room: int = LETTERS) -> Iterator[str]:
     at = 0
     while len(text) - at > room:
