@@ -210,7 +210,15 @@ def phases(totals: DataFrame, targets: dict[str | None, float] | None, chunk: in
     return held.unionByName(phases(rest, None, chunk).withColumn("first", F.lit(first).cast("long")))
 
 
-def dealt(tokens: DataFrame, starts: DataFrame, phases_: DataFrame, width: int = 4) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """A small table, written: Spark knows its size when it plans a join, so large sides stay where they are if it may."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/packing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(tokens: DataFrame, parts: DataFrame, width: int = 4) -> DataFrame:
     """Documents cut where chunks of their queue begin: one row per (document, chunk) with its ids.
 
     The chunk c of a queue of n tokens begins at floor(n * c / chunks + phase), phase in (0, 1) by the queue's name.
@@ -229,7 +237,6 @@ def dealt(tokens: DataFrame, starts: DataFrame, phases_: DataFrame, width: int =
         low = F.greatest(guess - 1, F.lit(0).cast("long"))
         return low + (edge(low + 1) <= i).cast("long") + (edge(low + 2) <= i).cast("long")
 
-    parts = starts.join(phases_, "queue")
     rows = tokens.join(parts, ["queue", "task"])
     at = F.col("before") + F.col("nth")
     rows = rows.withColumn("_from", F.greatest(at, "low") - F.col("low"))
@@ -362,12 +369,14 @@ def pack(
         raise ValueError("the size of a sequence is a power of two")
     ids = tokenised(docs, tokens, end)
     starts, totals = queued(ids)
+    starts, totals = _stored(starts), _stored(totals)
     total = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shares = phases(totals, targets, chunk)
-    slices = dealt(ids, starts, shares, tokens.width)
+    parts = _stored(starts.join(shares, "queue"))
+    slices = dealt(ids, parts, tokens.width)
     # The places of chunks need no ids; this reads the narrow columns alone.
-    narrow = dealt(ids.withColumn("ids", F.lit(b"")), starts, shares)
-    placed = slices.join(_positions(narrow), "chunk")
+    narrow = dealt(ids.withColumn("ids", F.lit(b"")), parts)
+    placed = slices.join(_stored(_positions(narrow)), "chunk")
     return placed.groupBy("chunk").applyInArrow(_rounds(total, size, tokens.width), PIECES)
 
 
