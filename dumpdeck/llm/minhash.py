@@ -5,12 +5,16 @@
 2. Documents with equal sets are one class, kept by its least id: copies are linked without pairs.
 3. Classes that agree in all rows of a band share a bucket. In each bucket all others are compared with
    its least id first (a star, not pairs), and verified links are merged into components.
-4. Buckets that then still hold several components are compared in tiles of ``tile`` classes, across
-   components only, by sizes and signatures inside the task; only pairs that may be links leave it, once.
-5. Every link is confirmed on full shingle sets (``confirm``). Components come from alternating stars.
+4. Buckets that then still hold several components are compared in tiles of about ``tile`` classes, across
+   components only, by sizes and signatures inside the task. At most two candidates a row leave it: all, or
+   if there are more, each row's best one; they are confirmed and merged.
+5. Pairs of tiles that had more candidates get the full shingle sets and are settled inside the task
+   (``joined_in_tiles``), which returns the links that join components only.
+6. Every link is tested on full shingle sets. Components come from alternating stars.
 
 A pair of similarity 0.8 misses all of 28 bands of 4 rows with probability (1 - 0.8**4)**28 = 4e-7; nothing is
-capped. Step 4 costs the square of a bucket only where a bucket of different, unlinked texts is large.
+capped. The time of steps 4 and 5 is the square of a bucket only where a bucket of different, unlinked texts is
+large; rows grow with n * n / tile there, and results with n.
 
 Edge cases: null texts and texts without words have no shingles, are linked with nothing and stay. A
 row without an id is linked with nothing and stays, its component is null. Rows that share an id are one
@@ -32,7 +36,8 @@ from dumpdeck.llm.common import cut
 from dumpdeck.llm.components import components
 from dumpdeck.llm.shingles import Powers, mix, shingle_sets
 
-WORDS, PERCENT, BANDS, ROWS, SEED, TILE, MEMBERS = 5, 80, 28, 4, 1, 64, 64
+WORDS, PERCENT, BANDS, ROWS, SEED, TILE, MEMBERS = 5, 80, 28, 4, 1, 1024, 64
+SHINGLES = 1 << 20
 
 SKETCH = T.StructType(
     [
@@ -45,6 +50,15 @@ SKETCH = T.StructType(
     ]
 )
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+NEAR = T.StructType(
+    [
+        *PAIR.fields,
+        T.StructField("bucket", T.LongType()),
+        T.StructField("i", T.IntegerType()),
+        T.StructField("j", T.IntegerType()),
+        T.StructField("whole", T.BooleanType()),
+    ]
+)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -132,7 +146,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     """The pairs (a, b) whose full shingle sets are similar enough.
 
     The text of b comes first in each group, then those it is compared with, as a sorted stream; a
-    text with many partners is in several groups.
+    text with many partners is in several groups. Rows that share an id are one node: an id with several
+    texts is linked if one of them is.
     """
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     dealt = pairs.join(counts, "b").select(
@@ -146,18 +161,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, now, head = Powers(), None, None
+        powers, now, heads_ = Powers(), None, []
         for batch in batches:
             columns = [_column(batch, c).to_pylist() for c in ("b", "part", "member", "id")]
             sets = shingle_sets(_column(batch, "text").to_pylist(), words, powers)
             found: list[tuple[int, int]] = []
             for b, part, member, id_, own in zip(*columns, sets, strict=True):
+                if now != (b, part):
+                    now, heads_ = (b, part), []
                 if not member:
-                    now, head = (b, part), own
-                elif now == (b, part):
+                    heads_.append(own)
+                    continue
+                for head in heads_:
                     same = len(np.intersect1d(head, own, assume_unique=True))
                     if 100 * same >= percent * (len(head) + len(own) - same):
                         found.append((id_, b))
+                        break
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
             )
@@ -165,55 +184,182 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "member", "id").mapInArrow(run, PAIR)
 
 
-def across(buckets: DataFrame, least: int, percent: int = PERCENT, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """Pairs of different components within a bucket whose sizes and signatures may be those of a link.
+def tiled(buckets: DataFrame, tile: int = TILE, shingles: int = SHINGLES) -> DataFrame:
+    """Rows of buckets, once for each pair of tiles (i, j) they take part in.
 
-    ``buckets``: bucket, band, rep, component, size, signature. A bucket of n classes is cut into tiles, and
-    each pair of tiles is compared in one place. A pair is reported by the first band in which it agrees.
+    ``buckets``: bucket, band, rep, component, size, signature. A tile holds about ``tile`` classes and ``shingles``
+    shingles; most buckets are one tile. The component with most rows in a bucket is not compared with itself.
     """
-    tiles = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = buckets.join(tiles, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    parts = buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    most = F.max(F.struct("n", F.col("component").alias("c")))
+    whole = parts.groupBy("bucket").agg(most.alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    def tiles(n: str, m: str) -> str:
+        return f"CAST(greatest(ceil({n} / {tile}), ceil({m} / {shingles}), 1) AS INT)"
+
+    top = parts.join(whole.select("bucket", F.col("top.c").alias("component")), ["bucket", "component"])
+    whole = whole.join(top.select("bucket", F.col("n").alias("tn"), F.col("m").alias("tm")), "bucket").select(
+        "bucket", F.col("top.c").alias("main"), F.expr(tiles("(n - tn)", "(m - tm)")).alias("others"),
+        F.expr(tiles("tn", "tm")).alias("mains"),
+    )
+    dealt = buckets.join(whole, "bucket").withColumn("is_main", F.col("component") == F.col("main"))
+    slot = F.xxhash64("rep", F.lit(7))
+    own = F.when(F.col("is_main"), F.col("others") + F.pmod(slot, "mains")).otherwise(F.pmod(slot, "others"))
+    last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = dealt.withColumn("tile", own.cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select(
         "bucket", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"),
         "band", "tile", "rep", "component", "size", "signature",
     )
 
-    def compared(now: tuple, held: list[dict]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
-        comp, tiles, reps, size = (np.array([r[c] for r in held]) for c in ("component", "tile", "rep", "size"))
-        band, out = held[0]["band"], []
-        for n in range(len(held) - 1):
-            rest = slice(n + 1, None)
-            fits = (comp[rest] != comp[n]) & ((tiles[rest] != tiles[n]) | (now[1] == now[2]))
-            fits &= 100 * np.minimum(size[rest], size[n]) >= percent * np.maximum(size[rest], size[n])
-            near = np.flatnonzero(fits) + n + 1
-            if not len(near):
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each (bucket, i, j) of a sorted stream."""
+    now: tuple | None = None
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = row["bucket"], row["i"], row["j"]
+            if key != now:
+                if len(held) > 1:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield now, held
+
+
+class _Tile:
+    """The rows of a pair of tiles, and which of them may be links by size and signature.
+
+    A pair of classes is looked at in the first band in which it agrees only.
+    """
+
+    def __init__(self, key: tuple, held: list[dict], least: int, percent: int, rows: int):
+        self.sig = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
+        self.comp, self.tile, self.rep, self.size = (
+            np.array([r[c] for r in held], np.int64) for c in ("component", "tile", "rep", "size")
+        )
+        self.inside, self.band = key[1] == key[2], held[0]["band"]
+        self.least, self.percent, self.rows = least, percent, rows
+
+    def near(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The later rows that row n may be linked with, and in how many minima they agree."""
+        rest = slice(n + 1, None)
+        fits = self.comp[rest] != self.comp[n]
+        if not self.inside:
+            fits &= self.tile[rest] != self.tile[n]
+        low, high = np.minimum(self.size[rest], self.size[n]), np.maximum(self.size[rest], self.size[n])
+        near = np.flatnonzero(fits & (100 * low >= self.percent * high)) + n + 1
+        same = self.sig[near] == self.sig[n]
+        agree = same.sum(axis=1)
+        first = same.reshape(len(near), -1, self.rows).all(axis=2).argmax(axis=1) if len(near) else agree
+        kept = (agree >= self.least) & (first == self.band)
+        return near[kept], agree[kept]
+
+
+def across(dealt: DataFrame, least: int, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """Pairs of different components within a pair of tiles that may be links: a, b, bucket, i, j, whole.
+
+    All of them while they are at most twice the rows (``whole``), else the best partner of each row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _groups(batches):
+            tile = _Tile(key, held, least, percent, rows)
+            count, every = 0, []
+            best, partner = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+            for n in range(len(held) - 1):
+                near, agree = tile.near(n)
+                if not len(near):
+                    continue
+                count += len(near)
+                if count <= 2 * len(held):
+                    every.append((np.full(len(near), n), near))
+                if agree.max() > best[n]:
+                    best[n], partner[n] = agree.max(), near[agree.argmax()]
+                more = agree > best[near]
+                best[near[more]], partner[near[more]] = agree[more], n
+            if not count:
                 continue
-            same = sig[near] == sig[n]
-            agree = same.reshape(len(near), -1, rows).all(axis=2)
-            near = near[(same.sum(axis=1) >= least) & (agree.argmax(axis=1) == band)]
-            out += [(max(reps[n], r), min(reps[n], r)) for r in reps[near]]
-        return out
+            whole = count <= 2 * len(held)
+            if whole:
+                x, y = (np.concatenate([e[k] for e in every]) for k in (0, 1))
+            else:
+                x = np.flatnonzero(best)
+                y = partner[x]
+            x, y = tile.rep[x], tile.rep[y]
+            ends = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+            n = ends.shape[1]
+            where = [pa.array([k] * n, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ends[0]), pa.array(ends[1]), *where, pa.array([whole] * n)], names=NEAR.names
+            )
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, NEAR)
+
+
+def joined_in_tiles(
+    dealt: DataFrame, texts: DataFrame, least: int, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS
+) -> DataFrame:
+    """Links (a, b) that join the components of each pair of tiles, found on full shingle sets in the task.
+
+    Every pair that may be a link is tested unless its ends are joined by then: at most one link a row leaves.
+    """
+    text = texts.select("doc_id", "text")
+    rows_ = dealt.join(text, F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        held: list[dict] = []
+        powers = Powers()
 
-        def found() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (pairs := compared(now, held)):
-                columns = [pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+        def with_sets() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [s.tobytes() for s in shingle_sets(_column(batch, "text").to_pylist(), words, powers)]
+                names = [n for n in batch.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(_column(batch, n) for n in names), pa.array(sets, pa.large_binary())], names=[*names, "set"]
+                )
+
+        for key, held in _groups(with_sets()):
+            tile = _Tile(key, held, least, percent, rows)
+            sets = [np.frombuffer(r.pop("set"), np.uint64) for r in held]
+            found: list[tuple[int, int]] = []
+            for n in range(len(held) - 1):
+                near, agree = tile.near(n)
+                for m in near[np.argsort(-agree, kind="stable")]:
+                    if tile.comp[m] == tile.comp[n]:
+                        continue
+                    same = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
+                    if 100 * same >= percent * (len(sets[n]) + len(sets[m]) - same):
+                        found.append((int(max(tile.rep[n], tile.rep[m])), int(min(tile.rep[n], tile.rep[m]))))
+                        tile.comp[tile.comp == tile.comp[m]] = tile.comp[n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+    return rows_.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep").mapInArrow(run, PAIR)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = row["bucket"], row["i"], row["j"]
-                if key != now:
-                    yield from found()
-                    now, held = key, []
-                held.append(row)
-        yield from found()
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, PAIR)
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``known`` (node, component) joined by further links (a, b) between their nodes."""
+    ends = []
+    for c in "ab":
+        end = known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        links = links.join(end, c, "left")
+        ends.append(F.coalesce(f"c{c}", c).alias(c))
+    above = cut(components(links.select(*ends)))
+    above = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    joined = known.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    lone = above.join(known.select("component"), "component", "left_anti")
+    return cut(joined.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component"))))
+
+
+def _open(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the buckets that are still in several components, with their component."""
+    rows = buckets.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rep"))
+    split = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return rows.join(split.select("bucket"), "bucket", "left_semi")
 
 
 def near_groups(
@@ -236,30 +382,32 @@ def near_groups(
 
     pairs = buckets.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(involved, "doc_id", "left_semi")
+    texts = cut(texts.dropDuplicates(["doc_id", "h"]))
     near = cut(alike(pairs, classes, least))
     links = confirm(near, texts, words, percent).unionByName(_shared_ids(live, classes))
-    known = cut(components(cut(links)))
+    known = cut(components(links))
 
     # What the stars may have missed: buckets of three or more that are still in several components.
-    many = buckets.filter("n > 2").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    many = many.withColumn("component", F.coalesce("component", "rep"))
-    split = many.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_ = many.join(split.select("bucket"), "bucket", "left_semi")
-    open_ = open_.join(classes.select("rep", F.col("n_shingles").alias("size"), "signature"), "rep")
-    more = across(open_, least, percent, rows).join(near, ["a", "b"], "left_anti")
-    more = cut(confirm(more.distinct(), texts, words, percent))
-    if not more.isEmpty():  # links between components: merge these
-        ends = []
-        for c in "ab":
-            end = known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-            more = more.join(end, c, "left")
-            ends.append(F.coalesce(f"c{c}", c).alias(c))
-        above = components(cut(more.select(*ends)))
-        above = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        joined = known.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        lone = above.join(known.select("component"), "component", "left_anti")
-        known = joined.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component")))
+    left = _open(buckets.filter("n > 2").select("bucket", "band", "rep"), known)
+    left = left.join(classes.select("rep", F.col("n_shingles").alias("size"), "signature"), "rep")
+    dealt = cut(tiled(cut(left)))
+    more = cut(across(dealt, least, percent, rows))
+    links = cut(confirm(more.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), texts, words, percent))
+    if not links.isEmpty():
+        known = merged(known, links)
+    # Pairs of tiles with more candidates than that are compared whole, where they still need it.
+    rest = more.filter("NOT whole").select("bucket", "i", "j").distinct()
+    if not rest.isEmpty():
+        again = dealt.join(rest, ["bucket", "i", "j"], "left_semi").drop("component")
+        again = again.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        links = cut(
+            joined_in_tiles(
+                again.withColumn("component", F.coalesce("component", "rep")), texts, least, words, percent, rows
+            )
+        )
+        if not links.isEmpty():
+            known = merged(known, links)
 
     found = classes.select(*key, "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select(*(F.col(c).alias(f"_n_{c}") for c in key), F.coalesce("component", "rep").alias("component"))
