@@ -6,10 +6,10 @@
 3. Classes that agree in all rows of a band share a bucket. In each bucket all others are compared with
    its least id first (a star, not pairs), and verified links are merged into components.
 4. Buckets that then still hold several components are compared in tiles of about ``tile`` classes, across
-   components only, by sizes and signatures inside the task. At most two candidates a row leave it: all, or
-   if there are more, each row's best one; they are confirmed and merged.
-5. Pairs of tiles that had more candidates get the full shingle sets and are settled inside the task
-   (``joined_in_tiles``), which returns the links that join components only.
+   components only, by sizes and signatures inside the task. Candidates leave it if they are at most two
+   a row; they are confirmed and merged.
+5. Pairs of tiles that had more get the full shingle sets and are settled inside the task
+   (``joined_in_tiles``), which returns only the links that join components.
 6. Every link is tested on full shingle sets. Components come from alternating stars.
 
 A pair of similarity 0.8 misses all of 28 bands of 4 rows with probability (1 - 0.8**4)**28 = 4e-7; nothing is
@@ -38,6 +38,7 @@ from dumpdeck.llm.shingles import Powers, mix, shingle_sets
 
 WORDS, PERCENT, BANDS, ROWS, SEED, TILE, MEMBERS = 5, 80, 28, 4, 1, 1024, 64
 SHINGLES = 1 << 20
+LISTED = 100_000
 
 SKETCH = T.StructType(
     [
@@ -56,9 +57,9 @@ NEAR = T.StructType(
         T.StructField("bucket", T.LongType()),
         T.StructField("i", T.IntegerType()),
         T.StructField("j", T.IntegerType()),
-        T.StructField("whole", T.BooleanType()),
     ]
 )
+NEAR_KEY = (pa.int64(), pa.int32(), pa.int32())
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -187,7 +188,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
 def tiled(buckets: DataFrame, tile: int = TILE, shingles: int = SHINGLES) -> DataFrame:
     """Rows of buckets, once for each pair of tiles (i, j) they take part in.
 
-    ``buckets``: bucket, band, rep, component, size, signature. A tile holds about ``tile`` classes and ``shingles``
+    ``buckets``: bucket, band, rep, component, size. A tile holds about ``tile`` classes and ``shingles``
     shingles; most buckets are one tile. The component with most rows in a bucket is not compared with itself.
     """
     parts = buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
@@ -209,7 +210,7 @@ def tiled(buckets: DataFrame, tile: int = TILE, shingles: int = SHINGLES) -> Dat
     dealt = dealt.withColumn("tile", own.cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
     return dealt.select(
         "bucket", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"),
-        "band", "tile", "rep", "component", "size", "signature",
+        "band", "tile", "rep", "component", "size",
     )
 
 
@@ -259,42 +260,31 @@ class _Tile:
 
 
 def across(dealt: DataFrame, least: int, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
-    """Pairs of different components within a pair of tiles that may be links: a, b, bucket, i, j, whole.
+    """Pairs of different components within a pair of tiles that may be links: a, b, bucket, i, j.
 
-    All of them while they are at most twice the rows (``whole``), else the best partner of each row.
+    All of them while they are at most twice the rows; if there are more, one row without a and b. ``dealt``: the
+    rows of ``tiled`` with their signatures.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _groups(batches):
             tile = _Tile(key, held, least, percent, rows)
             count, every = 0, []
-            best, partner = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
             for n in range(len(held) - 1):
-                near, agree = tile.near(n)
-                if not len(near):
-                    continue
+                near, _ = tile.near(n)
                 count += len(near)
-                if count <= 2 * len(held):
-                    every.append((np.full(len(near), n), near))
-                if agree.max() > best[n]:
-                    best[n], partner[n] = agree.max(), near[agree.argmax()]
-                more = agree > best[near]
-                best[near[more]], partner[near[more]] = agree[more], n
+                if count > 2 * len(held):
+                    break
+                every.append(np.stack([np.full(len(near), n), near]))
             if not count:
                 continue
-            whole = count <= 2 * len(held)
-            if whole:
-                x, y = (np.concatenate([e[k] for e in every]) for k in (0, 1))
+            if count > 2 * len(held):
+                ends = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())
             else:
-                x = np.flatnonzero(best)
-                y = partner[x]
-            x, y = tile.rep[x], tile.rep[y]
-            ends = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            n = ends.shape[1]
-            where = [pa.array([k] * n, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ends[0]), pa.array(ends[1]), *where, pa.array([whole] * n)], names=NEAR.names
-            )
+                x, y = tile.rep[np.concatenate(every, axis=1)]
+                ends = pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))
+            where = [pa.array([k] * len(ends[0]), t) for k, t in zip(key, NEAR_KEY, strict=True)]
+            yield pa.RecordBatch.from_arrays([*ends, *where], names=NEAR.names)
 
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, NEAR)
 
@@ -390,22 +380,21 @@ def near_groups(
 
     # What the stars may have missed: buckets of three or more that are still in several components.
     left = _open(buckets.filter("n > 2").select("bucket", "band", "rep"), known)
-    left = left.join(classes.select("rep", F.col("n_shingles").alias("size"), "signature"), "rep")
-    dealt = cut(tiled(cut(left)))
-    more = cut(across(dealt, least, percent, rows))
-    links = cut(confirm(more.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), texts, words, percent))
+    left = left.join(classes.select("rep", F.col("n_shingles").alias("size")), "rep")
+    dealt = cut(tiled(left))
+    signatures = classes.select("rep", "signature")
+    more = cut(across(dealt.join(signatures, "rep"), least, percent, rows))
+    few = more.filter("a IS NOT NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    links = cut(confirm(few, texts, words, percent))
     if not links.isEmpty():
         known = merged(known, links)
-    # Pairs of tiles with more candidates than that are compared whole, where they still need it.
-    rest = more.filter("NOT whole").select("bucket", "i", "j").distinct()
+    # Pairs of tiles with more candidates are settled whole, where they are still in several components.
+    rest = more.filter("a IS NULL").select("bucket", "i", "j")
     if not rest.isEmpty():
-        again = dealt.join(rest, ["bucket", "i", "j"], "left_semi").drop("component")
-        again = again.join(known.withColumnRenamed("node", "rep"), "rep", "left")
-        links = cut(
-            joined_in_tiles(
-                again.withColumn("component", F.coalesce("component", "rep")), texts, least, words, percent, rows
-            )
-        )
+        again = dealt.join(F.broadcast(rest) if rest.count() < LISTED else rest, ["bucket", "i", "j"], "left_semi")
+        again = again.drop("component").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        again = again.withColumn("component", F.coalesce("component", "rep")).join(signatures, "rep")
+        links = cut(joined_in_tiles(again, texts, least, words, percent, rows))
         if not links.isEmpty():
             known = merged(known, links)
 
