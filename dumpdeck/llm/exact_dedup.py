@@ -43,6 +43,13 @@ def narrow(docs: DataFrame, prefix: int, digest: bool) -> DataFrame:
     return base.select(*columns)
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The (length, prefix) classes of more than one row; lengths that occur once go first."""
+    sizes = rows.groupBy("_dd_length").agg(F.count("*").alias("_dd_n")).filter("_dd_n > 1").select("_dd_length")
+    pairs = rows.join(sizes, "_dd_length", "left_semi").groupBy("_dd_length", "_dd_prefix").agg(F.count("*").alias("_dd_n"))
+    return pairs.filter("_dd_n > 1").select("_dd_length", "_dd_prefix")
+
+
 def _resolve(rows: DataFrame) -> DataFrame:
     """keep_id, group_size and kept for rows with a full hash; repeated rows are counted, not spread."""
     counted = rows.groupBy("text_sha256", "doc_id", "_dd_points").agg(F.count("*").alias("_dd_copies"))
@@ -76,9 +83,7 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX, digest_all: bool = False
     classes = ["_dd_length", "_dd_prefix"]
     if digest_all:
         rows = cut(rows)
-    sizes = rows.groupBy("_dd_length").agg(F.count("*").alias("_dd_n")).filter("_dd_n > 1").select("_dd_length")
-    pairs = rows.join(sizes, "_dd_length", "left_semi").groupBy(*classes).agg(F.count("*").alias("_dd_n"))
-    shared = cut(pairs.filter("_dd_n > 1").select(*classes))
+    shared = cut(_shared(rows))
     alone = rows.join(shared, classes, "left_anti")
     if not digest_all:
         # The second pass: whole texts, for the classes that are left only.
@@ -95,32 +100,39 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX, digest_all: bool = False
 
 
 def drop_copies(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    extra = docs.withColumn("_dd_points", F.length(whole("text"))).withColumn("_dd_hash", F.sha2(normalised(), 256))
-    rows = extra.select(
-        "doc_id", "_dd_points", "_dd_hash", F.length(normalised()).alias("_dd_length"),
-        F.xxhash64(F.substring(normalised(), 1, prefix)).alias("_dd_prefix"),
-    )
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Only rows of shared (length, prefix) classes get a full hash; a row goes if it meets a lost one by id, lengths
+    and prefix hash, and then by its full hash, which is computed for such meetings alone.
+    """
     classes = ["_dd_length", "_dd_prefix"]
-    shared = rows.groupBy(*classes).agg(F.count("*").alias("_dd_n")).filter("_dd_n > 1").select(*classes)
-    counted = (
-        rows.join(shared, classes, "left_semi")
-        .groupBy("_dd_hash", "doc_id", "_dd_points")
-        .agg(F.count("*").alias("_dd_copies"))
-    )
+    shared = cut(_shared(narrow(docs, prefix, False)))
+    digests = narrow(docs, prefix, True).join(shared, classes, "left_semi")
+    counted = cut(digests.groupBy("text_sha256", "doc_id", "_dd_points", *classes).agg(F.count("*").alias("_dd_copies")))
     order = F.struct(-F.col("_dd_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    best = counted.groupBy("_dd_hash").agg(F.min(order).alias("_dd_first"))
-    lost = counted.join(best, "_dd_hash").filter(
+    best = counted.groupBy("text_sha256").agg(F.min(order).alias("_dd_first"))
+    lost = counted.join(best, "text_sha256").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("_dd_first.doc_id")) & (-F.col("_dd_points") == F.col("_dd_first.col1")))
     )
-    key = F.xxhash64("doc_id", "_dd_points", "_dd_hash").alias("_dd_key")
-    kept = extra.withColumn("_dd_key", key).join(lost.select(key), "_dd_key", "left_anti")
-    repeated = cut(counted.filter("_dd_copies > 1").select(key))
+    key = F.xxhash64("doc_id", "_dd_points", *classes).alias("_dd_key")
+    extra = docs.withColumns({"_dd_points": F.length(whole("text")), "_dd_norm": normalised()})
+    extra = extra.withColumns(
+        {"_dd_length": F.length("_dd_norm"), "_dd_prefix": F.xxhash64(F.substring("_dd_norm", 1, prefix))}
+    ).drop("_dd_norm")
+    extra = extra.withColumn("_dd_key", key)
+
+    def meets(rows: DataFrame) -> DataFrame:
+        return rows.select(key.alias("_dd_k"), F.col("text_sha256").alias("_dd_hash"))
+
+    # array_contains keeps the full hash out of the join's keys, where all rows would have to compute it
+    same = (F.col("_dd_key") == F.col("_dd_k")) & F.array_contains(F.array("_dd_hash"), F.sha2(normalised(), 256))
+    kept = extra.join(meets(lost), same, "left_anti")
+    repeated = cut(meets(counted.filter("_dd_copies > 1")))
     if repeated.isEmpty():  # no row is there twice with its id: spare the second shuffle
         return kept.select(*docs.columns)
-    once = kept.join(repeated, "_dd_key", "left_anti")
-    many = kept.join(repeated, "_dd_key", "left_semi").dropDuplicates(["_dd_key"])
-    return once.unionByName(many).select(*docs.columns)
+    once = kept.join(repeated, same, "left_anti")
+    many = kept.join(repeated, same, "left_semi").withColumn("_dd_hash", F.sha2(normalised(), 256))
+    return once.select(*docs.columns).unionByName(many.dropDuplicates(["_dd_key", "_dd_hash"]).select(*docs.columns))
 
 
 ORACLE = r"""

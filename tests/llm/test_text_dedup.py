@@ -43,6 +43,15 @@ def test_exact_groups(hard):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(m[0][3]) for m in groups.values())
 
 
+def test_copies_of_one_id_with_equal_starts(spark):
+    """Rows of one id whose texts differ after the prefix only, with copies of one of them and repeated rows."""
+    head = "a" * 300
+    rows = [(1, head + "x"), (1, head + "y"), (2, head + "y"), (0, head + "x"), (3, head + "z"), (3, head + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text[-1]) for r in exact_dedup.drop_copies(df).collect())
+    assert kept == [(0, "x"), (1, "y"), (3, "z")]
+
+
 def shingles(text, k):
     w = [x for x in lower(text).replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
