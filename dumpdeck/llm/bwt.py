@@ -56,17 +56,22 @@ class Shard:
     def __init__(self, text: np.ndarray, rank: np.ndarray, g: int, length: int):
         self.order = suffix_order(rank, g, length)
         self.transform = rank[(self.order - g) % len(text)].astype(np.uint16)
-        self.earlier = np.empty(len(text), np.int64)
-        self.earlier[np.argsort(self.transform, kind="stable")] = np.arange(len(text))
+        row = np.empty(len(text), np.int64)
+        row[self.order] = np.arange(len(text))
+        # Not by sorting the transform: suffixes equal in the bytes compared could swap places.
+        self.earlier = row[(self.order - g) % len(text)]
 
 
-def repeated_blocks(texts: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per text, starts of suffixes whose first ``length`` bytes occur elsewhere too, with the number of their block.
+def repeated_blocks(
+    texts: list[np.ndarray], wanted: list[np.ndarray], length: int
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text, wanted starts of suffixes whose first ``length`` bytes begin at another wanted start too, with the
+    number of their block.
 
-    Texts are circular here: callers have to leave out starts too near the end of a text.
+    Texts are circular here. Each step moves a suffix g bytes back, so a suffix is followed only if it ends at a
+    wanted start; the others could part no block of wanted ones.
     """
-    texts = [t for t in texts if len(t)]
-    if not texts:
+    if not sum(map(len, texts)):
         return [], []
     g, ranks = grams(texts, length)
     shards = [Shard(t, r, g, length) for t, r in zip(texts, ranks, strict=True)]
@@ -78,7 +83,9 @@ def repeated_blocks(texts: list[np.ndarray], length: int) -> tuple[list[np.ndarr
     start = np.zeros(len(transform), np.int64)
     for i in range(rest):
         start = start << 8 | np.concatenate([t[(s.order + i) % len(t)] for t, s in zip(texts, shards, strict=True)])
-    merged = np.argsort(start, kind="stable")
+    ends = [w[(s.order - steps * g) % len(w)] for w, s in zip(wanted, shards, strict=True)]
+    merged = np.flatnonzero(np.concatenate(ends))
+    merged = merged[np.argsort(start[merged], kind="stable")]
     start = start[merged]
     block = np.concatenate([[0], np.cumsum(start[1:] != start[:-1])]).astype(np.int32)
     for _ in range(steps):
@@ -105,27 +112,19 @@ def repeated_blocks(texts: list[np.ndarray], length: int) -> tuple[list[np.ndarr
 
 def repeated_windows(segments: list[tuple[bytes, int]], length: int, shards: int = 4) -> list[np.ndarray]:
     """Per segment (its bytes, and how many windows of ``length`` bytes it holds), which windows occur in another place."""
-    groups = [list(range(i, len(segments), shards)) for i in range(min(shards, len(segments)))]
-    texts, origins = [], []
+    counts = np.array([n for _, n in segments], np.int64)
+    base = np.concatenate([[0], np.cumsum(counts)])  # windows of all segments, one after the other
+    groups = [np.arange(i, len(segments), shards) for i in range(min(shards, len(segments)))]
+    texts, wanted, origins = [], [], []
     for group in groups:
         texts.append(np.frombuffer(b"".join(segments[i][0] for i in group), np.uint8))
-        origins.append(np.cumsum([0] + [len(segments[i][0]) for i in group]))
-    found = [np.zeros(n, bool) for _, n in segments]
-    starts, blocks = repeated_blocks(texts, length)
-    valid, at, segment = [], [], []
-    counts = np.array([n for _, n in segments])
-    for group, origin, s in zip(groups, origins, starts):
-        nth = np.searchsorted(origin, s, side="right") - 1
-        own = np.array(group)[nth]
-        offset = s - origin[nth]
-        segment.append(own)
-        at.append(offset)
-        valid.append(offset < counts[own])
-    if not starts:
-        return found
-    segment, at, valid, block = (np.concatenate(x) for x in (segment, at, valid, blocks))
-    segment, at, block = segment[valid], at[valid], block[valid]
-    often = np.bincount(block) >= 2 if len(block) else np.zeros(0, bool)
-    for i in np.flatnonzero(often[block]) if len(block) else ():
-        found[segment[i]][at[i]] = True
-    return found
+        sizes = np.array([len(segments[i][0]) for i in group])
+        origins.append(np.concatenate([[0], np.cumsum(sizes)]))
+        at = np.arange(len(texts[-1])) - np.repeat(origins[-1][:-1], sizes)
+        wanted.append(at < np.repeat(counts[group], sizes))
+    found = np.zeros(base[-1], bool)
+    starts, blocks = repeated_blocks(texts, wanted, length)
+    for group, origin, start in zip(groups, origins, starts):
+        nth = np.searchsorted(origin, start, side="right") - 1
+        found[base[group[nth]] + start - origin[nth]] = True
+    return np.split(found, base[1:-1])
