@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +18,9 @@ def number_text(c: Column) -> Column:
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     exponent = F.substring_index(text, "E", -1).try_cast("int")
     sign = F.when(exponent < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("E"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    digits = F.abs(exponent).cast("string")
+    digits = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)  # lpad cuts longer ones
+    scientific = F.concat(mantissa, F.lit("E"), sign, digits)
     plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
     return (
         F.when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2))
@@ -121,6 +125,63 @@ def write_json_array(
     json_text(df, timestamps, pretty).mapInArrow(frame, "value string").write.mode(mode).text(path)
 
 
+def json_object(df: DataFrame, timestamps: str = TIMESTAMPS) -> Column:
+    """One JSON object per row, with values as CSV has them: numbers in their shortest text, dates by the
+    pattern, base64. Numbers without a JSON form (NaN, infinities) are strings."""
+    options = {"ignoreNullFields": "false", "timestampFormat": timestamps, "timestampNTZFormat": timestamps}
+    members = []
+    for f in df.schema.fields:
+        name = json.dumps(f.name, ensure_ascii=False) + ":"
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            finite = ~F.isnan(c) & (F.abs(c) != float("inf"))
+            text = F.when(finite, number_text(c)).otherwise(F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
+        elif isinstance(f.dataType, T.DateType):
+            text = F.concat(F.lit('"'), export_text(f, timestamps), F.lit('"'))
+        else:
+            whole = F.to_json(F.struct(c.alias("v")), options)  # {"v":value}
+            text = F.substr(whole, F.lit(6), F.length(whole) - 6)
+        members.append(F.concat(F.lit(name), F.coalesce(text, F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
+def write_json_parts(
+    df: DataFrame, path: str, timestamps: str = TIMESTAMPS, mode: str = "errorifexists"
+) -> DataFrame:
+    """One JSON array over many part files, framed without a look at neighbouring rows or parts.
+
+    Every row of a part but its first brings a comma. ``path/rows`` holds the parts; the manifest, written to
+    ``path/manifest`` and returned, has one row per part that holds rows: ``part`` (its place), ``file``, ``bytes``, and the texts
+    to put ``before`` and ``after`` it, so that all parts, joined in order, are one array. An empty
+    table has one row without a file. Sort ``df`` first for order.
+    """
+    spark = df.sparkSession
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    comma = F.when(first, "").otherwise(",")
+    # The number is drawn before anything else sees the rows, so a filter or sort above cannot move it.
+    lines = df.select(F.concat(comma, json_object(df, timestamps)).alias("value"))
+    lines.write.mode(mode).text(f"{path}/rows")
+    # Part files are named by partition number; sizes come from the file listing, one row per part.
+    listed = spark.read.format("binaryFile").load(f"{path}/rows/part-*").select("path", F.col("length").alias("bytes"))
+    listed = listed.filter("bytes > 0").withColumn("file", F.substring_index("path", "/", -1))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
+    order = Window.orderBy(number, "file")
+    parts = listed.select(
+        (F.row_number().over(order) - 1).alias("part"),
+        "file",
+        "bytes",
+        F.when(F.row_number().over(order) == 1, "[").otherwise(",").alias("before"),
+        F.when(F.lead("file").over(order).isNull(), "]").otherwise("").alias("after"),
+    )
+    parts.write.mode(mode).parquet(f"{path}/manifest")
+    manifest = spark.read.parquet(f"{path}/manifest")
+    if manifest.isEmpty():
+        empty = spark.createDataFrame([(0, None, 0, "[", "]")], manifest.schema)
+        empty.write.mode("append").parquet(f"{path}/manifest")
+        manifest = spark.read.parquet(f"{path}/manifest")
+    return manifest
+
+
 def _lines(values: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dumpdeck.session import delete_folder, folder_names, path_exists
+
 SALTS = 64
 
 
@@ -44,6 +46,49 @@ def retain(history: DataFrame, keep: int = 200, tie: str | None = None) -> DataF
     return top.filter(F.col("rank") <= keep).select(*kept, "rank")
 
 
+class Retained:
+    """The result of ``retain`` kept up to date batch by batch, in a folder with one version per batch.
+
+    Whatever falls out of the newest ``keep`` can only return by running again, so the kept rows and a new
+    batch give what all batches at once would. State is bounded by ``keep`` rows per database, and batches
+    may come late or in any order. A batch written again under its number replaces its version, so it suits
+    ``foreachBatch``: ``stream.writeStream.foreachBatch(retained.update)``.
+    """
+
+    def __init__(self, path: str, keep: int = 200, tie: str | None = None):
+        self.path, self.keep, self.tie = path.rstrip("/"), keep, tie
+
+    def _version(self, number: int) -> str:
+        return f"{self.path}/{number:012d}"
+
+    def update(self, batch: DataFrame, number: int) -> None:
+        """Merge batch ``number`` with the newest version before it."""
+        spark = batch.sparkSession
+        columns = [c for c in ("database_path", "sql", "executed_at", self.tie) if c]
+        rows = batch.select(*columns)
+        before = [n for n in self._numbers(spark) if n < number]
+        if before:
+            rows = rows.unionByName(spark.read.parquet(self._version(before[-1])).select(*columns))
+        retain(rows, self.keep, self.tie).write.mode("overwrite").parquet(self._version(number))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The newest version."""
+        numbers = self._numbers(spark)
+        if not numbers:
+            raise ValueError(f"no batch in {self.path}")
+        return spark.read.parquet(self._version(numbers[-1]))
+
+    def drop_versions(self, spark: SparkSession, last: int = 2) -> None:
+        """Delete all versions but the ``last`` ones."""
+        for number in self._numbers(spark)[:-last]:
+            delete_folder(spark, self._version(number))
+
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        """Finished versions; a version whose write broke off has no marker."""
+        names = [n for n in folder_names(spark, self.path) if n.isdigit()]
+        return sorted(int(n) for n in names if path_exists(spark, f"{self.path}/{n}/_SUCCESS"))
+
+
 def recent(log: DataFrame, keep: int = 10) -> DataFrame:
     """Most recently used paths: one entry per path without case, newest first."""
     return (

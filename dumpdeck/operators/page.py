@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 PAGE = 500
 PREVIEW = 100
-# Offsets up to this many rows are taken from per-task top rows; deeper ones are located first.
+# Pages that end within this many rows are taken from per-task top rows; others are located first.
+HEAD = 2 * PAGE
+# Rows that one task may take to sort the range that holds a page.
 SHALLOW = 100_000
 CUTS = 64
-SAMPLE = 20_000
+SAMPLE = 2_048
 
 
 class FirstPage(NamedTuple):
@@ -146,35 +148,65 @@ def offset_page(
 ) -> DataFrame:
     """Rows ``offset .. offset+size`` in key order.
 
-    A deep offset is first narrowed down: split points from a sample of the keys, exact counts
-    between them, then only the range that holds the page. Each round reads key columns only,
-    and its result does not depend on which split points the sample gave.
+    Unless the page ends within the first ``HEAD`` rows, it is narrowed down: split points from a sample of the
+    keys of fixed size, exact counts between them, then only the range that holds the page, until that
+    range has at most ``shallow`` rows, which one task sorts. Each round reads key columns only; the result doesn't
+    depend on the split points. Where equal keys keep a range above that, a hash of the whole row
+    goes on dividing them, and a page of equal rows alone is taken unsorted. What is left to sort is above
+    ``shallow`` only if the page itself is, or if its border lies inside so many equal rows.
     """
-    rows = df
-    while offset + size > shallow:
-        narrowed = _narrow(rows, keys, offset, size)
-        if narrowed is None:
+    if offset + size <= min(HEAD, shallow):
+        return df.orderBy(*keys).offset(offset).limit(size)
+    rows, order, left = df, [*keys], df.select(*keys).count()
+    while left > shallow:
+        narrowed = _narrow(rows, order, offset, size, left)
+        if narrowed is not None:
+            rows, offset, left = narrowed
+            if offset is None:
+                return rows.select(*df.columns).limit(size)
+        elif len(order) == len(keys):
+            rows, order = rows.withColumn(TIE, _row_hash(df)), [*keys, TIE]
+        else:
             break
-        rows, offset = narrowed
-    return rows.orderBy(*keys).offset(offset).limit(size)
+    return rows.orderBy(*order).offset(offset).limit(size).select(*df.columns)
 
 
-def _narrow(df: DataFrame, keys: list[str], offset: int, size: int) -> tuple[DataFrame, int] | None:
+TIE = "_page_tie"
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """Of all columns but those whose type holds a map or a variant, which have no hash."""
+    names = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*["`" + n.replace("`", "``") + "`" for n in names])
+
+
+def _narrow(
+    df: DataFrame, keys: list[str], offset: int, size: int, total: int
+) -> tuple[DataFrame, int | None, int] | None:
+    """Fewer rows that hold the page, its offset in them (None: all are equal), and their number."""
     only = df.select(*keys)
-    total = only.count()
-    fraction = min(1.0, SAMPLE / max(total, 1))
+    # Random numbers choose rows, so the sample has the same size at every scale and is merged from tasks' samples.
+    sample = only.withColumn("_draw", F.rand(1)).orderBy("_draw").limit(SAMPLE).select(*keys)
     # Sorted by Spark, whose order the pages follow: Python cannot compare nulls.
-    sample = only.sample(fraction, seed=1).limit(4 * SAMPLE).orderBy(*keys).collect()
+    sample = sample.orderBy(*keys).collect()
     step = max(len(sample) // CUTS, 1)
     cuts = [tuple(r) for r in sample[step::step]]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
     if not cuts:
         return None
-    # Rows at or after each cut, in one pass: one counter per cut.
-    counts = only.agg(
-        *[F.count_if(_after(df, keys, list(c), strict=False)).alias(f"n{i}") for i, c in enumerate(cuts)]
-    ).first()
-    starts = [total - n for n in counts]
+    # Rows at or after each cut and rows after it, in one pass.
+    tied = keys[-1] == TIE
+    counters = [F.count_if(_after(df, keys, list(c), strict=False)).alias(f"n{i}") for i, c in enumerate(cuts)]
+    if tied:
+        counters += [F.count_if(_after(df, keys, list(c))).alias(f"m{i}") for i, c in enumerate(cuts)]
+    counts = only.agg(*counters).first()
+    starts = [total - n for n in counts[: len(cuts)]]
+    if tied:
+        stops = [total - n for n in counts[len(cuts) :]]
+        for cut, start, stop in zip(cuts, starts, stops):
+            if start <= offset and offset + size <= min(stop, total):
+                here, there = _keys(df, keys, list(cut))
+                return df.filter(here.eqNullSafe(there)), None, stop - start
     low = max((i for i, s in enumerate(starts) if s <= offset), default=None)
     high = next((i for i, s in enumerate(starts) if s >= offset + size), None)
     if low is None and high is None:
@@ -188,7 +220,7 @@ def _narrow(df: DataFrame, keys: list[str], offset: int, size: int) -> tuple[Dat
     end = starts[high] if high is not None else total
     if end - begin == total:
         return None
-    return df.filter(reduce(lambda a, b: a & b, conditions)), offset - begin
+    return df.filter(reduce(lambda a, b: a & b, conditions)), offset - begin, end - begin
 
 
 def number_pages(df: DataFrame, keys: list[str], path: str, size: int = PAGE) -> DataFrame:

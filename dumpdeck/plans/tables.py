@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dumpdeck import encode
 from dumpdeck.functions.sqltext import total_time
 from dumpdeck.operators import audit, changes, export, history, layout, load, page
-from dumpdeck.plans.registry import query, table, views
+from dumpdeck.plans.registry import ORACLES, query, table, views
 from dumpdeck.session import shared_folder
 
 # Customers with commas, quotes and nulls, in SQL and as a DataFrame.
@@ -84,6 +84,35 @@ def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(special.schema).json(path, multiLine=True)
 
 
+@query(
+    "b2_json_types",
+    """
+SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_totalprice / 8 AS eighth, base64(encode(o_orderpriority)) AS priority,
+       CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END AS price_text
+FROM orders
+""",
+)
+def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array over seven parts; read back from the parts joined by the manifest, number text included."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+        "o_orderdate",
+        (F.col("o_totalprice") / 8).alias("eighth"),
+        F.col("o_orderpriority").cast("binary").alias("priority"),
+    )
+    path = f"{shared_folder(spark, 'json')}/out"
+    manifest = export.write_json_parts(orders.repartition(7), path)
+    # A line of a part after its first brings its comma; the first line of the whole array has none.
+    lines = spark.read.text(f"{path}/rows").select("value", F.col("_metadata.file_name").alias("file"))
+    framed = lines.join(F.broadcast(manifest), "file").withColumn("json", F.ltrim("value", F.lit(",")))
+    text = F.regexp_extract("json", r'"o_totalprice":([^,]*)', 1)
+    row = F.from_json("json", "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string, eighth double, priority string")
+    return framed.select(row.alias("row"), text.alias("price_text")).select("row.*", "price_text")
+
+
 @query(
     "b3_tsv_rows",
     f"SELECT c_custkey || chr(9) || c_name || chr(9) || coalesce(c_mktsegment, '') || chr(9) || even AS line FROM ({SPECIAL})",
@@ -153,6 +182,16 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.lower("database_path").alias("database"), "sql", "event_id", "rank")
 
 
+@query("g1_incremental", ORACLES["g1_history_topn"])
+def history_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, merged one after the other, give what all runs at once give."""
+    runs = _runs(spark, sf_dir)
+    kept = history.Retained(shared_folder(spark, "history"), keep=3, tie="event_id")
+    for n in range(3):
+        kept.update(runs.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == n), n)
+    return kept.rows(spark).select(F.lower("database_path").alias("database"), "sql", "event_id", "rank")
+
+
 @query(
     "g2_mru",
     """
@@ -420,6 +459,21 @@ def deep_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.offset_page(orders, ["o_custkey", "o_orderkey"], 10_000, 100, shallow=1_000)
 
 
+@query(
+    "h2_tied_offset_page",
+    """
+SELECT l_returnflag, count(*) AS n FROM (
+  SELECT l_returnflag FROM lineitem ORDER BY l_returnflag LIMIT 700 OFFSET (SELECT count(*) // 3 FROM lineitem))
+GROUP BY l_returnflag
+""",
+)
+def tied_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page inside a key that holds a third or more of all rows."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    rows = page.offset_page(lines, ["l_returnflag"], lines.count() // 3, 700, shallow=2_000)
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
 @query(
     "h3_keyset_page",
     """

@@ -77,6 +77,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's entries, none if it is not there."""
+    files, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     files, where = _file_system(spark, path)
     files.delete(where, True)

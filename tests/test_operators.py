@@ -318,3 +318,62 @@ def test_foreign_key_without_target_columns(spark):
     rules = [("d", "p", "pk", "k", ["code"], None, None), ("d", "c", "fk", "f", ["p_code"], "p", [])]
     found = audit.check_declared(tables, columns, spark.createDataFrame(rules, layout)).collect()
     assert sorted(tuple(r) for r in found) == [("c", "fk", "p_code", 1), ("p", "pk", "code", 0)]
+
+
+def test_json_over_many_parts(spark, tmp_path):
+    schema = "id int, `a \"b` double, f float, at timestamp, day date, raw binary, list array<int>, text string"
+    when = dt.datetime(2024, 5, 6, 7, 8, 9)
+    rows = [(i, i / 4, float(i), when, when.date(), b"\x00\xff", [i, None], 'x,"y"\n') for i in range(50)]
+    rows += [(50, float("nan"), float("inf"), None, None, None, None, None), (51, 1e300, 1e-7, when, None, b"", [], "")]
+    df = spark.createDataFrame(rows, schema).orderBy("id")
+    manifest = export.write_json_parts(df, str(tmp_path / "out")).orderBy("part").collect()
+    assert [m.part for m in manifest] == list(range(len(manifest)))
+    files = [tmp_path / "out" / "rows" / m.file for m in manifest]
+    assert [f.stat().st_size for f in files] == [m.bytes for m in manifest]
+    joined = "".join(m.before + f.read_text() + m.after for m, f in zip(manifest, files))
+    got = json.loads(joined)
+    assert [g["id"] for g in got] == list(range(52))
+    assert got[4] == {
+        "id": 4, 'a "b': 1, "f": 4, "at": "2024-05-06 07:08:09", "day": "2024-05-06 00:00:00",
+        "raw": "AP8=", "list": [4, None], "text": 'x,"y"\n',
+    }
+    assert '"a \\"b":1,' in joined and '"a \\"b":0.25,' in joined
+    assert got[50] == dict.fromkeys(got[50]) | {"id": 50, 'a "b': "NaN", "f": "Infinity"}
+    assert got[51]['a "b'] == 1e300 and got[51]["list"] == [] and got[51]["text"] == ""
+    (empty,) = export.write_json_parts(df.filter("id > 100"), str(tmp_path / "none")).collect()
+    assert empty.file is None and json.loads(empty.before + empty.after) == []
+    # Parts without rows, between parts with rows, are left out.
+    sparse = spark.range(0, 40, 1, 8).filter("id < 5 OR id > 34").select("id")
+    parts = export.write_json_parts(sparse, str(tmp_path / "sparse")).orderBy("part").collect()
+    text = "".join(m.before + (tmp_path / "sparse" / "rows" / m.file).read_text() + m.after for m in parts)
+    assert [g["id"] for g in json.loads(text)] == [0, 1, 2, 3, 4, 35, 36, 37, 38, 39]
+
+
+def test_history_by_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"{'Db' if i % 2 else 'db'}{i % 3}", f"select {i % 11}", start + dt.timedelta(minutes=i * 37 % 101), i) for i in range(300)]
+    log = spark.createDataFrame(rows, "database_path string, sql string, executed_at timestamp, id int")
+    expect = sorted(history.retain(log, keep=4, tie="id").collect())
+    kept = history.Retained(str(tmp_path / "kept"), keep=4, tie="id")
+    with pytest.raises(ValueError):
+        kept.rows(spark)
+    for n, part in enumerate((log.filter("id % 3 = 1"), log.filter("id % 3 = 0"), log.filter("id < 0"), log.filter("id % 3 = 2"))):
+        kept.update(part, n)
+    assert sorted(kept.rows(spark).collect()) == expect
+    kept.update(log.filter("id % 3 = 2"), 3)  # the same batch again
+    assert sorted(kept.rows(spark).collect()) == expect
+    (tmp_path / "kept" / "000000000009").mkdir()  # a version whose write broke off
+    assert sorted(kept.rows(spark).collect()) == expect
+    kept.drop_versions(spark, 1)
+    assert sorted(kept.rows(spark).collect()) == expect
+    assert sum((f / "_SUCCESS").exists() for f in (tmp_path / "kept").iterdir()) == 1
+
+
+def test_pages_inside_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(page, "HEAD", 10)
+    rows = [(0, 1)] * 20 + [(1, i) for i in range(300)] + [(2, None)] * 200
+    df = spark.createDataFrame(rows, "g int, id int").repartition(4)
+    seen = [r for at in range(0, 520, 40) for r in page.offset_page(df, ["g"], at, 40, shallow=50).collect()]
+    assert [r.g for r in seen] == sorted(r[0] for r in rows)
+    assert sorted((r.g, r.id or 0) for r in seen) == sorted((a, b or 0) for a, b in rows)
+    assert page.offset_page(df, ["g"], 520, 40, shallow=50).collect() == []
