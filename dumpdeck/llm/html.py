@@ -77,8 +77,13 @@ def _names(attributes: str) -> frozenset:
 
 
 def parse(html: str) -> list[Node]:
-    """Block elements in page order, the page itself first, with runs of text numbered in page order."""
+    """Block elements in page order, the page itself first, with runs of text numbered in page order.
+
+    Text outside all elements belongs to a body of its own, as browsers have it. Time is linear in the page: the depths of open
+    elements are kept by tag.
+    """
     nodes, open_ = [Node("html", -1, frozenset())], [0]
+    depths: dict[str, list[int]] = defaultdict(list)
     links, piece, run = 0, [], 0
     at, size = 0, len(html)
 
@@ -87,20 +92,31 @@ def parse(html: str) -> list[Node]:
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                nodes[open_[-1]].runs.append((run, text))
-                nodes[open_[-1]].chars += len(text)
+                node = nodes[open_[-1]]
+                if len(open_) == 1:
+                    node.children.append(len(nodes))
+                    body = Node("body", 0, frozenset())
+                    body.linked, node.linked = node.linked, 0
+                    nodes.append(body)
+                    node = body
+                node.runs.append((run, text))
+                node.chars += len(text)
                 run += 1
             piece.clear()
 
+    def cut(depth: int) -> None:
+        """Close the element at a depth and all inside it."""
+        close()
+        while len(open_) > depth:
+            depths[nodes[open_.pop()].tag].pop()
+
+    def deepest(tags: tuple[str, ...] | frozenset) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     def end(tags: tuple[str, ...], barrier: frozenset = LISTS) -> None:
-        for depth in range(len(open_) - 1, 0, -1):
-            tag = nodes[open_[depth]].tag
-            if tag in tags:
-                close()
-                del open_[depth:]
-                return
-            if tag in barrier:
-                return
+        depth = deepest(tags)
+        if depth > deepest(barrier):
+            cut(depth)
 
     while at < size:
         lt = html.find("<", at)
@@ -138,15 +154,13 @@ def parse(html: str) -> list[Node]:
                 links = 0
             elif tag == "br" or tag in INLINE or tag in VOID:
                 pass
-            elif tag != "html" and any(nodes[n].tag == tag for n in open_[1:]):
-                close()
+            elif tag != "html" and depths.get(tag):
+                cut(depths[tag][-1])
                 links = 0
-                while nodes[open_.pop()].tag != tag:
-                    pass
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
             if not m[3].endswith("/"):
+                stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
                 at = stop.end() if stop else size
             piece.append(" ")
         elif tag == "a":
@@ -158,7 +172,7 @@ def parse(html: str) -> list[Node]:
             close()
         elif tag in VOID:
             piece.append(" ")
-        elif tag != "html" and not (tag == "body" and any(nodes[n].tag == "body" for n in open_)):
+        elif tag != "html" and not (tag == "body" and depths.get("body")):
             if tag in ENDS_P:
                 end(("p",), frozenset())
             if tag == "body":
@@ -172,6 +186,7 @@ def parse(html: str) -> list[Node]:
             links = 0
             nodes.append(Node(tag, open_[-1], _names(m[3]), m[3]))
             nodes[open_[-1]].children.append(len(nodes) - 1)
+            depths[tag].append(len(open_))
             open_.append(len(nodes) - 1)
     close()
     return nodes
