@@ -46,7 +46,7 @@ CLOSES = {
 LISTS = frozenset("ul ol menu dl table".split())
 KINDS = {
     "page": "html body", "main": "article main", "head": "head title", "aside": "nav aside footer form dialog menu address fieldset",
-    "header": "header hgroup", "text": "p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption summary",
+    "header": "header hgroup", "text": "p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption summary", "cell": "td th",
     "list": "ul ol dl table tbody thead tfoot tr", "box": "div section center details figure",
 }
 KIND = {tag: kind for kind, tags in KINDS.items() for tag in tags.split()}
@@ -193,7 +193,9 @@ def parse(html: str) -> list[Node]:
 
 
 def kind(node: Node) -> str:
-    return KIND.get(node.tag, "box")
+    """Kind of tag; boxes without class, id and role are a kind of their own."""
+    found = KIND.get(node.tag, "box")
+    return "plain" if found == "box" and not node.names else found
 
 
 def evidence(node: Node) -> list[tuple[str, str]]:
@@ -279,10 +281,10 @@ class Model:
         return out
 
 
-def labelled() -> list[tuple[list[Node], list[int]]]:
+def labelled(without: frozenset[str] = frozenset()) -> list[tuple[list[Node], list[int]]]:
     """Parsed layouts with labels: a node is content from a ``data-main`` down to a ``data-rest``."""
     pages = []
-    for html in labelled_pages():
+    for html in labelled_pages(without=without):
         nodes = parse(html)
         labels = []
         for node in nodes:

@@ -101,6 +101,19 @@ BODIES = (
     "<h1 data-main>{T}</h1><p data-main>{P}</p><p data-main>{S}</p><p data-main>{P}</p>",
     "<div><h1 data-main>{T}</h1><p data-main>{P}</p><p data-main>{P}</p><p data-main>{S}</p></div>",
 )
+# Layouts without names: text in plain boxes, cells, and right in the body.
+PLAIN = (
+    "<div><div data-main>{*<p>{P}</p>}</div>{X}</div>",
+    '<div data-main><h2>{T}</h2>{*<p>{P}</p>}</div><div data-rest><a href="/v">{L}</a> <a href="/w">{L}</a></div>',
+    "<div><div><div data-main><h1>{T}</h1>{*<p>{P}</p>}<p>{S}</p></div></div><div data-rest>{L}</div></div>",
+    "<div data-main>{P} {P}</div>",
+    "<div><div data-main>{P}<br><br>{P}</div><div data-rest>{L}</div></div>",
+    "<center data-main>{P}<br>{P}</center>",
+    "<center><h1 data-main>{T}</h1><p data-main>{P}</p><p data-main>{P}</p></center>",
+    '<table><tr><td data-rest><a href="/v">{L}</a><br><a href="/w">{L}</a></td><td data-main>{P}<br><br>{P}</td></tr></table>',
+    '<table><tr><td data-rest><a href="/v">{L}</a></td><td><h1 data-main>{T}</h1><p data-main>{P}</p><p data-main>{P}</p></td></tr></table>',
+)
+BARE = ("{P} {P}", "{P}<br><br>{P}<br><br>{P}", "{P}<p>{P}<p>{S}<p>{P}", "<h1>{T}</h1>{P} {P}")
 
 
 def _fill(layout: str, pick: random.Random) -> str:
@@ -125,22 +138,35 @@ def _fill(layout: str, pick: random.Random) -> str:
     return "".join(out)
 
 
-def labelled_pages(rounds: int = 24, seed: int = 11) -> list[str]:
-    """``rounds`` pages of every body, with other parts drawn around it: a fixed, small set."""
+def _around(body: str, pick: random.Random, mark: str = "") -> str:
+    """A page of one body, with other parts drawn around it; ``mark`` is the body element's own label."""
+    before = [pick.choice((MENU, DIVMENU)), pick.choice((*HEADERS, "")), pick.choice((*ADS, *NOTICES, ""))]
+    after = [
+        pick.choice((SIDE, DIVSIDE, "", "")),
+        pick.choice((COMMENTS, DIVCOMMENTS, ARTICLE_COMMENTS, "")),
+        pick.choice((*ADS, *NOTICES, *FORMS, *SHARES, "")),
+        pick.choice((FOOT, DIVFOOT)),
+    ]
+    if pick.random() < 0.4:
+        pick.shuffle(before)
+    head = f'<html><head data-rest><meta charset="utf-8"><title>{{T}}</title><style>p{{margin:0}}</style></head><body{mark}>'
+    page = "".join(_fill(part, pick) for part in [*before, body, *after])
+    return head.replace("{T}", pick.choice(HEADINGS)) + page + "</body></html>"
+
+
+def labelled_pages(rounds: int = 24, seed: int = 11, without: frozenset[str] = frozenset()) -> list[str]:
+    """``rounds`` pages of every body, names or not: a fixed, small set.
+
+    Some plain ones stand alone, with nothing around them. Bodies ``without`` are held out.
+    """
     pick = random.Random(seed)
-    pages = []
-    for _ in range(rounds):
-        for body in BODIES:
-            before = [pick.choice((MENU, DIVMENU)), pick.choice((*HEADERS, "")), pick.choice((*ADS, *NOTICES, ""))]
-            after = [
-                pick.choice((SIDE, DIVSIDE, "", "")),
-                pick.choice((COMMENTS, DIVCOMMENTS, ARTICLE_COMMENTS, "")),
-                pick.choice((*ADS, *NOTICES, *FORMS, *SHARES, "")),
-                pick.choice((FOOT, DIVFOOT)),
-            ]
-            if pick.random() < 0.4:
-                pick.shuffle(before)
-            head = '<html><head data-rest><meta charset="utf-8"><title>{T}</title><style>p{margin:0}</style></head><body>'
-            page = "".join(_fill(part, pick) for part in [*before, body, *after])
-            pages.append(head.replace("{T}", pick.choice(HEADINGS)) + page + "</body></html>")
+    pages = [_around(body, pick) for _ in range(rounds) for body in BODIES if body not in without]
+    for n in range(rounds):
+        for body in PLAIN:
+            if body not in without:
+                pages.append(_around(body, pick) if n % 2 else f"<html><body>{_fill(body, pick)}</body></html>")
+        for body in BARE:
+            if body not in without:
+                alone = f"<html><body data-main>{_fill(body, pick)}</body></html>"
+                pages.append(_around(body, pick, " data-main") if n % 2 else alone)
     return pages

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,61 @@ def test_held_out_layouts():
     assert right / n > 0.97
 
 
+def _accuracy(model, pages):
+    right = n = 0
+    for page in pages:
+        nodes = html.parse(page)
+        labels = []
+        for node, p in zip(nodes, model.marginals(nodes), strict=True):
+            up = labels[node.parent] if node.parent >= 0 else 0
+            labels.append(1 if "data-main" in node.attributes else 0 if "data-rest" in node.attributes else up)
+            if node.runs:
+                n += node.chars
+                right += node.chars * ((p >= 0.5) == labels[-1])
+    return right / n
+
+
+def test_kinds_of_layouts_held_out():
+    """Share of characters judged right on pages of one body that no training page has."""
+    from dumpdeck.llm import html_layouts
+
+    bodies = [*html_layouts.BODIES, *html_layouts.PLAIN, *html_layouts.BARE]
+    found = []
+    for body in bodies:
+        model = html.Model(html.labelled(without=frozenset([body])))
+        others = frozenset(b for b in bodies if b != body)
+        found.append(_accuracy(model, html_layouts.labelled_pages(rounds=8, seed=5, without=others)))
+    assert sum(found) / len(found) > 0.9
+
+
+LONG = "The bridge opens again in spring, and nobody had expected it. " * 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div>{}</div></body>",
+        "<body><div><div><p>{}</p></div></div></body>",
+        "<center>{}</center>",
+        "{}",
+        "<html><body>{}</body></html>",
+        "<table><tr><td><a href=x>Home</a></td><td>{}</td></tr></table>",
+    ],
+)
+def test_plain_layouts(page):
+    model = html.fit()
+    assert LONG.strip() in html.main_text(page.format(LONG), model)
+    assert html.main_text("", model) == ""
+
+
+def test_deep_nesting():
+    for tags in ("<div>", "<table>", "<ul><li>", "<p><b>", "<svg/>", "<section><p>"):
+        start = time.process_time()
+        nodes = html.parse(tags * 50_000 + "x")
+        assert time.process_time() - start < 8 and nodes
+        assert "x" in " ".join(t for n in nodes for _, t in n.runs)
+
+
 def test_marginals_by_enumeration():
     """Messages give what summing over all labellings gives."""
     model = html.fit()
