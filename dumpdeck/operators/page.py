@@ -158,6 +158,8 @@ def offset_page(
     if offset + size <= min(HEAD, shallow):
         return df.orderBy(*keys).offset(offset).limit(size)
     rows, order, left = df, [*keys], df.select(*keys).count()
+    if offset >= left:
+        return df.limit(0)
     while left > shallow:
         narrowed = _narrow(rows, order, offset, size, left)
         if narrowed is not None:
@@ -194,18 +196,20 @@ def _narrow(
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
     if not cuts:
         return None
-    # Rows at or after each cut and rows after it, in one pass.
-    tied = keys[-1] == TIE
-    counters = [F.count_if(_after(df, keys, list(c), strict=False)).alias(f"n{i}") for i, c in enumerate(cuts)]
-    if tied:
-        counters += [F.count_if(_after(df, keys, list(c))).alias(f"m{i}") for i, c in enumerate(cuts)]
-    counts = only.agg(*counters).first()
-    starts = [total - n for n in counts[: len(cuts)]]
-    if tied:
-        stops = [total - n for n in counts[len(cuts) :]]
+    # Cuts at or before each row, and before it: rows are grouped by both numbers in one pass.
+    types = [f.dataType for f in only.schema]
+    points = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, c, types)]) for c in cuts])
+    here = F.struct(*keys)
+    groups = only.select(
+        F.size(F.filter(points, lambda c: c <= here)).alias("reached"), F.size(F.filter(points, lambda c: c < here)).alias("passed")
+    )
+    counts = groups.groupBy("reached", "passed").count().collect()
+    starts = [sum(r["count"] for r in counts if r.reached <= i) for i in range(len(cuts))]
+    if keys[-1] == TIE:
+        stops = [sum(r["count"] for r in counts if r.passed <= i) for i in range(len(cuts))]
         for cut, start, stop in zip(cuts, starts, stops):
-            if start <= offset and offset + size <= min(stop, total):
-                here, there = _keys(df, keys, list(cut))
+            if start <= offset and offset + size <= stop:
+                _, there = _keys(df, keys, list(cut))
                 return df.filter(here.eqNullSafe(there)), None, stop - start
     low = max((i for i, s in enumerate(starts) if s <= offset), default=None)
     high = next((i for i, s in enumerate(starts) if s >= offset + size), None)
