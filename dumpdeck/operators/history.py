@@ -13,9 +13,14 @@ SALTS = 64
 def search(history: DataFrame, database: str, term: str | None = None) -> DataFrame:
     """Runs on one database whose text contains the term, newest first; case does not matter."""
     found = history.filter(F.lower("database_path") == database.lower())
+    return containing(found, term).orderBy(F.desc("executed_at"))
+
+
+def containing(history: DataFrame, term: str | None) -> DataFrame:
+    """Runs whose text contains a term, in any case; all of them for a blank term."""
     if term and term.strip():
-        found = found.filter(F.contains(F.lower("sql"), F.lit(term.lower())))
-    return found.orderBy(F.desc("executed_at"))
+        return history.filter(F.contains(F.lower("sql"), F.lit(term.lower())))
+    return history
 
 
 def retain(history: DataFrame, keep: int = 200, tie: str | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpdeck import encode
 from dumpdeck.functions.sqltext import total_time
-from dumpdeck.operators import audit, changes, export, history, layout, load, page
+from dumpdeck.operators import audit, changes, export, history, layout, load, lookup, page
 from dumpdeck.plans.registry import ORACLES, query, table, views
 from dumpdeck.session import shared_folder
 
@@ -157,6 +159,34 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.lower("database_path").alias("database"), "sql")
 
 
+# Searches over documents as a log: a database in another case or none, and a term.
+SEARCHES = [("SRC7", "Tion"), (None, "schkeit"), (None, "e, "), (None, "q"), ("src1", None), (None, "no such text")]
+
+
+@query(
+    "d1_indexed_search",
+    " UNION ALL ".join(
+        f"SELECT {n} AS search, doc_id, source FROM documents WHERE source IS NOT NULL"
+        + (f" AND lower(source) = '{database.lower()}'" if database else "")
+        + (f" AND contains(lower(text), '{term.lower()}')" if term else "")
+        for n, (database, term) in enumerate(SEARCHES)
+    ),
+)
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram postings over all documents give what reading all texts gives."""
+    log = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.col("source").alias("database_path"), F.col("text").alias("sql"),
+        F.col("doc_id").alias("executed_at"),
+    )
+    path = shared_folder(spark, "search")
+    lookup.write_search_index(log, path, parts=8)
+    found = [
+        lookup.search_index(spark, path, *s).select(F.lit(n).alias("search"), "doc_id", "source")
+        for n, s in enumerate(SEARCHES)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "d2_prefix",
     "SELECT p_partkey, p_name AS name FROM part WHERE starts_with(lower(p_name), 'sm')",
@@ -224,6 +254,55 @@ def ranked_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.prefix_top(entries, "S").select("name", "priority")
 
 
+# Prefixes looked up in the catalog of urls, parts and document words.
+PREFIXES = ["HTTP", "s", "Th", "cold W", "http://therwh.example.org/es/12?", "zzzz", ""]
+CATALOG = """
+SELECT url AS name, (page_id % 7 * 10)::INTEGER AS priority FROM pages WHERE url IS NOT NULL
+UNION ALL SELECT p_name, 100 FROM part
+UNION ALL SELECT w, 90 FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)
+"""
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), (F.col("page_id") % 7 * 10).cast("int").alias("priority"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit(100).alias("priority"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("name"), F.lit(90).alias("priority"))
+    return urls.unionByName(parts).unionByName(words)
+
+
+def _looked_up(spark: SparkSession, sf_dir: str, look) -> DataFrame:
+    path = f"{shared_folder(spark, 'names')}/blocks"
+    lookup.write_dictionary(_catalog(spark, sf_dir), path, parts=8)
+    found = [look(spark, path, p).select(F.lit(p).alias("prefix"), "name", "priority") for p in PREFIXES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "h5_dictionary",
+    f"WITH catalog AS ({CATALOG}) "
+    + " UNION ALL ".join(
+        f"(SELECT '{p}' AS prefix, name, priority FROM catalog WHERE starts_with(lower(name), '{p.lower()}')"
+        " ORDER BY priority DESC, name LIMIT 100)"
+        for p in PREFIXES
+    ),
+)
+def dictionary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first names of each prefix, from front-coded blocks."""
+    return _looked_up(spark, sf_dir, lookup.dictionary_top)
+
+
+@query(
+    "d2_dictionary",
+    f"WITH catalog AS ({CATALOG}) SELECT prefix, name, priority, count(*) AS times FROM catalog, "
+    f"(VALUES {', '.join(f'({p!r})' for p in PREFIXES)}) AS v(prefix) "
+    "WHERE starts_with(lower(name), lower(prefix)) GROUP BY ALL",
+)
+def dictionary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of each prefix, from the same blocks, with how often the catalog has them."""
+    rows = _looked_up(spark, sf_dir, lookup.dictionary_names)
+    return rows.groupBy("prefix", "name", "priority").agg(F.count("*").alias("times"))
+
+
 @query(
     "e1_fk_orphans",
     """
