@@ -39,8 +39,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words in repeated 3-word windows: window hashes are packed with their positions into one long per
     window (positions in the low bits, as many as the text needs), sorted as plain longs, and equal
-    neighbours give the positions of repeated windows. Hash bits left: 53 for 1,000 words, 43 for a
-    million words.
+    neighbours are candidates. Of these the whole 64-bit hashes are sorted and compared.
     """
     t = whole(text)
     df = docs.withColumn("_q_words", words(text)).withColumn("_q_n", F.size("_q_words"))
@@ -49,9 +48,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_q_hash", hashes).withColumn("_q_bits", bits)
     low = F.pow(F.lit(2.0), F.col("_q_bits")).cast("long") - 1
 
+    def window(i: Column) -> Column:
+        return F.xxhash64(_at("_q_hash", i), _at("_q_hash", i + 1), _at("_q_hash", i + 2))
+
     def packed(i: Column) -> Column:
-        window = F.xxhash64(_at("_q_hash", i), _at("_q_hash", i + 1), _at("_q_hash", i + 2))
-        return window.bitwiseAND(F.bitwise_not(F.col("_q_low"))).bitwiseOR(i.cast("long"))
+        return window(i).bitwiseAND(F.bitwise_not(F.col("_q_low"))).bitwiseOR(i.cast("long"))
 
     df = df.withColumn("_q_low", low)
     windows = F.when(
@@ -66,7 +67,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "_q_sorted",
         lambda x, i: alike(x, F.when(i > 0, _at("_q_sorted", i - 1))) | alike(x, _at("_q_sorted", i + 1)),
     )
-    starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("_q_low"))))
+
+    def hashed(x: Column) -> Column:
+        start = x.bitwiseAND(F.col("_q_low"))
+        return F.struct(window(start.cast("int")).alias("h"), start.alias("start"))
+
+    df = df.withColumn("_q_pairs", F.sort_array(F.transform(twice, hashed)))
+
+    def met(x: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, _at("_q_pairs", i - 1)["h"]), _at("_q_pairs", i + 1)["h"]
+        return x["h"].eqNullSafe(before) | x["h"].eqNullSafe(after)
+
+    starts = F.sort_array(F.transform(F.filter("_q_pairs", met), lambda x: x["start"]))
     df = df.withColumn("_q_starts", starts)
     covered = F.aggregate(
         F.transform(
@@ -89,7 +101,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_repeat_words", covered)
         .withColumn("_q_n_marks", F.length(F.regexp_replace(t, r"[^!-/:-@\[-`{-~]+", "")))
         .withColumn("_q_n_capitals", F.length(F.regexp_replace(t, r"[^A-Z]+", "")))
-        .drop("_q_words", "_q_n", "_q_hash", "_q_bits", "_q_low", "_q_sorted", "_q_starts", "_q_lines_all")
+        .drop("_q_words", "_q_n", "_q_hash", "_q_bits", "_q_low", "_q_sorted", "_q_pairs", "_q_starts", "_q_lines_all")
     )
 
 
