@@ -278,7 +278,7 @@ def _spread(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the column ``ids`` instead of ``text``: the token ids of the whole text."""
+    """``docs`` with the column ``ids`` instead of ``text``: the token ids of the whole text. A column ``ids`` is replaced."""
     others = [c for c in docs.columns if c not in (text, ids)]
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 

@@ -305,7 +305,7 @@ def main_text(html: str | None, model: Model) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """``pages`` with ``text``, the main text, instead of ``html``."""
+    """``pages`` with ``text``, the main text, instead of ``html``. A column ``text`` is replaced."""
     others = [c for c in pages.columns if c not in (html, text)]
     schema = T.StructType([pages.schema[c] for c in others] + [T.StructField(text, T.StringType())])
     model = fit()

@@ -165,7 +165,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth:
 
 
 def filter_urls(urls: DataFrame, labelled: DataFrame, rules=RULES, block_at: float = BLOCK_AT, **how) -> DataFrame:
-    """``urls`` with host, path, rule, bad_probability (null without a model) and verdict."""
+    """``urls`` with host, path, rule, bad_probability (null without a model) and verdict, which replace columns
+    of these names."""
     model = train(labelled, **how)
     df = lexical(urls)
     if model is None:
@@ -177,7 +178,8 @@ def filter_urls(urls: DataFrame, labelled: DataFrame, rules=RULES, block_at: flo
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.coalesce("bad_probability", F.lit(0.0)) > block_at, "block").otherwise("allow")
     df = df.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)})
-    return df.select(*urls.columns, "host", "path", "rule", "bad_probability", "verdict")
+    added = ["host", "path", "rule", "bad_probability", "verdict"]
+    return df.select(*(c for c in urls.columns if c not in added), *added)
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -194,6 +194,17 @@ def test_rules(spark):
     assert urls.filter_urls(df.filter("false"), df.select("url", F.lit(1).alias("bad"))).count() == 0
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.org/fr/x", "h", "p", "v", "own")], "page_id long, url string, host string, path string, verdict string, rule string")
+    found = urls.filter_urls(df, df.select("url", F.lit(None).cast("int").alias("bad")))
+    assert sorted(found.columns) == ["bad_probability", "host", "page_id", "path", "rule", "url", "verdict"]
+    r = found.first()
+    assert (r.host, r.path, r.rule, r.verdict) == ("a.org", "/fr/x", "org/fr/", "allow")
+    pages = spark.createDataFrame([(1, "<article><p>Body text</p></article>", "mine")], "page_id long, html string, text string")
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "text"] and out.first().text == "Body text"
+
+
 def test_trees_learn_from_labels(spark):
     pick = random.Random(6)
     rows = []
