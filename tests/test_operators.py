@@ -377,3 +377,24 @@ def test_pages_inside_equal_keys(spark, monkeypatch):
     assert [r.g for r in seen] == sorted(r[0] for r in rows)
     assert sorted((r.g, r.id or 0) for r in seen) == sorted((a, b or 0) for a, b in rows)
     assert page.offset_page(df, ["g"], 520, 40, shallow=50).collect() == []
+
+
+def test_staged_load_gives_every_row(spark, tmp_path):
+    from dumpdeck.plans.sources import load_staged
+
+    tables = {
+        "region": "SELECT 1 AS r_regionkey, 'north' AS r_name",
+        "nation": "SELECT 2 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey",
+        "customer": "SELECT 3L AS c_custkey, 'a\tb' AS c_name, 2 AS c_nationkey, 0.5D AS c_acctbal, 'x' AS c_mktsegment",
+        "supplier": "SELECT 4L AS s_suppkey, 'S' AS s_name, 2 AS s_nationkey, 1.5D AS s_acctbal",
+        "orders": "SELECT id + 5 AS o_orderkey, 3L AS o_custkey, 'O' AS o_orderstatus, id / 4 AS o_totalprice, "
+        "TIMESTAMP_NTZ '2020-02-29 01:02:03' AS o_orderdate, IF(id = 1, NULL, '2-HIGH') AS o_orderpriority FROM range(2)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = load_staged(spark, str(tmp_path)).collect()
+    rows = {(r.table_name, *(v for v in r[1:] if v is not None)) for r in found}
+    assert len(found) == 6 and rows == {
+        ("region", 1, "north"), ("nation", 2, "N", 1), ("customer", 3, "a\tb", 2, 0.5, "x"), ("supplier", 4, "S", 2, 1.5),
+        ("orders", 5, 3, "O", 0.0, "2020-02-29 01:02:03", "2-HIGH"), ("orders", 6, 3, "O", 0.25, "2020-02-29 01:02:03"),
+    }
