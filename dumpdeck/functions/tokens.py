@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRING = r"'(?:[^']++|'')*+'?"
@@ -38,6 +38,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``rows.select(*columns)`` with each value computed once, however many columns and filters read it later."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def tokens(sql: Column, mysql: bool = False) -> Column:
     """Array of ``(kind, text)``; the texts joined are the input."""
     found = F.regexp_extract_all(sql, F.lit(MYSQL if mysql else STANDARD), F.lit(0))

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dumpdeck.functions.tokens import bound
+
 # Base type name -> logical type. Names not listed are TEXT.
 PG_TYPES = {
     "INT64": [
@@ -40,22 +42,32 @@ def _with_params(text: Column) -> tuple[Column, Column]:
 
 
 def pg_logical(src_type: Column) -> Column:
-    text = F.upper(F.trim(src_type))
-    base, params = _with_params(text)
-    decimal = F.when(params != "", F.concat(F.lit("DECIMAL"), params)).otherwise("TEXT")
-    other = F.when(base.isin("NUMERIC", "DECIMAL"), decimal).otherwise("TEXT")
-    return F.when(text.endswith("[]"), "TEXT").otherwise(_lookup(base, PG_TYPES, other))
+    def named(text: Column) -> Column:
+        base, params = _with_params(text)
+        return F.struct(text.alias("text"), base.alias("base"), params.alias("params"))
+
+    def logical(s: Column) -> Column:
+        decimal = F.when(s["params"] != "", F.concat(F.lit("DECIMAL"), s["params"])).otherwise("TEXT")
+        other = F.when(s["base"].isin("NUMERIC", "DECIMAL"), decimal).otherwise("TEXT")
+        return F.when(s["text"].endswith("[]"), "TEXT").otherwise(_lookup(s["base"], PG_TYPES, other))
+
+    return bound(F.upper(F.trim(src_type)), lambda text: bound(named(text), logical))
 
 
 def mysql_logical(src_type: Column) -> Column:
+    def named(text: Column) -> Column:
+        base = F.trim(F.regexp_replace(text, r"(?s)\(.*$", ""))
+        return F.struct(base.alias("base"), F.regexp_extract(text, r"(\([^)]*\))", 1).alias("params"))
+
+    def logical(s: Column) -> Column:
+        decimal = F.when(s["params"] != "", F.concat(F.lit("DECIMAL"), s["params"])).otherwise("DECIMAL(18,6)")
+        other = F.when(s["base"].isin("DECIMAL", "NUMERIC"), decimal).otherwise("TEXT")
+        return F.when((s["base"] == "TINYINT") & (s["params"] == "(1)"), "BOOL").otherwise(
+            _lookup(s["base"], MYSQL_TYPES, other)
+        )
+
     text = F.trim(F.regexp_replace(F.upper(F.trim(src_type)), r"\s+(UNSIGNED|SIGNED|ZEROFILL)", ""))
-    base = F.trim(F.regexp_replace(text, r"(?s)\(.*$", ""))
-    params = F.regexp_extract(text, r"(\([^)]*\))", 1)
-    decimal = F.when(params != "", F.concat(F.lit("DECIMAL"), params)).otherwise("DECIMAL(18,6)")
-    other = F.when(base.isin("DECIMAL", "NUMERIC"), decimal).otherwise("TEXT")
-    return F.when((base == "TINYINT") & (params == "(1)"), "BOOL").otherwise(
-        _lookup(base, MYSQL_TYPES, other)
-    )
+    return bound(text, lambda t: bound(named(t), logical))
 
 
 def sqlite_logical(src_type: Column) -> Column:

@@ -64,8 +64,9 @@ def _flag_keys(columns: DataFrame, constraints: DataFrame) -> DataFrame:
             F.bool_or(F.col("kind") == "unique").alias("is_unique"),
         )
     )
+    # Both sides follow the number of declared columns; sizes guessed from compressed files would broadcast millions.
     out = columns.withColumn("key_name", F.lower("column_name")).join(
-        keys, ["dump", "table_name", "key_name"], "left"
+        keys.hint("merge"), ["dump", "table_name", "key_name"], "left"
     )
     is_pk = F.coalesce("is_pk", F.lit(False))
     return out.select(
@@ -109,17 +110,24 @@ def pg_columns(lines: DataFrame) -> DataFrame:
         & ~value.rlike(r"^\s*--")
         & value.rlike(PG_COLUMN)
     )
-    rest = F.regexp_extract("value", PG_COLUMN, 2)
-    src_type = F.regexp_extract(rest, PG_TYPE, 1)
-    return body.select(
-        "dump",
+    named = tokens.computed(
+        body, "dump", "block", F.col("pos").alias("line"),
         bare_name(F.regexp_extract("head", PG_CREATE, 1)).alias("table_name"),
-        "block",
-        F.col("pos").alias("line"),
         bare_name(F.regexp_extract("value", PG_COLUMN, 1)).alias("column_name"),
-        src_type.alias("src_type"),
+        F.regexp_extract("value", PG_COLUMN, 2).alias("rest"),
+    )
+    split = tokens.computed(named, *named.columns, F.regexp_extract("rest", PG_TYPE, 1).alias("src_type"))
+    src_type = F.col("src_type")
+    return tokens.computed(
+        split,
+        "dump",
+        "table_name",
+        "block",
+        "line",
+        "column_name",
+        "src_type",
         pg_logical(src_type).alias("type"),
-        F.contains(F.upper(F.substr(rest, F.length(src_type) + 1)), F.lit("NOT NULL")).alias("not_null"),
+        F.contains(F.upper(F.substr("rest", F.length(src_type) + 1)), F.lit("NOT NULL")).alias("not_null"),
         F.lit(False).alias("auto_increment"),
     ).withColumn(
         "pos",
@@ -131,12 +139,16 @@ def pg_constraints(lines: DataFrame) -> DataFrame:
     # A constraint may stand on the line after its ALTER TABLE.
     statement = F.when(_starts(), F.col("value")).otherwise(F.concat_ws(" ", "head", "value"))
     spoken = statement.rlike(r"(?i)\sCONSTRAINT\s|\sINDEX\s")
-    stated = _with_head(lines).filter(spoken).select("dump", tokens.tokens(statement).alias("stream"))
+    stated = tokens.computed(_with_head(lines).filter(spoken), "dump", tokens.tokens(statement).alias("stream"))
     rules = tokens.bound(
         F.struct("stream", tokens.lexemes(F.col("stream")).alias("lex")),
         lambda s: F.coalesce(_added(s["stream"], s["lex"]), _index(s["stream"], s["lex"])),
     )
-    return stated.select("dump", rules.alias("r")).filter("r IS NOT NULL").select("dump", "r.*")
+    return stated.select("dump", F.inline(_stated(rules)))
+
+
+def _stated(*rules: Column) -> Column:
+    return F.filter(F.array(*rules), lambda r: r.isNotNull())
 
 
 def _rule(table: Column, kind: Column, name: Column, columns: Column, ref_table: Column, ref_columns: Column) -> Column:
@@ -162,44 +174,66 @@ def _key(lex: Column, at: Column) -> tuple[Column, Column]:
     return kind, at + F.when(kind == "unique", 1).otherwise(2)
 
 
-def _references(stream: Column, lex: Column) -> tuple[Column, Column]:
-    """Table and column list after REFERENCES; the list may be missing."""
-    table, opened = _qualified(lex, tokens.place(lex, "REFERENCES") + 1)
-    listed = F.when(tokens.is_at(lex, opened, "("), tokens.between(stream, lex, opened, tokens.closing(lex, opened)))
-    return table, listed
+def _listed(stream: Column, lex: Column, opened: Column) -> Column:
+    """The text in the parentheses that open at a place."""
+    return tokens.bound(opened, lambda at: tokens.between(stream, lex, at, tokens.closing(lex, at)))
+
+
+def _references(stream: Column, lex: Column) -> Column:
+    """``(table, listed)``: table and column list after REFERENCES; the list may be missing."""
+
+    def read(at: Column) -> Column:
+        table, opened = _qualified(lex, at)
+        listed = tokens.bound(opened, lambda o: F.when(tokens.is_at(lex, o, "("), _listed(stream, lex, o)))
+        return F.struct(table.alias("table"), listed.alias("listed"))
+
+    return tokens.bound(tokens.place(lex, "REFERENCES") + 1, read)
 
 
 def _added(stream: Column, lex: Column) -> Column:
     """The key that an ALTER TABLE ... ADD CONSTRAINT statement adds."""
-    at = tokens.place(lex, "ADD", "CONSTRAINT")
     first = F.when(tokens.is_at(lex, 2, "ONLY"), 3).otherwise(2)
     table, _ = _qualified(lex, first)
-    kind, opened = _key(lex, at + 3)
-    ref_table, ref_columns = _references(stream, lex)
-    is_fk = kind == "fk"
-    ok = tokens.is_at(lex, 0, "ALTER", "TABLE") & kind.isNotNull() & tokens.is_at(lex, opened, "(")
-    ok = ok & (~is_fk | ref_columns.isNotNull())
-    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
-    rule = _rule(
-        bare_name(table), kind, bare_name(tokens.text_at(lex, at + 2)), name_list(listed),
-        F.when(is_fk, bare_name(ref_table)), F.when(is_fk, name_list(ref_columns)),
-    )
-    return F.when(ok, rule)
+
+    def keyed(at: Column) -> Column:
+        kind, opened = _key(lex, at + 3)
+        return tokens.bound(F.struct(kind.alias("kind"), opened.alias("opened"), at.alias("at")), read)
+
+    def read(s: Column) -> Column:
+        ok = s["kind"].isNotNull() & tokens.is_at(lex, s["opened"], "(")
+        target = F.when(s["kind"] == "fk", _references(stream, lex))
+        return F.when(ok, tokens.bound(target, lambda to: rule(s, to)))
+
+    def rule(s: Column, to: Column) -> Column:
+        is_fk = s["kind"] == "fk"
+        made = _rule(
+            bare_name(table), s["kind"], bare_name(tokens.text_at(lex, s["at"] + 2)),
+            name_list(_listed(stream, lex, s["opened"])), F.when(is_fk, bare_name(to["table"])), F.when(is_fk, name_list(to["listed"])),
+        )
+        return F.when(~is_fk | to["listed"].isNotNull(), made)
+
+    found = tokens.bound(tokens.place(lex, "ADD", "CONSTRAINT"), keyed)
+    return F.when(tokens.is_at(lex, 0, "ALTER", "TABLE"), found)
 
 
 def _index(stream: Column, lex: Column) -> Column:
     """The index that a CREATE INDEX statement makes."""
     unique = tokens.is_at(lex, 1, "UNIQUE")
-    at = F.when(unique, 2).otherwise(1)
-    table, after = _qualified(lex, at + F.when(tokens.is_at(lex, at + 3, "ONLY"), 4).otherwise(3))
-    opened = after + F.when(tokens.is_at(lex, after, "USING"), 2).otherwise(0)
-    ok = tokens.is_at(lex, 0, "CREATE") & tokens.is_at(lex, at, "INDEX") & tokens.is_at(lex, at + 2, "ON")
-    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
-    rule = _rule(
-        bare_name(table), F.when(unique, "unique").otherwise("index"), bare_name(tokens.text_at(lex, at + 1)),
-        index_columns(listed), F.lit(None).cast("string"), F.lit(None).cast("array<string>"),
-    )
-    return F.when(ok & tokens.is_at(lex, opened, "("), rule)
+
+    def named(at: Column) -> Column:
+        table, after = _qualified(lex, at + F.when(tokens.is_at(lex, at + 3, "ONLY"), 4).otherwise(3))
+        placed = tokens.bound(F.struct(table.alias("table"), after.alias("after"), at.alias("at")), read)
+        return F.when(tokens.is_at(lex, at, "INDEX") & tokens.is_at(lex, at + 2, "ON"), placed)
+
+    def read(s: Column) -> Column:
+        opened = s["after"] + F.when(tokens.is_at(lex, s["after"], "USING"), 2).otherwise(0)
+        rule = _rule(
+            bare_name(s["table"]), F.when(unique, "unique").otherwise("index"), bare_name(tokens.text_at(lex, s["at"] + 1)),
+            index_columns(_listed(stream, lex, opened)), F.lit(None).cast("string"), F.lit(None).cast("array<string>"),
+        )
+        return F.when(tokens.is_at(lex, opened, "("), rule)
+
+    return F.when(tokens.is_at(lex, 0, "CREATE"), tokens.bound(F.when(unique, 2).otherwise(1), named))
 
 
 def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,79 +243,78 @@ def mysql_schema(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _items(statements: DataFrame) -> DataFrame:
-    """The lines of each CREATE TABLE body."""
-    return (
-        statements.filter(F.col("statement").rlike(MYSQL_CREATE))
-        .select(
-            "dump",
-            mysql_name(F.regexp_extract("statement", MYSQL_CREATE, 1)).alias("table_name"),
-            F.posexplode(F.split(F.regexp_extract("statement", MYSQL_CREATE, 2), r"\r?\n")).alias(
-                "line", "item"
-            ),
-        )
-        .withColumn("item", F.regexp_replace(F.trim("item"), r",\s*$", ""))
-        .filter(F.col("item") != "")
+    """The lines of each CREATE TABLE body; a statement of another kind has none."""
+    # Few files hold many statements: dealt out, they are parsed by as many tasks as there are.
+    body = tokens.computed(
+        statements.select("dump", "statement").repartition(F.xxhash64("dump", "statement")),
+        "dump",
+        mysql_name(F.regexp_extract("statement", MYSQL_CREATE, 1)).alias("table_name"),
+        F.regexp_extract("statement", MYSQL_CREATE, 2).alias("body"),
     )
+    lines = F.transform(F.split("body", r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r",\s*$", ""))
+    return body.select("dump", "table_name", F.posexplode(lines).alias("line", "item")).filter(F.col("item") != "")
 
 
 def mysql_columns(statements: DataFrame) -> DataFrame:
     """Columns without key flags."""
-    rest = F.regexp_extract("item", MYSQL_COLUMN, 2)
-    src_type = F.trim(F.regexp_extract(rest, MYSQL_TYPE, 1))
-    return (
-        _items(statements)
-        .filter(F.col("item").rlike(MYSQL_COLUMN))
-        .select(
-            "dump",
-            "table_name",
-            "line",
-            mysql_name(F.regexp_extract("item", MYSQL_COLUMN, 1)).alias("column_name"),
-            src_type.alias("src_type"),
-            mysql_logical(src_type).alias("type"),
-            F.contains(F.upper(rest), F.lit("NOT NULL")).alias("not_null"),
-            F.contains(F.upper(rest), F.lit("AUTO_INCREMENT")).alias("auto_increment"),
-        )
-        .withColumn(
-            "pos", F.row_number().over(Window.partitionBy("dump", "table_name").orderBy("line")) - 1
-        )
+    named = tokens.computed(
+        _items(statements).filter(F.col("item").rlike(MYSQL_COLUMN)), "dump", "table_name", "line",
+        mysql_name(F.regexp_extract("item", MYSQL_COLUMN, 1)).alias("column_name"),
+        F.regexp_extract("item", MYSQL_COLUMN, 2).alias("rest"),
+    )
+    split = tokens.computed(
+        named, *named.columns, F.trim(F.regexp_extract("rest", MYSQL_TYPE, 1)).alias("src_type"), F.upper("rest").alias("upper")
     )
+    return tokens.computed(
+        split,
+        "dump",
+        "table_name",
+        "line",
+        "column_name",
+        "src_type",
+        mysql_logical(F.col("src_type")).alias("type"),
+        F.contains("upper", F.lit("NOT NULL")).alias("not_null"),
+        F.contains("upper", F.lit("AUTO_INCREMENT")).alias("auto_increment"),
+    ).withColumn("pos", F.row_number().over(Window.partitionBy("dump", "table_name").orderBy("line")) - 1)
 
 
 def mysql_constraints(statements: DataFrame) -> DataFrame:
-    items, item = _items(statements), F.col("item")
-    kind = F.upper(F.regexp_extract("item", MYSQL_KEY, 1))
-    name = F.regexp_extract("item", MYSQL_KEY, 2)
-    key_columns = F.regexp_extract("item", MYSQL_KEY, 3)
-    keys = items.filter(item.rlike(MYSQL_KEY)).select(
-        "dump",
-        "table_name",
-        F.when(kind == "PRIMARY", "pk").when(kind == "UNIQUE", "unique").otherwise("index").alias("kind"),
-        F.when(name != "", name).otherwise(F.lit("PRIMARY")).alias("name"),
-        index_columns(key_columns).alias("columns"),
-        F.lit(None).cast("string").alias("ref_table"),
-        F.lit(None).cast("array<string>").alias("ref_columns"),
-    )
-    lexed = items.filter(item.rlike(r"(?i)\A\s*CONSTRAINT\s")).select(
-        "dump", "table_name", tokens.tokens(item, mysql=True).alias("stream")
-    )
-    rules = tokens.bound(
-        F.struct("table_name", "stream", tokens.lexemes(F.col("stream")).alias("lex")),
-        lambda s: _constraint(s["table_name"], s["stream"], s["lex"]),
+    item = F.col("item")
+    is_key, is_fk = item.rlike(MYSQL_KEY), item.rlike(r"(?i)\A\s*CONSTRAINT\s")
+
+    def key(s: Column) -> Column:
+        return _rule(
+            F.col("table_name"),
+            F.when(s["kind"] == "PRIMARY", "pk").when(s["kind"] == "UNIQUE", "unique").otherwise("index"),
+            F.when(s["name"] != "", s["name"]).otherwise(F.lit("PRIMARY")), index_columns(s["columns"]),
+            F.lit(None).cast("string"), F.lit(None).cast("array<string>"),
+        )
+
+    parts = F.struct(
+        F.upper(F.regexp_extract("item", MYSQL_KEY, 1)).alias("kind"), F.regexp_extract("item", MYSQL_KEY, 2).alias("name"),
+        F.regexp_extract("item", MYSQL_KEY, 3).alias("columns"),
+    )
+    lexed = tokens.bound(
+        tokens.tokens(item, mysql=True), lambda t: F.struct(t.alias("stream"), tokens.lexemes(t).alias("lex"))
     )
-    fks = lexed.select("dump", rules.alias("r")).filter("r IS NOT NULL").select("dump", "r.*")
-    return keys.unionByName(fks)
+    fk = tokens.bound(lexed, lambda s: _constraint(F.col("table_name"), s["stream"], s["lex"]))
+    rule = F.when(is_key, tokens.bound(parts, key)).when(is_fk, fk)
+    return _items(statements).select("dump", F.inline(_stated(rule)))
 
 
 def _constraint(table: Column, stream: Column, lex: Column) -> Column:
     """The foreign key of one CONSTRAINT item of a CREATE TABLE."""
     kind, opened = _key(lex, F.lit(2))
-    ref_table, ref_columns = _references(stream, lex)
-    listed = tokens.between(stream, lex, opened, tokens.closing(lex, opened))
-    last = F.element_at(F.split(ref_table, r"\.(?=[^`]*(?:`[^`]*`[^`]*)*$)"), -1)
-    rule = _rule(
-        table, kind, mysql_name(tokens.text_at(lex, 1)), name_list(listed), mysql_name(last), name_list(ref_columns)
-    )
-    return F.when((kind == "fk") & tokens.is_at(lex, opened, "(") & ref_columns.isNotNull(), rule)
+
+    def rule(to: Column) -> Column:
+        last = F.element_at(F.split(to["table"], r"\.(?=[^`]*(?:`[^`]*`[^`]*)*$)"), -1)
+        made = _rule(
+            table, kind, mysql_name(tokens.text_at(lex, 1)), name_list(_listed(stream, lex, opened)),
+            mysql_name(last), name_list(to["listed"]),
+        )
+        return F.when(to["listed"].isNotNull(), made)
+
+    return F.when((kind == "fk") & tokens.is_at(lex, opened, "("), tokens.bound(_references(stream, lex), rule))
 
 
 def all_fields(columns: DataFrame) -> dict[str, list[Field]]:
