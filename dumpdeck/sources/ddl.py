@@ -36,6 +36,8 @@ MYSQL_TYPE = (
     r"(?i)^((?:[^\s(]+)(?:\s+PRECISION)?(?:\s*\((?:[^)']++|'(?:[^']++|'')*+')*+\))?"
     r"(?:\s+(?:UNSIGNED|SIGNED|ZEROFILL))*)"
 )
+# Lines of a split are looked at in chunks of this many, with one row per chunk across them.
+CHUNK = 1 << 16
 MYSQL_KEY = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX)\s*(?:KEY\s*)?(?:`([^`]+)`\s*)?\(((?:[^()]++|\(\d+\))++)\)"
 
 
@@ -95,9 +97,28 @@ def _starts() -> Column:
 
 
 def _with_head(lines: DataFrame) -> DataFrame:
-    """Each line with the statement start it follows."""
-    order = Window.partitionBy("dump").orderBy("block", "pos")
-    return lines.withColumn("head", F.last(F.when(_starts(), F.col("value")), True).over(order))
+    """Each line with the statement start it follows.
+
+    Windows stand over chunks of a split; a chunk whose first lines follow no start of their own takes the last one of
+    the chunks before it.
+    """
+    chunk = ["dump", "block", "chunk"]
+    started = tokens.computed(
+        lines.withColumn("chunk", F.floor(F.col("pos") / CHUNK)), *lines.columns, "chunk",
+        F.when(_starts(), F.col("value")).alias("start"),
+    )
+    order = Window.partitionBy(*chunk).orderBy("pos")
+    own = started.withColumn("head", F.last("start", True).over(order))
+    before = Window.partitionBy("dump").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        own.withColumns({"opens": F.first("head").over(order), "next": F.lead("pos").over(order)})
+        .filter("next IS NULL")
+        .withColumn("carried", F.last("head", True).over(before))
+        .filter("carried IS NOT NULL AND opens IS NULL")
+        .select(*(F.col(c).alias(f"c_{c}") for c in chunk), "carried")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in chunk]
+    return own.join(carried, same, "left").select(*lines.columns, F.coalesce("head", "carried").alias("head"))
 
 
 def pg_columns(lines: DataFrame) -> DataFrame:

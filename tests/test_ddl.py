@@ -1,5 +1,7 @@
 """Declared schemas from many statements."""
 
+import random
+
 from dumpdeck.sources import ddl
 
 TABLE = (
@@ -26,3 +28,21 @@ def test_mysql_statements_are_dealt_out_and_read_once(spark):
     # Each text is matched once, however many columns and filters read the parts.
     plan = columns._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("PRECISION)?") == 1 and "RepartitionByExpression" in plan
+
+
+def test_heads_cross_chunks_and_splits(spark, monkeypatch):
+    monkeypatch.setattr(ddl, "CHUNK", 3)
+    draw = random.Random(5)
+    texts = ["CREATE TABLE a (", "ALTER TABLE ONLY b", ");", "    id bigint,", "    ADD CONSTRAINT x", "-- said", None]
+    lines, heads = [], {}
+    for dump in ("x", "y", None):
+        head = None
+        for block in (0, 50, 90):
+            for pos in range(block, block + draw.choice([1, 7, 30])):
+                value = draw.choices(texts, [1, 1, 1, 9, 9, 9, 1])[0]
+                lines.append((dump, block, pos, value))
+                head = value if value in texts[:3] else head
+                heads[dump, pos] = head
+    draw.shuffle(lines)
+    found = ddl._with_head(spark.createDataFrame(lines, "dump string, block long, pos long, value string"))
+    assert {(r.dump, r.pos): r.head for r in found.collect()} == heads and found.count() == len(lines)
