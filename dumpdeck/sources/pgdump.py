@@ -29,15 +29,19 @@ FIRST_CHARS = [" ", "\t", "\f", "\v", "C", "c", "A", "a", ")", "\\"]
 
 # Lines of a split are met with the COPY blocks of their part of it, of this many lines.
 PART = 256
+# More blocks than these are sorted and merged with the lines: judged by their compressed file they would be broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def copy_header(line: Column) -> Column:
     """``(table_name, header)`` of a line that opens COPY data, else null."""
 
     def read(s: Column) -> Column:
+        lex = s["lex"]
+        return tokens.bound(tokens.place(lex, "("), lambda opened: tokens.bound(tokens.closing(lex, opened), lambda c: named(s, opened, c)))
+
+    def named(s: Column, opened: Column, closed: Column) -> Column:
         stream, lex = s["stream"], s["lex"]
-        opened = tokens.place(lex, "(")
-        closed = tokens.closing(lex, opened)
         dotted = tokens.is_at(lex, opened - 2, ".")
         last = tokens.text_at(lex, opened - 1)
         name = F.when(dotted, F.concat_ws(".", tokens.text_at(lex, opened - 3), last)).otherwise(last)
@@ -76,37 +80,34 @@ def _candidates(lines: DataFrame) -> DataFrame:
     """The few lines that may be headers (kind H), end markers (T) or DDL."""
     kind = F.when(F.col("value") == END, "T").when(F.col("copy").isNotNull(), "H")
     # The first character settles most data lines without running a pattern over them.
+    first = lines.filter(F.substring("value", 1, 1).isin(FIRST_CHARS))
     return (
-        lines.filter(F.substring("value", 1, 1).isin(FIRST_CHARS))
-        .withColumn("copy", copy_header(F.col("value")))
+        tokens.computed(first, *lines.columns, copy_header(F.col("value")).alias("copy"))
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull() | F.col("value").rlike(MAYBE_DDL))
+        .withColumn("chunk", F.floor(F.col("pos") / ddl.CHUNK))
     )
 
 
 def _resolve(found: DataFrame) -> DataFrame:
     """Add ``inside``: the line stands within COPY data.
 
-    After a header everything is data until the end marker, also lines that look like headers.
+    After a header everything is data until the end marker, also lines that look like headers. Windows stand over chunks
+    of a split; only one row per chunk is looked at across the file.
     """
-    split = Window.partitionBy("dump", "block")
-    before = split.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    whole = split.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = found.withColumns(
-        {
-            "previous": F.last("kind", True).over(before),
-            "split_last": F.last("kind", True).over(whole),
-            "nth": F.row_number().over(split.orderBy("pos")),
-        }
-    )
-    # What a split starts inside of: the last marker of the splits before it, one row each.
-    across = Window.partitionBy("dump").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    entry = marked.filter("nth = 1").select(
-        "dump", "block", F.last("split_last", True).over(across).alias("entry_kind")
+    chunk = ["dump", "block", "chunk"]
+    order = Window.partitionBy(*chunk).orderBy("pos")
+    marked = found.withColumn("previous", F.last("kind", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # What a chunk starts inside of: the last marker of the chunks before it.
+    across = Window.partitionBy("dump").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    entry = (
+        marked.withColumn("next", F.lead("pos").over(order))
+        .filter("next IS NULL")
+        .select(*chunk, F.last(F.coalesce("kind", "previous"), True).over(across).alias("entry_kind"))
     )
     state = F.coalesce("previous", "entry_kind", F.lit("T"))
-    resolved = marked.join(entry, ["dump", "block"]).withColumn("inside", state == "H")
-    return resolved.drop("previous", "split_last", "nth", "entry_kind")
+    resolved = marked.join(entry, chunk).withColumn("inside", state == "H")
+    return resolved.drop("previous", "entry_kind")
 
 
 class PgDump:
@@ -117,9 +118,9 @@ class PgDump:
     def __init__(self, spark: SparkSession, path: str | list[str]):
         self.spark = spark
         self.lines = read_lines(spark, path)
-        # One scan of the text serves headers, end markers and DDL. Dealt out by split, the few
+        # One scan of the text serves headers, end markers and DDL. Dealt out by chunks of a split, the
         # lines found leave the many partitions of the scan and stand as the windows need them.
-        self._found = _candidates(self.lines).repartition("dump", "block").persist()
+        self._found = _candidates(self.lines).repartition("dump", "block", "chunk").persist()
         self._marks = _resolve(self._found).persist()
         self._ddl = self._marks.filter(~F.col("inside") & F.col("kind").isNull()).select(
             "dump", "block", "pos", "value"
@@ -147,24 +148,35 @@ class PgDump:
         real = self._marks.filter(
             ((F.col("kind") == "H") & ~F.col("inside")) | ((F.col("kind") == "T") & F.col("inside"))
         )
-        order = Window.partitionBy("dump").orderBy("block", "pos")
+        chunk = ["dump", "block", "chunk"]
+        order = Window.partitionBy(*chunk).orderBy("pos")
+        ends = real.withColumns({"end": F.lead("pos").over(order), "before": F.lag("pos").over(order)})
+        # A block that its chunk leaves open ends at the first marker of the next chunk that has any.
+        across = Window.partitionBy("dump").orderBy("block", "chunk")
+        later = ends.filter("before IS NULL").select(
+            *chunk, F.lead("block").over(across).alias("later_block"), F.lead("pos").over(across).alias("later_pos")
+        )
+        closed = F.col("end").isNotNull()
         return (
-            real.select(
+            ends.filter("kind = 'H'")
+            .join(later, chunk)
+            .select(
                 F.col("dump").alias("in_dump"),
-                "kind",
                 "copy.table_name",
                 "copy.header",
                 "length",
                 "size",
                 F.col("block").alias("start_block"),
                 F.col("pos").alias("start_pos"),
-                F.lead("block").over(order).alias("end_block"),
-                F.lead("pos").over(order).alias("end_pos"),
+                F.when(closed, F.col("block")).otherwise(F.col("later_block")).alias("end_block"),
+                F.when(closed, F.col("end")).otherwise(F.col("later_pos")).alias("end_pos"),
             )
-            .filter("kind = 'H'")
-            .drop("kind")
         )
 
+    @cached_property
+    def _n_blocks(self) -> int:
+        return self.blocks.count()
+
     @cached_property
     def fields(self) -> dict[str, list[Field]]:
         return ddl.all_fields(ddl.pg_columns(self._ddl))
@@ -182,8 +194,8 @@ class PgDump:
 
         A block is clipped to the splits it covers: all splits of a file but the last have one length. In a split, at
         most one block comes in from the split before and one goes on into the next; they are met by
-        ``(dump, split)``. Blocks within a split are met by parts of it, so a line is held against the few
-        blocks of its part. Both are equality joins whose build side Spark sizes and broadcasts, or sorts.
+        ``(dump, split)`` and broadcast, as they are two per split. Blocks within a split are met by parts of it, so a
+        line is held against the few blocks of its part; many blocks are sorted and merged with the lines.
         """
         last = F.when(F.col("start_block") + F.col("length") >= F.col("size"), F.col("start_block")).otherwise(
             F.floor((F.col("size") - 1) / F.col("length")) * F.col("length")
@@ -202,11 +214,13 @@ class PgDump:
         parts = F.sequence(F.floor(F.col("low") / PART), F.floor(F.col("high") / PART))
         inner = clipped.filter(whole).withColumn("part", F.explode(parts)).drop("split").withColumnRenamed("in_dump", "i_dump")
         inner = inner.select("i_dump", "part", "low", "high", F.struct("table_name", "header").alias("inner"))
+        if self._n_blocks > BROADCAST_BLOCKS:
+            inner = inner.hint("merge")
         pos = F.col("pos")
         goes = (F.col("g_low").isNull() | (pos > F.col("g_low"))) & (F.col("g_high").isNull() | (pos < F.col("g_high")))
         met = (
             self.lines.select("dump", "block", "pos", "value")
-            .join(going, (F.col("dump") == F.col("g_dump")) & (F.col("block") == F.col("g_split")) & goes, "left")
+            .join(F.broadcast(going), (F.col("dump") == F.col("g_dump")) & (F.col("block") == F.col("g_split")) & goes, "left")
             .join(
                 inner,
                 (F.col("dump") == F.col("i_dump")) & (F.floor(pos / PART) == F.col("part")) & (pos > F.col("low")) & (pos < F.col("high")),

@@ -183,3 +183,21 @@ def test_round_trip_of_random_text(spark, tmp_path):
     assert got == {i: t if i % 11 else None for i, t in enumerate(texts)}
     single = Counter(r.t for r in read_pgdump(spark, path, "s").collect())
     assert single == Counter(got.values())
+
+
+def test_blocks_cross_chunks(spark, write, monkeypatch):
+    """Many blocks of one split, in chunks of a few lines."""
+    monkeypatch.setattr("dumpdeck.sources.ddl.CHUNK", 4)
+    rows = [[f"{i}.{n}" for n in range(i % 13)] for i in range(60)]
+    text = "CREATE TABLE public.c (\n    v text\n);\n" + "".join(
+        "\n".join(["COPY public.c (v) FROM stdin;", *r, *["COPY public.c (v) FROM stdin;"] * (i % 3), "\\.", "", ""]) for i, r in enumerate(rows)
+    )
+    path = write("chunks.sql", text)
+    dump = PgDump(spark, path)
+    assert dump.blocks.count() == 60
+    # No window takes the lines of a whole file at once.
+    plan = dump._marks._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk" in plan
+    dump.close()
+    found = Counter(r.v for r in read_pgdump(spark, path, "c").collect())
+    assert found == Counter([v for r in rows for v in r] + ["COPY public.c (v) FROM stdin;"] * 60)
